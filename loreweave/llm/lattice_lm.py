@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -92,13 +93,12 @@ def _trains(key: int) -> bool:
     return key == NULL_ID or zlib.crc32(str(key).encode()) % 10 != 0
 
 
-def _by_owner(types: list[bytes], owners: int) -> list[list[bytes]]:
-    out: list[list[bytes]] = [[] for _ in range(owners)]
+def _by_owner(types: Iterable[bytes], owners: int) -> dict[int, list[bytes]]:
+    """Sorted words of each owner that has any, in order of owner."""
+    out: dict[int, list[bytes]] = {}
     for w in types:
-        out[zlib.crc32(w) % owners].append(w)
-    for x in out:
-        x.sort()
-    return out
+        out.setdefault(zlib.crc32(w) % owners, []).append(w)
+    return {o: sorted(out[o]) for o in sorted(out)}
 
 
 def _send(chunks: DataFrame, owners: int) -> DataFrame:
@@ -116,12 +116,11 @@ def _send(chunks: DataFrame, owners: int) -> DataFrame:
                     seen[END] += 1
                 else:
                     other.update(words)
-            for owner, words in enumerate(_by_owner(list(other.union(seen)), owners)):
-                if words:
-                    to.append(owner)
-                    ids.append(chunk.as_py())
-                    blobs.append(b" ".join(words))
-                    counts.append(np.array([seen[w] for w in words], np.int32))
+            for owner, words in _by_owner(other.union(seen), owners).items():
+                to.append(owner)
+                ids.append(chunk.as_py())
+                blobs.append(b" ".join(words))
+                counts.append(np.array([seen[w] for w in words], np.int32))
         return pa.RecordBatch.from_pydict({"owner": pa.array(to, pa.int32()), "chunk_id": pa.array(ids, pa.int64()), "words": pa.array(blobs, pa.binary()), "counts": binary(counts)})
 
     return map_batches(chunks, one, "owner int, chunk_id long, words binary, counts binary")
@@ -186,11 +185,10 @@ def lattice_lm(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text
             every = {w for x in words for w in x} | {END}
             index: dict[bytes, int] = {}
             counts, logs = [], []
-            for owner, mine in enumerate(_by_owner(list(every), owners)):
-                if mine:
-                    index.update(zip(mine, range(len(index), len(index) + len(mine)), strict=True))
-                    counts.append(answer[owner][0])
-                    logs.append(answer[owner][1])
+            for owner, mine in _by_owner(every, owners).items():
+                index.update(zip(mine, range(len(index), len(index) + len(mine)), strict=True))
+                counts.append(answer[owner][0])
+                logs.append(answer[owner][1])
             c = np.concatenate(counts).astype(np.float64)
             base = np.log10((c + 0.1) / (tokens + 0.1 * (kinds + 1)))
             score = np.log10((c + mass * np.exp(np.concatenate(logs).astype(np.float64))) / (tokens + mass))

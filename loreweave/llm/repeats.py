@@ -96,15 +96,20 @@ def _owner(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return ((g >> np.uint64(40)) * np.uint64(n) >> np.uint64(24)).astype(np.int64), (g & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
+def _runs(key: np.ndarray) -> dict[int, np.ndarray]:
+    """Of each key that occurs, its places in order; costs nothing for keys that don't."""
+    order = np.argsort(key, kind="stable")
+    new = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1]))) if len(key) else np.empty(0, np.int64)
+    return dict(zip(key[order][new].tolist(), np.split(order, new[1:]), strict=True)) if len(key) else {}
+
+
 def send_hashes(chunks: DataFrame, units: Units, owners: int) -> DataFrame:
     def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         rows: list[tuple] = []
         for chunk, ids, texts in zip(*batch.columns, strict=True):
             _, text = cut(units, ids, texts)
             owner, low = _owner(_anchors(units, text)[3], owners)
-            order = np.argsort(owner, kind="stable")
-            at = np.searchsorted(owner[order], np.arange(owners + 1))
-            rows += [(o, chunk.as_py(), low[order[at[o] : at[o + 1]]]) for o in range(owners) if at[o] < at[o + 1]]
+            rows += [(o, chunk.as_py(), low[mine]) for o, mine in _runs(owner).items()]
         if not rows:
             return None
         o, c, p = zip(*rows, strict=True)
@@ -153,11 +158,10 @@ def send_segments(chunks: DataFrame, masks: DataFrame, units: Units, owners: int
             keys, text = cut(units, ids, texts)
             a, s1, s2, h = _anchors(units, text)
             owner, _ = _owner(h, owners)
-            order = np.argsort(owner, kind="stable")
-            at = np.searchsorted(owner[order], np.arange(owners + 1))
+            of_owner = _runs(owner)
             again, hot = np.zeros(len(a), bool), np.zeros(len(a), bool)
             for o, m, q in zip(right["owner"].to_pylist(), right["again"].to_pylist(), right["hot"].to_pylist(), strict=True):
-                mine = order[at[o] : at[o + 1]]
+                mine = of_owner[o]
                 again[mine] = np.unpackbits(np.frombuffer(m, np.uint8), count=len(mine))
                 if q:
                     hot[mine] = np.unpackbits(np.frombuffer(q, np.uint8), count=len(mine))
@@ -180,15 +184,11 @@ def send_segments(chunks: DataFrame, masks: DataFrame, units: Units, owners: int
                     where.append(xxhash.xxh3_64_intdigest(seg) % buckets if q else route(raw[g1:g2], hh))
                 occ[i] = n
             to = np.array(where, np.int64)
-            seg_order = np.argsort(to, kind="stable")
-            occ_order = np.argsort(to[occ], kind="stable") if len(occ) else occ
             rank = np.empty(len(to), np.int64)
-            seg_at = np.searchsorted(to[seg_order], np.arange(buckets + 1))
-            occ_at = np.searchsorted(to[occ][occ_order], np.arange(buckets + 1)) if len(occ) else np.zeros(buckets + 1, np.int64)
-            for b in np.unique(to).tolist():
-                mine = seg_order[seg_at[b] : seg_at[b + 1]]
+            of_bucket = _runs(to[occ]) if len(occ) else {}
+            for b, mine in _runs(to).items():
                 rank[mine] = np.arange(len(mine))
-                o = occ_order[occ_at[b] : occ_at[b + 1]]
+                o = of_bucket[b]
                 rows.append({
                     "bucket": b, "chunk_id": chunk.as_py(), "data": b"".join(segs[i] for i in mine.tolist()), "lengths": np.array([len(segs[i]) for i in mine.tolist()], np.int32).tobytes(),
                     "hot": np.packbits(np.array([hots[i] for i in mine.tolist()], bool)).tobytes(), "occ_seg": rank[occ[o]].astype(np.int32).tobytes(), "occ_doc": doc[o].astype(np.int64).tobytes(), "occ_start": s1[pick][o].astype(np.int32).tobytes(),
