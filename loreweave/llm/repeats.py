@@ -249,9 +249,11 @@ _FOUND = pa.schema([("chunk_id", pa.int64()), ("starts", pa.binary()), ("to_buck
 
 def removals(chunk: np.ndarray, start: np.ndarray) -> list[dict]:
     """Rows that tell chunks which window starts to remove; as pairs of int32, first and count."""
+    if not len(chunk):
+        return []
     order = np.lexsort((start, chunk))
     chunk, start = chunk[order], start[order]
-    new = np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1]))) if len(chunk) else np.empty(0, np.int64)
+    new = np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1])))
     rows = []
     for i, j in zip(new.tolist(), np.append(new[1:], len(chunk)).tolist(), strict=True):
         first, n = ranges(np.unique(start[i:j]))
@@ -264,7 +266,7 @@ def open_windows(hashes: np.ndarray, doc: np.ndarray, chunk: np.ndarray, start:
     to = (hashes[:, 0] % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((start, chunk, to))
     change = (to[order][1:] != to[order][:-1]) | (chunk[order][1:] != chunk[order][:-1])
-    new = np.flatnonzero(np.concatenate(([True], change))) if len(order) else np.empty(0, np.int64)
+    new = np.flatnonzero(np.concatenate(([True], change)))
     rows = []
     for i, j in zip(new.tolist(), np.append(new[1:], len(order)).tolist(), strict=True):
         o = order[i:j]
