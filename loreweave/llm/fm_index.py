@@ -62,14 +62,20 @@ class WaveletTree:
             self.levels.append(Bits(bit))
             s = np.concatenate((s[~bit], s[bit]))
             self.zeros.append(int(len(bit) - bit.sum()))
+        #: Where each symbol's path begins at the last level; it doesn't depend on the place that is asked for.
+        self.start = np.zeros(1 << self.depth, np.int64)
+        every = np.arange(1 << self.depth)
+        for level, (bits, zeros) in enumerate(zip(self.levels, self.zeros, strict=True)):
+            one = ((every >> (self.depth - 1 - level)) & 1).astype(bool)
+            a = bits.rank(self.start)
+            self.start = np.where(one, zeros + a, self.start - a)
 
     def rank(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How often symbol stands before lo and before hi."""
-        start = np.zeros(len(symbol), np.int64)
+        start = self.start[symbol]
         for level, (bits, zeros) in enumerate(zip(self.levels, self.zeros, strict=True)):
             one = ((symbol >> (self.depth - 1 - level)) & 1).astype(bool)
-            a, b, c = bits.rank(start), bits.rank(lo), bits.rank(hi)
-            start = np.where(one, zeros + a, start - a)
+            b, c = bits.rank(lo), bits.rank(hi)
             lo = np.where(one, zeros + b, lo - b)
             hi = np.where(one, zeros + c, hi - c)
         return lo - start, hi - start

@@ -18,28 +18,64 @@ SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 BATCH = 1 << 18
 
 
-def matching_statistics(index: FMIndex, weight: np.ndarray, text: np.ndarray, ends: np.ndarray, cap: int) -> np.ndarray:
-    """For each end, how many symbols before it, ``cap`` at most, occur with a total weight of two or more.
+def matching_statistics(index: FMIndex, weight: np.ndarray, text: np.ndarray, ends: np.ndarray, caps: np.ndarray) -> np.ndarray:
+    """For each end, how many symbols before it, its cap at most, occur with a total weight of two or more.
 
     weight: for every text place, how often it counts. Search stops where only one occurrence is left.
     """
     total = np.concatenate(([0], np.cumsum(weight[index.order])))
     out = np.zeros(len(ends), np.int64)
     for i in range(0, len(ends), BATCH):
-        e = ends[i : i + BATCH]
+        e, cap = ends[i : i + BATCH], caps[i : i + BATCH]
         lo, hi = np.zeros(len(e), np.int64), np.full(len(e), index.n, np.int64)
-        live, length = np.arange(len(e)), np.zeros(len(e), np.int64)
-        for t in range(1, cap + 1):
+        live, length, t = np.arange(len(e)), np.zeros(len(e), np.int64), 0
+        while len(live):
+            t += 1
             lo, hi = index.step(text[e[live] - t], lo, hi)
             more = total[hi] - total[lo] > 1
+            length[live[more]] = t
+            more &= cap[live] > t
             live, lo, hi = live[more], lo[more], hi[more]
-            if not len(live):
-                break
-            length[live] = t
         out[i : i + BATCH] = length
     return out
 
 
+def repeated_windows(index: FMIndex, weight: np.ndarray, text: np.ndarray, base: np.ndarray, lengths: np.ndarray, window: int) -> np.ndarray:
+    """Which windows of the segments occur again, in order of segment and start.
+
+    A search from the end of a window goes on to the left as far as two occurrences are left. Every window inside what
+    it has matched is repeated; every window that has all of it and the symbol before is single. So a search mostly
+    decides a whole stretch. Undecided stretches are searched from their last window, then from their first, then from
+    the middle.
+    """
+    n = lengths - window + 1
+    first = np.cumsum(n) - n
+    owner = np.repeat(np.arange(len(n)), n)
+    within = np.arange(len(owner)) - first[owner]
+    edge = np.append(within == 0, True)
+    repeated, open_ = np.zeros(len(owner), bool), np.ones(len(owner), bool)
+    turn = 0
+    while open_.any():
+        low = np.flatnonzero(open_ & (edge[:-1] | ~np.concatenate(([False], open_[:-1]))))
+        high = np.flatnonzero(open_ & (edge[1:] | ~np.concatenate((open_[1:], [False]))))
+        pick = (high, low, (low + high) // 2)[min(turn, 2)]
+        seg, s = owner[pick], within[pick]
+        reach = matching_statistics(index, weight, text, base[seg] + s + window, s + window)
+        p = s + window - reach
+        again = np.zeros(len(owner) + 1, np.int64)
+        single = np.zeros(len(owner) + 1, np.int64)
+        long = reach >= window
+        np.add.at(again, first[seg[long]] + p[long], 1)
+        np.add.at(again, pick[long] + 1, -1)
+        np.add.at(single, pick[~long], 1)
+        np.add.at(single, first[seg[~long]] + np.minimum(p[~long], n[seg[~long]]), -1)
+        again, single = np.cumsum(again[:-1]) > 0, np.cumsum(single[:-1]) > 0
+        repeated |= again
+        open_ &= ~(again | single)
+        turn += 1
+    return repeated
+
+
 def _judge(window: int, buckets: int):
     def judge(b: repeats.Bucket) -> list[dict]:
         known: dict[bytes, int] = {}
@@ -54,13 +90,12 @@ def _judge(window: int, buckets: int):
         del symbols, known
         base = np.cumsum(lengths + 1) - lengths - 1
         times = np.bincount(b.seg, minlength=len(b.segs))
-        index = FMIndex(text, window + 1)
+        index = FMIndex(text, int(lengths.max()) + 1)
         weight = np.append(np.repeat(times, lengths + 1), 1)
         n_windows = lengths - window + 1
         owner = np.repeat(np.arange(len(b.segs)), n_windows)
         within = np.arange(int(n_windows.sum())) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
-        starts = base[owner] + within
-        repeated = matching_statistics(index, weight, text, starts + window, window) >= window
+        repeated = repeated_windows(index, weight, text, base, lengths, window)
         # every occurrence of a segment has the windows that are repeated in it
         per = np.add.reduceat(np.append(repeated, False), np.cumsum(n_windows) - n_windows)
         at = np.flatnonzero(repeated)
