@@ -6,13 +6,15 @@ Counted as part of the subpackage of corpus operators, and removed with it.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreweave.llm.bpe_codec import bpe_encode
-from loreweave.llm.common import materialise, scratch
+from loreweave.llm.common import materialise, owned_tables, remove, scratch
 from loreweave.llm.decontaminate import decontaminate
 from loreweave.llm.exact_dedup import exact_dedup
 from loreweave.llm.language_id import UNKNOWN, language_id
@@ -21,6 +23,24 @@ from loreweave.llm.near_dedup import near_dedup
 #: A document whose best language scores less is rejected.
 LEAST_SCORE = 0.3
 _ROW = "__row"
+#: Tables in the shared folder that the last stage has written for itself.
+_held: list[str] = []
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _stage(f: Stage) -> Stage:
+    """A stage reads what its predecessor has written, so the predecessor's own tables can go when it begins."""
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, _held)
+        with owned_tables() as written:
+            out = f(spark, docs, sf_dir)
+        _held[:] = written
+        return out
+
+    return run
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -36,31 +56,33 @@ def _only(docs: DataFrame, rows: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.join(chosen.select(F.col("doc_id").alias(_ROW)), _ROW, "left_semi").select(*docs.columns)
 
 
+@_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that are in a learned language by a score of LEAST_SCORE or more."""
-    rows, by_row = _numbered(docs)
-    return _only(docs, rows, language_id(by_row).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)))
+    return language_id(docs, carry=True).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
+@_stage
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each group of equal texts."""
     rows, by_row = _numbered(docs)
     return _only(docs, rows, exact_dedup(by_row).filter("kept"))
 
 
+@_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each component of near copies: five words a shingle, similarity 0.8."""
     rows, by_row = _numbered(docs)
     return _only(docs, rows, near_dedup(by_row).filter("kept"))
 
 
+@_stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that have a window of a benchmark item."""
-    rows, by_row = _numbered(docs)
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _only(docs, rows, decontaminate(by_row, benchmark).filter("not contaminated"))
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=True).filter("not contaminated").select("row.*")
 
 
+@_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with their number and digests."""
     return bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), ids=True)

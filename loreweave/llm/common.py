@@ -5,12 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A null id sorts behind all others.
 NULL_ID = (1 << 63) - 1
@@ -34,10 +36,42 @@ def materialise(df: DataFrame, label: str, row_group_mb: int = 32) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
+    if _OWNED:
+        _OWNED[-1].append(path)
     df.write.option("compression", "zstd").option("parquet.block.size", row_group_mb << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Innermost last: lists of the tables written in a block of owned_tables().
+_OWNED: list[list[str]] = []
+
+
+@contextmanager
+def owned_tables() -> Iterator[list[str]]:
+    """Collects the paths of the tables that materialise() writes meanwhile, so that their user can remove them."""
+    _OWNED.append([])
+    try:
+        yield _OWNED[-1]
+    finally:
+        _OWNED.pop()
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Removes tables in the shared folder by the file system that their path names."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def with_row(df: DataFrame, schema: str) -> T.StructType:
+    """schema with the column row: all columns of df as a struct."""
+    return T.StructType([*T._parse_datatype_string(schema).fields, T.StructField("row", df.schema)])
+
+
+def row_struct(df: DataFrame) -> F.Column:
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+
+
 def documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator reads, as doc_id and text; other columns may have any name."""
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loreweave.llm.anchors import word_codes
-from loreweave.llm.common import documents, materialise
+from loreweave.llm.common import documents, materialise, row_struct, with_row
 from loreweave.llm.fm_index import FMIndex
 
 #: Word characters after lower-casing: digits, a-z and all bytes of characters beyond ASCII.
@@ -114,15 +114,15 @@ def hits(raw: np.ndarray, offsets: np.ndarray, phrases: Phrases) -> tuple[np.nda
     return np.diff(bounds), n_hit, hit, items, starts, starts + lengths
 
 
-def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """Rows of a partition in shards of about so many bytes."""
+def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a partition in shards of about so many bytes of text, the second column."""
     for batch in batches:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
         lo = 0
         while lo < batch.num_rows:
             base = sizes[lo - 1] if lo else 0
             hi = max(lo + 1, int(np.searchsorted(sizes, base + shard_bytes)))
-            yield batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo)
+            yield batch.slice(lo, hi - lo)
             lo = hi
 
 
@@ -165,6 +165,7 @@ def decontaminate(
     shard_mb: int = 8,
     block_words: int = 2_000_000,
     spans: bool = False,
+    carry: bool = False,
 ) -> DataFrame:
     """Finds words of documents that lie in any window of a benchmark item.
 
@@ -179,8 +180,9 @@ def decontaminate(
     ignored.
 
     spans: adds the column spans, merged [begin, end) byte ranges to remove (array of struct).
+    carry: adds the column row, a struct of all input columns.
     """
-    source = documents(docs, id_col, text_col)
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *([row_struct(docs)] if carry else []))
     schema = SCHEMA + (", spans array<struct<begin: long, end: long>>" if spans else "")
     passes = []
     blocks = list(_blocks(benchmark, item_id_col, item_text_col, window, block_words))
@@ -190,36 +192,35 @@ def decontaminate(
         shipped = docs.sparkSession.sparkContext.broadcast(phrases)
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            for ids, texts in _shards(batches, shard_mb << 20):
-                raw, offsets = _bytes(texts)
+            for shard in _shards(batches, shard_mb << 20):
+                ids = shard.column(0)
+                raw, offsets = _bytes(shard.column(1))
                 n_words, n_hit, hit, items, starts, ends = hits(raw, offsets, shipped.value)
                 out = {"doc_id": ids, "n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "n_items": pa.array([len(x) for x in items], pa.int64()), "items_sha256": pa.array([sha_of_items(x) for x in items], pa.string()), "contaminated": pa.array(n_hit > 0)}
                 if spans or merge:
                     ranges = _spans(hit, starts, ends, n_words, offsets)
                 if spans:
                     out["spans"] = pa.array([[{"begin": a, "end": b} for _, _, a, b in x] for x in ranges], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))
+                if carry:
+                    out["row"] = shard.column(2)
                 yield pa.RecordBatch.from_pydict(out)
 
         def run_part(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = batch.column(2)
-                done = 0
-                for ids, texts in _shards(iter([batch]), shard_mb << 20):
-                    raw, offsets = _bytes(texts)
-                    n_words, _, hit, items, starts, ends = hits(raw, offsets, shipped.value)
-                    ranges = _spans(hit, starts, ends, n_words, offsets)
-                    big = pa.list_(pa.int64())
-                    yield pa.RecordBatch.from_pydict({
-                        "row_id": rows.slice(done, len(ids)), "doc_id": ids, "n_words": pa.array(n_words, pa.int64()), "items": pa.array([sorted(x) for x in items], big),
-                        "begins": pa.array([[r[2] for r in x] for x in ranges], big), "ends": pa.array([[r[3] for r in x] for x in ranges], big), "word_begins": pa.array([[r[0] for r in x] for x in ranges], big), "word_ends": pa.array([[r[1] for r in x] for x in ranges], big),
-                    })
-                    done += len(ids)
+            for shard in _shards(batches, shard_mb << 20):
+                raw, offsets = _bytes(shard.column(1))
+                n_words, _, hit, items, starts, ends = hits(raw, offsets, shipped.value)
+                ranges = _spans(hit, starts, ends, n_words, offsets)
+                big = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_pydict({
+                    "row_id": shard.column(2), "doc_id": shard.column(0), "n_words": pa.array(n_words, pa.int64()), "items": pa.array([sorted(x) for x in items], big),
+                    "begins": pa.array([[r[2] for r in x] for x in ranges], big), "ends": pa.array([[r[3] for r in x] for x in ranges], big), "word_begins": pa.array([[r[0] for r in x] for x in ranges], big), "word_ends": pa.array([[r[1] for r in x] for x in ranges], big),
+                })
 
         if not merge:
-            return source.mapInArrow(run, schema)
+            return source.mapInArrow(run, with_row(docs, schema) if carry else schema)
         if not passes:
             source = materialise(source.withColumn("row_id", F.monotonically_increasing_id()), "decontaminate-docs")
-        passes.append(source.mapInArrow(run_part, raw_schema))
+        passes.append(source.select("doc_id", "text", "row_id").mapInArrow(run_part, raw_schema))
     every = passes[0]
     for p in passes[1:]:
         every = every.unionByName(p)
@@ -229,14 +230,15 @@ def decontaminate(
         items = set().union(*(r["items"] for r in rows))
         merged = [_merged(sorted(p for r in rows for p in zip(r[a], r[b], strict=True))) for a, b in (("word_begins", "word_ends"), ("begins", "ends"))]
         n_hit = sum(b - a for a, b in merged[0])
-        out = {"doc_id": rows[0]["doc_id"], "n_words": rows[0]["n_words"], "n_hit": n_hit, "n_items": len(items), "items_sha256": sha_of_items(items), "contaminated": n_hit > 0}
-        kinds = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())]
+        out = {"row_id": rows[0]["row_id"], "doc_id": rows[0]["doc_id"], "n_words": rows[0]["n_words"], "n_hit": n_hit, "n_items": len(items), "items_sha256": sha_of_items(items), "contaminated": n_hit > 0}
+        kinds = [("row_id", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())]
         if spans:
             out["spans"] = [{"begin": a, "end": b} for a, b in merged[1]]
             kinds.append(("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))))
         return pa.Table.from_pylist([out], pa.schema(kinds))
 
-    return every.groupBy("row_id").applyInArrow(join, schema)
+    merged = every.groupBy("row_id").applyInArrow(join, "row_id long, " + schema)
+    return (merged.join(source.select("row_id", "row"), "row_id") if carry else merged).drop("row_id")
 
 
 def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:

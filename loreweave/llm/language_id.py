@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loreweave.llm.common import crc32_id, documents
+from loreweave.llm.common import crc32_id, row_struct, with_row
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 UNKNOWN = "und"
@@ -120,6 +120,7 @@ def language_id(
     landmarks: int = 256,
     ridge: float = 1e-4,
     batch: int = 128,
+    carry: bool = False,
 ) -> DataFrame:
     """Predicts the language of every whole text.
 
@@ -130,9 +131,12 @@ def language_id(
     held_out: whether that remainder is 2; false for a null id. lang_pred is ``und`` with score 0 if the text is null
     or has no letter, or if nothing could be learned. score is the best regression value, from -1..1 to 0..1. Equal
     values go to the language first in order. Rows are independent, so repeated ids don't matter; an empty table gives
-    an empty result; other columns are ignored.
+    an empty result; other columns are ignored. Without a column of languages nothing can be learned.
+
+    carry: adds the column row, a struct of all input columns.
     """
-    source = documents(docs, id_col, text_col).withColumn("lang", F.lit(None).cast("string")) if lang_col not in docs.columns else docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
+    lang = F.col(f"`{lang_col}`").cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), lang.alias("lang"), *([row_struct(docs)] if carry else []))
     held_out = F.coalesce(F.pmod(crc32_id(), F.lit(4)) == 2, F.lit(False))
     model = fit(*sample(source.filter(~held_out & F.col("lang").isNotNull()), per_language, most_bytes), landmarks, ridge)
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # landmarks x _SLOTS bits at most
@@ -152,6 +156,7 @@ def language_id(
                         lang[j], value[j] = model.languages[best], min(1.0, max(0.0, (top + 1) / 2))
                 pred += lang
                 score += value
-            yield pa.RecordBatch.from_pydict({"doc_id": rows.column(0), "held_out": rows.column(1), "lang_pred": pa.array(pred, pa.string()), "score": pa.array(score, pa.float64())})
+            out = {"doc_id": rows.column(0), "held_out": rows.column(1), "lang_pred": pa.array(pred, pa.string()), "score": pa.array(score, pa.float64())}
+            yield pa.RecordBatch.from_pydict(out | ({"row": rows.column(3)} if carry else {}))
 
-    return source.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(run, SCHEMA)
+    return source.select("doc_id", held_out.alias("held_out"), "text", *["row"] * carry).mapInArrow(run, with_row(docs, SCHEMA) if carry else SCHEMA)
