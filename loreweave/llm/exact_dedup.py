@@ -15,7 +15,9 @@ SCHEMA = "doc_id long, keep_id long, group_size long, kept boolean, text_sha256
 #: Bits of the hash that the directory may use at most; the driver holds one number for each of their values.
 MOST_BITS = 20
 #: Representatives that one task keeps in memory for merging copies before anything is shuffled.
-LOCAL_BYTES = 48 << 20
+LOCAL_BYTES = 24 << 20
+#: Rows that are Python objects at once.
+SLICE = 1000
 
 
 class Directory:
@@ -72,7 +74,7 @@ def _merge_local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "rep_id", "hash", "sha", "n", "norm"],
         )
 
-    for batch in batches:
+    for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
         docs, reps, shas = [], [], batch.column(3)
         for row, key, norm in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             order = NULL_ID if key is None else key
@@ -111,7 +113,7 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = [(rep, keep, n) for _, keep, n, reps in chain for rep in reps]
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["rep_id", "keep_id", "group_size"])
 
-    for batch in batches:
+    for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
         for h, rep, least, n, norm in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             if h != at:
                 if chain:
