@@ -191,7 +191,9 @@ def lattice_lm(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text
                 logs.append(answer[owner][1])
             c = np.concatenate(counts).astype(np.float64)
             base = np.log10((c + 0.1) / (tokens + 0.1 * (kinds + 1)))
-            score = np.log10((c + mass * np.exp(np.concatenate(logs).astype(np.float64))) / (tokens + mass))
+            with np.errstate(divide="ignore"):
+                mixed = np.logaddexp(np.log(c), math.log(mass) + np.concatenate(logs).astype(np.float64))
+            score = (mixed - math.log(tokens + mass)) / math.log(10)
             at = np.fromiter((index[w] for x in words for w in (*x, END)), np.int64, sum(map(len, words)) + len(words))
             n = np.array([len(x) + 1 for x in words], np.int64)
             first = np.cumsum(n) - n

@@ -6,8 +6,8 @@
    where they stand to buckets. A caller's ``route`` gives the bucket of an ordinary anchor; segments around hot
    anchors are dealt by content instead.
 3. Buckets judge the windows of their segments (a caller's ``judge``) and answer with ranges of window starts to
-   remove. Windows around hot anchors that look single in their bucket go on, by window hash, to a last comparison
-   across buckets.
+   remove. Windows around hot anchors go on, by window hash, to a last comparison across buckets, unless their own
+   bucket has settled them for good.
 4. Chunks cover the ranges and cut the text.
 
 All four passes move packed arrays; none makes a Spark row per word, byte or window. No key is gathered whole: copies

@@ -103,14 +103,14 @@ def _judge(window: int, buckets: int):
         reps = per[b.seg]
         inner = np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps)
         rows = repeats.removals(np.repeat(b.chunk, reps), np.repeat(b.start, reps) + within[at[np.repeat(first[b.seg], reps) + inner]])
-        open_ = np.flatnonzero(~repeated & b.hot[owner])
+        open_ = np.flatnonzero(b.hot[owner])  # the repeated ones too, as another bucket may have one more
         if len(open_):
             occ = np.empty(len(b.segs), np.int64)
             occ[b.seg] = np.arange(len(b.seg))
             words = [s.split(b" ") for s in b.segs]
             o = occ[owner[open_]]
             data = [b" ".join(words[g][j : j + window]) for g, j in zip(owner[open_].tolist(), within[open_].tolist(), strict=True)]
-            rows += repeats.open_windows(repeats.window_hashes(data), b.doc[o], b.chunk[o], b.start[o] + within[open_], np.ones(len(open_), np.int64), buckets)
+            rows += repeats.open_windows(repeats.window_hashes(data), b.doc[o], b.chunk[o], b.start[o] + within[open_], 1 + repeated[open_].astype(np.int64), buckets)
         return rows
 
     return judge
@@ -153,7 +153,7 @@ def substring_dedup(
     Words lie between runs of white space. A shard holds the segments around its anchors, once for each distinct
     content and weighted by how often they occur (see ``repeats``). It builds an FM-index over them and streams them
     through backward search; matching statistics of a whole window say that it occurs again. Windows around hot
-    anchors, which are spread over shards, are compared across shards if they are single in their own.
+    anchors, which are spread over shards, are compared across shards too.
 
     All occurrences go, the first too. A null or blank text has no words. Rows that share an id count as different
     documents. An empty table gives an empty result; other columns are ignored.
