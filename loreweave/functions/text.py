@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
+#: From here on characters may be of those scripts; texts below need no closer look.
+_MAYBE_CJK = r"[\x{2E80}-\x{10FFFF}]"
 _BLANK = r"(?U)^\s+|\s+$"
 
 
@@ -48,9 +50,11 @@ def chunk_by_sentence(c: Column, size: int = 800) -> Column:
 
 def tokens(c: Column) -> Column:
     """Lower-cased runs of letters and digits; runs of Chinese, Japanese or Korean characters as their bigrams."""
-    runs = F.regexp_extract_all(F.lower(c), F.lit(rf"[{_CJK}]+|[\p{{L}}\p{{N}}&&[^{_CJK}]]+"), F.lit(0))
+    low = F.lower(c)
+    runs = F.regexp_extract_all(low, F.lit(rf"[{_CJK}]+|[\p{{L}}\p{{N}}&&[^{_CJK}]]+"), F.lit(0))
     pairs = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))
-    return F.flatten(F.transform(runs, lambda t: F.when(t.rlike(rf"^[{_CJK}]{{2,}}$"), pairs(t)).otherwise(F.array(t))))
+    mixed = F.flatten(F.transform(runs, lambda t: F.when(t.rlike(rf"^[{_CJK}]{{2,}}$"), pairs(t)).otherwise(F.array(t))))
+    return F.when(c.rlike(_MAYBE_CJK), mixed).otherwise(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
 
 
 def segment(c: Column) -> Column:

@@ -80,7 +80,7 @@ def paths(edges: DataFrame, start: DataFrame, *, direction: str = "out", edge_ty
     further; the search stops with the hop that completes ``limit`` paths, so the shortest are found first.
     """
     _depth(max_depth)
-    step = arrows(edges, direction, edge_types).groupBy("src_type", "src_id", "dst_type", "dst_id").agg(F.min(_key("edge_type", "edge_id")).alias("edge"))
+    step = arrows(edges, direction, edge_types).withColumn("edge", _key("edge_type", "edge_id"))
     here = start.select(F.array(_key("type", "id")).alias("nodes"), F.array().cast("array<string>").alias("edges"), F.lit(0).alias("depth"), F.col("type").alias("end_type"), F.col("id").alias("end_id"))
     goal = to.select(F.col("type").alias("end_type"), F.col("id").alias("end_id")) if to is not None else None
     done = here.limit(0)
@@ -92,7 +92,8 @@ def paths(edges: DataFrame, start: DataFrame, *, direction: str = "out", edge_ty
             break
         on = (F.col("end_type") == F.col("src_type")) & (F.col("end_id") == F.col("src_id"))
         fresh = ~F.array_contains("nodes", _key("dst_type", "dst_id"))
-        moved = here.join(step, on).filter(fresh)
+        # parallel edges meet after the join, where only the frontier's are left
+        moved = here.join(step, on).filter(fresh).groupBy("nodes", "edges", "dst_type", "dst_id").agg(F.min("edge").alias("edge"))
         moved = moved.select(F.array_append("nodes", _key("dst_type", "dst_id")).alias("nodes"), F.array_append("edges", F.col("edge")).alias("edges"), F.lit(depth).alias("depth"), F.col("dst_type").alias("end_type"), F.col("dst_id").alias("end_id"))
         here = cut(moved)
         if here.isEmpty():

@@ -29,7 +29,8 @@ def bm25_scores(rows: DataFrame, terms: Sequence[str], text: str, keep: Column |
     statistics: document frequencies, number and mean length.
     """
     terms = list(dict.fromkeys(terms))
-    counted = rows.withColumn("__t", tokens(F.col(text))).withColumn("__dl", F.size("__t"))
+    # a generator of one row keeps the optimizer from putting the token expression in place of each of its uses
+    counted = rows.select("*", F.explode(F.array(tokens(F.col(text)))).alias("__t")).withColumn("__dl", F.size("__t"))
     is_term = lambda t: lambda x: x == F.lit(t)
     tf = [F.size(F.filter("__t", is_term(t))).alias(f"__tf{i}") for i, t in enumerate(terms)]
     counted = counted.select("*", *tf).drop("__t")
