@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 #: A null id sorts behind all others.
 NULL_ID = (1 << 63) - 1
 
-CHUNK_SCHEMA = "chunk_id long, doc_ids array<long>, texts array<string>"
+CHUNK_SCHEMA = "chunk_id long, doc_ids array<long>, sizes array<int>, data binary"
 
 
 def scratch(spark: SparkSession) -> str:
@@ -96,20 +96,21 @@ def binary(arrays: list[np.ndarray]) -> pa.Array:
 def chunked(df: DataFrame, chunk_bytes: int, label: str) -> DataFrame:
     """doc_id and text packed to rows of about chunk_bytes, written to the shared folder.
 
-    A document longer than that has a chunk of its own. Null texts count as empty. A chunk is the unit that
+    The bytes of a chunk's texts travel as one compressed string. A longer document has a chunk of its own. Null texts count as empty. A chunk is the unit that
     later steps exchange bit masks and ranges with, so that no step needs a Spark row per word or byte.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, n = TaskContext.get().partitionId() << 32, 0
         ids: list = []
-        texts: list = []
+        texts: list[bytes] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal n, held
+            data = pa.compress(b"".join(texts), codec="zstd", asbytes=True)
             out = pa.RecordBatch.from_pydict(
-                {"chunk_id": pa.array([base + n], pa.int64()), "doc_ids": pa.array([ids], pa.list_(pa.int64())), "texts": pa.array([texts], pa.list_(pa.string()))}
+                {"chunk_id": pa.array([base + n], pa.int64()), "doc_ids": pa.array([ids], pa.list_(pa.int64())), "sizes": pa.array([list(map(len, texts))], pa.list_(pa.int32())), "data": pa.array([data], pa.binary())}
             )
             n, held = n + 1, 0
             ids.clear()
@@ -118,7 +119,7 @@ def chunked(df: DataFrame, chunk_bytes: int, label: str) -> DataFrame:
 
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                t = t or ""
+                t = (t or "").encode()
                 if ids and held + len(t) > chunk_bytes:
                     yield flush()
                 ids.append(i)
@@ -130,20 +131,16 @@ def chunked(df: DataFrame, chunk_bytes: int, label: str) -> DataFrame:
     return materialise(df.mapInArrow(run, CHUNK_SCHEMA), label, 8)
 
 
-def unpack_chunk(ids: pa.ListScalar, texts: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpack_chunk(ids: pa.ListScalar, sizes: pa.ListScalar, data: pa.BinaryScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of one chunk: the order keys of its ids (null behind all), the bytes of all its texts, and len+1 offsets."""
-    strings = texts.values
-    strings = strings.cast(pa.large_string()) if not pa.types.is_large_string(strings.type) else strings
-    _, offsets, data = strings.buffers()
-    at = np.frombuffer(offsets, np.int64)[strings.offset : strings.offset + len(strings) + 1]
-    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and len(at) else np.empty(0, np.uint8)
-    return ids.values.fill_null(NULL_ID).to_numpy(zero_copy_only=False), raw, at - at[0]
+    offsets = np.concatenate(([0], np.cumsum(sizes.values.to_numpy(zero_copy_only=False), dtype=np.int64)))
+    raw = np.frombuffer(pa.decompress(data.as_buffer(), int(offsets[-1]), codec="zstd"), np.uint8)
+    return ids.values.fill_null(NULL_ID).to_numpy(zero_copy_only=False), raw, offsets
 
 
 def total_bytes(chunks: DataFrame) -> int:
     """UTF-8 bytes of all texts in a chunk table."""
-    size = F.aggregate("texts", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x).cast("long"))
-    return chunks.agg(F.sum(size)).first()[0] or 0
+    return chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
 
 
 def ids_out(ids: pa.Array) -> pa.Array:

@@ -106,8 +106,8 @@ def _send(chunks: DataFrame, owners: int) -> DataFrame:
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         to, ids, blobs, counts = [], [], [], []
-        for chunk, doc_ids, texts in zip(*batch.columns, strict=True):
-            keys, raw, offsets = unpack_chunk(doc_ids, texts)
+        for chunk, *packed in zip(*batch.columns, strict=True):
+            keys, raw, offsets = unpack_chunk(*packed)
             seen: Counter = Counter()
             other: set[bytes] = {END}
             for key, words in zip(keys.tolist(), _words(raw, offsets), strict=True):
@@ -179,8 +179,8 @@ def lattice_lm(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         answer = {o: (np.frombuffer(c, np.int64), np.frombuffer(p, np.float32)) for o, c, p in zip(right["owner"].to_pylist(), right["counts"].to_pylist(), right["log_p"].to_pylist(), strict=True)}
-        for doc_ids, texts in zip(left["doc_ids"], left["texts"], strict=True):
-            keys, raw, offsets = unpack_chunk(doc_ids, texts)
+        for doc_ids, *packed in zip(left["doc_ids"], left["sizes"], left["data"], strict=True):
+            keys, raw, offsets = unpack_chunk(doc_ids, *packed)
             words = _words(raw, offsets)
             every = {w for x in words for w in x} | {END}
             index: dict[bytes, int] = {}

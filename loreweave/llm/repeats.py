@@ -82,8 +82,8 @@ def split_bytes(raw: np.ndarray, offsets: np.ndarray) -> Text:
     return Text(raw, at[:-1], at[1:], offsets)
 
 
-def cut(units: Units, ids: pa.ListScalar, texts: pa.ListScalar) -> tuple[np.ndarray, Text]:
-    keys, raw, offsets = unpack_chunk(ids, texts)
+def cut(units: Units, ids: pa.ListScalar, sizes: pa.ListScalar, data: pa.BinaryScalar) -> tuple[np.ndarray, Text]:
+    keys, raw, offsets = unpack_chunk(ids, sizes, data)
     return keys, (split_words if units.words else split_bytes)(raw, offsets)
 
 
@@ -106,8 +106,8 @@ def _runs(key: np.ndarray) -> dict[int, np.ndarray]:
 def send_hashes(chunks: DataFrame, units: Units, owners: int) -> DataFrame:
     def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         rows: list[tuple] = []
-        for chunk, ids, texts in zip(*batch.columns, strict=True):
-            _, text = cut(units, ids, texts)
+        for chunk, *packed in zip(*batch.columns, strict=True):
+            _, text = cut(units, *packed)
             owner, low = _owner(_anchors(units, text)[3], owners)
             rows += [(o, chunk.as_py(), low[mine]) for o, mine in _runs(owner).items()]
         if not rows:
@@ -154,8 +154,8 @@ def send_segments(chunks: DataFrame, masks: DataFrame, units: Units, owners: int
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
         rows: list[dict] = []
-        for chunk, ids, texts in zip(*(left[c] for c in ("chunk_id", "doc_ids", "texts")), strict=True):
-            keys, text = cut(units, ids, texts)
+        for chunk, *packed in zip(*(left[c] for c in ("chunk_id", "doc_ids", "sizes", "data")), strict=True):
+            keys, text = cut(units, *packed)
             a, s1, s2, h = _anchors(units, text)
             owner, _ = _owner(h, owners)
             of_owner = _runs(owner)
@@ -327,8 +327,8 @@ def cut_out(chunks: DataFrame, found: DataFrame, units: Units, result: Callable[
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        for ids, texts in zip(left["doc_ids"], left["texts"], strict=True):
-            _, text = cut(units, ids, texts)
+        for ids, *packed in zip(left["doc_ids"], left["sizes"], left["data"], strict=True):
+            _, text = cut(units, ids, *packed)
             out.append(result(ids.values, text, cover(len(text.starts), units.window, right["starts"].to_pylist())))
         return pa.concat_tables(out)
 

@@ -70,8 +70,8 @@ def _splitters(chunks: DataFrame, units: repeats.Units, buckets: int, size: int,
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         got: list[bytes] = []
-        for chunk, ids, texts in zip(*batch.columns, strict=True):
-            _, raw, offsets = unpack_chunk(ids, texts)
+        for chunk, *packed in zip(*batch.columns, strict=True):
+            _, raw, _ = unpack_chunk(*packed)
             rng = np.random.default_rng(chunk.as_py() & 0x7FFFFFFF)
             span = 1 << 16
             lo = int(rng.integers(0, max(1, len(raw) - span)))
