@@ -121,6 +121,7 @@ def _judge(window: int, buckets: int):
         chunk.append(np.repeat(b.chunk[rest], reps))
         start.append(np.repeat(b.start[rest], reps) + np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps))
         rows = repeats.removals(np.concatenate(chunk), np.concatenate(start))
+        del order, same, group, key, least
         open_ = np.flatnonzero(leads & b.hot[owner])
         if len(open_):
             at = (base[owner] + within)[open_]
@@ -156,7 +157,7 @@ def suffix_dedup(
     length: int = 100,
     gram: int = 32,
     chunk_mb: int = 4,
-    bucket_mb: int = 16,
+    bucket_mb: int = 8,
     hot_above: int = 20_000,
     samples: int = 50_000,
     texts: bool = False,
