@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,18 +51,28 @@ def chunk_by_sentence(c: Column, size: int = 800) -> Column:
     return F.when(c.isNull() | (c == ""), F.array().cast("array<string>")).when(F.length(c) <= size, F.array(c)).otherwise(packed)
 
 
-def tokens(c: Column) -> Column:
-    """Lower-cased runs of letters and digits; runs of Chinese, Japanese or Korean characters as their bigrams."""
+def tokens(c: Column, words: Sequence[str] = ()) -> Column:
+    """Lower-cased runs of letters and digits; runs of Chinese, Japanese or Korean characters as their bigrams.
+
+    ``words``: a dictionary of terms that stay whole, the longest first: inside runs of those scripts, else as words.
+    """
     low = F.lower(c)
+    if own := sorted({w.lower() for w in words if w.strip()}, key=lambda w: (-len(w), w)):
+        edge = rf"[\p{{L}}\p{{N}}&&[^{_CJK}]]"
+        plain = [re.sub(r"([^\w\s])", r"\\\1", w) for w in own]
+        term = "|".join(w if any(ord(x) >= 0x2E80 for x in w) else f"(?<!{edge}){w}(?!{edge})" for w in plain)
+        parts = F.regexp_extract_all(low, F.lit(rf"(?:{term})|(?:(?!{term})[{_CJK}])+|(?:(?!{term})[\p{{L}}\p{{N}}&&[^{_CJK}]])+"), F.lit(0))
+        two = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))
+        return F.flatten(F.transform(parts, lambda t: F.when(t.rlike(rf"^[{_CJK}]{{2,}}$") & ~t.isin(own), two(t)).otherwise(F.array(t))))
     runs = F.regexp_extract_all(low, F.lit(rf"[{_CJK}]+|[\p{{L}}\p{{N}}&&[^{_CJK}]]+"), F.lit(0))
     pairs = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))
     mixed = F.flatten(F.transform(runs, lambda t: F.when(t.rlike(rf"^[{_CJK}]{{2,}}$"), pairs(t)).otherwise(F.array(t))))
     return F.when(c.rlike(_MAYBE_CJK), mixed).otherwise(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
 
 
-def segment(c: Column) -> Column:
+def segment(c: Column, words: Sequence[str] = ()) -> Column:
     """Tokens joined by spaces."""
-    return F.array_join(tokens(c), " ")
+    return F.array_join(tokens(c, words), " ")
 
 
 def content_hash(c: Column) -> Column:

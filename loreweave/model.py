@@ -20,6 +20,8 @@ METRICS = ("cosine", "l2", "inner")
 LOG_LEVELS = ("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL")
 INDEX_TABLE = "_sys_search_index"
 CACHE_TABLE = "_sys_search_cache"
+POSTINGS_TABLE = "_sys_search_postings"
+STATS_TABLE = "_sys_search_stats"
 
 _IDENTIFIER = re.compile(r"[a-zA-Z_][a-zA-Z0-9_]*")
 _BY_TYPE = {"string": T.StringType(), "integer": T.LongType(), "number": T.DoubleType(), "boolean": T.BooleanType(), "array": T.StringType(), "object": T.StringType(), "null": T.StringType()}
@@ -34,6 +36,8 @@ def _struct(fields: str) -> T.StructType:
 
 
 INDEX_SCHEMA = _struct("id long, source_table string, source_id long, source_field string, chunk_seq int, content string, fts_content string, vector vector, content_hash string, created_at timestamp")
+POSTINGS_SCHEMA = _struct("source_table string, id long, dl long, term string, tf long")
+STATS_SCHEMA = _struct("source_table string, documents long, chunks long, tokens long")
 CACHE_SCHEMA = _struct("content_hash string, fts_content string, vector vector, last_used timestamp, created_at timestamp")
 
 

@@ -24,12 +24,12 @@ def entries(nodes: DataFrame, table: str, fields: Sequence[str], *, size: int =
     return chunks.withColumn("content_hash", content_hash(F.col("content")))
 
 
-def with_cache(rows: DataFrame, cache: DataFrame, *, compute_tokens: bool = True) -> DataFrame:
+def with_cache(rows: DataFrame, cache: DataFrame, *, compute_tokens: bool = True, words: Sequence[str] = ()) -> DataFrame:
     """Tokens and vectors of entries from the cache; missing tokens are computed, missing vectors stay null."""
     known = cache.select("content_hash", F.col("fts_content").alias("c_fts"), "vector")
     out = rows.join(known, "content_hash", "left")
     own = F.nullif("c_fts", F.lit(""))
-    return out.withColumn("fts_content", F.coalesce(own, segment(F.col("content"))) if compute_tokens else own).drop("c_fts")
+    return out.withColumn("fts_content", F.coalesce(own, segment(F.col("content"), words)) if compute_tokens else own).drop("c_fts")
 
 
 def merge_cache(cache: DataFrame, new: DataFrame, now: Column) -> DataFrame:
@@ -68,3 +68,17 @@ def postings(index: DataFrame, text: str = "content") -> DataFrame:
     """id, term, tf and dl; written once per snapshot, it serves any query."""
     docs = index.select("id", tokens(F.col(text)).alias("t")).withColumn("dl", F.size("t"))
     return docs.select("id", "dl", F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def stored_postings(index: DataFrame) -> DataFrame:
+    """Postings of the stored tokens, in order of term: a query reads the row groups that its terms are in."""
+    split = F.filter(F.split("fts_content", " "), lambda t: t != "")
+    docs = index.filter("fts_content is not null").select("source_table", "id", split.alias("t")).withColumn("dl", F.size("t").cast("long"))
+    posts = docs.select("source_table", "id", "dl", F.explode("t").alias("term")).groupBy("source_table", "id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return posts.select("source_table", "id", "dl", "term", "tf").repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+
+
+def stats(index: DataFrame) -> DataFrame:
+    """For each source table: documents, chunks with tokens, and their tokens."""
+    n = F.size(F.filter(F.split("fts_content", " "), lambda t: t != "")).cast("long")
+    return index.groupBy("source_table").agg(F.count_distinct("source_id").alias("documents"), F.count("fts_content").alias("chunks"), F.coalesce(F.sum(F.when(F.col("fts_content").isNotNull(), n)), F.lit(0).cast("long")).alias("tokens"))

@@ -37,7 +37,13 @@ def upsert(current: DataFrame, batch: DataFrame, keys: Sequence[str], *, now: Co
         *[F.coalesce(F.col(k), F.col(f"b_{k}")).alias(k) for k in keys],
         *[(F.when(changed & has(c), F.col(f"b_{c}")).otherwise(F.col(c)) if c in given else F.col(c)).alias(c) for c in values],
     )
-    return assign_ids(merged, keys, next_id).select(*current.columns)
+    top = next_id if next_id is not None else highest(current)
+    return assign_ids(merged, keys, top).select(*current.columns)
+
+
+def highest(rows: DataFrame, column: str = "__id") -> Column:
+    """The highest id, 0 if there is none."""
+    return F.lit(rows.agg(F.coalesce(F.max(column), F.lit(0).cast("long"))).first()[0])
 
 
 def assign_ids(rows: DataFrame, order: Sequence[str], top: Column | None = None) -> DataFrame:
@@ -46,7 +52,7 @@ def assign_ids(rows: DataFrame, order: Sequence[str], top: Column | None = None)
     New rows are dealt by range and numbered within their part, from where the parts before end; the driver sees one
     number for each part.
     """
-    top = top if top is not None else F.lit(rows.agg(F.coalesce(F.max("__id"), F.lit(0).cast("long"))).first()[0])
+    top = top if top is not None else highest(rows)
     new = cut(rows.filter("__id is null").repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     before, total = [], 0
     for part, n in sorted(new.groupBy("__part").count().collect()):

@@ -46,13 +46,17 @@ def bm25_scores(rows: DataFrame, terms: Sequence[str], text: str, keep: Column |
     return hit.withColumn("score", F.round(score, 6)).select(*rows.columns, "score")
 
 
-def bm25_postings(posts: DataFrame, terms: Sequence[str], n: int, average: float) -> DataFrame:
-    """id and score from a table of postings (see index.postings); only the terms' postings are read."""
+def bm25_postings(posts: DataFrame, terms: Sequence[str], n: int, average: float, keep: Column | None = None) -> DataFrame:
+    """id and score from a table of postings (see index.postings); only the terms' postings are read.
+
+    Statistics are over all of them, ``keep`` filters after.
+    """
     own = posts.filter(F.col("term").isin(list(dict.fromkeys(terms))))
     df = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     tf = F.col("tf").cast("double")
     part = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(average)))
-    return own.join(F.broadcast(df), "term").groupBy("id").agg(F.round(F.sum(part), 6).alias("score"))  # a row for each query term
+    hit = own.filter(keep) if keep is not None else own
+    return hit.join(F.broadcast(df), "term").groupBy("id").agg(F.round(F.sum(part), 6).alias("score"))  # a row for each query term
 
 
 def top(scored: DataFrame, limit: int, key: str = "id") -> DataFrame:

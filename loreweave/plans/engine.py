@@ -8,6 +8,7 @@ import math
 import threading
 from collections import defaultdict
 from datetime import UTC, date, datetime
+from functools import reduce
 from pathlib import Path
 from typing import Any
 
@@ -15,12 +16,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loreweave.errors import NodeNotFoundError, ValidationError
+from loreweave.errors import KnowledgeBaseError, NodeNotFoundError, ValidationError
 from loreweave.functions.text import content_hash, segment, tokens
 from loreweave.functions.vector import literal
-from loreweave.model import CACHE_SCHEMA, CACHE_TABLE, INDEX_SCHEMA, INDEX_TABLE, Config, table_name
+from loreweave.model import CACHE_SCHEMA, CACHE_TABLE, INDEX_SCHEMA, INDEX_TABLE, POSTINGS_SCHEMA, POSTINGS_TABLE, STATS_SCHEMA, STATS_TABLE, Config, NodeType, table_name
 from loreweave.operators import graph, index, merge, search
-from loreweave.sources.store import Snapshots, dump, read_bundle, read_jsonl
+from loreweave.shared import cut
+from loreweave.sources.store import Snapshots, Version, dump, read_bundle, read_jsonl
 from loreweave.validate import bundle_schema, validate_bundle
 
 #: Of each node type, identity fields of an edge end travel under these prefixes.
@@ -57,8 +59,22 @@ def _value(value: Any, kind: T.DataType) -> Any:
     return float(value) if isinstance(kind, T.DoubleType) else value
 
 
+def _now() -> Column:
+    return F.lit(datetime.now(UTC).replace(tzinfo=None)).cast("timestamp_ntz")
+
+
+def dictionary(path: Path) -> list[str]:
+    """Terms of a user dictionary, the first field of each line; none if there is no such file."""
+    lines = path.read_text(encoding="utf-8").splitlines() if path.exists() else []
+    return [f[0] for f in map(str.split, lines) if f]
+
+
 class Engine:
-    """Opens the knowledge base in a folder; config.yaml declares it. Readers use immutable snapshots."""
+    """Opens the knowledge base in a folder; config.yaml declares it. Readers use immutable snapshots.
+
+    The index is kept in a slice for each node type, with postings and statistics beside it; a change of nodes indexes
+    those nodes only and rewrites the slices of their types. A session that was passed in is not stopped on close.
+    """
 
     def __init__(self, spark: SparkSession, path: str | Path, config: Config | None = None, embedder: index.Embedder | None = None) -> None:
         self.spark, self.path = spark, Path(path)
@@ -66,8 +82,20 @@ class Engine:
         self.ontology = self.config.ontology
         self.snapshots = Snapshots(self.config.data_dir or self.path / "data")
         self.embedder = embedder or hashing_embedder(self.config.embedding_dim)
+        self.words = dictionary(self.path / "user_dict.txt")
         self._writer = threading.Lock()
 
+    def __enter__(self) -> Engine:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Drops the views that SQL has registered; files and session stay."""
+        for name in self.tables():
+            self.spark.catalog.dropTempView(name)
+
     # tables
 
     def nodes(self, node_type: str) -> DataFrame:
@@ -78,8 +106,18 @@ class Engine:
         e = self.ontology.edges[name]
         return self.snapshots.read(self.spark, e.table, e.struct)
 
-    def index(self) -> DataFrame:
-        return self.snapshots.read(self.spark, INDEX_TABLE, INDEX_SCHEMA)
+    def index(self, node_type: str | None = None) -> DataFrame:
+        """The index, or the slice of a node type."""
+        return self._slices(INDEX_TABLE, INDEX_SCHEMA, node_type)
+
+    def postings(self) -> DataFrame:
+        return self._slices(POSTINGS_TABLE, POSTINGS_SCHEMA)
+
+    def index_stats(self) -> DataFrame:
+        return self._slices(STATS_TABLE, STATS_SCHEMA)
+
+    def _slices(self, table: str, schema: T.StructType, node_type: str | None = None) -> DataFrame:
+        return self.snapshots.read(self.spark, f"{table}.{self.ontology.node(node_type).table if node_type else '*'}", schema)
 
     def cache(self) -> DataFrame:
         return self.snapshots.read(self.spark, CACHE_TABLE, CACHE_SCHEMA)
@@ -92,10 +130,28 @@ class Engine:
             out = out.unionByName(p)
         return out
 
+    def tables(self) -> dict[str, DataFrame]:
+        """All tables by name."""
+        own = {n.table: self.nodes(n.name) for n in self.ontology.nodes.values()} | {e.table: self.edges(e.name) for e in self.ontology.edges.values()}
+        return own | {INDEX_TABLE: self.index(), CACHE_TABLE: self.cache()}
+
+    def _table(self, name: str) -> DataFrame:
+        if (df := self.tables().get(table_name(name))) is None:
+            raise ValueError(f"Unknown table: {name}")
+        return df
+
+    def table_exists(self, name: str) -> bool:
+        return table_name(name) in self.tables()
+
+    def table_columns(self, name: str) -> list[str]:
+        return self._table(name).columns
+
+    def table_count(self, name: str) -> int:
+        return self._table(name).count()
+
     def register_views(self) -> list[str]:
         """Temp views of all tables, for SQL."""
-        tables = {n.table: self.nodes(n.name) for n in self.ontology.nodes.values()} | {e.table: self.edges(e.name) for e in self.ontology.edges.values()}
-        tables |= {INDEX_TABLE: self.index(), CACHE_TABLE: self.cache()}
+        tables = self.tables()
         for name, df in tables.items():
             df.createOrReplaceTempView(name)
         return list(tables)
@@ -112,57 +168,63 @@ class Engine:
             return self._import(items)
 
     def _import(self, items: list[dict[str, Any]]) -> dict[str, Any]:
-        now = F.lit(datetime.now(UTC).replace(tzinfo=None)).cast("timestamp_ntz")
+        now = _now()
         groups: dict[tuple[str, str], list[dict[str, Any]]] = defaultdict(list)
         for item in items:
             groups[item["type"], "delete" if item.get("action") == "delete" else "upsert"].append(item)
         nodes = {n: self.nodes(n) for n in self.ontology.nodes}
         edges = {e: self.edges(e) for e in self.ontology.edges}
         counts: dict[str, Any] = {"nodes": {"upserted": {}, "deleted": {}}, "edges": {"upserted": {}, "deleted": {}}}
-        changed: set[str] = set()
-        for name, n in self.ontology.nodes.items():
-            if batch := groups.get((name, "upsert")):
-                rows = merge.last_wins(self._batch(batch, n.columns), list(n.identity), ["__pos"]).drop("__pos")
-                nodes[name] = merge.upsert(nodes[name], rows, list(n.identity), now=now, supplied="__supplied")
-                counts["nodes"]["upserted"][name] = len(batch)
-                changed.add(name)
-            if batch := groups.get((name, "delete")):
-                keys = self._batch(batch, {k: n.columns[k] for k in n.identity})
-                gone = nodes[name].join(keys.select(*n.identity).distinct(), list(n.identity), "left_semi")
-                for e in self.ontology.edges.values():
-                    if name in (e.source, e.target):
-                        edges[e.name] = merge.cascade(edges[e.name], gone, source=e.source == name, target=e.target == name)
-                        changed.add(e.name)
-                nodes[name] = merge.delete(nodes[name], keys, list(n.identity))
-                counts["nodes"]["deleted"][name] = len(batch)
-                changed.add(name)
-        missing: list[str] = []
-        for name, e in self.ontology.edges.items():
-            for action in ("upsert", "delete"):
-                if not (batch := groups.get((name, action))):
+        cascaded: set[str] = set()
+        touched: dict[str, DataFrame] = {}
+        indexed, vectors = 0, {"success": 0, "failed": 0}
+        with self.snapshots.version() as version:
+            for name, n in self.ontology.nodes.items():
+                upserts, deletes = groups.get((name, "upsert")), groups.get((name, "delete"))
+                if not (upserts or deletes):
                     continue
-                rows = self._edge_batch(batch, e, nodes)
-                if action == "upsert":
-                    lost = rows.filter("__from_id is null or __to_id is null").select("__pos").orderBy("__pos").limit(20).collect()
-                    missing += [f"{name}[{r[0]}]: {batch[r[0]]['source']} -> {batch[r[0]]['target']}" for r in lost]
-                    rows = merge.last_wins(rows.filter("__from_id is not null and __to_id is not null"), ["__from_id", "__to_id"], ["__pos"]).drop("__pos")
-                    edges[name] = merge.upsert(edges[name], rows, ["__from_id", "__to_id"], now=now, supplied="__supplied")
-                else:
-                    edges[name] = merge.delete(edges[name], rows.select("__from_id", "__to_id"), ["__from_id", "__to_id"])
-                counts["edges"]["upserted" if action == "upsert" else "deleted"][name] = len(batch)
-                changed.add(name)
-        if missing:
-            raise ValidationError(f"Edges whose ends don't exist: {'; '.join(missing)}")
-        tables = {(self.ontology.nodes[c].table if c in self.ontology.nodes else self.ontology.edges[c].table): (nodes.get(c) if c in nodes else edges[c]) for c in changed}
-        indexed = vectors = None
-        if changed & set(self.ontology.nodes) or not self.snapshots.current:
-            rows, cache, vectors = self._indexed(nodes, self.cache(), now)
-            tables |= {INDEX_TABLE: rows, CACHE_TABLE: cache}
-        at = self.snapshots.publish(tables) if tables else self.snapshots.current
-        if INDEX_TABLE in tables:
-            indexed = self.index().count()
-            vectors = {"success": self.cache().filter("vector is not null").count(), "failed": self.index().filter("vector is null").count()}
-        return {"status": "success", **counts, "indexed": indexed or 0, "vectors": vectors or {"success": 0, "failed": 0}, "dumped": bool(tables), "version": at.name if at else None}
+                before = nodes[name]
+                if upserts:
+                    rows = merge.last_wins(self._batch(upserts, n.columns), list(n.identity), ["__pos"]).drop("__pos")
+                    nodes[name] = merge.upsert(before, rows, list(n.identity), now=now, supplied="__supplied")
+                    counts["nodes"]["upserted"][name] = len(upserts)
+                ids = [nodes[name].filter(F.col("__updated_at") == now).select("__id")]
+                if deletes:
+                    keys = self._batch(deletes, {k: n.columns[k] for k in n.identity})
+                    gone = cut(nodes[name].join(keys.select(*n.identity).distinct(), list(n.identity), "left_semi").select("__id"))
+                    for e in self.ontology.edges.values():
+                        if name in (e.source, e.target):
+                            edges[e.name] = merge.cascade(edges[e.name], gone, source=e.source == name, target=e.target == name)
+                            cascaded.add(e.name)
+                    nodes[name] = merge.delete(nodes[name], keys, list(n.identity))
+                    counts["nodes"]["deleted"][name] = len(deletes)
+                    ids.append(gone)
+                nodes[name] = version.write(n.table, nodes[name])
+                ids[0] = nodes[name].filter(F.col("__updated_at") == now).select("__id")
+                touched[name] = reduce(DataFrame.unionByName, ids).distinct()
+            missing: list[str] = []
+            for name, e in self.ontology.edges.items():
+                for action in ("upsert", "delete"):
+                    if not (batch := groups.get((name, action))):
+                        continue
+                    rows = self._edge_batch(batch, e, nodes)
+                    if action == "upsert":
+                        lost = rows.filter("__from_id is null or __to_id is null").select("__pos").orderBy("__pos").limit(20).collect()
+                        missing += [f"{name}[{r[0]}]: {batch[r[0]]['source']} -> {batch[r[0]]['target']}" for r in lost]
+                        rows = merge.last_wins(rows.filter("__from_id is not null and __to_id is not null"), ["__from_id", "__to_id"], ["__pos"]).drop("__pos")
+                        edges[name] = merge.upsert(edges[name], rows, ["__from_id", "__to_id"], now=now, supplied="__supplied")
+                    else:
+                        edges[name] = merge.delete(edges[name], rows.select("__from_id", "__to_id"), ["__from_id", "__to_id"])
+                    counts["edges"]["upserted" if action == "upsert" else "deleted"][name] = len(batch)
+                    cascaded.add(name)
+            if missing:
+                raise ValidationError(f"Edges whose ends don't exist: {'; '.join(missing)}")
+            for name in cascaded:
+                version.write(self.ontology.edges[name].table, edges[name])
+            if touched:
+                indexed, vectors = self._index(version, {n: (nodes[n], ids) for n, ids in touched.items()}, now)
+        at = self.snapshots.current
+        return {"status": "success", **counts, "indexed": indexed, "vectors": vectors, "dumped": bool(version.written), "version": at.name if at else None}
 
     def _batch(self, items: list[dict[str, Any]], columns: dict[str, T.DataType]) -> DataFrame:
         """Items as rows: columns, __supplied (the names that an item has) and __pos."""
@@ -179,67 +241,118 @@ class Engine:
             rows = merge.resolve(rows, nodes[ends[side].name], {k: f"__{side}_{k}" for k in ends[side].identity}, into)
         return rows.drop(*named)
 
-    def _indexed(self, nodes: dict[str, DataFrame], cache: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, None]:
-        """Index and cache of these nodes; only contents without a cached vector are embedded."""
-        parts = [index.entries(nodes[n.name], n.table, n.searched, size=self.config.chunk_size, overlap=self.config.chunk_overlap) for n in self.ontology.nodes.values() if n.searched]
-        if not parts:
-            return self.spark.createDataFrame([], INDEX_SCHEMA), cache, None
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.unionByName(p)
-        rows = index.with_cache(rows, cache)
-        new = index.embed_missing(rows, self.embedder).select("content_hash", F.col("vector").alias("new_vector"))
-        rows = rows.join(new, "content_hash", "left").withColumn("vector", F.coalesce("vector", "new_vector")).drop("new_vector")
-        cache = index.merge_cache(cache, rows.select("content_hash", "fts_content", "vector"), now)
-        rows = merge.assign_ids(rows.withColumn("__id", F.lit(None).cast("long")), ["source_table", "source_id", "source_field", "chunk_seq"], F.lit(0).cast("long"))
-        return rows.withColumn("created_at", now).withColumnRenamed("__id", "id").select(*INDEX_SCHEMA.names), cache, None
-
-    def rebuild_index(self) -> int:
-        now = F.lit(datetime.now(UTC).replace(tzinfo=None)).cast("timestamp_ntz")
+    def _index(self, version: Version, changed: dict[str, tuple[DataFrame, DataFrame | None]], now: Column, *, from_cache: bool = False) -> tuple[int, dict[str, int]]:
+        """Writes index slices of node types: name by nodes and the ids that have changed (None: all); and the cache.
+
+        Entries of other nodes stay as they are. Only contents without a cached vector are embedded; with
+        ``from_cache``, what the cache lacks stays null. Returns the numbers of new entries and of their vectors.
+        """
+        types = [self.ontology.node(name) for name in changed if self.ontology.node(name).searched]
+        if not types:
+            return 0, {"success": 0, "failed": 0}
+
+        def own(n: NodeType) -> DataFrame:
+            nodes, ids = changed[n.name]
+            return index.entries(nodes if ids is None else nodes.join(ids, "__id", "left_semi"), n.table, n.searched, size=self.config.chunk_size, overlap=self.config.chunk_overlap)
+
+        cache = self.cache()
+        rows = cut(index.with_cache(reduce(DataFrame.unionByName, map(own, types)), cache, compute_tokens=not from_cache, words=self.words))
+        if not from_cache:
+            new = cut(index.embed_missing(rows, self.embedder)).select("content_hash", F.col("vector").alias("new_vector"))
+            rows = rows.join(new, "content_hash", "left").withColumn("vector", F.coalesce("vector", "new_vector")).drop("new_vector")
+        rows = merge.assign_ids(rows.withColumn("__id", F.lit(None).cast("long")), ["source_table", "source_id", "source_field", "chunk_seq"], merge.highest(self.index(), "id"))
+        rows = cut(rows.withColumn("created_at", now).withColumnRenamed("__id", "id").select(*INDEX_SCHEMA.names))
+        for n in types:
+            ids = changed[n.name][1]
+            kept = self.index(n.name)
+            kept = kept.limit(0) if ids is None else kept.join(ids.withColumnRenamed("__id", "source_id"), "source_id", "left_anti").select(*INDEX_SCHEMA.names)
+            whole = version.write(f"{INDEX_TABLE}.{n.table}", kept.unionByName(rows.filter(F.col("source_table") == n.table)))
+            version.write(f"{POSTINGS_TABLE}.{n.table}", index.stored_postings(whole))
+            version.write(f"{STATS_TABLE}.{n.table}", index.stats(whole))
+        if not from_cache:
+            version.write(CACHE_TABLE, index.merge_cache(cache, rows.select("content_hash", "fts_content", "vector"), now))
+        done = rows.agg(F.count(F.lit(1)), F.count("vector")).first()
+        return done[0], {"success": done[1], "failed": done[0] - done[1]}
+
+    def _build(self, node_type: str | None, from_cache: bool) -> int:
+        names = [node_type] if node_type else list(self.ontology.nodes)
+        with self._writer, self.snapshots.version() as version:
+            return self._index(version, {self.ontology.node(n).name: (self.nodes(n), None) for n in names}, _now(), from_cache=from_cache)[0]
+
+    def build_index(self, node_type: str | None = None) -> int:
+        """Indexes all nodes, or those of a type, anew; chunks that are gone go. Returns the number of entries."""
+        return self._build(node_type, False)
+
+    rebuild_index = build_index
+
+    def rebuild_index_from_cache(self, node_type: str | None = None) -> int:
+        """The same with tokens and vectors from the cache alone; what it lacks stays null."""
+        return self._build(node_type, True)
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        """Vectors of texts in their order, from the cache where it has them; new ones go there."""
+        if not texts:
+            return []
+        hashes = [hashlib.md5(t.encode()).hexdigest() for t in texts]
+        rows = self.spark.createDataFrame(list(dict(zip(hashes, texts, strict=True)).items()), "content_hash string, content string")
         with self._writer:
-            rows, cache, _ = self._indexed({n: self.nodes(n) for n in self.ontology.nodes}, self.cache(), now)
-            self.snapshots.publish({INDEX_TABLE: rows, CACHE_TABLE: cache})
-        return self.index().count()
+            rows = index.with_cache(rows, self.cache(), words=self.words)
+            new = cut(index.embed_missing(rows, self.embedder))
+            if failed := new.filter("error is not null").select("error").first():
+                raise KnowledgeBaseError(f"Embedding failed: {failed[0]}")
+            rows = cut(rows.join(new.select("content_hash", F.col("vector").alias("n")), "content_hash", "left").withColumn("vector", F.coalesce("vector", "n")))
+            self.snapshots.publish({CACHE_TABLE: index.merge_cache(self.cache(), rows.select("content_hash", "fts_content", "vector"), _now())})
+        held = {r[0]: r[1] for r in rows.select("content_hash", "vector").collect()}  # the caller's own list
+        return [held[h] for h in hashes]
+
+    def embed_single(self, text: str) -> list[float]:
+        return self.embed([text])[0]
 
     def clean_cache(self, expire_days: int = 30) -> int:
         with self._writer:
             before = self.cache()
-            kept = index.expire(before, expire_days, F.lit(datetime.now(UTC).replace(tzinfo=None)).cast("timestamp_ntz"))
+            kept = index.expire(before, expire_days, _now())
             n = before.count() - kept.count()
             self.snapshots.publish({CACHE_TABLE: kept})
         return n
 
     # files
 
-    def dump_node(self, node_type: str, folder: str) -> int:
-        return dump(self.nodes(node_type), f"{folder}/nodes/{self.ontology.node(node_type).table}", rows_per_file=self.config.max_rows_per_file)
+    def dump_node(self, node_type: str, folder: str, *, by_date: bool = True) -> int:
+        return dump(self.nodes(node_type), f"{folder}/nodes/{self.ontology.node(node_type).table}", by_date=by_date, rows_per_file=self.config.max_rows_per_file)
+
+    def dump_edge(self, name: str, folder: str, *, by_date: bool = True) -> int:
+        return dump(self.edges(name), f"{folder}/edges/{name.lower()}", by_date=by_date, rows_per_file=self.config.max_rows_per_file)
+
+    def sync_node(self, node_type: str, folder: str) -> dict[str, int]:
+        """Merges a type's files into its table, indexes it anew, and writes the files again."""
+        return {"loaded": self.load_node(node_type, folder), "indexed": self.build_index(node_type), "dumped": self.dump_node(node_type, folder)}
 
-    def dump_edge(self, name: str, folder: str) -> int:
-        return dump(self.edges(name), f"{folder}/edges/{name.lower()}", rows_per_file=self.config.max_rows_per_file)
+    def sync_edge(self, name: str, folder: str) -> dict[str, int]:
+        return {"loaded": self.load_edge(name, folder), "dumped": self.dump_edge(name, folder)}
 
     def load_node(self, node_type: str, folder: str) -> int:
         """Merges JSON lines by identity; rows without id get one."""
         n = self.ontology.node(node_type)
-        return self._load(n.table, read_jsonl(self.spark, f"{folder}/nodes/{n.table}", n.struct), self.nodes(node_type), list(n.identity))
+        return self._load(n.table, read_jsonl(self.spark, f"{folder}/nodes/{n.table}", n.struct), list(n.identity))
 
     def load_edge(self, name: str, folder: str) -> int:
         if name not in self.ontology.edges:
             raise ValueError(f"Unknown edge type: {name}")
         e = self.ontology.edges[name]
-        return self._load(e.table, read_jsonl(self.spark, f"{folder}/edges/{name.lower()}", e.struct), self.edges(name), ["__from_id", "__to_id"])
-
-    def _load(self, table: str, rows: DataFrame, current: DataFrame, keys: list[str]) -> int:
-        now = F.lit(datetime.now(UTC).replace(tzinfo=None)).cast("timestamp_ntz")
-        n = rows.count()
-        batch = merge.last_wins(rows, keys, [F.coalesce("__updated_at", "__created_at"), F.col("__id")])
-        held = batch.select(*[F.col(k).alias(f"h_{k}") for k in keys], F.col("__id").alias("h_id"), F.col("__created_at").alias("h_at"))
-        merged = merge.upsert(current, batch.drop("__id", "__created_at", "__updated_at"), keys, now=now, next_id=None)
-        if not current.isEmpty():
-            out = merged
-        else:  # an empty table takes the ids of the files
-            out = merged.join(held, [F.col(k).eqNullSafe(F.col(f"h_{k}")) for k in keys], "left").withColumn("__id", F.col("h_id")).withColumn("__created_at", F.coalesce("h_at", "__created_at")).select(*current.columns)
-            out = merge.assign_ids(out, keys)
+        return self._load(e.table, read_jsonl(self.spark, f"{folder}/edges/{name.lower()}", e.struct), ["__from_id", "__to_id"])
+
+    def _load(self, table: str, rows: DataFrame, keys: list[str]) -> int:
+        """Of rows with equal keys, the one last updated counts; those without a time come first, then lower ids."""
+        now, n = _now(), rows.count()
         with self._writer:
+            current = self.snapshots.read(self.spark, table, rows.schema)
+            batch = merge.last_wins(rows, keys, [F.coalesce("__updated_at", "__created_at"), F.col("__id")])
+            if current.isEmpty():  # an empty table takes the ids and times of the files
+                known = batch.withColumn("__created_at", F.coalesce("__created_at", now)).withColumn("__updated_at", F.coalesce("__updated_at", now))
+                out = merge.assign_ids(known.select(*rows.columns), keys)
+            else:
+                out = merge.upsert(current, batch.drop("__id", "__created_at", "__updated_at"), keys, now=now)
             self.snapshots.publish({table: out})
         return n
 
@@ -258,7 +371,10 @@ class Engine:
     # search
 
     def rrf_k(self) -> int:
-        return self.config.rrf.of(search.corpus_size(self.index()))
+        """k for the number of indexed documents, which each version of the index keeps."""
+        return self.config.rrf.of(self.index_stats().agg(F.coalesce(F.sum("documents"), F.lit(0).cast("long"))).first()[0])
+
+    refresh_k = rrf_k
 
     def _in(self, node_type: str | None) -> Column | None:
         return F.col("source_table") == self.ontology.node(node_type).table if node_type else None
@@ -278,8 +394,9 @@ class Engine:
         return bool(query and query.strip() and limit)
 
     def _text_scores(self, query: str, keep: Column | None) -> DataFrame:
-        terms = self.spark.range(1).select(tokens(F.lit(query))).first()[0]
-        return search.bm25_scores(self.index().filter("fts_content is not null"), terms, "content", keep)
+        terms = self.spark.range(1).select(tokens(F.lit(query), self.words)).first()[0]
+        n, words = self.index_stats().agg(F.coalesce(F.sum("chunks"), F.lit(0).cast("long")), F.coalesce(F.sum("tokens"), F.lit(0).cast("long"))).first()
+        return search.bm25_postings(self.postings(), terms, n, words / n if words else 1.0, keep)
 
     def _shape(self, best: DataFrame, k: int | None) -> list[dict[str, Any]]:
         rows = best.join(self.index().select("id", "source_table", "source_id", "source_field", "chunk_seq", "content"), "id")
@@ -292,9 +409,7 @@ class Engine:
     def vector_search(self, query: str, *, node_type: str | None = None, limit: int = 10) -> list[dict[str, Any]]:
         if not self._checked(query, node_type, limit) or (v := self._query_vector(query)) is None:
             return []
-        keep = self._in(node_type)
-        rows = self.index() if keep is None else self.index().filter(keep)
-        return self._shape(search.top(search.vector_scores(rows, v).select("id", "score"), limit), None)
+        return self._shape(search.top(search.vector_scores(self.index(node_type), v).select("id", "score"), limit), None)
 
     def fts_search(self, query: str, *, node_type: str | None = None, limit: int = 10) -> list[dict[str, Any]]:
         if not self._checked(query, node_type, limit):
@@ -305,8 +420,7 @@ class Engine:
         if not self._checked(query, node_type, limit) or (v := self._query_vector(query)) is None:
             return []
         keep, k = self._in(node_type), self.rrf_k()
-        rows = self.index() if keep is None else self.index().filter(keep)
-        return self._shape(search.fuse(search.vector_scores(rows, v), self._text_scores(query, keep), limit=limit, k=k, alpha=alpha), k)
+        return self._shape(search.fuse(search.vector_scores(self.index(node_type), v), self._text_scores(query, keep), limit=limit, k=k, alpha=alpha), k)
 
     def get_source_record(self, source_table: str, source_id: int) -> dict[str, Any] | None:
         name = self.ontology.by_table(table_name(source_table))
@@ -354,10 +468,16 @@ class Engine:
         steps.sort(key=lambda r: (r["direction"] != "out", r["edge_type"], r["edge_id"]))
         nodes = self._node_rows([(me[0], me[1]), *((r["dst_type"], r["dst_id"]) for r in steps)])
         edges = self._edge_rows([(r["edge_type"], r["edge_id"]) for r in steps])
-        by: dict[tuple[str, int], list[Any]] = defaultdict(list)
         counts: dict[str, int] = {}
         for r in steps:
             counts[r["edge_type"]] = counts.get(r["edge_type"], 0) + 1
+        found = self._neighbors(steps, nodes, edges, direction)
+        return {"node": nodes.get((me[0], me[1]), {}), "neighbors": found, "stats": {"total_count": len(found), "by_edge_type": counts}}
+
+    def _neighbors(self, steps: list[Any], nodes: dict[tuple[str, int], Any], edges: dict[tuple[str, int], Any], direction: str) -> list[dict[str, Any]]:
+        """Steps of one node as neighbors; in both directions, those to the same node are one."""
+        by: dict[tuple[str, int], list[Any]] = defaultdict(list)
+        for r in steps:
             by[(r["dst_type"], r["dst_id"]) if direction == "both" else (len(by), 0)].append(r)
         found = []
         for hits in by.values():
@@ -366,7 +486,7 @@ class Engine:
             one = {"direction": r["direction"], "edge": edges.get((r["edge_type"], r["edge_id"]), {})}
             many = {"directions": list(dict.fromkeys(h["direction"] for h in hits)), "edges": [edges.get((h["edge_type"], h["edge_id"]), {}) for h in hits]}
             found.append(d | (one if len(hits) == 1 else many))
-        return {"node": nodes.get((me[0], me[1]), {}), "neighbors": found, "stats": {"total_count": len(found), "by_edge_type": counts}}
+        return found
 
     def traverse(self, node_type: str, node_id: int | str, *, edge_types: list[str] | None = None, direction: str = "out", max_depth: int = 3, limit: int = 1000, return_paths: bool = True) -> list[dict[str, Any]]:
         if limit < 0:
@@ -412,26 +532,35 @@ class Engine:
         return [{"path": p, "length": r["depth"], "node_types": [x["node_type"] for x in p if "node" in x]} for r, p in self._told(found)]
 
     def graph_search(self, query: str, *, node_type: str | None = None, edge_types: list[str] | None = None, direction: str = "both", traverse_depth: int = 1, search_limit: int = 5, neighbor_limit: int = 10, alpha: float = 0.5) -> list[dict[str, Any]]:
-        """Hybrid search, and around each hit the nodes within traverse_depth hops."""
-        out = []
-        for hit in self.search(query, node_type=node_type, limit=search_limit, alpha=alpha):
-            kind = self.ontology.by_table(hit["source_table"])
-            node = self.get_source_record(hit["source_table"], hit["source_id"]) if kind else None
-            if node is None:
-                continue
-            context, seen, level = [], {(kind, hit["source_id"])}, [(kind, hit["source_id"])]
-            for _ in range(traverse_depth):
-                nearby = []
-                for k, i in level:
-                    for n in self.get_neighbors(k, i, edge_types=edge_types, direction=direction, limit=neighbor_limit)["neighbors"]:
-                        key = (n["node_type"], n["node"].get("__id"))
-                        if key not in seen:
-                            seen.add(key)
-                            nearby.append(key)
-                            context.append({"edge_type": n["edge_type"], "direction": n.get("direction", "both"), "edge": n.get("edge") or n["edges"][0], "node_type": n["node_type"], "node": n["node"]})
-                level = nearby
-            out.append({"seed": {"node_type": kind, "node": node, "score": hit["score"], "source_field": hit["source_field"], "content": hit["content"]}, "context": context})
-        return out
+        """Hybrid search, and around each hit the nodes within traverse_depth hops; a hop of all hits is one join."""
+        graph.arrows(self.links(), direction)
+        hits = [(self.ontology.by_table(h["source_table"]), h) for h in self.search(query, node_type=node_type, limit=search_limit, alpha=alpha)]
+        seeds = self._node_rows(list({(k, h["source_id"]) for k, h in hits if k}))
+        hits = [(k, h) for k, h in hits if (k, h["source_id"]) in seeds]
+        context: list[list[dict[str, Any]]] = [[] for _ in hits]
+        seen = [{(k, h["source_id"])} for k, h in hits]
+        level = [[(k, h["source_id"])] for k, h in hits]
+        for _ in range(traverse_depth):
+            frontier = sorted({key for keys in level for key in keys})
+            if not frontier:
+                break
+            start = self.spark.createDataFrame(frontier, "type string, id long")
+            steps = graph.neighbors(self.links(), start, direction=direction, edge_types=edge_types, limit=neighbor_limit).collect()  # limit rows of each node and edge type
+            steps.sort(key=lambda r: (r["direction"] != "out", r["edge_type"], r["edge_id"]))
+            nodes, edges = self._node_rows(list({(r["dst_type"], r["dst_id"]) for r in steps})), self._edge_rows(list({(r["edge_type"], r["edge_id"]) for r in steps}))
+            of: dict[tuple[str, int], list[Any]] = defaultdict(list)
+            for r in steps:
+                of[r["src_type"], r["src_id"]].append(r)
+            for i, keys in enumerate(level):
+                level[i] = []
+                for key in keys:
+                    for n in self._neighbors(of[key], nodes, edges, direction):
+                        to = (n["node_type"], n["node"].get("__id"))
+                        if to not in seen[i]:
+                            seen[i].add(to)
+                            level[i].append(to)
+                            context[i].append({"edge_type": n["edge_type"], "direction": n.get("direction", "both"), "edge": n.get("edge") or n["edges"][0], "node_type": n["node_type"], "node": n["node"]})
+        return [{"seed": {"node_type": k, "node": seeds[k, h["source_id"]], "score": h["score"], "source_field": h["source_field"], "content": h["content"]}, "context": c} for (k, h), c in zip(hits, context, strict=True)]
 
     # documents about the knowledge base
 

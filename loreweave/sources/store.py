@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
 import shutil
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 from typing import Any
 
@@ -63,10 +66,37 @@ def partition_counts(df: DataFrame, rows_per_file: int = 1000) -> DataFrame:
     return df.groupBy(day.alias("dt")).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_files", F.ceil(F.col("n_rows") / F.lit(rows_per_file)))
 
 
+class Version:
+    """A version in the making: tables are written as they come, and readers see none of them before commit."""
+
+    def __init__(self, snapshots: Snapshots) -> None:
+        self.snapshots, self.path = snapshots, snapshots.root / f"v-{uuid.uuid4().hex}"
+        self.written: dict[str, str] = {}
+
+    def write(self, table: str, df: DataFrame) -> DataFrame:
+        """Writes a table and reads it again, so that what is derived from it doesn't compute it anew."""
+        df.write.parquet(str(self.path / table))
+        self.written[table] = f"{self.path.name}/{table}"
+        return df.sparkSession.read.schema(df.schema).parquet(str(self.path / table))
+
+    def commit(self) -> Path:
+        """Tables that were not written stay where the current version has them; then the pointer is replaced."""
+        self.path.mkdir(parents=True, exist_ok=True)
+        (self.path / "MANIFEST.json").write_text(json.dumps(self.snapshots.manifest() | self.written, indent=1, sort_keys=True))
+        pointer = self.snapshots.root / f".CURRENT-{uuid.uuid4().hex}"
+        pointer.write_text(self.path.name)
+        os.replace(pointer, self.snapshots.root / "CURRENT")
+        return self.path
+
+    def abort(self) -> None:
+        shutil.rmtree(self.path, ignore_errors=True)
+
+
 class Snapshots:
     """Versions of all tables under a root; CURRENT names the one that readers use.
 
-    A version is written whole, then the pointer is replaced in one step, so readers see all of it or nothing.
+    A version holds the tables that changed with it, and a manifest of where all tables are. The pointer is replaced in
+    one step, so readers see all of a version or nothing; no table is copied.
     """
 
     def __init__(self, root: str | Path) -> None:
@@ -78,32 +108,43 @@ class Snapshots:
         at = self.root / "CURRENT"
         return self.root / at.read_text().strip() if at.exists() else None
 
-    def read(self, spark: SparkSession, table: str, schema: T.StructType) -> DataFrame:
+    def manifest(self) -> dict[str, str]:
+        """Folders of the current tables by name, relative to the root."""
         at = self.current
-        path = at / table if at else None
-        if path is None or not path.exists():
+        return json.loads((at / "MANIFEST.json").read_text()) if at else {}
+
+    def read(self, spark: SparkSession, table: str, schema: T.StructType) -> DataFrame:
+        """A table; with the ending ``.*``, all slices of it as one."""
+        at = self.manifest()
+        names = [n for n in at if n.startswith(table[:-1])] if table.endswith(".*") else [table] * (table in at)
+        if not names:
             return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).parquet(str(path))
+        return spark.read.schema(schema).parquet(*[str(self.root / at[n]) for n in sorted(names)])
 
-    def publish(self, tables: dict[str, DataFrame]) -> Path:
-        """Writes tables and those of the current version that they lack, then flips the pointer."""
-        old, new = self.current, self.root / f"v-{uuid.uuid4().hex}"
+    @contextmanager
+    def version(self) -> Iterator[Version]:
+        """A version that is committed at the end, or removed on any error."""
+        v = Version(self)
         try:
-            for name, df in tables.items():
-                df.write.parquet(str(new / name))
-            for path in old.iterdir() if old else ():
-                if path.name not in tables:
-                    shutil.copytree(path, new / path.name)
+            yield v
+            if v.written:
+                v.commit()
         except BaseException:
-            shutil.rmtree(new, ignore_errors=True)
+            v.abort()
             raise
-        pointer = self.root / f".CURRENT-{uuid.uuid4().hex}"
-        pointer.write_text(new.name)
-        os.replace(pointer, self.root / "CURRENT")
-        return new
+
+    def publish(self, tables: dict[str, DataFrame]) -> Path | None:
+        with self.version() as v:
+            for name, df in tables.items():
+                v.write(name, df)
+        return self.current
 
     def prune(self) -> None:
-        """Removes all versions but the current."""
+        """Removes what the current version doesn't name."""
+        named = set(self.manifest().values())
         for path in self.root.glob("v-*"):
-            if path != self.current:
+            for table in path.iterdir():
+                if table.is_dir() and f"{path.name}/{table.name}" not in named:
+                    shutil.rmtree(table, ignore_errors=True)
+            if path != self.current and not any(p.is_dir() for p in path.iterdir()):
                 shutil.rmtree(path, ignore_errors=True)

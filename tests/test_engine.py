@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loreweave import cli
 from loreweave.errors import InvalidTableNameError, NodeNotFoundError, ValidationError
 from loreweave.model import Config
-from loreweave.operators import graph, merge
+from loreweave.operators import graph, merge, search
 from loreweave.plans.engine import Engine
 from loreweave.plans.service import tools
 from tests.test_model import KB
@@ -120,6 +120,69 @@ def test_changes(spark, tmp_path):
     assert e.nodes("Character").count() == 4
 
 
+def test_incremental_index(spark, tmp_path):
+    """A change indexes and embeds its own nodes only; other entries and tables stay where they are."""
+    log = tmp_path / "embedded"
+
+    def embed(texts):
+        with log.open("a") as f:
+            f.writelines(f"{t[:20]}\n" for t in texts)
+        return [[float(len(t)), 1.0] + [0.0] * 14 for t in texts]
+
+    with Engine(spark, tmp_path / "kb", Config.parse(KB), embed) as e:
+        e.import_items(ITEMS)
+        assert len(log.read_text().splitlines()) == e.index().select("content_hash").distinct().count()
+        log.write_text("")
+        before, at = {r["id"]: r["content"] for r in e.index().collect()}, e.snapshots.manifest()
+        result = e.import_items([{"type": "Character", "name": "Bob", "bio": "Bob sails"}])
+        assert result["indexed"] == 2 and log.read_text().splitlines() == ["Bob sails"]
+        after = {r["id"]: r["content"] for r in e.index().collect()}
+        assert set(before) - set(after) == {i for i, c in before.items() if c in ("Bob", "Bob writes about mountains")}
+        assert all(before[i] == after[i] for i in set(before) & set(after)) and len(after) == len(before)
+        now = e.snapshots.manifest()
+        assert {k for k in now if now[k] != at[k]} == {"characters", "_sys_search_index.characters", "_sys_search_postings.characters", "_sys_search_stats.characters", "_sys_search_cache"}
+        assert e.fts_search("mountains") == [] and e.fts_search("sails")[0]["content"] == "Bob sails"
+        scored = {r["id"]: r["score"] for r in search.bm25_scores(e.index(), ["boats", "sails"], "content").collect()}
+        assert {r["id"]: r["score"] for r in e._text_scores("boats sails", None).collect()} == pytest.approx(scored)
+        assert e.rrf_k() == e.refresh_k() == 10
+        log.write_text("")
+        assert e.embed(["Bob sails", "other", "Bob sails"]) == [[9.0, 1.0] + [0.0] * 14, [5.0, 1.0] + [0.0] * 14, [9.0, 1.0] + [0.0] * 14] and log.read_text().splitlines() == ["other"]
+        assert e.embed([]) == [] and e.embed_single("other")[0] == 5.0
+        assert e.build_index("Document") == 3 and e.rebuild_index() == len(after)
+        assert e.rebuild_index_from_cache("Character") == 6 and e.index().filter("vector is null or fts_content is null").isEmpty()
+        e.spark.createDataFrame([], e.cache().schema).write.parquet(str(tmp_path / "none"))
+        e.snapshots.publish({"_sys_search_cache": spark.read.parquet(str(tmp_path / "none"))})
+        e.rebuild_index_from_cache("Character")
+        assert e.index("Character").filter("vector is not null or fts_content is not null").isEmpty() and e.fts_search("sails") == []
+        with pytest.raises(ValueError):
+            e.build_index("X")
+
+
+def test_files_and_catalog(spark, tmp_path):
+    with Engine(spark, tmp_path / "kb", Config.parse(KB)) as e:
+        e.import_items(ITEMS)
+        assert e.table_exists("characters") and not e.table_exists("nothing") and e.table_count("edge_knows") == 2
+        assert e.table_columns("edge_knows")[:1] == ["__id"]
+        with pytest.raises(ValueError):
+            e.table_count("nothing")
+        out = str(tmp_path / "out")
+        assert e.dump_node("Character", out, by_date=False) == 4 and not any((tmp_path / "out/nodes/characters").glob("dt=*"))
+        (tmp_path / "out/nodes/characters/more.json").write_text('{"name": "Eve", "bio": "Eve dives"}\n{"name": "Dan", "age": 7, "__updated_at": "2999-01-01T00:00:00"}\n{"name": "Ann", "age": 7}\n')
+        assert e.sync_node("Character", out) == {"loaded": 7, "indexed": 5 + 3, "dumped": 5}
+        assert e.nodes("Character").filter("name = 'Dan' and age = 7").count() == 1 and e.nodes("Character").filter("name = 'Ann' and age = 30").count() == 1 and e.nodes("Character").select("__id").distinct().count() == 5
+        assert e.fts_search("dives")[0]["content"] == "Eve dives"
+        assert e.dump_edge("knows", out) == 2 and e.sync_edge("knows", out) == {"loaded": 2, "dumped": 2} and e.edges("knows").count() == 2
+
+
+def test_graph_search_hops(kb):
+    """Contexts of two hops, by one step at a time."""
+    far = kb.graph_search("mountains", node_type="Character", search_limit=2, traverse_depth=2)
+    bob = next(x for x in far if x["seed"]["node"]["name"] == "Bob")
+    assert {(c["node"].get("name") or c["node"]["doc_id"]) for c in bob["context"]} == {"Ann", "Cat", "d1"}
+    near = kb.graph_search("mountains", node_type="Character", search_limit=2, traverse_depth=0)
+    assert all(x["context"] == [] for x in near)
+
+
 def test_bundle_files(spark, tmp_path):
     e = Engine(spark, tmp_path / "kb", Config.parse(KB))
     (tmp_path / "a.yaml").write_text(yaml.safe_dump([{"type": "Document", "doc_id": "🙂", "content": "日本語 " * 1000}, {"type": "Document", "doc_id": "e", "content": ""}]))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loreweave.functions.text import chunk_by_sentence, chunk_text, content_hash, segment
+from loreweave.plans.engine import dictionary
 from loreweave.functions.vector import cosine
 
 
@@ -69,3 +70,12 @@ def test_cosine(spark):
     rows = [([1.0, 0.0], [1.0, 0.0], 1.0), ([1.0, 0.0], [0.0, 2.0], 0.0), ([0.0, 0.0], [1.0, 1.0], None), ([1.0], [1.0, 1.0], None)]
     df = spark.createDataFrame([(a, b) for a, b, _ in rows], "a array<float>, b array<float>")
     assert [r[0] for r in df.select(cosine(F.col("a"), F.col("b"))).collect()] == [x for _, _, x in rows]
+
+
+def test_dictionary(spark, tmp_path):
+    """Terms of a dictionary stay whole, the longest first."""
+    (tmp_path / "d").write_text("东京 3 n\n\n东京都\nC++\nnew york\n")
+    words = dictionary(tmp_path / "d")
+    assert words == ["东京", "东京都", "C++", "new"] and dictionary(tmp_path / "none") == []
+    texts = ["我在东京都里面", "东京人", "use c++ now", "renewed a new", "中文字", "", "a.b"]
+    assert run(spark, texts, lambda c: segment(c, words)) == ["我在 东京都 里面", "东京 人", "use c++ now", "renewed a new", "中文 文字", "", "a b"]
