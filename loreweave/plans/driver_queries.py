@@ -310,11 +310,51 @@ _sql("sql_rollup", "part", "SELECT p_brand, p_type, count(*) AS n FROM part GROU
 _sql("sql_cube", "orders", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 _sql("sql_semi_anti", "customer orders", "SELECT count(*) AS n, round(sum(c_acctbal), 2) AS bal FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 1000) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 _sql("sql_json_props", "events", "SELECT event_type, get_json_object(props, '$.k') AS k, count(*) AS n FROM events GROUP BY ALL", whole=True)
-_sql("sql_date_bucket", "events", "SELECT date_format(date_trunc('DAY', ts), 'yyyy-MM-dd') AS day, event_type, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY 1, 2")
+_sql("sql_date_bucket", "events", "SELECT date_format(date_trunc('DAY', ts), 'yyyy-MM-dd') AS day, event_type, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY 1, 2", whole=True)
 _sql("sql_recursive", "nation", "WITH RECURSIVE up(k, d) AS (SELECT 0, 0 UNION ALL SELECT k + 1, d + 1 FROM up WHERE d < 24) SELECT n_name, d FROM up JOIN nation ON n_nationkey = k")
 _sql("sql_full_outer", "nation region", "SELECT r_name, n_name FROM region FULL OUTER JOIN nation ON n_regionkey = r_regionkey AND n_nationkey % 2 = 0")
 
 
+_sql("sql_auto_limit", "part", "SELECT p_partkey, p_name FROM part ORDER BY p_partkey")
+_sql("sql_pivot", "orders", "SELECT * FROM (SELECT o_orderpriority, o_orderstatus, o_orderkey FROM orders) PIVOT (count(o_orderkey) AS n FOR o_orderstatus IN ('F' AS f, 'O' AS o, 'P' AS p))")
+_sql("sql_unpivot", "part", "SELECT p_partkey, k, v FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS size, p_retailprice AS price FROM part) UNPIVOT (v FOR k IN (size, price))", whole=True)
+_sql("sql_lateral", "nation customer", "SELECT n_name, c_custkey, c_acctbal FROM nation, LATERAL (SELECT c_custkey, c_acctbal FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 0) c", whole=True)
+_sql("sql_frame_rows", "events", "SELECT event_id, round(sum(value) OVER w, 6) AS v3, count(*) OVER w AS n3 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)", whole=True)
+_sql("sql_frame_interval", "events", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '1' DAY PRECEDING AND CURRENT ROW) AS n_day FROM events", whole=True)
+_sql("sql_qualify_latest", "orders", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS r FROM orders) WHERE r = 1", whole=True)
+_sql("sql_setops_all", "customer supplier nation", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier EXCEPT ALL SELECT n_nationkey FROM nation", whole=True)
+_sql("sql_union_all", "customer supplier", "SELECT k, count(*) AS n FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY k")
+_sql("sql_grouping_sets", "part", "SELECT p_brand, p_size, grouping(p_brand) AS no_brand, count(*) AS n FROM part GROUP BY GROUPING SETS ((p_brand), (p_size), ())", whole=True)
+_sql("sql_agg_filter", "lineitem", "SELECT l_returnflag, count(*) FILTER (WHERE l_discount > 0.05) AS cheap, count(DISTINCT l_suppkey) FILTER (WHERE l_quantity > 25) AS suppliers, median(l_quantity) AS mid, max_by(l_orderkey, struct(l_extendedprice, l_orderkey)) AS dearest FROM lineitem GROUP BY l_returnflag")
+_sql("sql_theta_join", "nation region", "SELECT r_name, n_name FROM region JOIN nation ON n_regionkey < r_regionkey AND n_nationkey > r_regionkey * 3")
+_sql("sql_anti_join", "customer orders", "SELECT c_custkey FROM customer ANTI JOIN orders ON o_custkey = c_custkey AND o_totalprice > 100000", whole=True)
+_sql("sql_arrays", "documents", "SELECT doc_id, CAST(size(filter(w, x -> length(x) > 5)) AS BIGINT) AS long_words, aggregate(transform(w, x -> CAST(length(x) AS BIGINT)), 0L, (a, x) -> a + x) AS letters, array_max(w) AS last_word FROM (SELECT doc_id, split(text, ' ') AS w FROM documents)", whole=True)
+_sql("sql_strings", "part", "SELECT p_partkey, regexp_replace(p_name, '[aeiou]', '*') AS masked, upper(substring(p_name, 1, 3)) AS head, p_name ILIKE '%A%' AS has_a, lpad(CAST(p_size AS STRING), 4, '0') AS size4, split_part(p_type, ' ', 1) AS kind FROM part", whole=True)
+
+
+@_query
+def fts_postings(t: Tables) -> DataFrame:
+    """BM25 from stored postings and statistics, as the engine searches."""
+    rows = t.documents.select(F.lit("documents").alias("source_table"), F.col("doc_id").alias("id"), F.col("doc_id").alias("source_id"), segment(F.col("text")).alias("fts_content"))
+    n, words = index.stats(rows).agg(F.sum("chunks"), F.sum("tokens")).first()
+    return _best(search.bm25_postings(index.stored_postings(rows), TERMS, n or 0, words / n if words else 1.0), 20)
+
+
+@_query
+def index_slice_stats(t: Tables) -> DataFrame:
+    rows = t.documents.select(F.col("lang").alias("source_table"), F.col("doc_id").alias("source_id"), segment(F.col("text")).alias("fts_content"))
+    return index.stats(rows)
+
+
+@_query
+def index_incremental(t: Tables) -> DataFrame:
+    """Entries of all parts, where those of some have changed: theirs are made anew, the others stay."""
+    held = index.entries(t.part, "part", ["p_name"], id_col="p_partkey")
+    changed = t.part.filter("p_size > 40").withColumn("p_name", F.concat("p_name", F.lit(" renewed")))
+    kept = held.join(changed.select(F.col("p_partkey").alias("source_id")), "source_id", "left_anti").select(*held.columns)
+    return kept.unionByName(index.entries(changed, "part", ["p_name"], id_col="p_partkey")).select("source_id", "content", "content_hash")
+
+
 @_query
 def sql_asof(t: Tables) -> DataFrame:
     """For every order, the last earlier event's time; a union in order of time instead of a range join."""

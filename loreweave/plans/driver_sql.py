@@ -148,3 +148,21 @@ ORACLE_SQL["sql_date_bucket"] = "SELECT strftime(date_trunc('day', ts), '%Y-%m-%
 ORACLE_SQL["sql_recursive"] = "SELECT n_name, n_nationkey AS d FROM nation"
 ORACLE_SQL["sql_full_outer"] = "SELECT r_name, n_name FROM region FULL OUTER JOIN nation ON n_regionkey = r_regionkey AND n_nationkey % 2 = 0"
 ORACLE_SQL["sql_asof"] = "SELECT o_orderkey, strftime(ts, '%Y-%m-%d %H:%M:%S') AS last_event FROM (SELECT o_orderkey, o_orderdate, o_custkey % 100 AS k FROM orders) o ASOF LEFT JOIN (SELECT ts, user_id % 100 AS k FROM events) e ON o.k = e.k AND o.o_orderdate >= e.ts"
+ORACLE_SQL["sql_auto_limit"] = "SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 1000"
+ORACLE_SQL["sql_pivot"] = "SELECT o_orderpriority, nullif(count(*) FILTER (o_orderstatus = 'F'), 0) AS f, nullif(count(*) FILTER (o_orderstatus = 'O'), 0) AS o, nullif(count(*) FILTER (o_orderstatus = 'P'), 0) AS p FROM orders GROUP BY 1"
+ORACLE_SQL["sql_unpivot"] = "SELECT p_partkey, 'size' AS k, p_size::DOUBLE AS v FROM part WHERE p_size IS NOT NULL UNION ALL SELECT p_partkey, 'price', p_retailprice FROM part WHERE p_retailprice IS NOT NULL"
+ORACLE_SQL["sql_lateral"] = "SELECT n_name, c_custkey, c_acctbal FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_acctbal > 0"
+ORACLE_SQL["sql_frame_rows"] = "SELECT event_id, round(sum(value) OVER w, 6) AS v3, count(*) OVER w AS n3 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"
+ORACLE_SQL["sql_frame_interval"] = "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS n_day FROM events"
+ORACLE_SQL["sql_qualify_latest"] = "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1"
+ORACLE_SQL["sql_setops_all"] = "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier EXCEPT ALL SELECT n_nationkey FROM nation"
+ORACLE_SQL["sql_union_all"] = "SELECT k, count(*) AS n FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY k"
+ORACLE_SQL["sql_grouping_sets"] = "SELECT p_brand, p_size, grouping(p_brand)::TINYINT AS no_brand, count(*) AS n FROM part GROUP BY GROUPING SETS ((p_brand), (p_size), ())"
+ORACLE_SQL["sql_agg_filter"] = "SELECT l_returnflag, count(*) FILTER (l_discount > 0.05) AS cheap, count(DISTINCT l_suppkey) FILTER (l_quantity > 25) AS suppliers, median(l_quantity) AS mid, arg_max(l_orderkey, (l_extendedprice, l_orderkey)) AS dearest FROM lineitem GROUP BY l_returnflag"
+ORACLE_SQL["sql_theta_join"] = "SELECT r_name, n_name FROM region JOIN nation ON n_regionkey < r_regionkey AND n_nationkey > r_regionkey * 3"
+ORACLE_SQL["sql_anti_join"] = "SELECT c_custkey FROM customer ANTI JOIN orders ON o_custkey = c_custkey AND o_totalprice > 100000"
+ORACLE_SQL["sql_arrays"] = "SELECT doc_id, len(list_filter(w, lambda x: length(x) > 5)) AS long_words, list_sum(list_transform(w, lambda x: length(x)))::BIGINT AS letters, list_max(w) AS last_word FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)"
+ORACLE_SQL["sql_strings"] = "SELECT p_partkey, regexp_replace(p_name, '[aeiou]', '*', 'g') AS masked, upper(substring(p_name, 1, 3)) AS head, p_name ILIKE '%A%' AS has_a, lpad(p_size::VARCHAR, 4, '0') AS size4, split_part(p_type, ' ', 1) AS kind FROM part"
+ORACLE_SQL["fts_postings"] = ORACLE_SQL["fts_bm25"]
+ORACLE_SQL["index_slice_stats"] = "SELECT lang AS source_table, count(DISTINCT doc_id) AS documents, count(t) AS chunks, coalesce(sum(len(t)), 0)::BIGINT AS tokens FROM (SELECT doc_id, lang, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM documents) GROUP BY lang"
+ORACLE_SQL["index_incremental"] = "SELECT p_partkey AS source_id, content, md5(content) AS content_hash FROM (SELECT p_partkey, CASE WHEN p_size > 40 THEN p_name || ' renewed' ELSE p_name END AS content FROM part) WHERE content <> ''"
