@@ -5,6 +5,7 @@ Counted as part of the subpackage of corpus operators, and removed with it.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable
 from functools import wraps
@@ -30,11 +31,17 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def _stage(f: Stage) -> Stage:
-    """A stage reads what its predecessor has written, so the predecessor's own tables can go when it begins."""
+    """A stage reads what its predecessor has written, so the predecessor's own tables can go when it begins.
+
+    Spark removes shuffle files once the plans that made them are collected, which a driver with memory to spare puts
+    off; collecting here frees the predecessor's before this stage writes its own.
+    """
 
     @wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         remove(spark, _held)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
         with owned_tables() as written:
             out = f(spark, docs, sf_dir)
         _held[:] = written
