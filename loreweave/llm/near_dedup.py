@@ -323,7 +323,9 @@ def near_dedup(
     in_groups = materialise(_blocks(grouped, "comp", "size", block), "near-groups")
     texts = in_groups.join(rows.select("row_id", "text"), "row_id")
     held = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    links = components(_confirm(texts, shingle, percent, max(8, -(-held // (task_mb << 20)))), "near-links")
+    # not fewer tasks than any exchange has, so that the blocks of a large group spread
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // (task_mb << 20)))
+    links = components(_confirm(texts, shingle, percent, tasks), "near-links")
     labelled = classes.select(*same, "least_id", "row_id").join(links.withColumnRenamed("node", "row_id"), "row_id", "left").withColumn("comp", F.coalesce("comp", "row_id"))
     ids = labelled.groupBy("comp").agg(F.min("least_id").alias("component"))
     by_class = labelled.join(ids, "comp").select(*same, "component")
