@@ -98,14 +98,18 @@ def fit(texts: list[str], labels: list[str], landmarks: int, ridge: float) -> Ke
 
 
 def sample(labelled: DataFrame, per_language: int, most_bytes: int) -> tuple[list[str], list[str]]:
-    """About ``per_language`` rows of each language, by a hash of doc_id; texts over ``most_bytes`` are not fitted on."""
+    """About ``per_language`` rows of each language, by a hash of doc_id; texts over ``most_bytes`` are not fitted on.
+
+    Repeated ids share their hash, so the rows that reach the driver are also held to twice that number over all languages.
+    """
     usable = labelled.filter((F.octet_length("text") <= most_bytes) & F.col("text").rlike(r"\p{L}"))
     counts = usable.groupBy("lang").count().collect()
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"]))]) if counts else None
     if share is None:
         return [], []
     pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20)
-    rows = sorted(usable.filter(pick).select("doc_id", "lang", "text").collect(), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
+    chosen = usable.filter(pick).select("doc_id", "lang", "text").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "lang", "text").limit(2 * per_language * len(counts))
+    rows = sorted(chosen.collect(), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
     return [r[2] for r in rows], [r[1] for r in rows]
 
 
