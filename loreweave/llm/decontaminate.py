@@ -142,7 +142,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block
     held = 0
     for r in rows.toLocalIterator():
         block.append((r[0], r[1]))
-        held += len(r[1]) // 6 + 1
+        held += (len(r[1]) + 1) // 2  # words at most
         if held >= block_words:
             yield Phrases(block, window)
             block, held = [], 0
@@ -185,10 +185,11 @@ def decontaminate(
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *([row_struct(docs)] if carry else []))
     schema = SCHEMA + (", spans array<struct<begin: long, end: long>>" if spans else "")
     passes = []
-    blocks = list(_blocks(benchmark, item_id_col, item_text_col, window, block_words))
-    merge = len(blocks) > 1
+    blocks = _blocks(benchmark, item_id_col, item_text_col, window, block_words)
+    phrases, ahead = next(blocks), next(blocks, None)
+    merge = ahead is not None
     raw_schema = "row_id long, doc_id long, n_words long, items array<long>, begins array<long>, ends array<long>, word_begins array<long>, word_ends array<long>"
-    for phrases in blocks:
+    while phrases is not None:
         shipped = docs.sparkSession.sparkContext.broadcast(phrases)
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
@@ -220,7 +221,9 @@ def decontaminate(
             return source.mapInArrow(run, with_row(docs, schema) if carry else schema)
         if not passes:
             source = materialise(source.withColumn("row_id", F.monotonically_increasing_id()), "decontaminate-docs")
-        passes.append(source.select("doc_id", "text", "row_id").mapInArrow(run_part, raw_schema))
+        passes.append(materialise(source.select("doc_id", "text", "row_id").mapInArrow(run_part, raw_schema), "decontaminate-pass"))
+        shipped.destroy()  # the driver holds two blocks at most
+        phrases, ahead = ahead, next(blocks, None)
     every = passes[0]
     for p in passes[1:]:
         every = every.unionByName(p)
