@@ -1,17 +1,18 @@
 """Finding repeated windows over a whole corpus, in four passes over packed chunks.
 
-1. Every chunk sends the hashes of its anchors, as packed arrays, to owners of hash ranges. Owners answer with bit
-   masks: which anchors occur again, and which are hot (too frequent for one bucket).
-2. Chunks cut out the segments around repeated anchors, once for each distinct content, and send them with the places
-   where they stand to buckets. A caller's ``route`` gives the bucket of an ordinary anchor; segments around hot
-   anchors are dealt by content instead.
+1. Every chunk sends the distinct hashes of its anchors and how often it has them, as packed arrays, to owners of hash
+   ranges. Owners answer with bit masks: which anchors occur again, and which are hot (too frequent for one bucket).
+2. Chunks cut out the segments around repeated anchors, once for each distinct content, and send them to buckets with
+   the first place in the chunk and the number of places. At the other places of the chunk, all windows go whatever a
+   bucket finds. A caller's ``route`` gives the bucket of an ordinary anchor; segments around hot anchors are dealt by
+   content instead.
 3. Buckets judge the windows of their segments (a caller's ``judge``) and answer with ranges of window starts to
    remove. Windows around hot anchors go on, by window hash, to a last comparison across buckets, unless their own
    bucket has settled them for good.
 4. Chunks cover the ranges and cut the text.
 
-All four passes move packed arrays; none makes a Spark row per word, byte or window. No key is gathered whole: copies
-of a segment travel once per chunk, and hot anchors are spread by content.
+All four passes move packed arrays; none makes a Spark row per word, byte or window. No key is gathered whole: a hash
+and a segment travel once per chunk, however often the chunk has them, and hot anchors are spread by content.
 """
 
 from __future__ import annotations
@@ -96,6 +97,13 @@ def _owner(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return ((g >> np.uint64(40)) * np.uint64(n) >> np.uint64(24)).astype(np.int64), (g & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
+def _distinct(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the distinct hashes, in order: owner, low bits and number; and for each hash, which of them it is."""
+    owner, low = _owner(h, n)
+    values, of, times = np.unique(owner << 32 | low.astype(np.int64), return_inverse=True, return_counts=True)
+    return values >> 32, (values & 0xFFFFFFFF).astype(np.uint32), times.astype(np.int32), of
+
+
 def _runs(key: np.ndarray) -> dict[int, np.ndarray]:
     """Of each key that occurs, its places in order; costs nothing for keys that don't."""
     order = np.argsort(key, kind="stable")
@@ -108,25 +116,27 @@ def send_hashes(chunks: DataFrame, units: Units, owners: int) -> DataFrame:
         rows: list[tuple] = []
         for chunk, *packed in zip(*batch.columns, strict=True):
             _, text = cut(units, *packed)
-            owner, low = _owner(_anchors(units, text)[3], owners)
-            rows += [(o, chunk.as_py(), low[mine]) for o, mine in _runs(owner).items()]
+            owner, low, times, _ = _distinct(_anchors(units, text)[3], owners)
+            rows += [(o, chunk.as_py(), low[mine], times[mine]) for o, mine in _runs(owner).items()]
         if not rows:
             return None
-        o, c, p = zip(*rows, strict=True)
-        return pa.RecordBatch.from_pydict({"owner": pa.array(o, pa.int32()), "chunk_id": pa.array(c, pa.int64()), "hashes": binary(list(p))})
+        o, c, p, n = zip(*rows, strict=True)
+        return pa.RecordBatch.from_pydict({"owner": pa.array(o, pa.int32()), "chunk_id": pa.array(c, pa.int64()), "hashes": binary(list(p)), "times": binary(list(n))})
 
-    return map_batches(chunks, one, "owner int, chunk_id long, hashes binary")
+    return map_batches(chunks, one, "owner int, chunk_id long, hashes binary, times binary")
 
 
 def mark_repeats(hashes: DataFrame, hot_above: int) -> DataFrame:
-    """For each chunk and owner: the bits of its anchors that occur again anywhere, and of the hot ones."""
+    """For each chunk and owner: the bits of its distinct anchors that occur again anywhere, and of the hot ones."""
     schema = "chunk_id long, owner int, again binary, hot binary"
 
     def one(t: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x, np.uint32) for x in t["hashes"].to_pylist()]
-        every = np.sort(np.concatenate(parts))
+        every = np.concatenate(parts)
+        order = np.argsort(every)
+        every = every[order]
         new = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
-        n = np.diff(np.append(new, len(every)))
+        n = np.add.reduceat(np.frombuffer(b"".join(t["times"].to_pylist()), np.int32)[order].astype(np.int64), new)
         values, hot_values = every[new[n > 1]], every[new[n > hot_above]]
         rows = []
         for chunk, owner, x in zip(t["chunk_id"].to_pylist(), t["owner"].to_pylist(), parts, strict=True):
@@ -145,7 +155,7 @@ def _among(x: np.ndarray, values: np.ndarray) -> np.ndarray:
     return values[np.minimum(np.searchsorted(values, x), len(values) - 1)] == x
 
 
-SEGMENTS = "bucket int, chunk_id long, data binary, lengths binary, hot binary, occ_seg binary, occ_doc binary, occ_start binary"
+SEGMENTS = "bucket int, chunk_id long, data binary, lengths binary, hot binary, occ_seg binary, occ_doc binary, occ_start binary, occ_times binary, settled binary"
 
 
 def send_segments(chunks: DataFrame, masks: DataFrame, units: Units, owners: int, buckets: int, route: Callable[[bytes, int], int]) -> DataFrame:
@@ -157,14 +167,15 @@ def send_segments(chunks: DataFrame, masks: DataFrame, units: Units, owners: int
         for chunk, *packed in zip(*(left[c] for c in ("chunk_id", "doc_ids", "sizes", "data")), strict=True):
             keys, text = cut(units, *packed)
             a, s1, s2, h = _anchors(units, text)
-            owner, _ = _owner(h, owners)
+            owner, _, _, of = _distinct(h, owners)
             of_owner = _runs(owner)
-            again, hot = np.zeros(len(a), bool), np.zeros(len(a), bool)
+            again, hot = np.zeros(len(owner), bool), np.zeros(len(owner), bool)
             for o, m, q in zip(right["owner"].to_pylist(), right["again"].to_pylist(), right["hot"].to_pylist(), strict=True):
                 mine = of_owner[o]
                 again[mine] = np.unpackbits(np.frombuffer(m, np.uint8), count=len(mine))
                 if q:
                     hot[mine] = np.unpackbits(np.frombuffer(q, np.uint8), count=len(mine))
+            again, hot = again[of], hot[of]
             pick = np.flatnonzero(again)
             doc = keys[np.searchsorted(text.bounds, s1[pick], side="right") - 1]
             lo, hi = text.starts[s1[pick]], text.ends[s2[pick] + w - 1]
@@ -185,37 +196,56 @@ def send_segments(chunks: DataFrame, masks: DataFrame, units: Units, owners: int
                 occ[i] = n
             to = np.array(where, np.int64)
             rank = np.empty(len(to), np.int64)
-            of_bucket = _runs(to[occ]) if len(occ) else {}
+            by = np.lexsort((s1[pick], doc, occ))
+            lead = np.zeros(len(occ), bool)
+            lead[by] = np.concatenate(([True], occ[by][1:] != occ[by][:-1]))[: len(by)]
+            first, times = np.flatnonzero(lead), np.bincount(occ, minlength=len(to))
+            settled = _joined(s1[pick[~lead]], s2[pick[~lead]]).astype(np.int32).tobytes()
+            of_bucket = _runs(to[occ[first]])
+            begun = len(rows)
             for b, mine in _runs(to).items():
                 rank[mine] = np.arange(len(mine))
-                o = of_bucket[b]
+                o = first[of_bucket[b]]
                 rows.append({
                     "bucket": b, "chunk_id": chunk.as_py(), "data": b"".join(segs[i] for i in mine.tolist()), "lengths": np.array([len(segs[i]) for i in mine.tolist()], np.int32).tobytes(),
                     "hot": np.packbits(np.array([hots[i] for i in mine.tolist()], bool)).tobytes(), "occ_seg": rank[occ[o]].astype(np.int32).tobytes(), "occ_doc": doc[o].astype(np.int64).tobytes(), "occ_start": s1[pick][o].astype(np.int32).tobytes(),
+                    "occ_times": times[occ[o]].astype(np.int32).tobytes(),
                 })
-        kinds = pa.schema([("bucket", pa.int32()), ("chunk_id", pa.int64()), *((c, pa.binary()) for c in ("data", "lengths", "hot", "occ_seg", "occ_doc", "occ_start"))])
+            if settled:
+                rows[begun + chunk.as_py() % (len(rows) - begun)]["settled"] = settled
+        kinds = pa.schema([("bucket", pa.int32()), ("chunk_id", pa.int64()), *((c, pa.binary()) for c in ("data", "lengths", "hot", "occ_seg", "occ_doc", "occ_start", "occ_times", "settled"))])
         return pa.Table.from_pylist(rows, kinds)
 
     return chunks.groupBy("chunk_id").cogroup(masks.groupBy("chunk_id")).applyInArrow(one, SEGMENTS)
 
 
+def _joined(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Ranges in order, as rows of first number and count; adjacent ones are joined."""
+    if not len(first):
+        return np.empty((0, 2), np.int64)
+    new = np.flatnonzero(np.concatenate(([True], first[1:] != last[:-1] + 1)))
+    return np.stack((first[new], np.add.reduceat(last - first + 1, new)), 1)
+
+
 @dataclass
 class Bucket:
-    """Distinct segments of a bucket and where they stand."""
+    """Distinct segments of a bucket and where they first stand in each chunk."""
 
     segs: list[bytes]
     hot: np.ndarray
-    #: Of each occurrence: its segment, document key, chunk, and first window start in the chunk.
+    #: Of each first place: its segment, document key, chunk, first window start in the chunk, and how many places the
+    #: chunk has.
     seg: np.ndarray
     doc: np.ndarray
     chunk: np.ndarray
     start: np.ndarray
+    times: np.ndarray
 
 
 def gather(t: pa.Table) -> Bucket:
     known: dict[bytes, int] = {}
     hot: list[bool] = []
-    seg, doc, chunk, start = [], [], [], []
+    seg, doc, chunk, start, times = [], [], [], [], []
     for r in t.to_pylist():
         lengths = np.frombuffer(r["lengths"], np.int32)
         ends = np.cumsum(lengths, dtype=np.int64)
@@ -232,7 +262,8 @@ def gather(t: pa.Table) -> Bucket:
         doc.append(np.frombuffer(r["occ_doc"], np.int64))
         chunk.append(np.full(len(o), r["chunk_id"], np.int64))
         start.append(np.frombuffer(r["occ_start"], np.int32).astype(np.int64))
-    return Bucket(list(known), np.array(hot, bool), *(np.concatenate(x) for x in (seg, doc, chunk, start)))
+        times.append(np.frombuffer(r["occ_times"], np.int32).astype(np.int64))
+    return Bucket(list(known), np.array(hot, bool), *(np.concatenate(x) for x in (seg, doc, chunk, start, times)))
 
 
 def ranges(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -309,7 +340,11 @@ def compare_across(found: DataFrame, keep_first: bool) -> DataFrame:
 
 
 def judged(segments: DataFrame, judge: Callable[[Bucket], list[dict]]) -> DataFrame:
-    return segments.groupBy("bucket").applyInArrow(lambda t: found_table(judge(gather(t))), FOUND)
+    def one(t: pa.Table) -> pa.Table:
+        settled = [{"chunk_id": c, "starts": s} for c, s in zip(t["chunk_id"].to_pylist(), t["settled"].to_pylist(), strict=True) if s]
+        return found_table(settled + judge(gather(t.drop_columns(["settled"]))))
+
+    return segments.groupBy("bucket").applyInArrow(one, FOUND)
 
 
 def cover(n_units: int, window: int, found: list[bytes]) -> np.ndarray:

@@ -89,7 +89,7 @@ def _judge(window: int, buckets: int):
         text = np.array(symbols, np.int64)
         del symbols, known
         base = np.cumsum(lengths + 1) - lengths - 1
-        times = np.bincount(b.seg, minlength=len(b.segs))
+        times = np.bincount(b.seg, b.times, len(b.segs)).astype(np.int64)
         index = FMIndex(text, int(lengths.max()) + 1)
         weight = np.append(np.repeat(times, lengths + 1), 1)
         n_windows = lengths - window + 1
