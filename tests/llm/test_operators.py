@@ -16,7 +16,7 @@ from loreweave.llm.bpe_codec import bpe_encode
 from loreweave.llm.decontaminate import decontaminate
 from loreweave.llm.exact_dedup import Directory, exact_dedup
 from loreweave.llm.fm_index import FMIndex
-from loreweave.llm.language_id import language_id
+from loreweave.llm.language_id import language_id, sample
 from loreweave.llm.lattice_lm import Lattice, lattice_lm
 from loreweave.llm.near_dedup import components, match_threshold, near_dedup
 from loreweave.llm.queries import ORACLE_SQL, QUERIES
@@ -135,6 +135,18 @@ def test_substring_dedup(spark, hot, seed):
     assert {k: (r["n_words"], r["n_removed"], r["kept_sha256"]) for k, r in got.items()} == brute_substring(texts, 35)
 
 
+@pytest.mark.parametrize("hot", [20_000, 5])
+@pytest.mark.parametrize("parts", [1, 4])
+def test_many_copies(spark, hot, parts):
+    """Chunks that have a segment many times, in documents whose order is not that of the chunk, and one that has it once."""
+    base = [t for _, t in awkward(6, 12) if t]
+    texts = [(1000 - i, t) for i, t in enumerate([*base * 5, "new " * 3 + base[-1], *base[-2:] * 20, " ".join(f"w{i}" for i in range(90))])]
+    got = by_id(suffix_dedup(frame(spark, texts, parts), hot_above=hot))
+    assert {k: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for k, r in got.items()} == brute_suffix(texts, 100)
+    got = by_id(substring_dedup(frame(spark, texts, parts), hot_above=hot))
+    assert {k: (r["n_words"], r["n_removed"], r["kept_sha256"]) for k, r in got.items()} == brute_substring(texts, 35)
+
+
 def test_fm_index():
     rng = np.random.default_rng(2)
     text = rng.integers(1, 6, 3000)
@@ -299,6 +311,15 @@ def test_language_id(spark):
     assert language_id(docs.drop("lang").limit(3)).filter("lang_pred <> 'und'").isEmpty()
 
 
+def test_language_sample_is_bounded(spark):
+    """Also where all rows share an id, so that a hash of it picks all or none."""
+    rows = spark.createDataFrame([(i % 2, f"some words {i}", "en") for i in range(400)], "doc_id long, text string, lang string")
+    for per in (5, 1000):
+        texts, labels = sample(rows, per, 1 << 15)
+        assert len(texts) == len(labels) <= min(400, 2 * per)
+    assert len(texts) == 400
+
+
 def test_lattice_sums_over_all_segmentations():
     lat = Lattice(P.path("piece_bpe_32k.model"))
 
