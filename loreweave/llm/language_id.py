@@ -98,17 +98,22 @@ def fit(texts: list[str], labels: list[str], landmarks: int, ridge: float) -> Ke
 
 
 def sample(labelled: DataFrame, per_language: int, most_bytes: int) -> tuple[list[str], list[str]]:
-    """About ``per_language`` rows of each language, by a hash of doc_id; texts over ``most_bytes`` are not fitted on.
+    """``per_language`` rows of each language, or all if it has fewer: those with the least hashes of doc_id and text.
 
-    Repeated ids share their hash, so the rows that reach the driver are also held to twice that number over all languages.
+    Rows that repeat an id and a text count once, and a null id leaves the hash to the text, so neither crowds out
+    others. Texts over ``most_bytes`` are not fitted on.
     """
     usable = labelled.filter((F.octet_length("text") <= most_bytes) & F.col("text").rlike(r"\p{L}"))
-    counts = usable.groupBy("lang").count().collect()
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"]))]) if counts else None
-    if share is None:
+    hashed = usable.select("doc_id", "lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("hash"))
+    counts = hashed.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")).collect()
+    if not counts:
         return [], []
-    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20)
-    chosen = usable.filter(pick).select("doc_id", "lang", "text").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "lang", "text").limit(2 * per_language * len(counts))
+    # more than per_language hashes of each language meet in one row, and far fewer than all
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, (2 * per_language + 100) / max(1, r["n"])))])
+    least = F.slice(F.sort_array(F.collect_set("hash")), 1, per_language)
+    bounds = hashed.filter(F.col("hash") < F.element_at(share, F.col("lang")) * (1 << 40)).groupBy("lang").agg(F.array_max(least).alias("most")).collect()
+    most = F.create_map(*[F.lit(x) for r in bounds for x in (r["lang"], r["most"])])
+    chosen = hashed.filter(F.col("hash") <= F.element_at(most, F.col("lang"))).select("doc_id", "lang", "text").distinct()
     rows = sorted(chosen.collect(), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
     return [r[2] for r in rows], [r[1] for r in rows]
 
@@ -128,7 +133,7 @@ def language_id(
 ) -> DataFrame:
     """Predicts the language of every whole text.
 
-    The classifier is fitted on the driver to a bounded sample, about ``per_language`` rows of each language, of rows
+    The classifier is fitted on the driver to a bounded sample, ``per_language`` rows of each language at most, of rows
     whose crc32 of doc_id (as text) modulo 4 is not 2, with a language and a text of ``most_bytes`` at most. Executors
     score batches of texts by one matrix product with the folded weights of landmarks and regression.
 

@@ -320,6 +320,13 @@ def test_language_sample_is_bounded(spark):
     assert len(texts) == 400
 
 
+def test_language_sample_of_each_language(spark):
+    """Rows without id, and copies of one row, leave the other languages their part and get their own."""
+    rows = [(None, f"worte {i}", "de") for i in range(3000)] + [(i, f"mots {i}", "fr") for i in range(300)] + [(7, "words", "en")] * 3000 + [(i % 2, f"parole {i}", "it") for i in range(3000)]
+    _, labels = sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 5, 1 << 15)
+    assert Counter(labels) == {"de": 5, "fr": 5, "en": 1, "it": 5}
+
+
 def test_lattice_sums_over_all_segmentations():
     lat = Lattice(P.path("piece_bpe_32k.model"))
 
