@@ -39,10 +39,10 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> list[np.nda
     """Sorted distinct hashes of the shingles of each text; of a shorter one, that of its whole sequence."""
     text = split_words(_LOWER[raw], offsets)
     codes = word_codes(text.raw, text.starts, text.ends - text.starts)
-    n = len(codes)
-    h = np.zeros(max(0, n - size + 1), np.uint64)
+    m = max(0, len(codes) - size + 1)
+    h = np.zeros(m, np.uint64)
     for i in range(size):
-        h += codes[i : n - size + 1 + i] * _ODD[i]
+        h += codes[i : i + m] * _ODD[i]
     h = mix(h)
     out = []
     for a, b in zip(text.bounds[:-1].tolist(), text.bounds[1:].tolist(), strict=True):

@@ -18,7 +18,7 @@ from loreweave.llm.exact_dedup import Directory, exact_dedup
 from loreweave.llm.fm_index import FMIndex
 from loreweave.llm.language_id import language_id, sample
 from loreweave.llm.lattice_lm import Lattice, lattice_lm
-from loreweave.llm.near_dedup import components, match_threshold, near_dedup
+from loreweave.llm.near_dedup import components, match_threshold, near_dedup, shingle_sets
 from loreweave.llm.queries import ORACLE_SQL, QUERIES
 from loreweave.llm.substring_dedup import substring_dedup
 from loreweave.llm.suffix_dedup import multikey_quicksort, suffix_dedup
@@ -250,6 +250,17 @@ def test_near_dedup(spark, size, percent, block):
     assert {k: (r["n_shingles"], r["component_id"], r["kept"]) for k, r in got.items()} == links(texts, size, percent)
 
 
+@pytest.mark.parametrize("words", [0, 1, 2, 3, 4, 5, 6])
+def test_near_dedup_few_words(spark, words):
+    """Also where all texts of a slice have fewer words than a shingle."""
+    texts = [(1, " ".join("abcdef"[:words])), (2, None), (3, " ")]
+    sets = shingle_sets(np.frombuffer(texts[0][1].encode(), np.uint8), np.array([0, len(texts[0][1])]), 5)
+    assert [len(s) for s in sets] == [links(texts, 5, 80)[1][0]]
+    if words == 3:
+        got = by_id(near_dedup(frame(spark, texts, 1)))
+        assert {k: (r["n_shingles"], r["component_id"], r["kept"]) for k, r in got.items()} == links(texts, 5, 80)
+
+
 def test_components(spark):
     rng = random.Random(8)
     pairs = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 470)]
