@@ -278,6 +278,13 @@ def test_components(spark):
     assert got == {x: root(x) for x in up if any(x in p and p[0] != p[1] for p in pairs)}
 
 
+def test_components_end_when_nothing_changes(spark, monkeypatch):
+    """However many rounds that takes: a count of rounds, here cut to one, must not end them."""
+    monkeypatch.setattr("loreweave.llm.near_dedup.range", lambda n: range(min(n, 1)), raising=False)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {r["node"]: r["comp"] for r in components(edges, "t").collect()} == dict.fromkeys(range(41), 0)
+
+
 def test_match_threshold():
     miss = lambda n, t, s: sum(math.comb(n, k) * s**k * (1 - s) ** (n - k) for k in range(t))
     for s in (0.8, 0.85):
