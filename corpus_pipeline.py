@@ -86,7 +86,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 @_stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that have a window of a benchmark item."""
-    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=True).filter("not contaminated").select("row.*")
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), items_without_id=True, carry=True).filter("not contaminated").select("row.*")
 
 
 @_stage

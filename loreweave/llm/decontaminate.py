@@ -35,15 +35,15 @@ def words_of(text: str) -> list[bytes]:
 class Phrases:
     """The distinct windows of some benchmark items, as rows of symbols, and the items of each."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int) -> None:
-        found: dict[tuple[bytes, ...], set[int]] = {}
+    def __init__(self, items: list[tuple[int | None, str]], window: int) -> None:
+        found: dict[tuple[bytes, ...], set[int | None]] = {}
         for item, text in items:
             words = words_of(text)
             for i in range(max(1, len(words) - window + 1) if words else 0):
                 found.setdefault(tuple(words[i : i + window]), set()).add(item)
         vocabulary = sorted({w for p in found for w in p})
         self.lengths = np.array([len(p) for p in found], np.int64)
-        self.items = [sorted(x) for x in found.values()]
+        self.items = [list(x) for x in found.values()]
         raw = np.frombuffer(b"".join(vocabulary), np.uint8)
         n = np.array([len(w) for w in vocabulary], np.int64)
         codes = word_codes(raw, np.cumsum(n) - n, n) if vocabulary else np.empty(0, np.uint64)
@@ -71,14 +71,14 @@ def _split(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return low, starts, ends - starts, np.searchsorted(starts, offsets)
 
 
-def hits(raw: np.ndarray, offsets: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[set[int]], np.ndarray, np.ndarray]:
+def hits(raw: np.ndarray, offsets: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[set[int | None]], np.ndarray, np.ndarray]:
     """Of a shard: words and hit words of each document, the hit words, items of each document, word starts and ends.
 
     Only runs of phrase words that are as long as the shortest phrase are indexed; nothing can occur elsewhere.
     """
     low, starts, lengths, bounds = _split(raw, offsets)
     n_docs = len(offsets) - 1
-    items: list[set[int]] = [set() for _ in range(n_docs)]
+    items: list[set[int | None]] = [set() for _ in range(n_docs)]
     depth = np.zeros(len(starts) + 1, np.int64)
     if len(starts) and len(phrases.lengths):
         symbol = phrases.symbols(word_codes(low, starts, lengths))
@@ -135,10 +135,10 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> Iterator[Phrases]:
-    """The benchmark in blocks of a bounded number of words; rows without id or text are left out."""
-    rows = documents(benchmark, id_col, text_col).filter("doc_id is not null and text is not null")
-    block: list[tuple[int, str]] = []
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_words: int, without_id: bool) -> Iterator[Phrases]:
+    """The benchmark in blocks of a bounded number of words; rows without text are left out, and those without id unless ``without_id``."""
+    rows = documents(benchmark, id_col, text_col).filter("text is not null" if without_id else "doc_id is not null and text is not null")
+    block: list[tuple[int | None, str]] = []
     held = 0
     for r in rows.toLocalIterator():
         block.append((r[0], r[1]))
@@ -149,8 +149,8 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block
     yield Phrases(block, window)
 
 
-def sha_of_items(items: set[int]) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
+def sha_of_items(items: set[int | None]) -> str:
+    return hashlib.sha256(",".join(sorted(map(str, items - {None}))).encode()).hexdigest()
 
 
 def decontaminate(
@@ -164,6 +164,7 @@ def decontaminate(
     window: int = 10,
     shard_mb: int = 8,
     block_words: int = 2_000_000,
+    items_without_id: bool = False,
     spans: bool = False,
     carry: bool = False,
 ) -> DataFrame:
@@ -175,17 +176,19 @@ def decontaminate(
     occurrences by sampled suffix positions and merges them to spans. Items reach executors in blocks of
     ``block_words`` words, so the size of what is shipped is bounded; with more than one block, the passes are merged.
 
-    Null or empty documents have no words. Items without id or text are left out; items that share an id count once.
+    Null or empty documents have no words. Items without text are left out; items that share an id count once.
     Rows of documents that share an id stay apart. Empty tables give empty results, or no hits. Other columns are
     ignored.
 
+    items_without_id: whether items without id are searched for too. Their windows hit like others; all of them together
+    count as one in n_items, and items_sha256 leaves them out. Otherwise they are left out.
     spans: adds the column spans, merged [begin, end) byte ranges to remove (array of struct).
     carry: adds the column row, a struct of all input columns.
     """
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *([row_struct(docs)] if carry else []))
     schema = SCHEMA + (", spans array<struct<begin: long, end: long>>" if spans else "")
     passes = []
-    blocks = _blocks(benchmark, item_id_col, item_text_col, window, block_words)
+    blocks = _blocks(benchmark, item_id_col, item_text_col, window, block_words, items_without_id)
     phrases, ahead = next(blocks), next(blocks, None)
     merge = ahead is not None
     raw_schema = "row_id long, doc_id long, n_words long, items array<long>, begins array<long>, ends array<long>, word_begins array<long>, word_ends array<long>"
@@ -213,7 +216,7 @@ def decontaminate(
                 ranges = _spans(hit, starts, ends, n_words, offsets)
                 big = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_pydict({
-                    "row_id": shard.column(2), "doc_id": shard.column(0), "n_words": pa.array(n_words, pa.int64()), "items": pa.array([sorted(x) for x in items], big),
+                    "row_id": shard.column(2), "doc_id": shard.column(0), "n_words": pa.array(n_words, pa.int64()), "items": pa.array([list(x) for x in items], big),
                     "begins": pa.array([[r[2] for r in x] for x in ranges], big), "ends": pa.array([[r[3] for r in x] for x in ranges], big), "word_begins": pa.array([[r[0] for r in x] for x in ranges], big), "word_ends": pa.array([[r[1] for r in x] for x in ranges], big),
                 })
 

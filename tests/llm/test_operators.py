@@ -11,7 +11,9 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from loreweave.llm.bpe_codec import bpe_encode
 from loreweave.llm.decontaminate import decontaminate
 from loreweave.llm.exact_dedup import Directory, exact_dedup
@@ -189,6 +191,34 @@ def test_decontaminate(spark, block_words):
     assert decontaminate(frame(spark, texts), bench.limit(0)).filter("contaminated").isEmpty()
 
 
+@pytest.mark.parametrize("block_words", [2_000_000, 15])
+def test_decontaminate_items_without_id(spark, block_words):
+    texts, items = awkward(3), [(100, awkward(3)[20][1]), (None, "a"), (None, "1 2 3 4 5"), (12, "a"), (13, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = by_id(decontaminate(frame(spark, texts), bench, block_words=block_words, items_without_id=True))
+    want = brute_hits(texts, [(-1 if i is None else i, t) for i, t in items if t], 10)
+    assert {k: (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for k, r in got.items()} == {k: (*w[:3], w[4]) for k, w in want.items()}
+    with_id = brute_hits(texts, [(i, t) for i, t in items if i is not None and t], 10)
+    assert {k: r["items_sha256"] for k, r in got.items()} == {k: w[3] for k, w in with_id.items()} and any(w[2] > with_id[k][2] for k, w in want.items())
+
+
+def test_decontaminate_query_without_item_ids(spark, tmp_path):
+    """The query and its SQL agree, and the pipeline's stage drops what the query calls contaminated."""
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        df = spark.read.parquet(f"{SF}/{t}.parquet")
+        (df.withColumn("item_id", F.when(F.col("item_id") % 2 == 0, F.col("item_id"))) if t == "benchmark" else df).coalesce(1).write.parquet(f"file://{tmp_path}/{t}.parquet")
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = con.sql(ORACLE_SQL["op6_decontaminate"])
+    got = QUERIES["op6_decontaminate"](spark, f"file://{tmp_path}").select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
+    docs = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_contaminated(spark, docs, f"file://{tmp_path}").collect()}
+    assert kept == {r["doc_id"] for r in got if not r["contaminated"]}
+
+
 def test_decontaminate_spans(spark):
     bench = spark.createDataFrame([(1, "one two")], "item_id long, text string")
     row = decontaminate(frame(spark, [(1, "é One, TWO. three")]), bench, spans=True, carry=True).first()
