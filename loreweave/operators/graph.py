@@ -29,13 +29,16 @@ def arrows(edges: DataFrame, direction: str = "both", edge_types: list[str] | No
     return {"out": out, "in": into}.get(direction) or out.unionByName(into)
 
 
-def neighbors(edges: DataFrame, seeds: DataFrame, *, direction: str = "both", edge_types: list[str] | None = None, limit: int = 100) -> DataFrame:
-    """Steps from seeds (type, id), at most ``limit`` for each seed and edge type: out before in, then by edge."""
-    if limit < 0:
+def neighbors(edges: DataFrame, seeds: DataFrame, *, direction: str = "both", edge_types: list[str] | None = None, limit: int | None = 100) -> DataFrame:
+    """Steps from seeds (type, id), at most ``limit`` for each seed and edge type: out before in, then by edge; all if it is None."""
+    if limit is not None and limit < 0:
         raise ValueError("limit must not be negative")
     s = seeds.select(F.col("type").alias("src_type"), F.col("id").alias("src_id")).distinct()
+    steps = arrows(edges, direction, edge_types).join(s, ["src_type", "src_id"])
+    if limit is None:
+        return steps
     order = Window.partitionBy("src_type", "src_id", "edge_type").orderBy(F.col("direction").desc(), "edge_id", "dst_type", "dst_id")
-    return arrows(edges, direction, edge_types).join(s, ["src_type", "src_id"]).withColumn("__rn", F.row_number().over(order)).filter(F.col("__rn") <= limit).drop("__rn")
+    return steps.withColumn("__rn", F.row_number().over(order)).filter(F.col("__rn") <= limit).drop("__rn")
 
 
 def merged_neighbors(steps: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import pytest
 
+from loreweave.operators import graph
 from loreweave.plans.driver_queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -18,3 +19,9 @@ def test_registry(spark):
     assert set(ORACLE_SQL) <= set(e.queries())
     assert set(e.oracle_sql()) <= set(e.queries())
     assert len(e.entry(spark).collect()) == 20
+
+
+def test_neighbors_without_limit(spark):
+    edges = spark.createDataFrame([("e", i, "A", 1, "B", i) for i in range(300)], "edge_type string, edge_id long, from_type string, from_id long, to_type string, to_id long")
+    seeds = spark.createDataFrame([("A", 1)], "type string, id long")
+    assert [graph.neighbors(edges, seeds, **o).count() for o in ({"limit": None}, {}, {"limit": 7})] == [300, 100, 7]
