@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -46,20 +47,26 @@ def expire(cache: DataFrame, days: int, now: Column) -> DataFrame:
     return cache.filter(F.col("last_used") >= now - F.make_dt_interval(F.lit(days)))
 
 
-def embed_missing(rows: DataFrame, embedder: Embedder, batch: int = 100) -> DataFrame:
-    """content_hash and vector of distinct contents that have none; a batch that fails gives null vectors."""
+def embed_missing(rows: DataFrame, embedder: Embedder, batch: int = 100, tries: int = 3, pause: float = 1.0) -> DataFrame:
+    """content_hash and vector of distinct contents that have none.
+
+    A batch that fails is tried again after ``pause`` seconds; after ``tries`` failures it gives null vectors.
+    """
     todo = rows.filter("vector is null").select("content_hash", "content").dropDuplicates(["content_hash"])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for i in range(0, len(part), batch):
                 p = part.iloc[i : i + batch]
-                try:
-                    vectors = embedder(p["content"].tolist())
-                except Exception as e:  # noqa: BLE001  a provider may fail in any way; the reason is kept in the row
-                    yield pd.DataFrame({"content_hash": p["content_hash"], "vector": None, "error": repr(e)})
-                else:
-                    yield pd.DataFrame({"content_hash": p["content_hash"], "vector": vectors, "error": None})
+                for left in reversed(range(tries)):
+                    try:
+                        vectors, error = embedder(p["content"].tolist()), None
+                        break
+                    except Exception as e:  # noqa: BLE001  a provider may fail in any way; the reason is kept in the row
+                        vectors, error = None, repr(e)
+                    if left:
+                        time.sleep(pause)
+                yield pd.DataFrame({"content_hash": p["content_hash"], "vector": vectors, "error": error})
 
     return todo.mapInPandas(run, "content_hash string, vector array<float>, error string")
 

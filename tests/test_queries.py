@@ -2,7 +2,7 @@
 
 import pytest
 
-from loreweave.operators import graph
+from loreweave.operators import graph, index
 from loreweave.plans.driver_queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -25,3 +25,21 @@ def test_neighbors_without_limit(spark):
     edges = spark.createDataFrame([("e", i, "A", 1, "B", i) for i in range(300)], "edge_type string, edge_id long, from_type string, from_id long, to_type string, to_id long")
     seeds = spark.createDataFrame([("A", 1)], "type string, id long")
     assert [graph.neighbors(edges, seeds, **o).count() for o in ({"limit": None}, {}, {"limit": 7})] == [300, 100, 7]
+
+
+def test_embed_missing_tries_thrice(spark, tmp_path):
+    """The first content answers at its third try, the other never; a try is a line of its file."""
+
+    def embed(texts):
+        with open(tmp_path / texts[0], "a+") as f:
+            f.write("x\n")
+            f.seek(0)
+            tries = len(f.readlines())
+        if texts[0] == "never" or tries < 3:
+            raise OSError("no answer")
+        return [[1.0]]
+
+    rows = spark.createDataFrame([("h1", "late", None), ("h2", "never", None)], "content_hash string, content string, vector array<float>")
+    got = {r["content_hash"]: (r["vector"], r["error"]) for r in index.embed_missing(rows, embed, batch=1, pause=0).localCheckpoint().collect()}
+    assert got == {"h1": ([1.0], None), "h2": (None, "OSError('no answer')")}
+    assert (tmp_path / "never").read_text() == "x\n" * 3
