@@ -15,6 +15,8 @@ BYTE_CODES = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np
 _MULTIPLIERS = _RNG.integers(1, 1 << 62, 16, dtype=np.uint64) * np.uint64(4) + np.uint64(3)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 BLOCK_UNITS = 1 << 17
+#: Bytes of words that are hashed at once.
+STEP_BYTES = 1 << 17
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -24,22 +26,51 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h * np.uint64(0xBF58476D1CE4E5B9) ^ (h >> np.uint64(33))
 
 
+def word_spans(wordy: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of runs of wordy bytes, none across documents: where they start, their lengths, and the first of each document.
+
+    offsets: where documents begin, and the end.
+    """
+    brk = np.zeros(len(wordy) + 1, bool)
+    brk[offsets] = True
+    before = np.concatenate(([False], wordy[:-1]))
+    starts = np.flatnonzero(wordy & (~before | brk[:-1]))
+    after = np.concatenate((wordy[1:], [False]))
+    ends = np.flatnonzero(wordy & (~after | brk[1:])) + 1
+    return starts, ends - starts, np.searchsorted(starts, offsets)
+
+
 def word_codes(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A 64-bit code for each word, from its bytes and their places in it."""
-    if not len(starts):
-        return np.empty(0, np.uint64)
+    """A 64-bit code for each word, from its bytes and their places in it; works on STEP_BYTES bytes at a time."""
     out = np.empty(len(starts), np.uint64)
-    powers = np.cumprod(np.full(max(1, int(lengths.max())), _BASE))
-    step = 1 << 14
-    for i in range(0, len(starts), step):
-        s, n = starts[i : i + step], lengths[i : i + step]
+    if not len(starts):
+        return out
+    powers = np.cumprod(np.full(min(int(lengths.max()), STEP_BYTES), _BASE))
+    total = np.cumsum(lengths)
+    i = 0
+    while i < len(starts):
+        if lengths[i] > STEP_BYTES:
+            out[i] = _long_code(raw[starts[i] : starts[i] + lengths[i]], powers)
+            i += 1
+            continue
+        j = int(np.searchsorted(total, total[i] - lengths[i] + STEP_BYTES, side="right"))
+        s, n = starts[i:j], lengths[i:j]
         ends = np.cumsum(n)
         within = np.arange(ends[-1]) - np.repeat(ends - n, n)
         v = BYTE_CODES[raw[np.repeat(s, n) + within]] * powers[within]
-        out[i : i + step] = np.add.reduceat(v, ends - n)
+        out[i:j] = np.add.reduceat(v, ends - n)
+        i = j
     return mix(out)
 
 
+def _long_code(word: np.ndarray, powers: np.ndarray) -> int:
+    whole, code = 1 << 64, 0
+    for i in range(0, len(word), STEP_BYTES):
+        part = word[i : i + STEP_BYTES]
+        code += int((BYTE_CODES[part] * powers[: len(part)]).sum()) * pow(int(_BASE), i, whole)
+    return code % whole
+
+
 def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
     """A hash for each run of k codes; k is a power of two."""
     h, size, level = codes, 1, 0

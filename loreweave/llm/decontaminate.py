@@ -8,12 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loreweave.llm.anchors import word_codes
-from loreweave.llm.common import documents, materialise, row_struct, with_row
+from loreweave.llm.anchors import word_codes, word_spans
+from loreweave.llm.common import documents, materialise, row_struct, text_bytes, text_slices, with_row
 from loreweave.llm.fm_index import FMIndex
 
 #: Word characters after lower-casing: digits, a-z and all bytes of characters beyond ASCII.
@@ -63,12 +62,7 @@ class Phrases:
 def _split(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased bytes, word starts, word lengths, and the first word of each document."""
     low = _LOWER[raw]
-    wordy = np.concatenate(([False], _WORDY[low], [False]))
-    brk = np.zeros(len(raw) + 1, bool)
-    brk[offsets] = True
-    starts = np.flatnonzero(wordy[1:-1] & (~wordy[:-2] | brk[:-1]))
-    ends = np.flatnonzero(wordy[1:-1] & (~wordy[2:] | brk[1:])) + 1
-    return low, starts, ends - starts, np.searchsorted(starts, offsets)
+    return low, *word_spans(_WORDY[low], offsets)
 
 
 def hits(raw: np.ndarray, offsets: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[set[int | None]], np.ndarray, np.ndarray]:
@@ -114,27 +108,6 @@ def hits(raw: np.ndarray, offsets: np.ndarray, phrases: Phrases) -> tuple[np.nda
     return np.diff(bounds), n_hit, hit, items, starts, starts + lengths
 
 
-def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Rows of a partition in shards of about so many bytes of text, the second column."""
-    for batch in batches:
-        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
-        lo = 0
-        while lo < batch.num_rows:
-            base = sizes[lo - 1] if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(sizes, base + shard_bytes)))
-            yield batch.slice(lo, hi - lo)
-            lo = hi
-
-
-def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of some texts, null as empty, and where each begins."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    _, offsets, data = texts.buffers()
-    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.empty(0, np.uint8)
-    return raw, at - at[0]
-
-
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_words: int, without_id: bool) -> Iterator[Phrases]:
     """The benchmark in blocks of a bounded number of words; rows without text are left out, and those without id unless ``without_id``."""
     rows = documents(benchmark, id_col, text_col).filter("text is not null" if without_id else "doc_id is not null and text is not null")
@@ -196,9 +169,9 @@ def decontaminate(
         shipped = docs.sparkSession.sparkContext.broadcast(phrases)
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            for shard in _shards(batches, shard_mb << 20):
+            for shard in (b.slice(i, j - i) for b in batches for i, j in text_slices(b.column(1), shard_mb << 20)):
                 ids = shard.column(0)
-                raw, offsets = _bytes(shard.column(1))
+                raw, offsets = text_bytes(shard.column(1))
                 n_words, n_hit, hit, items, starts, ends = hits(raw, offsets, shipped.value)
                 out = {"doc_id": ids, "n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "n_items": pa.array([len(x) for x in items], pa.int64()), "items_sha256": pa.array([sha_of_items(x) for x in items], pa.string()), "contaminated": pa.array(n_hit > 0)}
                 if spans or merge:
@@ -210,8 +183,8 @@ def decontaminate(
                 yield pa.RecordBatch.from_pydict(out)
 
         def run_part(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            for shard in _shards(batches, shard_mb << 20):
-                raw, offsets = _bytes(shard.column(1))
+            for shard in (b.slice(i, j - i) for b in batches for i, j in text_slices(b.column(1), shard_mb << 20)):
+                raw, offsets = text_bytes(shard.column(1))
                 n_words, _, hit, items, starts, ends = hits(raw, offsets, shipped.value)
                 ranges = _spans(hit, starts, ends, n_words, offsets)
                 big = pa.list_(pa.int64())

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loreweave.llm.anchors import mix, word_codes
-from loreweave.llm.common import NULL_ID, documents, materialise
-from loreweave.llm.repeats import split_words
+from loreweave.llm.anchors import mix, word_codes, word_spans
+from loreweave.llm.common import NULL_ID, documents, materialise, text_bytes, text_slices
+from loreweave.llm.repeats import WHITE
 
 SCHEMA = "doc_id long, n_shingles long, component_id long, kept boolean"
 _RNG = np.random.default_rng(977)
@@ -20,6 +21,10 @@ _ODD = _RNG.integers(1, 1 << 62, 256, dtype=np.uint64) * np.uint64(2) + np.uint6
 _ADD = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Bytes of text that become sets at once.
+SLICE_BYTES = 1 << 20
+#: Rows of a large group, about, that are compared with all others first.
+PIVOTS = 32
 
 
 def match_threshold(coordinates: int, similarity: float, miss: float) -> int:
@@ -37,15 +42,16 @@ def match_threshold(coordinates: int, similarity: float, miss: float) -> int:
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
     """Sorted distinct hashes of the shingles of each text; of a shorter one, that of its whole sequence."""
-    text = split_words(_LOWER[raw], offsets)
-    codes = word_codes(text.raw, text.starts, text.ends - text.starts)
+    low = _LOWER[raw]
+    starts, lengths, bounds = word_spans(~WHITE[low], offsets)
+    codes = word_codes(low, starts, lengths)
     m = max(0, len(codes) - size + 1)
     h = np.zeros(m, np.uint64)
     for i in range(size):
         h += codes[i : i + m] * _ODD[i]
     h = mix(h)
     out = []
-    for a, b in zip(text.bounds[:-1].tolist(), text.bounds[1:].tolist(), strict=True):
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if b - a >= size:
             out.append(np.unique(h[a : b - size + 1]))
         elif b > a:
@@ -66,70 +72,30 @@ def signatures(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
     return out
 
 
-def _texts(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Slices of a batch's texts of about so many bytes: first row, end, bytes and offsets."""
-    strings = [(t or "").encode() for t in batch.column(column).to_pylist()]
-    i = 0
-    while i < len(strings):
-        j, held = i, 0
-        while j < len(strings) and (j == i or held + len(strings[j]) <= most):
-            held += len(strings[j])
-            j += 1
-        yield i, j, np.frombuffer(b"".join(strings[i:j]), np.uint8), np.concatenate(([0], np.cumsum([len(s) for s in strings[i:j]])))
-        i = j
+def _sets(texts: pa.Array, size: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """Shingle sets of texts, a slice of SLICE_BYTES at a time; a longer text is a slice of its own."""
+    for i, j in text_slices(texts, SLICE_BYTES):
+        yield i, j, shingle_sets(*text_bytes(texts.slice(i, j - i)), size)
 
 
 def _sign(rows: DataFrame, size: int, coordinates: int) -> DataFrame:
-    """For each row: the size of its set, a 128-bit digest of the set, and its signature (null if it is empty)."""
+    """For each row: bytes of its text, the size of its set, a 128-bit digest of the set, and its signature (null if it is empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.uint64(0)
         for batch in batches:
-            for i, j, raw, offsets in _texts(batch, 2):
-                sets = shingle_sets(raw, offsets, size)
-                full = [s for s in sets if len(s)]
-                sig = iter(signatures(full, coordinates) if full else ())
-                none = np.uint64(0)
+            for i, j, sets in _sets(batch.column(2), size):
+                full = np.array([len(s) > 0 for s in sets])
+                sig = signatures([s for s in sets if len(s)], coordinates).view(np.int32) if full.any() else np.empty((0, coordinates), np.int32)
+                ends = np.concatenate(([0], np.cumsum(full * coordinates))).astype(np.int32)
+                texts = batch.column(2).slice(i, j - i)
                 yield pa.RecordBatch.from_pydict({
-                    "row_id": batch.column(0).slice(i, j - i), "doc_id": batch.column(1).slice(i, j - i), "n": pa.array([len(s) for s in sets], pa.int64()),
+                    "row_id": batch.column(0).slice(i, j - i), "doc_id": batch.column(1).slice(i, j - i), "bytes": pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()),
                     "d1": pa.array(np.array([mix(s).sum() if len(s) else none for s in sets], np.uint64).view(np.int64)), "d2": pa.array(np.array([mix(s ^ _ADD[7]).sum() if len(s) else none for s in sets], np.uint64).view(np.int64)),
-                    "sig": pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary()),
+                    "sig": pa.ListArray.from_arrays(pa.array(ends), pa.array(sig.reshape(-1)), mask=pa.array(~full)),
                 })
 
-    return rows.mapInArrow(run, "row_id long, doc_id long, n long, d1 long, d2 long, sig binary")
-
-
-def _post(classes: DataFrame, coordinates: int) -> DataFrame:
-    """A posting for each coordinate and value: key (coordinate in the high half) and row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        high = np.arange(coordinates, dtype=np.int64) << 32
-        for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, coordinates)
-            rows = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), coordinates)
-            yield pa.RecordBatch.from_pydict({"key": pa.array((sig.astype(np.int64) | high[None]).reshape(-1)), "row_id": pa.array(rows)})
-
-    return classes.select("row_id", "sig").mapInArrow(run, "key long, row_id long")
-
-
-class Forest:
-    """Disjoint sets of 0..n-1."""
-
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        if x == y:
-            return False
-        self.up[max(x, y)] = min(x, y)
-        return True
+    return rows.mapInArrow(run, "row_id long, doc_id long, bytes long, n long, d1 long, d2 long, sig array<int>")
 
 
 def matching_edges(sig: np.ndarray, threshold: int) -> list[tuple[int, int]]:
@@ -152,73 +118,138 @@ def matching_edges(sig: np.ndarray, threshold: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _merge_lists(postings: DataFrame, coordinates: int, threshold: int) -> DataFrame:
-    """Edges from posting lists; rows come sorted by list."""
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows, sorted by their first two columns, in tables of whole groups, and where each group begins, and the end."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+
+    def whole() -> tuple[pa.Table, np.ndarray]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        key = np.stack([t.column(i).to_numpy() for i in range(2)], 1)
+        return t, np.append(np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1)))), len(key))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)], 1)
+        other = np.flatnonzero((key != key[-1]).any(axis=1))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:
+            held.append(batch.slice(0, cut))
+        if held and (cut or tuple(key[0]) != last):
+            yield whole()
+            held = []
+        held.append(batch.slice(cut))
+        last = tuple(key[-1])
+    if held:
+        yield whole()
+
+
+def _pairs(row: np.ndarray, pairs: list[np.ndarray]) -> pa.RecordBatch:
+    e = np.concatenate([np.empty((0, 2), np.int64), *pairs])
+    e = np.unique(np.sort(row[e], axis=1), axis=0)
+    return pa.RecordBatch.from_pydict({"a": pa.array(e[:, 0]), "b": pa.array(e[:, 1])})
+
+
+def _merge_lists(dealt: DataFrame, coordinates: int, threshold: int) -> DataFrame:
+    """Edges within the blocks of posting lists, from the members' signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def edges(key: np.ndarray, row: np.ndarray, sig: np.ndarray) -> pa.RecordBatch | None:
-            new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1))))
-            n = np.diff(np.append(new, len(key)))
-            two = new[n == 2]
-            a = two[(sig[two] == sig[two + 1]).sum(axis=1) >= threshold]
-            left, right = [row[a]], [row[a + 1]]
-            for i, m in zip(new[n > 2].tolist(), n[n > 2].tolist(), strict=True):
-                if found := matching_edges(sig[i : i + m], threshold):
-                    e = np.array(found) + i
-                    left.append(row[e[:, 0]])
-                    right.append(row[e[:, 1]])
-            pairs = np.stack((np.concatenate(left), np.concatenate(right)), 1)
-            pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-            return pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])}) if len(pairs) else None
-
-        def flush(whole: bool) -> pa.RecordBatch | None:
-            key, row, sig = (np.concatenate(x) for x in zip(*held, strict=True))
-            last = len(key) if whole else int(np.flatnonzero((key != key[-1]).any(axis=1))[-1:].sum() + (key != key[-1]).any())
-            held[:] = [(key[last:], row[last:], sig[last:])] if last < len(key) else []
-            return edges(key[:last], row[:last], sig[:last]) if last else None
+        for t, at in _whole_groups(batches):
+            row, sig = t["row_id"].to_numpy(), t["sig"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, coordinates)
+            n = np.diff(at)
+            two = at[:-1][n == 2]
+            two = two[(sig[two] == sig[two + 1]).sum(axis=1) >= threshold]
+            pairs = [np.stack((two, two + 1), 1)]
+            for i, j in zip(at[:-1][n > 2].tolist(), at[1:][n > 2].tolist(), strict=True):
+                if found := matching_edges(sig[i:j], threshold):
+                    pairs.append(np.array(found) + i)
+            yield _pairs(row, pairs)
+
+    return dealt.select("g", "block", "row_id", "sig").mapInArrow(run, "a long, b long")
+
+
+def _confirm(dealt: DataFrame, size: int, percent: int) -> DataFrame:
+    """Edges within the blocks of candidate components, by full sets made from the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in _whole_groups(batches):
+            row, texts = t["row_id"].to_numpy(), t["text"].combine_chunks()
+            pairs = []
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if j - i > 1 and (found := linked([s for _, _, x in _sets(texts.slice(i, j - i), size) for s in x], percent)):
+                    pairs.append(np.array(found) + i)
+            yield _pairs(row, pairs)
+
+    return dealt.select("g", "block", "row_id", "text").mapInArrow(run, "a long, b long")
+
+
+def _by_blocks(blocks: DataFrame, payload: DataFrame) -> DataFrame:
+    """Members with what their comparison needs, sorted by group and block; a block meets in one task."""
+    return blocks.select("g", "block", "row_id").join(payload, "row_id").repartition("g", "block").sortWithinPartitions("g", "block", "row_id")
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2)], 1)
-            held.append((key, batch.column(2).to_numpy(zero_copy_only=False), np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(-1, coordinates)))
-            if (out := flush(False)) is not None:
-                yield out
-        if held and (out := flush(True)) is not None:
-            yield out
 
-    return postings.select("key", "block", "row_id", "sig").mapInArrow(run, "a long, b long")
+def connected(members: DataFrame, payload: DataFrame, edges_of: Callable[[DataFrame], DataFrame], label: str, most_rows: int, most_bytes: int) -> DataFrame:
+    """Components of the rows that ``edges_of`` links within groups: node and comp.
 
+    members: group g, row_id and bytes; payload: row_id and what edges_of compares. A block, what edges_of sees at
+    once, has about ``most_rows`` rows and ``most_bytes`` bytes at most, and twice that with pivots.
 
-def _blocks(rows: DataFrame, key: str, size: str, block: int) -> DataFrame:
-    """Column block: groups of at most about ``block`` rows stay whole (0); larger ones are dealt by row to parts, and
-    every pair of parts is a block, so that all pairs of rows still meet in some task.
+    1. A group that is too large for one block is dealt to parts by row, and some PIVOTS of its rows, its pivots, go
+       to every part. So the parts of a tight group, such as near copies of one text, hang together by now.
+    2. Where a group is still in several trees, its parts are dealt anew by tree, trees that don't fill a part mixed, and all
+       pairs of parts are compared, except those within one tree: these rows are connected already. This loses no
+       link that would connect anything, and its cost is the group's rows times the parts outside its largest tree.
     """
-    parts = F.ceil(F.col(size) / F.lit(block)).cast("long")
-    own = F.pmod(F.xxhash64("row_id"), parts)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
-    few = rows.filter(F.col(size) <= block).withColumn("block", F.lit(0).cast("long"))
-    many = rows.filter(F.col(size) > block).withColumn("_own", own).withColumn("_parts", parts).withColumn("_other", other)
-    many = many.withColumn("block", F.least("_own", "_other") * F.col("_parts") + F.greatest("_own", "_other")).drop("_own", "_other", "_parts")
-    return few.unionByName(many)
+    ceil = lambda x, by: F.ceil(F.col(x) / F.lit(by)).cast("long")
+    sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("rows"), F.sum("bytes").alias("held")).filter("rows > 1")
+    parts = F.greatest(F.lit(1).cast("long"), ceil("rows", most_rows), ceil("held", most_bytes))
+    sizes = materialise(sizes.withColumn("parts", parts), f"{label}-sizes")
+    few = members.join(sizes.filter("parts = 1"), "g").withColumn("block", F.lit(0).cast("long"))
+    if sizes.filter("parts > 1").isEmpty():
+        return components(edges_of(_by_blocks(few, payload)), label)
+    many = materialise(members.join(sizes.filter("parts > 1"), "g").withColumn("own", F.pmod(F.xxhash64("row_id"), "parts")), f"{label}-large")
+    one_in = F.greatest(ceil("rows", PIVOTS), ceil("held", most_bytes))
+    pivots = many.filter(F.pmod(F.xxhash64("row_id", F.lit(1)), one_in) == 0).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).filter("block <> own")
+    first = few.unionByName(many.withColumn("block", F.col("own")).drop("own")).unionByName(pivots.drop("own"))
+    found = components(edges_of(_by_blocks(first, payload)), label)
+
+    trees = many.join(found, many["row_id"] == found["node"], "left").select("g", "row_id", "bytes", F.coalesce("comp", "row_id").alias("tree"))
+    trees = materialise(trees, f"{label}-trees")
+    each = trees.groupBy("g", "tree").agg(F.count(F.lit(1)).alias("rows"), F.sum("bytes").alias("held"))
+    split = each.groupBy("g").agg(F.count(F.lit(1)).alias("trees"), F.sum("rows").alias("all")).filter("trees > 1").select("g")
+    each = materialise(each.join(split, "g").withColumn("parts", parts), f"{label}-each")
+    if each.isEmpty():
+        return found
+    # a tree of several parts is never mixed; of the others' parts there are as many as they fill
+    small = each.filter("parts = 1").groupBy("g").agg(F.greatest(F.ceil(F.sum("rows") / F.lit(most_rows)), F.ceil(F.sum("held") / F.lit(most_bytes))).cast("long").alias("mixed"))
+    pure = each.filter("parts > 1").select("g", F.col("tree").alias("other_tree"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other_part"))
+    others = materialise(pure.unionByName(small.select("g", F.lit(-1).cast("long").alias("other_tree"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("mixed") - 1)).alias("other_part"))), f"{label}-parts")
+    rows = trees.join(each.select("g", "tree", "parts"), ["g", "tree"]).join(small, "g", "left")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("row_id", F.lit(2)), F.when(F.col("parts") > 1, F.col("parts")).otherwise(F.col("mixed"))))
+    rows = rows.withColumn("tree", F.when(F.col("parts") > 1, F.col("tree")).otherwise(F.lit(-1)))
+    mine, other = F.struct("tree", "part"), F.struct(F.col("other_tree").alias("tree"), F.col("other_part").alias("part"))
+    pairs = rows.join(others, "g").filter((F.col("tree") == -1) | (F.col("tree") != F.col("other_tree")))
+    pairs = pairs.withColumn("block", F.xxhash64(F.least(mine, other), F.greatest(mine, other)))
+    more = edges_of(_by_blocks(pairs, payload)).unionByName(found.select(F.col("node").alias("a"), F.col("comp").alias("b")))
+    return components(more, f"{label}-again")
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
     """node and comp, the least node of its component, for all nodes of edges (a, b).
 
-    Alternates large-star and small-star steps until nothing changes; every round is written to the shared folder.
+    Alternates large-star and small-star steps until nothing changes. Every step's least neighbours and every round's edges
+    are written to the shared folder, so a node's rows join with one row behind an exchange of their own, which Spark
+    splits where a node has very many.
     """
     edges = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{label}-edges")
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.col("b").alias("x"), "a", "m")
-        small = small.select(F.col("x").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
+        least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{label}-least")
+        large = materialise(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), f"{label}-large-star")
+        down = materialise(large.groupBy("a").agg(F.min("b").alias("m")), f"{label}-least")
+        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
         edges = materialise(small.filter("a <> b").distinct(), f"{label}-round")
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
@@ -229,7 +260,10 @@ def components(edges: DataFrame, label: str) -> DataFrame:
 
 
 def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs with 100 * intersection >= percent * union, by full sets."""
+    """A spanning forest of the pairs with 100 * intersection >= percent * union, by full sets.
+
+    Only sets that no tree has reached yet are looked at, so near copies of one text take one turn.
+    """
     n = np.array([len(s) for s in sets], np.int64)
     if len(sets) == 2:
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
@@ -243,38 +277,25 @@ def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     group = np.empty(len(flat), np.int64)
     group[order] = np.repeat(np.arange(len(new)), ends - new)
     at = np.cumsum(n) - n
-    forest, edges = Forest(len(sets)), []
     shared = ends - new > 1
-    for x in range(len(sets)):
-        mine = group[at[x] : at[x] + n[x]]
-        lists = [owner[a:b] for a, b in zip(new[mine[shared[mine]]].tolist(), ends[mine[shared[mine]]].tolist(), strict=True)]
-        if not lists:
-            continue
-        both = np.bincount(np.concatenate(lists), minlength=len(sets))
-        for y in np.flatnonzero(100 * both >= percent * (n + n[x] - both)).tolist():
-            if y > x and forest.join(x, y):
-                edges.append((x, y))
+    rest, edges = np.ones(len(sets), bool), []
+    for root in range(len(sets)):
+        todo = [root] if rest[root] else []
+        rest[root] = False
+        while todo and rest.any():
+            x = todo.pop()
+            mine = group[at[x] : at[x] + n[x]]
+            mine = mine[shared[mine]]
+            size = ends[mine] - new[mine]
+            places = np.repeat(new[mine] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            both = np.bincount(owner[places], minlength=len(sets))
+            found = np.flatnonzero(rest & (both > 0) & (100 * both >= percent * (n + n[x] - both))).tolist()
+            edges += [(x, y) for y in found]
+            rest[found] = False
+            todo += found
     return edges
 
 
-def _confirm(rows: DataFrame, size: int, percent: int, bins: int) -> DataFrame:
-    """Edges between rows of the same candidate component (and block), confirmed on full sets made from their texts."""
-
-    def one(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("comp", "ascending"), ("block", "ascending"), ("row_id", "ascending")])
-        row = t["row_id"].to_numpy()
-        key = np.stack((t["comp"].to_numpy(), t["block"].to_numpy()), 1)
-        new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1))))
-        texts = t.select(["text"]).combine_chunks().to_batches()
-        sets = [s for b in texts for _, _, raw, offsets in _texts(b, 0) for s in shingle_sets(raw, offsets, size)]
-        pairs = [(i + a, i + b) for i, j in zip(new.tolist(), np.append(new[1:], len(row)).tolist(), strict=True) if j - i > 1 for a, b in linked(sets[i:j], percent)]
-        e = np.array(pairs, np.int64).reshape(-1, 2)
-        return pa.table({"a": pa.array(row[e[:, 0]]), "b": pa.array(row[e[:, 1]])})
-
-    task = F.pmod(F.xxhash64("comp", "block"), F.lit(bins))
-    return rows.select(task.alias("task"), "comp", "block", "row_id", "text").groupBy("task").applyInArrow(one, "a long, b long")
-
-
 def near_dedup(
     docs: DataFrame,
     *,
@@ -285,7 +306,7 @@ def near_dedup(
     coordinates: int = 32,
     miss: float = 1e-6,
     block: int = 2048,
-    task_mb: int = 16,
+    block_mb: int = 8,
 ) -> DataFrame:
     """Components of documents linked by 100 * intersection >= ``percent`` * union of their shingle sets.
 
@@ -294,13 +315,17 @@ def near_dedup(
        matches in T coordinates but for a chance of ``miss`` (match_threshold), so it shares one of the
        coordinates - T + 1 rarest of either: only these prefixes are joined.
     3. Each posting list counts collisions of its members' signatures, skipping those that already hang together, and
-       keeps a spanning forest of the pairs above the match threshold. Long lists are dealt to pairs of blocks.
-    4. Candidate components confirm links on full sets made from the texts; large ones in pairs of blocks.
+       keeps a spanning forest of the pairs above the match threshold.
+    4. Candidate components confirm links on full sets made from the texts.
+
+    Lists and components of over ``block`` rows or ``block_mb`` are compared in blocks, without losing a link that
+    connects anything (see ``connected``).
 
     Words lie between white space, with A-Z lower-cased. A document with fewer words than a shingle has its whole
-    sequence as its only one; without words, its set is empty and it is linked with nothing. A null id is behind all
-    others: component_id is null where no document has an id. kept: whether doc_id equals component_id; rows that
-    repeat an id and a text are alike in it. An empty table gives an empty result; other columns are ignored.
+    sequence as its only one; without words or text, its set is empty and it is linked with nothing. A null id is behind
+    all others: component_id is null where no document has an id. kept: whether doc_id equals component_id; rows that
+    repeat an id and a text are alike in it. A text of any length is used whole; what a task holds at once is one such
+    text, or a block. An empty table gives an empty result; other columns are ignored, whatever their names.
     """
     threshold = match_threshold(coordinates, percent / 100, miss)
     prefix = coordinates - threshold + 1
@@ -308,24 +333,18 @@ def near_dedup(
     signed = materialise(_sign(rows, shingle, coordinates), "near-signed")
     same = ["d1", "d2", "n"]
     least = F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("least_id")
-    classes = signed.filter("n > 0").groupBy(*same).agg(least, F.min(F.struct("row_id", "sig")).alias("x")).select(*same, "least_id", "x.row_id", "x.sig")
+    classes = signed.filter("n > 0").groupBy(*same).agg(least, F.min(F.struct("row_id", "bytes", "sig")).alias("x")).select(*same, "least_id", "x.row_id", "x.bytes", "x.sig")
     classes = materialise(classes, "near-classes")
-    posts = _post(classes, coordinates)
-    frequency = posts.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    listed = posts.join(frequency, "key").groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("k"))
+    # coordinate in the high half of a key, value in the low one
+    posts = classes.select("row_id", F.posexplode("sig").alias("at", "value")).select("row_id", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("g"))
+    frequency = posts.groupBy("g").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    listed = posts.join(frequency, "g").groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("k"))
     # coordinates that nobody shares are the rarest, and come first in the prefix
     listed = listed.withColumn("k", F.slice("k", 1, F.greatest(F.lit(0), F.lit(prefix - coordinates) + F.size("k")))).filter(F.size("k") > 0)
-    joined = listed.join(classes.select("row_id", "sig"), "row_id").select("row_id", "sig", F.explode("k").alias("p")).select("p.key", "p.df", "row_id", "sig")
-    lists = _blocks(joined, "key", "df", block).repartition("key", "block").sortWithinPartitions("key", "block", "row_id")
-    candidates = components(_merge_lists(lists, coordinates, threshold), "near-candidates")
-    sizes = candidates.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    grouped = candidates.join(sizes, "comp").select(F.col("node").alias("row_id"), "comp", "size")
-    in_groups = materialise(_blocks(grouped, "comp", "size", block), "near-groups")
-    texts = in_groups.join(rows.select("row_id", "text"), "row_id")
-    held = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # not fewer tasks than any exchange has, so that the blocks of a large group spread
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // (task_mb << 20)))
-    links = components(_confirm(texts, shingle, percent, tasks), "near-links")
+    lists = materialise(listed.select(F.explode("k.g").alias("g"), "row_id", F.lit(4 * coordinates).cast("long").alias("bytes")), "near-lists")
+    candidates = connected(lists, classes.select("row_id", "sig"), lambda dealt: _merge_lists(dealt, coordinates, threshold), "near-candidates", block, block_mb << 20)
+    groups = candidates.join(classes.select("row_id", "bytes"), candidates["node"] == classes["row_id"]).select(F.col("comp").alias("g"), "row_id", "bytes")
+    links = connected(materialise(groups, "near-groups"), rows.select("row_id", "text"), lambda dealt: _confirm(dealt, shingle, percent), "near-links", block, block_mb << 20)
     labelled = classes.select(*same, "least_id", "row_id").join(links.withColumnRenamed("node", "row_id"), "row_id", "left").withColumn("comp", F.coalesce("comp", "row_id"))
     ids = labelled.groupBy("comp").agg(F.min("least_id").alias("component"))
     by_class = labelled.join(ids, "comp").select(*same, "component")

@@ -25,12 +25,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from loreweave.llm.anchors import find_anchors, mix
+from loreweave.llm.anchors import find_anchors, mix, word_spans
 from loreweave.llm.common import binary, map_batches, unpack_chunk
 
 SPACE = 32
-_WHITE = np.zeros(256, bool)
-_WHITE[[9, 10, 11, 12, 13, 32]] = True
+WHITE = np.zeros(256, bool)
+WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 
 @dataclass(frozen=True)
@@ -55,26 +55,13 @@ class Text:
 
 def split_words(raw: np.ndarray, offsets: np.ndarray) -> Text:
     """Words between white space; the result's raw has one space between words."""
-    n = len(raw)
-    wordy = ~_WHITE[raw]
-    first = wordy.copy()
-    if n:
-        first[1:] &= ~wordy[:-1] | np.isin(np.arange(1, n), offsets[1:-1], assume_unique=False)
-    starts = np.flatnonzero(first)
-    stop = np.ones(n, bool)
-    if n:
-        stop[:-1] = ~wordy[1:]
-        inner = offsets[1:-1]
-        stop[inner[(inner > 0) & (inner < n)] - 1] = True
-    ends = np.flatnonzero(wordy & stop) + 1
-    bounds = np.searchsorted(starts, offsets)
-    lengths = ends - starts
-    keep = wordy.copy()
+    wordy = ~WHITE[raw]
+    _, lengths, bounds = word_spans(wordy, offsets)
     out_starts = np.cumsum(lengths + 1) - lengths - 1
     joined = np.full(int(lengths.sum()) + len(lengths), SPACE, np.uint8)
     place = np.ones(len(joined), bool)
     place[out_starts + lengths] = False
-    joined[place] = raw[keep]
+    joined[place] = raw[wordy]
     return Text(joined, out_starts, out_starts + lengths, bounds)
 
 
