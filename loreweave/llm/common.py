@@ -30,15 +30,21 @@ def scratch(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def owned_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; a block of owned_tables() learns of it."""
+    path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
+    if _OWNED:
+        _OWNED[-1].append(path)
+    return path
+
+
 def materialise(df: DataFrame, label: str, row_group_mb: int = 32) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back.
 
     The rows survive lost executors, and the lineage is cut.
     """
     spark = df.sparkSession
-    path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
-    if _OWNED:
-        _OWNED[-1].append(path)
+    path = owned_path(spark, label)
     df.write.option("compression", "zstd").option("parquet.block.size", row_group_mb << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -64,6 +70,13 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def tables_read(df: DataFrame) -> list[str]:
+    """The folders of the files that df reads."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    files = [leaves.apply(i) for i in range(leaves.size())]
+    return [x.relation().location().rootPaths().mkString(",") for x in files if x.getClass().getSimpleName() == "LogicalRelation"]
+
+
 def with_row(df: DataFrame, schema: str) -> T.StructType:
     """schema with the column row: all columns of df as a struct."""
     return T.StructType([*T._parse_datatype_string(schema).fields, T.StructField("row", df.schema)])
@@ -109,6 +122,36 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows, sorted by their first columns, ``keys`` numbers, in tables of whole groups, and where each group begins, and the end."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+
+    def key_of(t: pa.Table | pa.RecordBatch) -> np.ndarray:
+        return np.stack([np.asarray(t.column(i)) for i in range(keys)], 1)
+
+    def whole() -> tuple[pa.Table, np.ndarray]:
+        t = pa.Table.from_batches(held)
+        key = key_of(t)
+        return t, np.append(np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1)))), len(key))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = key_of(batch)
+        other = np.flatnonzero((key != key[-1]).any(axis=1))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:
+            held.append(batch.slice(0, cut))
+        if held and (cut or tuple(key[0]) != last):
+            yield whole()
+            held = []
+        held.append(batch.slice(cut))
+        last = tuple(key[-1])
+    if held:
+        yield whole()
+
+
 def binary(arrays: list[np.ndarray]) -> pa.Array:
     return pa.array([np.ascontiguousarray(x).tobytes() for x in arrays], pa.binary())
 

@@ -27,25 +27,28 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 class Bits:
-    """A bit vector with rank: 64-bit words and the count of ones before each."""
+    """A compressed bit vector with rank: 64-bit blocks by number in a table of the distinct ones, and the count of ones
+    before each block. Where the text repeats itself, most blocks are alike, and a number takes one or two bytes.
+    """
 
     def __init__(self, bits: np.ndarray) -> None:
         n = len(bits)
         packed = np.packbits(bits, bitorder="little")
         words = np.zeros(n // 64 + 1, np.uint64)
         words.view(np.uint8)[: len(packed)] = packed
-        self.words = words
         self.before = np.zeros(len(words), np.int32)
         np.cumsum(np.bitwise_count(words[:-1]), dtype=np.int32, out=self.before[1:])
+        self.table, block = np.unique(words, return_inverse=True)
+        self.block = block.astype(np.min_scalar_type(len(self.table)))
 
     def rank(self, i: np.ndarray) -> np.ndarray:
         """Ones before place i."""
         w = i >> 6
         low = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[w] + np.bitwise_count(self.words[w] & low)
+        return self.before[w] + np.bitwise_count(self.table[self.block[w]] & low)
 
     def get(self, i: np.ndarray) -> np.ndarray:
-        return (self.words[i >> 6] >> (i & 63).astype(np.uint64)) & np.uint64(1)
+        return (self.table[self.block[i >> 6]] >> (i & 63).astype(np.uint64)) & np.uint64(1)
 
 
 class WaveletTree:
@@ -98,21 +101,26 @@ class FMIndex:
     Suffixes that agree in that many symbols may stand in any order; no pattern that is allowed can tell them apart.
     """
 
-    def __init__(self, text: np.ndarray, depth: int, every: int = 0) -> None:
-        """every: keeps each so-many-th text place, for locate(); 0 keeps none.
+    def __init__(self, text: np.ndarray, depth: int, every: int = 0, marks: np.ndarray | None = None) -> None:
+        """every: keeps each so-many-th text place, for locate(); 0 keeps none. marks: whether to mark the suffix at each
+        place of text, for marked(). Of the suffix order itself, nothing else is kept.
 
         locate() walks from suffix to suffix, so for it the order must be whole.
         """
         body = np.concatenate((text.astype(np.int64), [0]))
         self.n = len(body)
-        self.order = suffix_order(body, len(body) if every else depth)
-        self.tree = WaveletTree(body[self.order - 1])
+        order = suffix_order(body, len(body) if every else depth)
+        self.tree = WaveletTree(body[order - 1])
         self.first = np.concatenate(([0], np.cumsum(np.bincount(body))))
         if every:
-            kept = self.order % every == 0
+            kept = order % every == 0
             self.sampled = Bits(kept)
-            self.samples = self.order[kept]
-            del self.order
+            self.samples = order[kept]
+        if marks is not None:
+            self.marks = Bits(np.append(marks, False)[order])
+
+    def marked(self, row: np.ndarray) -> np.ndarray:
+        return self.marks.get(row).astype(bool)
 
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of the patterns with one more symbol in front."""

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loreweave.llm.anchors import mix, word_codes, word_spans
-from loreweave.llm.common import NULL_ID, documents, materialise, text_bytes, text_slices
+from loreweave.llm.common import NULL_ID, documents, materialise, text_bytes, text_slices, whole_groups
 from loreweave.llm.repeats import WHITE
 
 SCHEMA = "doc_id long, n_shingles long, component_id long, kept boolean"
@@ -118,33 +118,6 @@ def matching_edges(sig: np.ndarray, threshold: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Rows, sorted by their first two columns, in tables of whole groups, and where each group begins, and the end."""
-    held: list[pa.RecordBatch] = []
-    last: tuple | None = None
-
-    def whole() -> tuple[pa.Table, np.ndarray]:
-        t = pa.Table.from_batches(held).combine_chunks()
-        key = np.stack([t.column(i).to_numpy() for i in range(2)], 1)
-        return t, np.append(np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1)))), len(key))
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)], 1)
-        other = np.flatnonzero((key != key[-1]).any(axis=1))
-        cut = int(other[-1]) + 1 if len(other) else 0
-        if cut:
-            held.append(batch.slice(0, cut))
-        if held and (cut or tuple(key[0]) != last):
-            yield whole()
-            held = []
-        held.append(batch.slice(cut))
-        last = tuple(key[-1])
-    if held:
-        yield whole()
-
-
 def _pairs(row: np.ndarray, pairs: list[np.ndarray]) -> pa.RecordBatch:
     e = np.concatenate([np.empty((0, 2), np.int64), *pairs])
     e = np.unique(np.sort(row[e], axis=1), axis=0)
@@ -155,7 +128,7 @@ def _merge_lists(dealt: DataFrame, coordinates: int, threshold: int) -> DataFram
     """Edges within the blocks of posting lists, from the members' signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, at in _whole_groups(batches):
+        for t, at in whole_groups(batches, 2):
             row, sig = t["row_id"].to_numpy(), t["sig"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, coordinates)
             n = np.diff(at)
             two = at[:-1][n == 2]
@@ -173,7 +146,7 @@ def _confirm(dealt: DataFrame, size: int, percent: int) -> DataFrame:
     """Edges within the blocks of candidate components, by full sets made from the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, at in _whole_groups(batches):
+        for t, at in whole_groups(batches, 2):
             row, texts = t["row_id"].to_numpy(), t["text"].combine_chunks()
             pairs = []
             for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
@@ -305,7 +278,7 @@ def near_dedup(
     percent: int = 80,
     coordinates: int = 32,
     miss: float = 1e-6,
-    block: int = 2048,
+    block: int = 1024,
     block_mb: int = 8,
 ) -> DataFrame:
     """Components of documents linked by 100 * intersection >= ``percent`` * union of their shingle sets.

@@ -1,46 +1,60 @@
 """Finding repeated windows over a whole corpus, in four passes over packed chunks.
 
 1. Every chunk sends the distinct hashes of its anchors and how often it has them, as packed arrays, to owners of hash
-   ranges. Owners answer with bit masks: which anchors occur again, and which are hot (too frequent for one bucket).
+   ranges. Owners answer with bit masks: which anchors occur again.
 2. Chunks cut out the segments around repeated anchors, once for each distinct content, and send them to buckets with
    the first place in the chunk and the number of places. At the other places of the chunk, all windows go whatever a
-   bucket finds. A caller's ``route`` gives the bucket of an ordinary anchor; segments around hot anchors are dealt by
-   content instead.
+   bucket finds. Buckets are ranges of suffixes, those that begin at anchors, between sampled splitters.
 3. Buckets judge the windows of their segments (a caller's ``judge``) and answer with ranges of window starts to
-   remove. Windows around hot anchors go on, by window hash, to a last comparison across buckets, unless their own
-   bucket has settled them for good.
+   remove. Equal windows have suffixes that begin alike, so they meet in one bucket unless a splitter falls between
+   them: windows that begin like a splitter at either end of their bucket go on, by window hash, to a last comparison across the
+   boundaries.
 4. Chunks cover the ranges and cut the text.
 
 All four passes move packed arrays; none makes a Spark row per word, byte or window. No key is gathered whole: a hash
-and a segment travel once per chunk, however often the chunk has them, and hot anchors are spread by content.
+and a segment travel once per chunk, however often the chunk has them, and a frequent anchor gets as many splitters
+between its suffixes as their number asks for.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from loreweave.llm.anchors import find_anchors, mix, word_spans
-from loreweave.llm.common import binary, map_batches, unpack_chunk
+from loreweave.llm.common import binary, map_batches, unpack_chunk, whole_groups
+from loreweave.llm.suffix_sort import equal_strings
 
 SPACE = 32
+MOST_TASKS = 100_000
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 
 @dataclass(frozen=True)
 class Units:
-    """How a text is cut: the units of a window, the window, the anchor length, and the codes of the units."""
+    """How a text is cut: the units of a window, the window, the anchor length, and the codes of the units; and the
+    bytes that most stretches of two windows fit into.
+    """
 
     words: bool
     window: int
     gram: int
     codes: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+    stretch: int
+
+    @property
+    def least(self) -> int:
+        """Bytes that an anchor has at least."""
+        return 2 * self.gram - 1 if self.words else self.gram
 
 
 @dataclass
@@ -70,12 +84,16 @@ def split_bytes(raw: np.ndarray, offsets: np.ndarray) -> Text:
     return Text(raw, at[:-1], at[1:], offsets)
 
 
+def split(units: Units, raw: np.ndarray, offsets: np.ndarray) -> Text:
+    return (split_words if units.words else split_bytes)(raw, offsets)
+
+
 def cut(units: Units, ids: pa.ListScalar, sizes: pa.ListScalar, data: pa.BinaryScalar) -> tuple[np.ndarray, Text]:
     keys, raw, offsets = unpack_chunk(ids, sizes, data)
-    return keys, (split_words if units.words else split_bytes)(raw, offsets)
+    return keys, split(units, raw, offsets)
 
 
-def _anchors(units: Units, text: Text) -> tuple[np.ndarray, ...]:
+def anchors_of(units: Units, text: Text) -> tuple[np.ndarray, ...]:
     return find_anchors(units.codes(text.raw, text.starts, text.ends), text.bounds, units.window, units.gram)
 
 
@@ -103,7 +121,7 @@ def send_hashes(chunks: DataFrame, units: Units, owners: int) -> DataFrame:
         rows: list[tuple] = []
         for chunk, *packed in zip(*batch.columns, strict=True):
             _, text = cut(units, *packed)
-            owner, low, times, _ = _distinct(_anchors(units, text)[3], owners)
+            owner, low, times, _ = _distinct(anchors_of(units, text)[3], owners)
             rows += [(o, chunk.as_py(), low[mine], times[mine]) for o, mine in _runs(owner).items()]
         if not rows:
             return None
@@ -113,9 +131,8 @@ def send_hashes(chunks: DataFrame, units: Units, owners: int) -> DataFrame:
     return map_batches(chunks, one, "owner int, chunk_id long, hashes binary, times binary")
 
 
-def mark_repeats(hashes: DataFrame, hot_above: int) -> DataFrame:
-    """For each chunk and owner: the bits of its distinct anchors that occur again anywhere, and of the hot ones."""
-    schema = "chunk_id long, owner int, again binary, hot binary"
+def mark_repeats(hashes: DataFrame) -> DataFrame:
+    """For each chunk and owner: the bits of its distinct anchors that occur again anywhere."""
 
     def one(t: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x, np.uint32) for x in t["hashes"].to_pylist()]
@@ -124,16 +141,12 @@ def mark_repeats(hashes: DataFrame, hot_above: int) -> DataFrame:
         every = every[order]
         new = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
         n = np.add.reduceat(np.frombuffer(b"".join(t["times"].to_pylist()), np.int32)[order].astype(np.int64), new)
-        values, hot_values = every[new[n > 1]], every[new[n > hot_above]]
-        rows = []
-        for chunk, owner, x in zip(t["chunk_id"].to_pylist(), t["owner"].to_pylist(), parts, strict=True):
-            again = _among(x, values)
-            if again.any():
-                hot = _among(x, hot_values)
-                rows.append((chunk, owner, np.packbits(again).tobytes(), np.packbits(hot).tobytes() if hot.any() else b""))
-        return pa.Table.from_pylist([dict(zip(("chunk_id", "owner", "again", "hot"), r, strict=True)) for r in rows], pa.schema([("chunk_id", pa.int64()), ("owner", pa.int32()), ("again", pa.binary()), ("hot", pa.binary())]))
+        values = every[new[n > 1]]
+        again = [_among(x, values) for x in parts]
+        some = np.array([x.any() for x in again])
+        return pa.table({"chunk_id": t["chunk_id"].filter(pa.array(some)), "owner": t["owner"].filter(pa.array(some)), "again": pa.array([np.packbits(x).tobytes() for x, any_ in zip(again, some, strict=True) if any_], pa.binary())})
 
-    return hashes.groupBy("owner").applyInArrow(one, schema)
+    return hashes.groupBy("owner").applyInArrow(one, "chunk_id long, owner int, again binary")
 
 
 def _among(x: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -142,50 +155,96 @@ def _among(x: np.ndarray, values: np.ndarray) -> np.ndarray:
     return values[np.minimum(np.searchsorted(values, x), len(values) - 1)] == x
 
 
-SEGMENTS = "bucket int, chunk_id long, data binary, lengths binary, hot binary, occ_seg binary, occ_doc binary, occ_start binary, occ_times binary, settled binary"
+def suffix_key(segment: bytes, anchor: int) -> bytes:
+    """What ranges are made of: the suffix from the anchor on, then what is before the anchor, backwards."""
+    return segment[anchor:] + segment[:anchor][::-1]
 
 
-def send_segments(chunks: DataFrame, masks: DataFrame, units: Units, owners: int, buckets: int, route: Callable[[bytes, int], int]) -> DataFrame:
-    """route: the bucket of a segment, from its anchor's bytes and hash."""
-    w, k = units.window, units.gram
+def splitters(chunks: DataFrame, units: Units, size: int, buckets: int, per_bucket: int) -> list[bytes]:
+    """Ends of ranges of suffixes: about ``buckets`` quantiles of a sample of ``per_bucket`` times as many.
+
+    The sample grows with the input: every chunk offers suffixes of anchors at random places, by its bytes. The sample is sorted in ranges by
+    Spark, and each range gives out every so-many-th suffix, so that the driver gets the splitters only. A splitter is as
+    short as can be: it has one byte that the suffix before it in the sample hasn't.
+    """
+
+    def offer(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys: list[bytes] = []
+        for chunk, *packed in zip(*batch.columns, strict=True):
+            _, raw, offsets = unpack_chunk(*packed)
+            rng = np.random.default_rng(chunk.as_py() & 0x7FFFFFFFFFFFFFFF)
+            for at in rng.integers(0, max(1, len(raw)), rng.poisson(len(raw) * per_bucket * buckets / max(1, size))).tolist():
+                begin, end = offsets[np.searchsorted(offsets, at, side="right") + np.array([-1, 0])].tolist()
+                at = max(begin, min(at, end - units.stretch))
+                part = raw[at : min(end, at + units.stretch)]
+                text = split(units, part, np.array([0, len(part)]))
+                if len(text.starts) >= units.window:
+                    found = anchors_of(units, text)
+                    which = int(rng.integers(0, len(found[0])))
+                    a, s1, s2 = (int(x[which]) for x in found[:3])
+                    lo = int(text.starts[s1])
+                    keys.append(suffix_key(text.raw[lo : text.ends[s2 + units.window - 1]].tobytes(), int(text.starts[a]) - lo))
+        return pa.RecordBatch.from_pydict({"suffix": pa.array(keys, pa.binary())})
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        i, before = -1 - int(np.random.default_rng(TaskContext.get().partitionId()).integers(0, per_bucket)), None
+        for batch in batches:
+            found = []
+            for x in batch.column(0).to_pylist():
+                i += 1
+                if before is not None and i >= 0 and i % per_bucket == 0 and x != before:
+                    found.append(x[: common_prefix(before, x) + 1])
+                before = x
+            yield pa.RecordBatch.from_pydict({"suffix": pa.array(found, pa.binary())})
+
+    sample = map_batches(chunks, offer, "suffix binary")
+    ranges = sample.repartitionByRange(max(1, per_bucket * buckets // 100_000), "suffix").sortWithinPartitions("suffix")
+    return sorted({bytes(r[0]) for r in ranges.mapInArrow(pick, "suffix binary").collect()})
+
+
+def common_prefix(x: bytes, y: bytes) -> int:
+    n = min(len(x), len(y))
+    if x[:n] == y[:n]:
+        return n
+    lo = 0
+    while n - lo > 1:
+        mid = (lo + n) // 2
+        lo, n = (mid, n) if x[lo:mid] == y[lo:mid] else (lo, mid)
+    return lo
+
+
+SEGMENTS = "bucket int, chunk_id long, data binary, lengths binary, anchors binary, occ_seg binary, occ_doc binary, occ_start binary, occ_times binary, settled binary"
+_BLOBS = ("data", "lengths", "anchors", "occ_seg", "occ_doc", "occ_start", "occ_times", "settled")
+
+
+def send_segments(chunks: DataFrame, masks: DataFrame, units: Units, owners: int, ends: Broadcast) -> DataFrame:
+    """ends: the splitters between buckets."""
+    w = units.window
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
         rows: list[dict] = []
         for chunk, *packed in zip(*(left[c] for c in ("chunk_id", "doc_ids", "sizes", "data")), strict=True):
             keys, text = cut(units, *packed)
-            a, s1, s2, h = _anchors(units, text)
+            a, s1, s2, h = anchors_of(units, text)
             owner, _, _, of = _distinct(h, owners)
             of_owner = _runs(owner)
-            again, hot = np.zeros(len(owner), bool), np.zeros(len(owner), bool)
-            for o, m, q in zip(right["owner"].to_pylist(), right["again"].to_pylist(), right["hot"].to_pylist(), strict=True):
-                mine = of_owner[o]
-                again[mine] = np.unpackbits(np.frombuffer(m, np.uint8), count=len(mine))
-                if q:
-                    hot[mine] = np.unpackbits(np.frombuffer(q, np.uint8), count=len(mine))
-            again, hot = again[of], hot[of]
-            pick = np.flatnonzero(again)
+            again = np.zeros(len(owner), bool)
+            for o, m in zip(right["owner"].to_pylist(), right["again"].to_pylist(), strict=True):
+                again[of_owner[o]] = np.unpackbits(np.frombuffer(m, np.uint8), count=len(of_owner[o]))
+            pick = np.flatnonzero(again[of])
+            if not len(pick):
+                continue
             doc = keys[np.searchsorted(text.bounds, s1[pick], side="right") - 1]
-            lo, hi = text.starts[s1[pick]], text.ends[s2[pick] + w - 1]
-            ga, gb = text.starts[a[pick]], text.ends[a[pick] + k - 1]
-            raw = text.raw.tobytes()
-            known: dict[bytes, int] = {}
-            segs: list[bytes] = []
-            where: list[int] = []
-            hots: list[bool] = []
-            occ = np.empty(len(pick), np.int64)
-            for i, (x, y, g1, g2, hh, q) in enumerate(zip(lo.tolist(), hi.tolist(), ga.tolist(), gb.tolist(), h[pick].tolist(), hot[pick].tolist(), strict=True)):
-                seg = raw[x:y]
-                n = known.setdefault(seg, len(segs))
-                if n == len(segs):
-                    segs.append(seg)
-                    hots.append(q)
-                    where.append(xxhash.xxh3_64_intdigest(seg) % buckets if q else route(raw[g1:g2], hh))
-                occ[i] = n
-            to = np.array(where, np.int64)
+            lo, n = text.starts[s1[pick]], text.ends[s2[pick] + w - 1] - text.starts[s1[pick]]
+            before = text.starts[a[pick]] - lo
+            data, occ, n, before = _segments(text.raw, lo, n, before)
+            base = np.cumsum(n) - n
+            split_at = ends.value
+            to = np.fromiter((bisect_right(split_at, suffix_key(data[b : b + m], g)) for b, m, g in zip(base.tolist(), n.tolist(), before.tolist(), strict=True)), np.int64, len(n))
             rank = np.empty(len(to), np.int64)
             by = np.lexsort((s1[pick], doc, occ))
             lead = np.zeros(len(occ), bool)
-            lead[by] = np.concatenate(([True], occ[by][1:] != occ[by][:-1]))[: len(by)]
+            lead[by] = np.concatenate(([True], occ[by][1:] != occ[by][:-1]))
             first, times = np.flatnonzero(lead), np.bincount(occ, minlength=len(to))
             settled = _joined(s1[pick[~lead]], s2[pick[~lead]]).astype(np.int32).tobytes()
             of_bucket = _runs(to[occ[first]])
@@ -194,18 +253,23 @@ def send_segments(chunks: DataFrame, masks: DataFrame, units: Units, owners: int
                 rank[mine] = np.arange(len(mine))
                 o = first[of_bucket[b]]
                 rows.append({
-                    "bucket": b, "chunk_id": chunk.as_py(), "data": b"".join(segs[i] for i in mine.tolist()), "lengths": np.array([len(segs[i]) for i in mine.tolist()], np.int32).tobytes(),
-                    "hot": np.packbits(np.array([hots[i] for i in mine.tolist()], bool)).tobytes(), "occ_seg": rank[occ[o]].astype(np.int32).tobytes(), "occ_doc": doc[o].astype(np.int64).tobytes(), "occ_start": s1[pick][o].astype(np.int32).tobytes(),
-                    "occ_times": times[occ[o]].astype(np.int32).tobytes(),
+                    "bucket": b, "chunk_id": chunk.as_py(), "data": b"".join(data[x : x + m] for x, m in zip(base[mine].tolist(), n[mine].tolist(), strict=True)), "lengths": n[mine].astype(np.int32).tobytes(), "anchors": before[mine].astype(np.int32).tobytes(),
+                    "occ_seg": rank[occ[o]].astype(np.int32).tobytes(), "occ_doc": doc[o].astype(np.int64).tobytes(), "occ_start": s1[pick][o].astype(np.int32).tobytes(), "occ_times": times[occ[o]].astype(np.int32).tobytes(),
                 })
             if settled:
                 rows[begun + chunk.as_py() % (len(rows) - begun)]["settled"] = settled
-        kinds = pa.schema([("bucket", pa.int32()), ("chunk_id", pa.int64()), *((c, pa.binary()) for c in ("data", "lengths", "hot", "occ_seg", "occ_doc", "occ_start", "occ_times", "settled"))])
-        return pa.Table.from_pylist(rows, kinds)
+        return pa.Table.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("chunk_id", pa.int64()), *((c, pa.binary()) for c in _BLOBS)]))
 
     return chunks.groupBy("chunk_id").cogroup(masks.groupBy("chunk_id")).applyInArrow(one, SEGMENTS)
 
 
+def _segments(raw: np.ndarray, lo: np.ndarray, n: np.ndarray, before: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct segments of a chunk: their bytes, which one each place has, their lengths and anchors."""
+    text = raw.tobytes()
+    occ, first = equal_strings(b"".join(text[x : x + m] for x, m in zip(lo.tolist(), n.tolist(), strict=True)), n)
+    return b"".join(text[x : x + m] for x, m in zip(lo[first].tolist(), n[first].tolist(), strict=True)), occ, n[first], before[first]
+
+
 def _joined(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Ranges in order, as rows of first number and count; adjacent ones are joined."""
     if not len(first):
@@ -216,10 +280,13 @@ def _joined(first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Bucket:
-    """Distinct segments of a bucket and where they first stand in each chunk."""
+    """Distinct segments of a bucket, one behind another in data, and where they first stand in each chunk."""
 
-    segs: list[bytes]
-    hot: np.ndarray
+    data: bytes
+    lengths: np.ndarray
+    anchors: np.ndarray
+    #: Of each segment: how many bytes from the anchor on are like the splitter at either end of the bucket.
+    like_end: np.ndarray
     #: Of each first place: its segment, document key, chunk, first window start in the chunk, and how many places the
     #: chunk has.
     seg: np.ndarray
@@ -228,29 +295,28 @@ class Bucket:
     start: np.ndarray
     times: np.ndarray
 
-
-def gather(t: pa.Table) -> Bucket:
-    known: dict[bytes, int] = {}
-    hot: list[bool] = []
-    seg, doc, chunk, start, times = [], [], [], [], []
-    for r in t.to_pylist():
-        lengths = np.frombuffer(r["lengths"], np.int32)
-        ends = np.cumsum(lengths, dtype=np.int64)
-        flags = np.unpackbits(np.frombuffer(r["hot"], np.uint8), count=len(lengths)).astype(bool)
-        data = r["data"]
-        to = np.empty(len(lengths), np.int64)
-        for i, (e, n) in enumerate(zip(ends.tolist(), lengths.tolist(), strict=True)):
-            s = data[e - n : e]
-            to[i] = known.setdefault(s, len(known))
-            if to[i] == len(hot):
-                hot.append(bool(flags[i]))
-        o = np.frombuffer(r["occ_seg"], np.int32)
-        seg.append(to[o])
-        doc.append(np.frombuffer(r["occ_doc"], np.int64))
-        chunk.append(np.full(len(o), r["chunk_id"], np.int64))
-        start.append(np.frombuffer(r["occ_start"], np.int32).astype(np.int64))
-        times.append(np.frombuffer(r["occ_times"], np.int32).astype(np.int64))
-    return Bucket(list(known), np.array(hot, bool), *(np.concatenate(x) for x in (seg, doc, chunk, start, times)))
+    def segments(self) -> list[bytes]:
+        e = np.cumsum(self.lengths)
+        return [self.data[a:b] for a, b in zip((e - self.lengths).tolist(), e.tolist(), strict=True)]
+
+
+def gather(t: pa.Table, ends: list[bytes], least: int) -> Bucket:
+    column = lambda c, kind: [np.frombuffer(x, kind).astype(np.int64) for x in t[c].to_pylist()]
+    lengths, anchors, seg = column("lengths", np.int32), column("anchors", np.int32), column("occ_seg", np.int32)
+    data, n = b"".join(t["data"].to_pylist()), np.concatenate(lengths)
+    sent = np.cumsum([0, *map(len, lengths)])
+    of, first = equal_strings(data, n)
+    at = (np.cumsum(n) - n)[first]
+    data = b"".join(data[a : a + m] for a, m in zip(at.tolist(), n[first].tolist(), strict=True))
+    doc, start, times = (np.concatenate(column(c, k)) for c, k in (("occ_doc", np.int64), ("occ_start", np.int32), ("occ_times", np.int32)))
+    chunk = np.repeat(t["chunk_id"].to_numpy(), list(map(len, seg)))
+    b = Bucket(data, n[first], np.concatenate(anchors)[first], np.zeros(len(first), np.int64), np.concatenate([of[i + x] for i, x in zip(sent.tolist(), seg, strict=False)]), doc, chunk, start, times)
+    bucket = t["bucket"][0].as_py()
+    near = [x for x in ends[max(0, bucket - 1) : bucket + 1] if len(x) >= least]
+    if near:
+        keys = (suffix_key(s, a) for s, a in zip(b.segments(), b.anchors.tolist(), strict=True))
+        b.like_end = np.array([max(common_prefix(k, x) for x in near) for k in keys], np.int64)
+    return b
 
 
 def ranges(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -280,7 +346,7 @@ def removals(chunk: np.ndarray, start: np.ndarray) -> list[dict]:
 
 
 def open_windows(hashes: np.ndarray, doc: np.ndarray, chunk: np.ndarray, start: np.ndarray, n: np.ndarray, buckets: int) -> list[dict]:
-    """Rows that carry windows of hot anchors to the comparison across buckets."""
+    """Rows that carry windows to the comparison across buckets."""
     to = (hashes[:, 0] % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((start, chunk, to))
     change = (to[order][1:] != to[order][:-1]) | (chunk[order][1:] != chunk[order][:-1])
@@ -302,7 +368,7 @@ def window_hashes(data: list[bytes]) -> np.ndarray:
 
 
 def compare_across(found: DataFrame, keep_first: bool) -> DataFrame:
-    """The last comparison: of windows of hot anchors that were single, or first, in their bucket.
+    """The last comparison: of windows whose equals a splitter may divide.
 
     keep_first: all but the first in the order of the corpus go; else all that occur more than once go.
     """
@@ -326,12 +392,20 @@ def compare_across(found: DataFrame, keep_first: bool) -> DataFrame:
     return found.filter("to_bucket is not null").groupBy("to_bucket").applyInArrow(one, FOUND)
 
 
-def judged(segments: DataFrame, judge: Callable[[Bucket], list[dict]]) -> DataFrame:
-    def one(t: pa.Table) -> pa.Table:
-        settled = [{"chunk_id": c, "starts": s} for c, s in zip(t["chunk_id"].to_pylist(), t["settled"].to_pylist(), strict=True) if s]
-        return found_table(settled + judge(gather(t.drop_columns(["settled"]))))
+def judged(segments: DataFrame, judge: Callable[[Bucket], list[dict]], units: Units, ends: Broadcast) -> DataFrame:
+    """Tasks take neighbouring buckets, one each up to MOST_TASKS buckets, in order."""
 
-    return segments.groupBy("bucket").applyInArrow(one, FOUND)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in whole_groups(batches, 1):
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                own = t.slice(i, j - i)
+                settled = [{"chunk_id": c, "starts": s} for c, s in zip(own["chunk_id"].to_pylist(), own["settled"].to_pylist(), strict=True) if s]
+                yield from found_table(settled + judge(gather(own, ends.value, units.least))).to_batches()
+
+    buckets = len(ends.value) + 1
+    tasks = min(buckets, MOST_TASKS)
+    dealt = segments.repartitionById(tasks, F.expr(f"int(bucket * {tasks}L div {buckets}L)"))
+    return dealt.sortWithinPartitions("bucket", "chunk_id").mapInArrow(run, FOUND)
 
 
 def cover(n_units: int, window: int, found: list[bytes]) -> np.ndarray:
@@ -356,5 +430,3 @@ def cut_out(chunks: DataFrame, found: DataFrame, units: Units, result: Callable[
 
     found = found.filter("to_bucket is null").select("chunk_id", "starts")
     return chunks.groupBy("chunk_id").cogroup(found.groupBy("chunk_id")).applyInArrow(one, schema)
-
-

@@ -18,12 +18,11 @@ SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 BATCH = 1 << 18
 
 
-def matching_statistics(index: FMIndex, weight: np.ndarray, text: np.ndarray, ends: np.ndarray, caps: np.ndarray) -> np.ndarray:
-    """For each end, how many symbols before it, its cap at most, occur with a total weight of two or more.
+def matching_statistics(index: FMIndex, text: np.ndarray, ends: np.ndarray, caps: np.ndarray) -> np.ndarray:
+    """For each end, how many symbols before it, its cap at most, occur twice or more.
 
-    weight: for every text place, how often it counts. Search stops where only one occurrence is left.
+    A suffix that the index marks counts as several. Search stops where only one occurrence is left.
     """
-    total = np.concatenate(([0], np.cumsum(weight[index.order])))
     out = np.zeros(len(ends), np.int64)
     for i in range(0, len(ends), BATCH):
         e, cap = ends[i : i + BATCH], caps[i : i + BATCH]
@@ -32,7 +31,9 @@ def matching_statistics(index: FMIndex, weight: np.ndarray, text: np.ndarray, en
         while len(live):
             t += 1
             lo, hi = index.step(text[e[live] - t], lo, hi)
-            more = total[hi] - total[lo] > 1
+            more = hi - lo > 1
+            one = np.flatnonzero(hi - lo == 1)
+            more[one] = index.marked(lo[one])
             length[live[more]] = t
             more &= cap[live] > t
             live, lo, hi = live[more], lo[more], hi[more]
@@ -40,7 +41,7 @@ def matching_statistics(index: FMIndex, weight: np.ndarray, text: np.ndarray, en
     return out
 
 
-def repeated_windows(index: FMIndex, weight: np.ndarray, text: np.ndarray, base: np.ndarray, lengths: np.ndarray, window: int) -> np.ndarray:
+def repeated_windows(index: FMIndex, text: np.ndarray, base: np.ndarray, lengths: np.ndarray, window: int) -> np.ndarray:
     """Which windows of the segments occur again, in order of segment and start.
 
     A search from the end of a window goes on to the left as far as two occurrences are left. Every window inside what
@@ -60,7 +61,7 @@ def repeated_windows(index: FMIndex, weight: np.ndarray, text: np.ndarray, base:
         high = np.flatnonzero(open_ & (edge[1:] | ~np.concatenate((open_[1:], [False]))))
         pick = (high, low, (low + high) // 2)[min(turn, 2)]
         seg, s = owner[pick], within[pick]
-        reach = matching_statistics(index, weight, text, base[seg] + s + window, s + window)
+        reach = matching_statistics(index, text, base[seg] + s + window, s + window)
         p = s + window - reach
         again = np.zeros(len(owner) + 1, np.int64)
         single = np.zeros(len(owner) + 1, np.int64)
@@ -80,8 +81,9 @@ def _judge(window: int, buckets: int):
     def judge(b: repeats.Bucket) -> list[dict]:
         known: dict[bytes, int] = {}
         symbols: list[int] = []
-        lengths = np.empty(len(b.segs), np.int64)
-        for i, s in enumerate(b.segs):
+        segments = b.segments()
+        lengths = np.empty(len(segments), np.int64)
+        for i, s in enumerate(segments):
             words = s.split(b" ")
             lengths[i] = len(words)
             symbols += [known.setdefault(x, len(known) + 2) for x in words]
@@ -89,13 +91,12 @@ def _judge(window: int, buckets: int):
         text = np.array(symbols, np.int64)
         del symbols, known
         base = np.cumsum(lengths + 1) - lengths - 1
-        times = np.bincount(b.seg, b.times, len(b.segs)).astype(np.int64)
-        index = FMIndex(text, int(lengths.max()) + 1)
-        weight = np.append(np.repeat(times, lengths + 1), 1)
+        times = np.bincount(b.seg, b.times, len(lengths)).astype(np.int64)
+        index = FMIndex(text, int(lengths.max()) + 1, marks=np.repeat(times > 1, lengths + 1))
         n_windows = lengths - window + 1
-        owner = np.repeat(np.arange(len(b.segs)), n_windows)
+        owner = np.repeat(np.arange(len(lengths)), n_windows)
         within = np.arange(int(n_windows.sum())) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
-        repeated = repeated_windows(index, weight, text, base, lengths, window)
+        repeated = repeated_windows(index, text, base, lengths, window)
         # every occurrence of a segment has the windows that are repeated in it
         per = np.add.reduceat(np.append(repeated, False), np.cumsum(n_windows) - n_windows)
         at = np.flatnonzero(repeated)
@@ -103,14 +104,20 @@ def _judge(window: int, buckets: int):
         reps = per[b.seg]
         inner = np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps)
         rows = repeats.removals(np.repeat(b.chunk, reps), np.repeat(b.start, reps) + within[at[np.repeat(first[b.seg], reps) + inner]])
-        open_ = np.flatnonzero(b.hot[owner])  # the repeated ones too, as another bucket may have one more
-        if len(open_):
-            occ = np.empty(len(b.segs), np.int64)
+        # windows that may have equals beyond an end of the bucket; the repeated ones too, as there may be one more
+        near = np.flatnonzero(b.like_end > 0)
+        open_: list[tuple[int, int, bytes]] = []
+        for g in near.tolist():
+            words, end = segments[g].split(b" "), int(b.like_end[g] + b.anchors[g])
+            ends = np.cumsum([len(x) + 1 for x in words])[window - 1 :] - 1
+            open_ += [(g, j, b" ".join(words[j : j + window])) for j in np.flatnonzero(ends <= end).tolist()]
+        if open_:
+            occ = np.empty(len(lengths), np.int64)
             occ[b.seg] = np.arange(len(b.seg))
-            words = [s.split(b" ") for s in b.segs]
-            o = occ[owner[open_]]
-            data = [b" ".join(words[g][j : j + window]) for g, j in zip(owner[open_].tolist(), within[open_].tolist(), strict=True)]
-            rows += repeats.open_windows(repeats.window_hashes(data), b.doc[o], b.chunk[o], b.start[o] + within[open_], 1 + repeated[open_].astype(np.int64), buckets)
+            g, j = (np.array(x, np.int64) for x in zip(*((g, j) for g, j, _ in open_), strict=True))
+            again = repeated[(np.cumsum(n_windows) - n_windows)[g] + j]
+            o = occ[g]
+            rows += repeats.open_windows(repeats.window_hashes([x for *_, x in open_]), b.doc[o], b.chunk[o], b.start[o] + j, 1 + (again | (times[g] > 1)).astype(np.int64), buckets)
         return rows
 
     return judge
@@ -144,27 +151,34 @@ def substring_dedup(
     window: int = 35,
     gram: int = 8,
     chunk_mb: int = 4,
-    shard_mb: int = 16,
-    hot_above: int = 20_000,
+    shard_mb: float = 8,
+    most_shards: int = 1 << 20,
+    per_shard: int = 20,
     texts: bool = False,
 ) -> DataFrame:
     """Removes every word in a window of ``window`` words whose sequence also starts anywhere else.
 
-    Words lie between runs of white space. A shard holds the segments around its anchors, once for each distinct
-    content and weighted by how often they occur (see ``repeats``). It builds an FM-index over them and streams them
-    through backward search; matching statistics of a whole window say that it occurs again. Windows around hot
-    anchors, which are spread over shards, are compared across shards too.
+    Words lie between runs of white space. A shard holds the segments around its anchors, a range of suffixes between sampled
+    splitters, once for each distinct content and weighted by how often they occur (see ``repeats``). It builds an
+    FM-index over them and streams them through backward search; matching statistics of a whole window say that it
+    occurs again. Windows that begin like a splitter at an end of their shard are compared across shards too.
+
+    There is a shard for each ``shard_mb`` of input, with ``per_shard`` samples, but ``most_shards`` at most, as every task
+    gets the splitters.
 
     All occurrences go, the first too. A null or blank text has no words. Rows that share an id count as different
-    documents. An empty table gives an empty result; other columns are ignored.
+    documents. A document of any length is used whole; one that is larger than a chunk is a chunk of its own. An empty
+    table gives an empty result; other columns are ignored, whatever their names.
 
     texts: returns doc_id and the remaining words, joined by spaces, instead of counts and digests.
     """
-    units = repeats.Units(True, window, gram, lambda raw, starts, ends: word_codes(raw, starts, ends - starts))
+    units = repeats.Units(True, window, gram, lambda raw, starts, ends: word_codes(raw, starts, ends - starts), 24 * window)
     chunks = chunked(documents(docs, id_col, text_col), chunk_mb << 20, "substring-chunks")
-    shards = max(8, -(-total_bytes(chunks) // (shard_mb << 20)))
-    masks = repeats.mark_repeats(repeats.send_hashes(chunks, units, shards), hot_above)
-    segments = repeats.send_segments(chunks, masks, units, shards, shards, lambda lead, h: (h >> 20) % shards)
-    found = materialise(repeats.judged(segments, _judge(window, shards)), "substring-found")
+    size = total_bytes(chunks)
+    shards = min(most_shards, max(8, -(-size // int(shard_mb * (1 << 20)))))
+    ends = docs.sparkSession.sparkContext.broadcast(repeats.splitters(chunks, units, size, shards, per_shard))
+    masks = repeats.mark_repeats(repeats.send_hashes(chunks, units, shards))
+    segments = repeats.send_segments(chunks, masks, units, shards, ends)
+    found = materialise(repeats.judged(segments, _judge(window, shards), units, ends), "substring-found")
     every = found.unionByName(repeats.compare_across(found, keep_first=False))
     return repeats.cut_out(chunks, every, units, _texts if texts else _result, "doc_id long, text string" if texts else SCHEMA)

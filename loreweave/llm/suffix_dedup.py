@@ -3,95 +3,24 @@
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from loreweave.llm import repeats
-from loreweave.llm.anchors import BYTE_CODES, find_anchors
-from loreweave.llm.common import chunked, documents, ids_out, map_batches, materialise, total_bytes, unpack_chunk
+from loreweave.llm.anchors import BYTE_CODES
+from loreweave.llm.common import chunked, documents, ids_out, materialise, total_bytes
+from loreweave.llm.suffix_sort import Suffixes
 
-#: At and below so many suffixes, multikey quicksort hands over to a comparison sort.
-SMALL = 512
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def multikey_quicksort(data: bytes, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorts the suffixes of data that begin at the given places by their first ``depth`` bytes.
-
-    Eight bytes count as one character. Around the character of a pivot, suffixes part into less, equal and greater;
-    only the equal part goes on to the next character. Returns the order, and for each place in it whether the string
-    there equals the one before.
-    """
-    steps = -(-depth // 8)
-    raw = np.frombuffer(data + bytes(8 * steps), np.uint8)
-    eight = np.lib.stride_tricks.sliding_window_view(raw, 8)
-    keep = np.full(steps, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    if depth % 8:
-        keep[-1] = np.uint64(0xFFFFFFFFFFFFFFFF) << np.uint64(8 * (8 - depth % 8))
-
-    def character(idx: np.ndarray, d: int) -> np.ndarray:
-        return eight[at[idx] + 8 * d].copy().view(">u8")[:, 0].astype(np.uint64) & keep[d]
-
-    order = np.arange(len(at))
-    same = np.zeros(len(at), bool)
-    todo = [(0, len(at), 0)]
-    while todo:
-        lo, hi, d = todo.pop()
-        n = hi - lo
-        if n < 2:
-            continue
-        idx = order[lo:hi]
-        if d == steps:
-            same[lo + 1 : hi] = True
-        elif n <= SMALL:
-            keys = [data[p + 8 * d : p + depth] for p in at[idx].tolist()]
-            by = sorted(range(n), key=keys.__getitem__)
-            order[lo:hi] = idx[by]
-            same[lo + 1 : hi] = [keys[x] == keys[y] for x, y in zip(by, by[1:], strict=False)]
-        else:
-            c = character(idx, d)
-            pivot = np.partition(c[:: max(1, n // 127)], min(n, 127) // 2)[min(n, 127) // 2] if n > 127 else c[n // 2]
-            less, equal = c < pivot, c == pivot
-            a, b = int(less.sum()), int(equal.sum())
-            order[lo:hi] = np.concatenate((idx[less], idx[equal], idx[~(less | equal)]))
-            todo += [(lo, lo + a, d), (lo + a, lo + a + b, d + 1), (lo + a + b, hi, d)]
-    return order, same
-
-
-def _splitters(chunks: DataFrame, units: repeats.Units, buckets: int, size: int, samples: int) -> list[bytes]:
-    """Ends of bucket ranges: quantiles of the leading bytes of sampled anchor suffixes.
-
-    Every chunk offers a few anchors from one stretch of its text; at most about ``samples`` reach the driver.
-    """
-    share = min(1.0, samples * 40 / max(1, size) * 4)
-
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        got: list[bytes] = []
-        for chunk, *packed in zip(*batch.columns, strict=True):
-            _, raw, _ = unpack_chunk(*packed)
-            rng = np.random.default_rng(chunk.as_py() & 0x7FFFFFFF)
-            span = 1 << 16
-            lo = int(rng.integers(0, max(1, len(raw) - span)))
-            part = raw[lo : lo + span]
-            a = find_anchors(BYTE_CODES[part], np.array([0, len(part)]), units.window, units.gram)[0]
-            a = a[rng.random(len(a)) < share]
-            data = part.tobytes()
-            got += [data[i : i + units.gram] for i in a.tolist()]
-        return pa.RecordBatch.from_pydict({"lead": pa.array(got, pa.binary())}) if got else None
-
-    seen = sorted(r[0] for r in map_batches(chunks, one, "lead binary").collect())
-    return [bytes(seen[len(seen) * i // buckets]) for i in range(1, buckets)] if len(seen) >= buckets else []
-
-
 def _judge(window: int, buckets: int):
     def judge(b: repeats.Bucket) -> list[dict]:
-        lengths = np.array([len(s) for s in b.segs], np.int64)
-        n_windows = lengths - window + 1
-        base = np.cumsum(lengths) - lengths
-        owner = np.repeat(np.arange(len(b.segs)), n_windows)
+        n_windows = b.lengths - window + 1
+        base = np.cumsum(b.lengths) - b.lengths
+        owner = np.repeat(np.arange(len(b.lengths)), n_windows)
         within = np.arange(int(n_windows.sum())) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
         # the first place of every distinct segment, in the order of the corpus
         by = np.lexsort((b.start, b.chunk, b.doc))
@@ -99,10 +28,9 @@ def _judge(window: int, buckets: int):
         rank = np.empty(len(by), np.int64)
         rank[by] = np.cumsum(new)
         place = (rank << 32) + b.start
-        first = np.full(len(b.segs), np.iinfo(np.int64).max)
+        first = np.full(len(b.lengths), np.iinfo(np.int64).max)
         np.minimum.at(first, b.seg, place)
-        data = b"".join(b.segs)
-        order, same = multikey_quicksort(data, base[owner] + within, window)
+        order, same = Suffixes(b.data, window).sort(base[owner] + within, window)
         group = np.cumsum(~same) - 1
         key = (first[owner] + within)[order]
         least = np.minimum.reduceat(key, np.flatnonzero(~same))[group] if len(key) else key
@@ -111,7 +39,7 @@ def _judge(window: int, buckets: int):
         at_first = place == first[b.seg]
         # windows of first places: all that don't lead; of other places: all
         chosen = np.flatnonzero(at_first)
-        lead_occ = np.empty(len(b.segs), np.int64)
+        lead_occ = np.empty(len(b.lengths), np.int64)
         lead_occ[b.seg[chosen]] = chosen
         gone = np.flatnonzero(~leads)
         occ = lead_occ[owner[gone]]
@@ -122,11 +50,12 @@ def _judge(window: int, buckets: int):
         start.append(np.repeat(b.start[rest], reps) + np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps))
         rows = repeats.removals(np.concatenate(chunk), np.concatenate(start))
         del order, same, group, key, least
-        open_ = np.flatnonzero(leads & b.hot[owner])
+        # a window has window - (anchor - within) bytes from the anchor on
+        open_ = np.flatnonzero(leads & (within <= (b.like_end + b.anchors - window)[owner]))
         if len(open_):
             at = (base[owner] + within)[open_]
             occ = lead_occ[owner[open_]]
-            rows += repeats.open_windows(repeats.window_hashes([data[i : i + window] for i in at.tolist()]), b.doc[occ], b.chunk[occ], b.start[occ] + within[open_], np.ones(len(open_), np.int64), buckets)
+            rows += repeats.open_windows(repeats.window_hashes([b.data[i : i + window] for i in at.tolist()]), b.doc[occ], b.chunk[occ], b.start[occ] + within[open_], np.ones(len(open_), np.int64), buckets)
         return rows
 
     return judge
@@ -157,31 +86,35 @@ def suffix_dedup(
     length: int = 100,
     gram: int = 32,
     chunk_mb: int = 4,
-    bucket_mb: int = 8,
-    hot_above: int = 20_000,
-    samples: int = 50_000,
+    bucket_mb: float = 8,
+    most_buckets: int = 1 << 20,
+    per_bucket: int = 20,
     texts: bool = False,
 ) -> DataFrame:
     """Removes every byte of a ``length``-byte string that also starts earlier in the corpus.
 
     The suffixes that are sorted are those in segments around repeated anchors (see ``repeats``); a string that occurs
-    once cannot be in one. Sampled splitters range-partition them by the leading bytes of the anchor suffix, buckets
-    sort by multikey quicksort, and the strings around hot anchors, which are spread over buckets, are compared across
-    the boundaries afterwards.
+    once cannot be in one. Sampled splitters range-partition them by the leading bytes of the anchor's suffix; a bucket
+    sorts its segments, and then the suffixes in them, by multikey quicksort; equal ones are neighbours in this order. Strings that begin like a splitter at an end of their bucket are
+    compared across the boundaries afterwards.
+
+    There is a bucket for each ``bucket_mb`` of input, with ``per_bucket`` samples, but ``most_buckets`` at most, as every
+    task gets the splitters: those have ``length`` + 70 bytes at most, and mostly under ten.
 
     Earlier means a smaller doc_id, or an earlier start in the same document; rows that share an id count as different
     documents in any one order, and a null id is behind all others. A null text counts as empty. Matches never cross
-    documents, and strings are judged on the input. An empty table gives an empty result; other columns are ignored.
+    documents, and strings are judged on the input. A document of any length is used whole; one that is larger than a
+    chunk is a chunk of its own. An empty table gives an empty result; other columns are ignored, whatever their names.
 
     texts: returns doc_id and the remaining text instead of counts and digests.
     """
-    units = repeats.Units(False, length, gram, lambda raw, starts, ends: BYTE_CODES[raw])
+    units = repeats.Units(False, length, gram, lambda raw, starts, ends: BYTE_CODES[raw], 2 * length)
     chunks = chunked(documents(docs, id_col, text_col), chunk_mb << 20, "suffix-chunks")
     size = total_bytes(chunks)
-    buckets = max(8, -(-size // (bucket_mb << 20)))
-    ends = _splitters(chunks, units, buckets, size, samples)
-    masks = repeats.mark_repeats(repeats.send_hashes(chunks, units, buckets), hot_above)
-    segments = repeats.send_segments(chunks, masks, units, buckets, buckets, lambda lead, h: bisect_right(ends, lead))
-    found = materialise(repeats.judged(segments, _judge(length, buckets)), "suffix-found")
+    buckets = min(most_buckets, max(8, -(-size // int(bucket_mb * (1 << 20)))))
+    ends = docs.sparkSession.sparkContext.broadcast(repeats.splitters(chunks, units, size, buckets, per_bucket))
+    masks = repeats.mark_repeats(repeats.send_hashes(chunks, units, buckets))
+    segments = repeats.send_segments(chunks, masks, units, buckets, ends)
+    found = materialise(repeats.judged(segments, _judge(length, buckets), units, ends), "suffix-found")
     every = found.unionByName(repeats.compare_across(found, keep_first=True))
     return repeats.cut_out(chunks, every, units, _kept if texts else _result, "doc_id long, text string" if texts else SCHEMA)
