@@ -97,9 +97,11 @@ def fit(texts: list[str], labels: list[str], landmarks: int, ridge: float) -> Ke
     return KernelModel(languages, slots, (marks.T.astype(np.float64) @ (root @ w)).astype(np.float32))
 
 
-def sample(labelled: DataFrame, per_language: int, most_bytes: int) -> tuple[list[str], list[str]]:
+def sample(labelled: DataFrame, per_language: int, most_bytes: int, most_rows: int = 2000) -> tuple[list[str], list[str]]:
     """``per_language`` rows of each language, or all if it has fewer: those with the least hashes of doc_id and text.
 
+    Where languages are so many that this makes over ``most_rows`` rows, each has an equal part of these, one at least.
+
     Rows that repeat an id and a text count once, and a null id leaves the hash to the text, so neither crowds out
     others. Texts over ``most_bytes`` are not fitted on.
     """
@@ -108,6 +110,7 @@ def sample(labelled: DataFrame, per_language: int, most_bytes: int) -> tuple[lis
     counts = hashed.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")).collect()
     if not counts:
         return [], []
+    per_language = max(1, min(per_language, most_rows // len(counts)))
     # more than per_language hashes of each language meet in one row, and far fewer than all
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, (2 * per_language + 100) / max(1, r["n"])))])
     least = F.slice(F.sort_array(F.collect_set("hash")), 1, per_language)
@@ -125,6 +128,7 @@ def language_id(
     text_col: str = "text",
     lang_col: str = "lang",
     per_language: int = 500,
+    most_rows: int = 2000,
     most_bytes: int = 32_768,
     landmarks: int = 256,
     ridge: float = 1e-4,
@@ -133,13 +137,14 @@ def language_id(
 ) -> DataFrame:
     """Predicts the language of every whole text.
 
-    The classifier is fitted on the driver to a bounded sample, ``per_language`` rows of each language at most, of rows
-    whose crc32 of doc_id (as text) modulo 4 is not 2, with a language and a text of ``most_bytes`` at most. Executors
+    The classifier is fitted on the driver to a bounded sample, ``per_language`` rows of each language and ``most_rows``
+    in all at most (with more languages than that, a row of each), of rows whose crc32 of doc_id (as text) modulo 4 is not 2, with a language and a text of ``most_bytes`` at most. Executors
     score batches of texts by one matrix product with the folded weights of landmarks and regression.
 
     held_out: whether that remainder is 2; false for a null id. lang_pred is ``und`` with score 0 if the text is null
     or has no letter, or if nothing could be learned. score is the best regression value, from -1..1 to 0..1. Equal
-    values go to the language first in order. Rows are independent, so repeated ids don't matter; an empty table gives
+    values go to the language first in order. Substrings have 1 to 4 bytes; those of 3 and 4 share 2**17 slots each by
+    hash. A text of any length is scored whole. Rows are independent, so repeated ids don't matter; an empty table gives
     an empty result; other columns are ignored. Without a column of languages nothing can be learned.
 
     carry: adds the column row, a struct of all input columns.
@@ -147,7 +152,7 @@ def language_id(
     lang = F.col(f"`{lang_col}`").cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), lang.alias("lang"), *([row_struct(docs)] if carry else []))
     held_out = F.coalesce(F.pmod(crc32_id(), F.lit(4)) == 2, F.lit(False))
-    model = fit(*sample(source.filter(~held_out & F.col("lang").isNotNull()), per_language, most_bytes), landmarks, ridge)
+    model = fit(*sample(source.filter(~held_out & F.col("lang").isNotNull()), per_language, most_bytes, most_rows), landmarks, ridge)
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # landmarks x _SLOTS bits at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
