@@ -1,11 +1,11 @@
-"""Subword-lattice likelihood of texts, mixed with word counts of the training documents."""
+"""Subword-lattice likelihood of texts, and word counts of the training documents."""
 
 from __future__ import annotations
 
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -14,9 +14,9 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loreweave.llm.common import NULL_ID, binary, chunked, documents, map_batches, materialise, total_bytes, unpack_chunk
+from loreweave.llm.common import NULL_ID, chunked, documents, map_batches, materialise, total_bytes, unpack_chunk
 
-SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, mixed_score double"
 #: The end token's key among words; no word has white space.
 END = b"\n"
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -54,23 +54,24 @@ class Lattice:
         self.longest = max(map(len, [*self.begin, *self.inner]))
 
     def log_probability(self, word: bytes) -> float:
-        """Forward recursion in log space over the places of a word."""
+        """Forward recursion in log space over the places of a word; a ring holds the places that a piece can reach."""
         if word == END:
             return self.end
         n, longest, inner = len(word), self.longest, self.inner
-        terms: list[list[float] | None] = [[] for _ in range(n + 1)]
+        size = longest + 1
+        ring: list[list[float]] = [[] for _ in range(size)]
         for j in range(min(n, longest) + 1):
             if (s := self.begin.get(word[:j])) is not None:
-                terms[j].append(s)
+                ring[j].append(s)
         for i in range(n):
-            if not (here := terms[i]):
+            if not (here := ring[i % size]):
                 continue
             a = here[0] if len(here) == 1 else _log_sum(here)
-            terms[i] = None
+            ring[i % size] = []
             for j in range(i + 1, min(n, i + longest) + 1):
                 if (s := inner.get(word[i:j])) is not None:
-                    terms[j].append(a + s)
-        return _log_sum(terms[n])
+                    ring[j % size].append(a + s)
+        return _log_sum(ring[n % size])
 
 
 def _log_sum(x: list[float]) -> float:
@@ -101,11 +102,17 @@ def _by_owner(types: Iterable[bytes], owners: int) -> dict[int, list[bytes]]:
     return {o: sorted(out[o]) for o in sorted(out)}
 
 
+SENT = "owner int, kind int, chunk_id long, words binary, counts binary"
+#: Kinds of rows that an owner gets, in this order: counts to add up, then words to answer.
+COUNTS, ASKED = 0, 1
+ANSWERED = "chunk_id long, owner int, counts binary, log_p binary, tokens long, kinds long"
+
+
 def _send(chunks: DataFrame, owners: int) -> DataFrame:
-    """For each chunk and owner: the distinct words, and their counts in training documents."""
+    """For each chunk and owner: the words of training documents with their counts, and all distinct words."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        to, ids, blobs, counts = [], [], [], []
+        rows: list[tuple] = []
         for chunk, *packed in zip(*batch.columns, strict=True):
             keys, raw, offsets = unpack_chunk(*packed)
             seen: Counter = Counter()
@@ -117,61 +124,101 @@ def _send(chunks: DataFrame, owners: int) -> DataFrame:
                 else:
                     other.update(words)
             for owner, words in _by_owner(other.union(seen), owners).items():
-                to.append(owner)
-                ids.append(chunk.as_py())
-                blobs.append(b" ".join(words))
-                counts.append(np.array([seen[w] for w in words], np.int32))
-        return pa.RecordBatch.from_pydict({"owner": pa.array(to, pa.int32()), "chunk_id": pa.array(ids, pa.int64()), "words": pa.array(blobs, pa.binary()), "counts": binary(counts)})
-
-    return map_batches(chunks, one, "owner int, chunk_id long, words binary, counts binary")
+                known = [w for w in words if w in seen]
+                if known:
+                    rows.append((owner, COUNTS, chunk.as_py(), b" ".join(known), np.array([seen[w] for w in known], np.int32).tobytes()))
+                rows.append((owner, ASKED, chunk.as_py(), b" ".join(words), None))
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["owner", "kind", "chunk_id", "words", "counts"])
+
+    return map_batches(chunks, one, SENT)
+
+
+class _Owned:
+    """The words of one owner: their counts and lattice values, each computed once."""
+
+    def __init__(self, lat: Lattice) -> None:
+        self.lat = lat
+        self.index: dict[bytes, int] = {}
+        self.fresh: list[bytes] = []
+        self.count, self.log_p = np.zeros(1024, np.int64), np.zeros(1024, np.float32)
+        self.done = 0
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        index, before = self.index, len(self.index)
+        at = np.array([index.setdefault(w, len(index)) for w in words], np.int64)
+        if len(index) > before:
+            self.fresh += [words[i] for i in np.flatnonzero(at >= before).tolist()]
+            if len(index) > len(self.count):
+                self.count, self.log_p = (np.concatenate((x, np.zeros(2 * len(index) - len(x), x.dtype))) for x in (self.count, self.log_p))
+        return at
+
+    def answer(self, words: list[bytes]) -> tuple[bytes, bytes]:
+        at = self.places(words)
+        for i, w in enumerate(self.fresh, self.done):
+            self.log_p[i] = self.lat.log_probability(w)
+        self.done, self.fresh = len(self.index), []
+        return self.count[at].tobytes(), self.log_p[at].tobytes()
 
 
 def _answer(sent: DataFrame, vocabulary: str) -> DataFrame:
     """Owners add up counts, compute each distinct word's lattice once, and answer every chunk in its order.
 
-    tokens and kinds, the sums over the owner's words, stand in one row of each owner.
+    An owner's rows pass in order, first all counts, then what chunks ask for, so it holds its distinct words only.
+    tokens and kinds, the sums over the owner's words, stand in a row of their own.
     """
 
-    def one(t: pa.Table) -> pa.Table:
-        lat = lattice(vocabulary)
-        index: dict[bytes, int] = {}
-        asked = []
-        count = np.zeros(1024, np.int64)
-        for words, counts in zip(t["words"], t["counts"], strict=True):
-            at = np.array([index.setdefault(w, len(index)) for w in words.as_py().split(b" ")], np.int32)
-            if len(index) > len(count):
-                count = np.concatenate((count, np.zeros(2 * len(index) - len(count), np.int64)))
-            count[at] += np.frombuffer(counts.as_py(), np.int32)
-            asked.append(at)
-        count = count[: len(index)]
-        log_p = np.fromiter((lat.log_probability(w) for w in index), np.float32, len(index))
-        del index
-        n = t.num_rows
-        return pa.table({
-            "chunk_id": t["chunk_id"].combine_chunks(), "owner": t["owner"].combine_chunks(), "counts": binary([count[a] for a in asked]), "log_p": binary([log_p[a] for a in asked]),
-            "tokens": pa.array([int(count.sum())] + [None] * (n - 1), pa.int64()), "kinds": pa.array([int((count > 0).sum())] + [None] * (n - 1), pa.int64()),
-        })
-
-    return sent.groupBy("owner").applyInArrow(one, "chunk_id long, owner int, counts binary, log_p binary, tokens long, kinds long")
-
-
-def lattice_lm(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", chunk_mb: int = 8, owner_mb: int = 32) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lat, owner, own, summed = lattice(vocabulary), None, None, False
+        rows: list[tuple] = []
+        held = 0
+
+        def given() -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["chunk_id", "owner", "counts", "log_p", "tokens", "kinds"])
+
+        for batch in batches:
+            for o, kind, chunk, words, counts in zip(*batch.columns, strict=True):
+                if o.as_py() != owner:
+                    owner, own, summed = o.as_py(), _Owned(lat), False
+                words = words.as_py().split(b" ")
+                if kind.as_py() == COUNTS:
+                    own.count[own.places(words)] += np.frombuffer(counts.as_py(), np.int32)
+                    continue
+                if not summed:
+                    rows.append((None, owner, None, None, int(own.count.sum()), int((own.count > 0).sum())))
+                    summed = True
+                rows.append((chunk.as_py(), owner, *own.answer(words), None, None))
+                held += 12 * len(words)
+                if held > 8 << 20:
+                    yield given()
+                    rows, held = [], 0
+        if rows:
+            yield given()
+
+    return sent.repartition("owner").sortWithinPartitions("owner", "kind", "chunk_id").mapInArrow(run, ANSWERED)
+
+
+def lattice_lm(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", chunk_mb: int = 8, owner_mb: int = 32, most_owners: int = 16_384) -> DataFrame:
     """Scores every whole text: log10 of its marginal probability over all segmentations.
 
-    Tokens are the words between white space with A-Z lower-cased, then one end. Documents whose crc32 of doc_id (as
-    text) is not 0 modulo 10 are for training: c, N and V are their counts. A token's probability is
-    (c + V * lattice) / (N + V), where lattice is its sum over all segmentations to pieces of ``vocabulary``, the path
-    of an existing sentencepiece model on every executor. base_score is the add-0.1 unigram score.
+    Tokens are the words between white space with A-Z lower-cased, then one end. score sums the tokens' lattice
+    probabilities, each a sum over all segmentations to pieces of ``vocabulary``, the path of an existing sentencepiece
+    model on every executor.
+
+    Documents whose crc32 of doc_id (as text) is not 0 modulo 10 are for training: c, N and V are their counts.
+    base_score is the add-0.1 unigram score. mixed_score gives a token the probability (c + V * lattice) / (N + V).
 
     Chunks of documents send distinct words to owners by hash and get counts and lattice values back as packed arrays
-    (the latter as 32-bit floats), so frequent words travel once per chunk.
+    (the latter as 32-bit floats), so frequent words travel once per chunk. There is an owner for each ``owner_mb`` of
+    input, but ``most_owners`` at most, so that a chunk has many words for each; an owner holds its distinct words only.
 
     A null text counts as empty (one token, the end); a null id is for training. With no training documents, N is 0
-    and base_score log10(1/(V+1)) a token. Rows that share an id count as different documents. An empty table gives an
-    empty result; other columns are ignored.
+    and base_score log10(1/(V+1)) a token. Rows that share an id count as different documents. Texts and words of any
+    length are scored whole. An empty table gives an empty result; other columns are ignored, whatever their names.
     """
     chunks = chunked(documents(docs, id_col, text_col), chunk_mb << 20, "lm-chunks")
-    owners = max(8, -(-total_bytes(chunks) // (owner_mb << 20)))
+    owners = min(most_owners, max(8, -(-total_bytes(chunks) // (owner_mb << 20))))
     answers = materialise(_answer(_send(chunks, owners), vocabulary), "lm-answers")
     tokens, kinds = (x or 0 for x in answers.agg(F.sum("tokens"), F.sum("kinds")).first())
     mass = float(max(1, kinds))
@@ -191,17 +238,18 @@ def lattice_lm(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text
                 logs.append(answer[owner][1])
             c = np.concatenate(counts).astype(np.float64)
             base = np.log10((c + 0.1) / (tokens + 0.1 * (kinds + 1)))
+            log_p = np.concatenate(logs).astype(np.float64)
             with np.errstate(divide="ignore"):
-                mixed = np.logaddexp(np.log(c), math.log(mass) + np.concatenate(logs).astype(np.float64))
-            score = (mixed - math.log(tokens + mass)) / math.log(10)
+                mixed = (np.logaddexp(np.log(c), math.log(mass) + log_p) - math.log(tokens + mass)) / math.log(10)
+            score = log_p / math.log(10)
             at = np.fromiter((index[w] for x in words for w in (*x, END)), np.int64, sum(map(len, words)) + len(words))
             n = np.array([len(x) + 1 for x in words], np.int64)
             first = np.cumsum(n) - n
             out.append(pa.table({
                 "doc_id": doc_ids.values, "held_out": pa.array([not _trains(k) for k in keys.tolist()]), "n_tokens": pa.array(n), "n_known": pa.array(np.add.reduceat((c > 0)[at].astype(np.int64), first)), "train_tokens": pa.array(np.full(len(n), tokens, np.int64)),
-                "base_score": pa.array(np.add.reduceat(base[at], first)), "score": pa.array(np.add.reduceat(score[at], first)),
+                "base_score": pa.array(np.add.reduceat(base[at], first)), "score": pa.array(np.add.reduceat(score[at], first)), "mixed_score": pa.array(np.add.reduceat(mixed[at], first)),
             }))
         return pa.concat_tables(out)
 
-    replies = answers.select("chunk_id", "owner", "counts", "log_p")
+    replies = answers.filter("chunk_id is not null").select("chunk_id", "owner", "counts", "log_p")
     return chunks.groupBy("chunk_id").cogroup(replies.groupBy("chunk_id")).applyInArrow(one, SCHEMA)
