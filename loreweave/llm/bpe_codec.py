@@ -69,9 +69,12 @@ class Codec:
     """Encodes texts to token ids (ranks) and decodes ids to bytes."""
 
     def __init__(self, path: str) -> None:
-        self.tokens = read_ranks(path)
-        self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(self.tokens))
+        tokens = read_ranks(path)
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(tokens))
         self.alphabet = byte_alphabet()
+        byte_of = {c: b for b, c in enumerate(self.alphabet)}
+        #: Of each id, its piece with characters mapped back to bytes.
+        self.pieces = [bytes(map(byte_of.__getitem__, self.model.id_to_piece(i + 1))) for i in range(len(tokens))]
         self.memo = Memo(self._packed, MEMO)
 
     def _packed(self, pretokens: list[str]) -> list[bytes]:
@@ -85,7 +88,7 @@ class Codec:
         return b"".join(self.memo.of(split(text)))
 
     def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+        return b"".join(map(self.pieces.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
 @lru_cache(maxsize=2)
@@ -98,7 +101,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text
 
     vocabulary: path of a rank file, on every executor. Each pre-token of the public pattern is encoded separately,
     without special tokens. A null text counts as empty and has no tokens; an empty table gives an empty result.
-    Rows are independent, so repeated ids and other columns don't matter.
+    Rows are independent, so repeated ids and other columns don't matter. A text of any length is encoded whole.
 
     ids: adds the column ids (array<int>).
     """

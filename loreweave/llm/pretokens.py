@@ -6,9 +6,7 @@ import re
 from collections.abc import Callable
 
 import regex
-
-#: The pattern of the public byte-level vocabularies.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+from public_tokenizers import PATTERN
 
 _EXACT = regex.compile(PATTERN)
 #: For texts of these characters only, the same split by the faster module: ASCII without the separators 1C-1F, and

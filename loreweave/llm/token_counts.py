@@ -60,6 +60,8 @@ class Counter:
         model, split_by = spec["model"], spec["pre_tokenizer"]
         if model["type"] != "BPE" or split_by["type"] != "ByteLevel" or split_by["add_prefix_space"] or spec["normalizer"]:
             raise ValueError(f"{path}: not a plain byte-level BPE tokenizer")
+        if any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"{path}: an added token takes in more than its own string")
         pairs = (tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"])
         self.ranks = {p: i for i, p in enumerate(pairs)}
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
@@ -89,7 +91,7 @@ def token_counts(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
 
     tokenizer: path of a tokenizer file, on every executor. over_limit: whether there are more than ``limit`` tokens.
     A null text counts as empty, with 0 tokens; an empty table gives an empty result. Rows are independent, so
-    repeated ids and other columns don't matter.
+    repeated ids and other columns don't matter. A text of any length is counted whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
