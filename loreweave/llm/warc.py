@@ -60,15 +60,25 @@ def _create(uri: str):
     return fs.open_output_stream(path)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """A record as one gzip member; with refers_to, a revisit that has the HTTP head only."""
+def _record_id(group: str, page_id: int | None, digest: str) -> str:
+    """Of a page that others may refer to, an id that follows from the archive, the page and its payload."""
+    return f"<urn:uuid:{uuid.uuid4() if page_id is None else uuid.uuid5(uuid.NAMESPACE_URL, f'{group}/{page_id}/{digest}')}>"
+
+
+def _target(url: str | None) -> str:
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "about:blank")
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, first_url: str | None = None, group: str = "") -> bytes:
+    """A record as one gzip member; with refers_to, a revisit that has the HTTP head only, of the record of that page."""
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "about:blank")
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {_DATE}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    own_id = _record_id(group, page_id if refers_to is None else None, digest)
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {own_id}", f"WARC-Date: {_DATE}", f"WARC-Target-URI: {_target(url)}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     head += [f"X-Page-ID: {page_id}"] * (page_id is not None)
-    head += [f"WARC-Profile: {_PROFILE}", f"X-Refers-To-Page-ID: {refers_to}"] if refers_to is not None else []
+    if refers_to is not None:
+        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {_record_id(group, refers_to, digest)}", f"WARC-Refers-To-Target-URI: {_target(first_url)}", f"WARC-Refers-To-Date: {_DATE}", f"X-Refers-To-Page-ID: {refers_to}"]
     data = "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
     return packer.compress(data) + packer.flush()
@@ -83,15 +93,16 @@ def write_warc(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_co
 
     Equal payloads are found by SHA-256 on rows of id and digest alone; payloads move once, with their row's decision.
     Every attempt of a task writes files of its own, and only those of attempts that succeed are in the returned table,
-    so tasks can be lost and run again.
+    so tasks can be lost and run again. A payload of any length is one record. An empty table writes no file; other
+    columns are ignored, whatever their names.
     """
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit(""))
     url = F.col(f"`{url_col}`").cast("string") if url_col in pages.columns else F.lit(None).cast("string")
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), url.alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     long_enough = rows.filter(F.octet_length("payload") >= least_bytes)
-    groups = long_enough.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first_id is not null").drop("n")
-    again = long_enough.select("page_id", "digest").distinct().join(groups, "digest").filter("not (page_id <=> first_id)").select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), "first_id")
-    decided = rows.join(again, F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again_digest")), "left").select("page_id", "url", "payload", "first_id")
+    groups = long_enough.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.min_by("url", "page_id").alias("first_url"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first_id is not null").drop("n")
+    again = long_enough.select("page_id", "digest").distinct().join(groups, "digest").filter("not (page_id <=> first_id)").select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), "first_id", "first_url")
+    decided = rows.join(again, F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again_digest")), "left").select("page_id", "url", "payload", "first_id", "first_url")
     base = f"{folder}/{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,11 +110,11 @@ def write_warc(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_co
         out, path, size, n, part = None, "", 0, 0, 0
         done: list[tuple[str, int, int]] = []
         for batch in batches:
-            for page_id, url, payload, first in zip(*batch.columns, strict=True):
+            for page_id, url, payload, first, first_url in zip(*batch.columns, strict=True):
                 if out is None:
                     path = f"{base}/part-{task.partitionId():05d}-{task.taskAttemptId()}-{part:03d}.warc.gz"
                     out, size, n, part = _create(path), 0, 0, part + 1
-                data = record(page_id.as_py(), url.as_py(), (payload.as_py() or "").encode(), first.as_py())
+                data = record(page_id.as_py(), url.as_py(), (payload.as_py() or "").encode(), first.as_py(), first_url.as_py(), base)
                 out.write(data)
                 size, n = size + len(data), n + 1
                 if size >= file_mb << 20:

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -14,16 +15,18 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from loreweave.llm import repeats
 from loreweave.llm.bpe_codec import bpe_encode
 from loreweave.llm.decontaminate import decontaminate
-from loreweave.llm.exact_dedup import Directory, exact_dedup
+from loreweave.llm.exact_dedup import Directory, exact_dedup, lookup
 from loreweave.llm.fm_index import FMIndex
-from loreweave.llm.language_id import language_id, sample
+from loreweave.llm.language_id import Spectrum, fit, language_id, sample
 from loreweave.llm.lattice_lm import Lattice, lattice_lm
 from loreweave.llm.near_dedup import components, match_threshold, near_dedup, shingle_sets
 from loreweave.llm.queries import ORACLE_SQL, QUERIES
 from loreweave.llm.substring_dedup import substring_dedup
-from loreweave.llm.suffix_dedup import multikey_quicksort, suffix_dedup
+from loreweave.llm.suffix_dedup import suffix_dedup
+from loreweave.llm.suffix_sort import Suffixes, equal_strings
 from loreweave.llm.token_counts import token_counts
 from loreweave.llm.warc import read_warc, records_in, write_warc
 
@@ -94,11 +97,11 @@ def brute_suffix(texts, length):
     return out
 
 
-@pytest.mark.parametrize(("hot", "seed"), [(20_000, 0), (1, 1), (3, 2)])
-def test_suffix_dedup(spark, hot, seed):
-    """Also with nearly all anchors hot, so that strings are compared across buckets."""
+@pytest.mark.parametrize(("bucket_mb", "seed"), [(8, 0), (1e-4, 1), (3e-4, 2)])
+def test_suffix_dedup(spark, bucket_mb, seed):
+    """Also with buckets of a few strings, whose splitters divide equal ones."""
     texts = awkward(seed)
-    got = by_id(suffix_dedup(frame(spark, texts), hot_above=hot))
+    got = by_id(suffix_dedup(frame(spark, texts), bucket_mb=bucket_mb))
     assert {k: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for k, r in got.items()} == brute_suffix(texts, 100)
 
 
@@ -112,9 +115,46 @@ def test_multikey_quicksort():
     rng = random.Random(1)
     data = bytes(rng.choice(b"ab\x00") for _ in range(6000)) * 2
     at = np.array(rng.sample(range(len(data) - 20), 9000))
-    order, same = multikey_quicksort(data, at, 20)
-    strings = [data[p : p + 20] for p in at[order].tolist()]
-    assert strings == sorted(strings) and same.tolist() == [False] + [a == b for a, b in zip(strings, strings[1:])]
+    for depth in (20, 16, 1):
+        order, same = Suffixes(data, 20).sort(at, depth)
+        strings = [data[p : p + depth] for p in at[order].tolist()]
+        assert strings == sorted(strings) and same.tolist() == [False] + [a == b for a, b in zip(strings, strings[1:])]
+
+
+def test_equal_strings():
+    rng = random.Random(2)
+    strings = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 9))).encode() for _ in range(3000)]
+    which, first = equal_strings(b"".join(strings), np.array([len(x) for x in strings]))
+    seen = list(dict.fromkeys(strings))
+    assert [seen.index(x) for x in strings] == which.tolist() and [strings.index(x) for x in seen] == first.tolist()
+    assert [len(x) for x in equal_strings(b"", np.empty(0, np.int64))] == [0, 0]
+
+
+@pytest.mark.parametrize("words", [False, True])
+def test_splitters(spark, monkeypatch, words):
+    """The sample grows with the number of buckets, splitters are even over the places, and where they cut through the
+    suffixes of a frequent line, its windows are compared across the boundaries.
+    """
+    rng = random.Random(12)
+    line = " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(45))
+    texts = [(i, f"{rng.random()} {line} {rng.random()} " + " ".join(str(rng.random()) for _ in range(20))) for i in range(300)]
+    found = []
+    real = repeats.splitters
+    monkeypatch.setattr(repeats, "splitters", lambda *a: found.append(real(*a)) or found[-1])
+    crossed = []
+    across = repeats.compare_across
+    monkeypatch.setattr(repeats, "compare_across", lambda df, **o: crossed.append(df.filter("to_bucket is not null").count()) or across(df, **o))
+    if words:
+        got = by_id(substring_dedup(frame(spark, texts), shard_mb=2e-4))
+        assert {k: (r["n_words"], r["n_removed"], r["kept_sha256"]) for k, r in got.items()} == brute_substring(texts, 35)
+    else:
+        got = by_id(suffix_dedup(frame(spark, texts), bucket_mb=2e-4))
+        assert {k: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for k, r in got.items()} == brute_suffix(texts, 100)
+    size = sum(len(t) for _, t in texts)
+    # the texts have some 700 anchors of words, of which many begin the same suffix
+    assert (0.04 if words else 0.4) * size / (2e-4 * 2**20) < len(found[0]) < 1.2 * size / (2e-4 * 2**20) and crossed[0] > 0
+    held = Counter(bisect_right(found[0], t[p : p + 60].encode()) for _, t in texts for p in range(0, len(t) - 60, 7))
+    assert max(held.values()) < 20 * sum(held.values()) / len(held)
 
 
 def brute_substring(texts, n):
@@ -130,22 +170,22 @@ def brute_substring(texts, n):
     return out
 
 
-@pytest.mark.parametrize(("hot", "seed"), [(20_000, 0), (1, 1), (3, 2)])
-def test_substring_dedup(spark, hot, seed):
+@pytest.mark.parametrize(("shard_mb", "seed"), [(16, 0), (1e-4, 1), (3e-4, 2)])
+def test_substring_dedup(spark, shard_mb, seed):
     texts = awkward(seed)
-    got = by_id(substring_dedup(frame(spark, texts), hot_above=hot))
+    got = by_id(substring_dedup(frame(spark, texts), shard_mb=shard_mb))
     assert {k: (r["n_words"], r["n_removed"], r["kept_sha256"]) for k, r in got.items()} == brute_substring(texts, 35)
 
 
-@pytest.mark.parametrize("hot", [20_000, 5])
+@pytest.mark.parametrize("mb", [8, 1e-4])
 @pytest.mark.parametrize("parts", [1, 4])
-def test_many_copies(spark, hot, parts):
+def test_many_copies(spark, mb, parts):
     """Chunks that have a segment many times, in documents whose order is not that of the chunk, and one that has it once."""
     base = [t for _, t in awkward(6, 12) if t]
     texts = [(1000 - i, t) for i, t in enumerate([*base * 5, "new " * 3 + base[-1], *base[-2:] * 20, " ".join(f"w{i}" for i in range(90))])]
-    got = by_id(suffix_dedup(frame(spark, texts, parts), hot_above=hot))
+    got = by_id(suffix_dedup(frame(spark, texts, parts), bucket_mb=mb))
     assert {k: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for k, r in got.items()} == brute_suffix(texts, 100)
-    got = by_id(substring_dedup(frame(spark, texts, parts), hot_above=hot))
+    got = by_id(substring_dedup(frame(spark, texts, parts), shard_mb=mb))
     assert {k: (r["n_words"], r["n_removed"], r["kept_sha256"]) for k, r in got.items()} == brute_substring(texts, 35)
 
 
@@ -237,6 +277,19 @@ def test_exact_dedup(spark):
     assert sorted((r["doc_id"] or 0, r["keep_id"] or 0, r["group_size"], r["kept"]) for r in rows) == [(0, 0, 1, True), (0, 2, 3, False), (2, 2, 3, True), (2, 2, 3, True)]
 
 
+def test_exact_index_on_shared_files(spark, tmp_path):
+    """Buckets are split by doubling the directory, each has its own files, and other texts can be looked up there."""
+    texts = [(i, f"text {i % 90} " * 4000) for i in range(200)]
+    path = f"file://{tmp_path}/index"
+    assert exact_dedup(frame(spark, texts), bucket_mb=1, index_path=path).filter("kept").count() == 90
+    slots = spark.read.parquet(f"{path}/directory").collect()
+    assert sorted(r["slot"] for r in slots) == list(range(1 << slots[0]["depth"])) and len({r["bucket"] for r in slots}) > 4
+    held = spark.read.parquet(f"{path}/buckets")
+    assert {r["bucket"] for r in held.collect()} <= {r["bucket"] for r in slots} and held.select("sha").distinct().count() == 90
+    new = frame(spark, [(1000, texts[7][1].replace(" ", "\n")), (1001, "another"), (1002, None)])
+    assert {k: (r["keep_id"], r["group_size"]) for k, r in by_id(lookup(new, path)).items()} == {1000: (7, 3), 1001: (None, None), 1002: (None, None)}
+
+
 def test_directory():
     d = Directory({i: 10 for i in range(64)} | {5: 5000}, 6, 100)
     b = d.buckets()
@@ -359,6 +412,51 @@ def test_language_id(spark):
     assert language_id(docs.drop("lang").limit(3)).filter("lang_pred <> 'und'").isEmpty()
 
 
+def test_language_scores_by_brute_force():
+    """The folded weights score as the kernel matrix, the Nyström features and the ridge solution do."""
+    rng = random.Random(13)
+    words = {x: ["".join(rng.choice(c) for _ in range(rng.randint(2, 6))) for _ in range(40)] for x, c in (("aa", "abcdeé"), ("bb", "cdefgñ"), ("cc", "efghij"))}
+    draw = lambda x: " ".join(rng.choice(words[x]) for _ in range(rng.randint(1, 30))).capitalize()
+    labels = [rng.choice(list(words)) for _ in range(40)]
+    texts = [draw(x) for x in labels]
+    landmarks, ridge = 9, 1e-3
+    model = fit(texts, labels, landmarks, ridge)
+
+    def slots(text):
+        raw, out = text.lower().encode(), set()
+        for n in (1, 2, 3, 4):
+            for i in range(len(raw) - n + 1):
+                code = int.from_bytes(raw[i : i + n], "big")
+                hashed = (code * 2654435761 % 2**32) >> 15
+                out.add((n, code if n < 3 else hashed))
+        return out
+
+    sets = [slots(t) for t in texts]
+    kernel = lambda x, y: len(x & y) / math.sqrt(len(x) * len(y))
+    chosen = [i for x in sorted(words) for i in [j for j, y in enumerate(labels) if y == x][: landmarks // 3]]
+    m = np.array([[kernel(sets[i], sets[j]) for j in chosen] for i in chosen])
+    value, vector = np.linalg.eigh(m)
+    root = vector @ np.diag(value**-0.5) @ vector.T
+    features = lambda s: np.array([kernel(s, sets[j]) for j in chosen]) @ root
+    x = np.array([features(s) for s in sets])
+    others = [draw(y) for y in words for _ in range(4)] + ["zzz", "A"]
+    want = np.empty((len(others), 3))
+    for k, lang in enumerate(sorted(words)):
+        y = np.array([1.0 if z == lang else -1.0 for z in labels])
+        weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
+        # the least of the weighted squares plus the ridge, by the normal equations
+        w = np.linalg.solve((x.T * weight) @ x + ridge * np.eye(landmarks), (x.T * weight) @ y)
+        want[:, k] = [features(slots(t)) @ w for t in others]
+    got = model.scores(others, Spectrum())
+    assert model.languages == sorted(words) and np.allclose(got, want, atol=2e-4)
+
+
+def test_language_sample_has_a_total_bound(spark):
+    rows = [(i, f"words {i}", f"l{i % 30}") for i in range(900)]
+    _, labels = sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 20, 1 << 15, 100)
+    assert Counter(labels) == {f"l{i}": 3 for i in range(30)}
+
+
 def test_language_sample_is_bounded(spark):
     """Also where all rows share an id, so that a hash of it picks all or none."""
     rows = spark.createDataFrame([(i % 2, f"some words {i}", "en") for i in range(400)], "doc_id long, text string, lang string")
@@ -403,7 +501,8 @@ def test_lattice_lm(spark):
         r = got[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (out[i], len(ws), sum(c[w] > 0 for w in ws), n)
         assert math.isclose(r["base_score"], sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), rel_tol=1e-9)
-        assert math.isclose(r["score"], sum((np.logaddexp(math.log(c[w]) if c[w] else -np.inf, math.log(v) + lat.log_probability(w)) - math.log(n + v)) / math.log(10) for w in ws), rel_tol=1e-6)
+        assert math.isclose(r["score"], sum(lat.log_probability(w) for w in ws) / math.log(10), rel_tol=1e-6)
+        assert math.isclose(r["mixed_score"], sum((np.logaddexp(math.log(c[w]) if c[w] else -np.inf, math.log(v) + lat.log_probability(w)) - math.log(n + v)) / math.log(10) for w in ws), rel_tol=1e-6)
 
 
 def test_warc(spark, tmp_path):
@@ -454,3 +553,22 @@ def test_null_rows(spark, tmp_path, name):
         df = spark.read.parquet(f"{SF}/{t}.parquet")
         df.limit(5).unionByName(df.limit(1).selectExpr(*[f"CAST(NULL AS {d}) AS {c}" for c, d in df.dtypes])).write.parquet(f"file://{tmp_path}/{t}.parquet")
     assert QUERIES[name](spark, f"file://{tmp_path}").count() == 6
+
+
+def test_warc_revisits_refer_to_records(spark, tmp_path):
+    """By the standard heads: a revisit names the record, address and date of the response that it repeats."""
+    import zlib
+
+    df = spark.createDataFrame([(2, "http://b/", "same"), (1, "http://a/ x", "same"), (3, "http://c/", "other")], "page_id long, url string, html string").coalesce(1)
+    heads = []
+    for f in write_warc(df, f"file://{tmp_path}/w").collect():
+        rest = open(f["path"].removeprefix("file://"), "rb").read()
+        while rest:
+            member = zlib.decompressobj(31)
+            head = member.decompress(rest).partition(b"\r\n\r\n")[0].decode()
+            heads.append(dict(x.split(": ", 1) for x in head.split("\r\n")[1:]))
+            rest = member.unused_data
+    by = {h["X-Page-ID"]: h for h in heads}
+    assert by["2"]["WARC-Refers-To"] == by["1"]["WARC-Record-ID"] and by["2"]["WARC-Refers-To-Target-URI"] == "http://a/%20x" == by["1"]["WARC-Target-URI"]
+    assert by["2"]["WARC-Refers-To-Date"] == by["1"]["WARC-Date"] and not any("Refers" in k for i in "13" for k in by[i])
+    assert len({h["WARC-Record-ID"] for h in heads}) == 3
