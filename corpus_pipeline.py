@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreweave.llm.bpe_codec import bpe_encode
-from loreweave.llm.common import NULL_ID, materialise, owned_tables, remove, scratch, tables_read
+from loreweave.llm.common import NULL_ID, materialise, owned_tables, remove, tables_read
 from loreweave.llm.decontaminate import decontaminate
 from loreweave.llm.exact_dedup import exact_dedup
 from loreweave.llm.language_id import UNKNOWN, language_id
 from loreweave.llm.near_dedup import near_dedup
+from loreweave.shared import shared_folder
 
 #: A document whose best language scores less is rejected.
 LEAST_SCORE = 0.3
@@ -148,7 +149,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        path = f"{scratch(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        path = f"{shared_folder(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         _drop_held(spark, docs)

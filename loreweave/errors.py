@@ -13,6 +13,10 @@ class DatabaseError(KnowledgeBaseError):
     """Stored tables can't be read or written."""
 
 
+class ConflictError(DatabaseError):
+    """Another writer has published a version meanwhile."""
+
+
 class FTSError(KnowledgeBaseError):
     """The full-text index can't be built."""
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -15,24 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loreweave.shared import shared_folder
+
 #: A null id sorts behind all others.
 NULL_ID = (1 << 63) - 1
 
 CHUNK_SCHEMA = "chunk_id long, doc_ids array<long>, sizes array<int>, data binary"
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or a temporary one where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='loreweave-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def owned_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder; a block of owned_tables() learns of it."""
-    path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     if _OWNED:
         _OWNED[-1].append(path)
     return path

@@ -17,7 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm.common import materialise, scratch
+from loreweave.llm.common import materialise
+from loreweave.shared import shared_folder
 
 MAGIC = b"\x1f\x8b\x08"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -250,4 +251,4 @@ def archive_and_read(pages: DataFrame, **options) -> DataFrame:
     """Writes pages to archives in the shared folder and reads all records back."""
     spark: SparkSession = pages.sparkSession
     split_mb = options.pop("split_mb", 32)
-    return read_warc(write_warc(pages, f"{scratch(spark)}/warc", **options), split_mb=split_mb)
+    return read_warc(write_warc(pages, f"{shared_folder(spark)}/warc", **options), split_mb=split_mb)

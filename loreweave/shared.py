@@ -2,19 +2,32 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+from loreweave.errors import ConfigurationError
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the folder in spark.checkpoint.dir and read back; survives lost executors."""
-    spark = df.sparkSession
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset, a temporary folder will do only if the driver is the only machine.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.match(r"local(\[[^,]*(,[^,]*)?\])?$", spark.sparkContext.master):
+            raise ConfigurationError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='loreweave-')}"
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/kb-{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the shared folder and read back; survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/kb-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
-import os
-import shutil
+import threading
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -16,27 +16,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loreweave.errors import ValidationError
+from loreweave.errors import ConflictError, ValidationError
+from loreweave.sources.files import Files
 
 
-def read_bundle(path: str | Path, *, delete: bool = False) -> list[dict[str, Any]]:
+def read_bundle(files: Files, path: str | Path, *, delete: bool = False) -> list[dict[str, Any]]:
     """The items of a YAML bundle; with delete, the file goes afterwards, even if it can't be read."""
-    path = Path(path)
-    if not path.exists():
-        raise FileNotFoundError(path)
+    text = files.read(path)
     try:
-        items = yaml.safe_load(path.read_text(encoding="utf-8"))
+        items = yaml.safe_load(text)
         if not isinstance(items, list):
-            raise ValidationError("A bundle must contain an array")
+            raise ValidationError("A bundle must be a list of items")
         return items
     finally:
         if delete:
-            path.unlink(missing_ok=True)
+            files.remove(path)
 
 
 def read_jsonl(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
     """All JSON lines under a folder by an explicit schema; columns that a file lacks are null."""
-    if not any(Path(folder).rglob("*.json*")):
+    if not Files(spark).any_file(folder, (".json", ".jsonl", ".json.gz", ".jsonl.gz")):
         return spark.createDataFrame([], schema)
     loose = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
     return spark.read.schema(loose).option("recursiveFileLookup", True).json(folder)
@@ -70,48 +69,83 @@ class Version:
     """A version in the making: tables are written as they come, and readers see none of them before commit."""
 
     def __init__(self, snapshots: Snapshots) -> None:
-        self.snapshots, self.path = snapshots, snapshots.root / f"v-{uuid.uuid4().hex}"
+        self.snapshots, self.name = snapshots, f"v-{uuid.uuid4().hex}"
+        self.path = f"{snapshots.root}/{self.name}"
+        self.number, self.manifest = snapshots.latest()
         self.written: dict[str, str] = {}
 
     def write(self, table: str, df: DataFrame) -> DataFrame:
         """Writes a table and reads it again, so that what is derived from it doesn't compute it anew."""
-        df.write.parquet(str(self.path / table))
-        self.written[table] = f"{self.path.name}/{table}"
-        return df.sparkSession.read.schema(df.schema).parquet(str(self.path / table))
-
-    def commit(self) -> Path:
-        """Tables that were not written stay where the current version has them; then the pointer is replaced."""
-        self.path.mkdir(parents=True, exist_ok=True)
-        (self.path / "MANIFEST.json").write_text(json.dumps(self.snapshots.manifest() | self.written, indent=1, sort_keys=True))
-        pointer = self.snapshots.root / f".CURRENT-{uuid.uuid4().hex}"
-        pointer.write_text(self.path.name)
-        os.replace(pointer, self.snapshots.root / "CURRENT")
-        return self.path
+        df.write.parquet(f"{self.path}/{table}")
+        self.written[table] = f"{self.name}/{table}"
+        return df.sparkSession.read.schema(df.schema).parquet(f"{self.path}/{table}")
+
+    def commit(self) -> None:
+        """Tables that were not written stay where the version before has them. The pointer after that version's is
+        created, which fails if another writer was faster.
+        """
+        files = self.snapshots.files
+        files.mkdirs(self.path)
+        files.write(f"{self.path}/MANIFEST.json", json.dumps(self.manifest | self.written, indent=1, sort_keys=True))
+        if not files.create(self.snapshots.pointer(self.number + 1), self.name):
+            raise ConflictError("Another writer has published a version since this one began")
 
     def abort(self) -> None:
-        shutil.rmtree(self.path, ignore_errors=True)
+        self.snapshots.files.remove(self.path)
 
 
 class Snapshots:
-    """Versions of all tables under a root; CURRENT names the one that readers use.
+    """Versions of all tables under a root; numbered pointers name them, and readers use the last.
 
-    A version holds the tables that changed with it, and a manifest of where all tables are. The pointer is replaced in
-    one step, so readers see all of a version or nothing; no table is copied.
+    A version holds the tables that changed with it, and a manifest of where all tables are. A pointer is created in one
+    step and only if its number is free, so readers see all of a version or nothing, and no writer overwrites another's;
+    no table is copied. The root may be on any file system that Hadoop knows.
     """
 
-    def __init__(self, root: str | Path) -> None:
-        self.root = Path(root)
-        self.root.mkdir(parents=True, exist_ok=True)
+    def __init__(self, root: str | Path, spark: SparkSession) -> None:
+        self.root, self.files = str(root).rstrip("/"), Files(spark)
+        self.files.mkdirs(self.root)
+        self._pin = threading.local()
+
+    def pointer(self, number: int) -> str:
+        return f"{self.root}/CURRENT-{number:012d}"
+
+    def _pointers(self) -> list[int]:
+        return [int(n.removeprefix("CURRENT-")) for n in self.files.names(self.root) if n.startswith("CURRENT-")]
+
+    def latest(self) -> tuple[int, dict[str, str]]:
+        """The number of the current version, 0 if there is none, and the folders of its tables, relative to the root.
+
+        Within pinned(), what was current when that began.
+        """
+        if (held := getattr(self._pin, "held", None)) is not None:
+            return held
+        number = max(self._pointers(), default=0)
+        return number, self._manifest(number)
+
+    def _manifest(self, number: int) -> dict[str, str]:
+        return json.loads(self.files.read(f"{self.root}/{self.files.read(self.pointer(number)).strip()}/MANIFEST.json")) if number else {}
+
+    @contextmanager
+    def pinned(self) -> Iterator[None]:
+        """All that this thread reads meanwhile comes from one version."""
+        if getattr(self._pin, "held", None) is not None:
+            yield
+            return
+        self._pin.held = self.latest()
+        try:
+            yield
+        finally:
+            self._pin.held = None
 
     @property
-    def current(self) -> Path | None:
-        at = self.root / "CURRENT"
-        return self.root / at.read_text().strip() if at.exists() else None
+    def current(self) -> str | None:
+        """The name of the current version."""
+        number = self.latest()[0]
+        return self.files.read(self.pointer(number)).strip() if number else None
 
     def manifest(self) -> dict[str, str]:
-        """Folders of the current tables by name, relative to the root."""
-        at = self.current
-        return json.loads((at / "MANIFEST.json").read_text()) if at else {}
+        return self.latest()[1]
 
     def read(self, spark: SparkSession, table: str, schema: T.StructType) -> DataFrame:
         """A table; with the ending ``.*``, all slices of it as one."""
@@ -119,7 +153,7 @@ class Snapshots:
         names = [n for n in at if n.startswith(table[:-1])] if table.endswith(".*") else [table] * (table in at)
         if not names:
             return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).parquet(*[str(self.root / at[n]) for n in sorted(names)])
+        return spark.read.schema(schema).parquet(*[f"{self.root}/{at[n]}" for n in sorted(names)])
 
     @contextmanager
     def version(self) -> Iterator[Version]:
@@ -133,18 +167,27 @@ class Snapshots:
             v.abort()
             raise
 
-    def publish(self, tables: dict[str, DataFrame]) -> Path | None:
+    def publish(self, tables: dict[str, DataFrame]) -> None:
         with self.version() as v:
             for name, df in tables.items():
                 v.write(name, df)
-        return self.current
-
-    def prune(self) -> None:
-        """Removes what the current version doesn't name."""
-        named = set(self.manifest().values())
-        for path in self.root.glob("v-*"):
-            for table in path.iterdir():
-                if table.is_dir() and f"{path.name}/{table.name}" not in named:
-                    shutil.rmtree(table, ignore_errors=True)
-            if path != self.current and not any(p.is_dir() for p in path.iterdir()):
-                shutil.rmtree(path, ignore_errors=True)
+
+    def prune(self, keep: int = 2, least_age: float = 3600.0) -> None:
+        """Removes tables that none of the last ``keep`` versions names, and older pointers.
+
+        What was changed within ``least_age`` seconds stays, as a version in the making or a reader may need it.
+        """
+        numbers = sorted(self._pointers())
+        named, now = set(), time.time()
+        for n in numbers[-keep:]:
+            named |= set(self._manifest(n).values()) | {self.files.read(self.pointer(n)).strip()}
+        for version in (n for n in self.files.names(self.root) if n.startswith("v-")):
+            if self.files.age(f"{self.root}/{version}", now) < least_age:
+                continue
+            for table in self.files.names(f"{self.root}/{version}"):
+                if f"{version}/{table}" not in named and table != "MANIFEST.json":
+                    self.files.remove(f"{self.root}/{version}/{table}")
+            if version not in named and set(self.files.names(f"{self.root}/{version}")) <= {"MANIFEST.json"}:
+                self.files.remove(f"{self.root}/{version}")
+        for n in numbers[:-keep]:
+            self.files.remove(self.pointer(n))
