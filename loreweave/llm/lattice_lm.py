@@ -183,7 +183,8 @@ def _answer(sent: DataFrame, vocabulary: str) -> DataFrame:
                     owner, own, summed = o.as_py(), _Owned(lat), False
                 words = words.as_py().split(b" ")
                 if kind.as_py() == COUNTS:
-                    own.count[own.places(words)] += np.frombuffer(counts.as_py(), np.int32)
+                    at = own.places(words)  # may make room in count
+                    own.count[at] += np.frombuffer(counts.as_py(), np.int32)
                     continue
                 if not summed:
                     rows.append((None, owner, None, None, int(own.count.sum()), int((own.count > 0).sum())))

@@ -505,6 +505,19 @@ def test_lattice_lm(spark):
         assert math.isclose(r["mixed_score"], sum((np.logaddexp(math.log(c[w]) if c[w] else -np.inf, math.log(v) + lat.log_probability(w)) - math.log(n + v)) / math.log(10) for w in ws), rel_tol=1e-6)
 
 
+def test_lattice_lm_many_words(spark):
+    """Owners make room as distinct words come, of training documents and of others."""
+    path = P.path("piece_bpe_32k.model")
+    texts = [(i, " ".join(f"w{i}x{j} all" for j in range(900))) for i in range(40)]
+    c = Counter(w for i, t in texts if zlib.crc32(str(i).encode()) % 10 for w in t.split())
+    got = by_id(lattice_lm(frame(spark, texts), path, chunk_mb=1))
+    for i, t in texts:
+        assert got[i]["n_known"] == sum(c[w] > 0 for w in t.split()) + 1
+        n = sum(c.values()) + sum(zlib.crc32(str(k).encode()) % 10 > 0 for k, _ in texts)
+        ends = n - sum(c.values())
+        assert got[i]["train_tokens"] == n and math.isclose(got[i]["base_score"], sum(math.log10((x + 0.1) / (n + 0.1 * (len(c) + 2))) for x in [*(c[w] for w in t.split()), ends]), rel_tol=1e-9)
+
+
 def test_warc(spark, tmp_path):
     pages = [(3, "http://a/ b", "same"), (1, "u", "same"), (2, None, "x" * 300_000), (5, "v", None), (4, "w", ""), (None, "n", "same"), (6, "z", "\x1f\x8b\x08 é"), (1, "u", "same")]
     pages += [(100 + i, "u", f"page {i} " * random.Random(i).randint(1, 400)) for i in range(200)]
@@ -555,6 +568,33 @@ def test_null_rows(spark, tmp_path, name):
     assert QUERIES[name](spark, f"file://{tmp_path}").count() == 6
 
 
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_very_long(spark, tmp_path, name):
+    """One long text and one long word beside short texts; all of each counts."""
+    rng = random.Random(4)
+    long = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(100_000))
+    word = "".join(rng.choice("abcdefgh") for _ in range(400_000))
+    texts = [long, word, "a few words", long + " and an end", None]
+    spark.createDataFrame([(i, t, "en", "src1", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, "u", t) for i, t in enumerate(texts)], "page_id long, url string, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    spark.createDataFrame([(1, " ".join(long.split()[-30:])), (2, word)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    got = by_id(QUERIES[name](spark, f"file://{tmp_path}"), "page_id" if name == "op4_warc" else "doc_id")
+    assert set(got) == set(range(5))
+    size, words = [len(t or "") for t in texts], [len((t or "").split()) for t in texts]
+    if name == "op1_suffix_dedup":
+        assert [got[i]["n_bytes"] for i in range(5)] == size and [got[i]["n_removed"] for i in range(5)] == [0, 0, 0, size[0], 0]
+    if name == "op8_substring_dedup":
+        assert [got[i]["n_words"] for i in range(5)] == words and [got[i]["n_removed"] for i in range(5)] == [words[0], 0, 0, words[0], 0]
+    if name == "op6_decontaminate":
+        assert [got[i]["n_hit"] for i in range(5)] == [30, 1, 0, 30, 0]
+    if name == "op10_near_dedup":
+        assert [got[i]["component_id"] for i in range(5)] == [0, 1, 2, 0, 4]
+    if name == "op9_lattice_lm":
+        assert [got[i]["n_tokens"] for i in range(5)] == [n + 1 for n in words] and got[1]["score"] < -100_000
+    if name == "op4_warc":
+        assert [got[i]["payload_bytes"] for i in range(5)] == size
+
+
 def test_warc_revisits_refer_to_records(spark, tmp_path):
     """By the standard heads: a revisit names the record, address and date of the response that it repeats."""
     import zlib
