@@ -164,8 +164,8 @@ def splitters(chunks: DataFrame, units: Units, size: int, buckets: int, per_buck
     """Ends of ranges of suffixes: about ``buckets`` quantiles of a sample of ``per_bucket`` times as many.
 
     The sample grows with the input: every chunk offers suffixes of anchors at random places, by its bytes. The sample is sorted in ranges by
-    Spark, and each range gives out every so-many-th suffix, so that the driver gets the splitters only. A splitter is as
-    short as can be: it has one byte that the suffix before it in the sample hasn't.
+    Spark, and each range, however few it has, gives out every so-many-th suffix from a random one on, so that the driver
+    gets the splitters only. A splitter is as short as can be: it has one byte that the suffix before it in the range hasn't.
     """
 
     def offer(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -187,18 +187,17 @@ def splitters(chunks: DataFrame, units: Units, size: int, buckets: int, per_buck
         return pa.RecordBatch.from_pydict({"suffix": pa.array(keys, pa.binary())})
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        i, before = -1 - int(np.random.default_rng(TaskContext.get().partitionId()).integers(0, per_bucket)), None
+        i, before = -int(np.random.default_rng(TaskContext.get().partitionId()).integers(0, per_bucket)), None
         for batch in batches:
             found = []
             for x in batch.column(0).to_pylist():
-                i += 1
-                if before is not None and i >= 0 and i % per_bucket == 0 and x != before:
-                    found.append(x[: common_prefix(before, x) + 1])
-                before = x
+                if i % per_bucket == 0 and x != before:
+                    found.append(x if before is None else x[: common_prefix(before, x) + 1])
+                i, before = i + 1, x
             yield pa.RecordBatch.from_pydict({"suffix": pa.array(found, pa.binary())})
 
     sample = map_batches(chunks, offer, "suffix binary")
-    ranges = sample.repartitionByRange(max(1, per_bucket * buckets // 100_000), "suffix").sortWithinPartitions("suffix")
+    ranges = sample.repartitionByRange(max(1, per_bucket * buckets // 10_000), "suffix").sortWithinPartitions("suffix")
     return sorted({bytes(r[0]) for r in ranges.mapInArrow(pick, "suffix binary").collect()})
 
 
