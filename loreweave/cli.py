@@ -68,21 +68,16 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     from loreweave.plans.engine import Engine
-    from loreweave.plans.service import node_id, tools
+    from loreweave.plans.service import tools
 
     spark = SparkSession.builder.appName("loreweave").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    call = tools(Engine(spark, kb))
-    if command == "serve":  # one JSON request {"tool", "args"} a line
-        import json
+    engine = Engine(spark, kb)
+    if command == "serve":
+        from loreweave.plans.mcp import serve
 
-        for line in sys.stdin:
-            r = json.loads(line)
-            print(call[r["tool"]](**r.get("args", {})), flush=True)
-        return 0
-    for k in ("node_id", "from_id", "to_id"):
-        if k in args:
-            args[k] = node_id(args[k])
-    print(call[command.replace("-", "_")](**args))
+        serve(engine, sys.stdin, sys.stdout, VERSION)
+    else:
+        print(tools(engine)[command.replace("-", "_")](**args))
     return 0
 
 

@@ -18,10 +18,13 @@ RESULT_BYTES = 2 * 1024 * 1024
 CARDINALITIES = ("1:1", "1:N", "N:1", "N:N")
 METRICS = ("cosine", "l2", "inner")
 LOG_LEVELS = ("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL")
+#: Both give the same tokens: the second is a dictionary's name that configurations may have, read as the first.
+TOKENIZERS = ("unicode", "jieba")
 INDEX_TABLE = "_sys_search_index"
 CACHE_TABLE = "_sys_search_cache"
 POSTINGS_TABLE = "_sys_search_postings"
 STATS_TABLE = "_sys_search_stats"
+LINKS_TABLE = "_sys_links"
 
 _IDENTIFIER = re.compile(r"[a-zA-Z_][a-zA-Z0-9_]*")
 _BY_TYPE = {"string": T.StringType(), "integer": T.LongType(), "number": T.DoubleType(), "boolean": T.BooleanType(), "array": T.StringType(), "object": T.StringType(), "null": T.StringType()}
@@ -38,6 +41,7 @@ def _struct(fields: str) -> T.StructType:
 INDEX_SCHEMA = _struct("id long, source_table string, source_id long, source_field string, chunk_seq int, content string, fts_content string, vector vector, content_hash string, created_at timestamp")
 POSTINGS_SCHEMA = _struct("source_table string, id long, dl long, term string, tf long")
 STATS_SCHEMA = _struct("source_table string, documents long, chunks long, tokens long")
+LINKS_SCHEMA = _struct("edge_id long, from_id long, to_id long")
 CACHE_SCHEMA = _struct("content_hash string, fts_content string, vector vector, last_used timestamp, created_at timestamp")
 
 
@@ -193,6 +197,7 @@ class Config:
     ontology: Ontology = field(default_factory=Ontology)
     embedding_model: str = "text-embedding-3-small"
     embedding_dim: int = 1536
+    embedding_url: str | None = None
     chunk_size: int = 800
     chunk_overlap: int = 100
     tokenizer: str = "unicode"
@@ -211,6 +216,8 @@ class Config:
             raise ValueError("chunk_overlap must be less than chunk_size")
         if not 100 <= self.max_rows_per_file <= 10_000:
             raise ValueError("max_rows_per_file must be 100 to 10000")
+        if self.tokenizer not in TOKENIZERS:
+            raise ValueError(f"tokenizer must be one of {', '.join(TOKENIZERS)}")
         if self.log_level not in LOG_LEVELS:
             raise ValueError(f"log_level must be one of {', '.join(LOG_LEVELS)}")
 
@@ -227,5 +234,5 @@ class Config:
         steps = rrf.get("thresholds")
         fusion = RRF(**{k: rrf[k] for k in ("auto_k", "k", "min_k", "max_k", "strategy") if k in rrf}, **({"thresholds": tuple((float(t["max_docs"]), int(t["k"])) for t in steps)} if steps else {}))
         plain = {k: data[k] for k in ("chunk_size", "chunk_overlap", "tokenizer", "log_level", "usage_instructions") if k in data}
-        plain |= {k: v for k, v in (("embedding_model", embedding.get("model")), ("embedding_dim", embedding.get("dim")), ("data_dir", storage.get("data_dir")), ("max_rows_per_file", storage.get("max_rows_per_file"))) if v is not None}
+        plain |= {k: v for k, v in (("embedding_model", embedding.get("model")), ("embedding_dim", embedding.get("dim")), ("embedding_url", embedding.get("url")), ("data_dir", storage.get("data_dir")), ("max_rows_per_file", storage.get("max_rows_per_file"))) if v is not None}
         return cls(ontology=Ontology.parse(data.get("ontology") or {}), rrf=fusion, **plain)

@@ -1,11 +1,14 @@
-"""Property-graph operators over one table of edges.
+"""Property-graph operators.
 
-edges: edge_type, edge_id, from_type, from_id, to_type, to_id. A node is a type and an id; ids of different types may
-be equal.
+Edges are one table of edge_type, edge_id, from_type, from_id, to_type, to_id, or a Graph, which has it in two orders. A
+node is a type and an id; ids of different types may be equal.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,28 +16,61 @@ from loreweave.errors import InvalidDirectionError
 from loreweave.shared import cut
 
 DIRECTIONS = ("out", "in", "both")
+_BACK = {"out": "in", "in": "out", "both": "both"}
+#: Nodes that a scan looks for by value at most; more are joined.
+FEW = 1000
+
+
+@dataclass(frozen=True)
+class Graph:
+    """Edges in order of their source and again in order of their target, so a node's edges are in few row groups."""
+
+    by_source: DataFrame
+    by_target: DataFrame
+
+
+Edges = DataFrame | Graph
+
 
+def _graph(edges: Edges) -> Graph:
+    return edges if isinstance(edges, Graph) else Graph(edges, edges)
 
-def arrows(edges: DataFrame, direction: str = "both", edge_types: list[str] | None = None) -> DataFrame:
+
+def arrows(edges: Edges, direction: str = "both", edge_types: list[str] | None = None) -> DataFrame:
     """Edges as steps from src to dst; each edge at most once in either direction."""
     if direction not in DIRECTIONS:
         raise InvalidDirectionError(direction)
-    if edge_types:
-        edges = edges.filter(F.col("edge_type").isin(edge_types))
 
-    def one(way: str, a: str, b: str) -> DataFrame:
-        return edges.select("edge_type", "edge_id", F.lit(way).alias("direction"), F.col(f"{a}_type").alias("src_type"), F.col(f"{a}_id").alias("src_id"), F.col(f"{b}_type").alias("dst_type"), F.col(f"{b}_id").alias("dst_id"))
+    def one(rows: DataFrame, way: str, a: str, b: str) -> DataFrame:
+        own = rows.filter(F.col("edge_type").isin(edge_types)) if edge_types else rows
+        return own.select("edge_type", "edge_id", F.lit(way).alias("direction"), F.col(f"{a}_type").alias("src_type"), F.col(f"{a}_id").alias("src_id"), F.col(f"{b}_type").alias("dst_type"), F.col(f"{b}_id").alias("dst_id"))
 
-    out, into = one("out", "from", "to"), one("in", "to", "from")
+    g = _graph(edges)
+    out, into = one(g.by_source, "out", "from", "to"), one(g.by_target, "in", "to", "from")
     return {"out": out, "in": into}.get(direction) or out.unionByName(into)
 
 
-def neighbors(edges: DataFrame, seeds: DataFrame, *, direction: str = "both", edge_types: list[str] | None = None, limit: int | None = 100) -> DataFrame:
+def _near(rows: DataFrame, nodes: DataFrame, end: str = "src") -> DataFrame:
+    """Rows that may end in one of the nodes (type, id).
+
+    FEW nodes at most go into the scan as values, by which it leaves out edge types, files and row groups; for more, all
+    rows are given, and the caller's join picks.
+    """
+    keys = nodes.select("type", "id").limit(FEW + 1).collect()
+    if len(keys) > FEW:
+        return rows
+    by: dict[str, set[int]] = {}
+    for kind, ident in keys:
+        by.setdefault(kind, set()).add(ident)
+    return rows.filter(reduce(Column.__or__, [(F.col(f"{end}_type") == kind) & F.col(f"{end}_id").isin(sorted(ids)) for kind, ids in sorted(by.items())], F.lit(False)))
+
+
+def neighbors(edges: Edges, seeds: DataFrame, *, direction: str = "both", edge_types: list[str] | None = None, limit: int | None = 100) -> DataFrame:
     """Steps from seeds (type, id), at most ``limit`` for each seed and edge type: out before in, then by edge; all if it is None."""
     if limit is not None and limit < 0:
         raise ValueError("limit must not be negative")
     s = seeds.select(F.col("type").alias("src_type"), F.col("id").alias("src_id")).distinct()
-    steps = arrows(edges, direction, edge_types).join(s, ["src_type", "src_id"])
+    steps = _near(arrows(edges, direction, edge_types), seeds).join(s, ["src_type", "src_id"])
     if limit is None:
         return steps
     order = Window.partitionBy("src_type", "src_id", "edge_type").orderBy(F.col("direction").desc(), "edge_id", "dst_type", "dst_id")
@@ -53,22 +89,28 @@ def _depth(max_depth: int) -> None:
         raise ValueError("max_depth must be at least 1")
 
 
-def traverse_nodes(edges: DataFrame, start: DataFrame, *, direction: str = "out", edge_types: list[str] | None = None, max_depth: int = 3) -> DataFrame:
+def traverse_nodes(edges: Edges, start: DataFrame, *, direction: str = "out", edge_types: list[str] | None = None, max_depth: int = 3, enough: int | None = None) -> DataFrame:
     """type, id, min_depth and paths_count (shortest paths) of nodes reached from start (type, id), without it.
 
-    One join for each hop takes the whole frontier a step on; nodes seen before are left out.
+    One join for each hop takes the whole frontier a step on; nodes seen before are left out. The search stops with the
+    hop that brings ``enough`` nodes.
     """
     _depth(max_depth)
     steps = arrows(edges, direction, edge_types)
     frontier = start.select("type", "id", F.lit(1).cast("long").alias("paths_count"))
     seen = start.select("type", "id", F.lit(0).alias("min_depth"), F.lit(1).cast("long").alias("paths_count"))
+    held = 0
     for depth in range(1, max_depth + 1):
         on = (F.col("type") == F.col("src_type")) & (F.col("id") == F.col("src_id"))
-        reached = frontier.join(steps, on).groupBy(F.col("dst_type").alias("type"), F.col("dst_id").alias("id")).agg(F.sum("paths_count").alias("paths_count"))
+        reached = frontier.join(_near(steps, frontier), on).groupBy(F.col("dst_type").alias("type"), F.col("dst_id").alias("id")).agg(F.sum("paths_count").alias("paths_count"))
         frontier = cut(reached.join(seen, ["type", "id"], "left_anti"))
-        if frontier.isEmpty():
+        n = frontier.count()
+        if not n:
             break
         seen = seen.unionByName(frontier.select("type", "id", F.lit(depth).alias("min_depth"), "paths_count"))
+        held += n
+        if enough is not None and held >= enough:
+            break
     return seen.filter("min_depth > 0")
 
 
@@ -76,42 +118,89 @@ def _key(kind: str, ident: str) -> Column:
     return F.concat(F.col(kind), F.lit(":"), F.col(ident).cast("string"))
 
 
-def paths(edges: DataFrame, start: DataFrame, *, direction: str = "out", edge_types: list[str] | None = None, max_depth: int = 3, to: DataFrame | None = None, limit: int | None = None) -> DataFrame:
-    """Simple paths from start: nodes (array of type:id), edges (array of type:id), depth, end_type and end_id.
+def _trivial(nodes: DataFrame) -> DataFrame:
+    """Paths of one node each."""
+    return nodes.select(F.array(_key("type", "id")).alias("nodes"), F.array().cast("array<string>").alias("edges"), F.col("type").alias("end_type"), F.col("id").alias("end_id"))
+
+
+def _extended(here: DataFrame, steps: DataFrame, avoid: DataFrame | None = None) -> DataFrame:
+    """Simple paths that are a step longer than those here, and don't end in nodes to avoid (end_type, end_id).
+
+    Parallel edges meet after the join, where only the paths' ends have them, and count as one path.
+    """
+    ends = here.select(F.col("end_type").alias("type"), F.col("end_id").alias("id")).distinct()
+    on = (F.col("end_type") == F.col("src_type")) & (F.col("end_id") == F.col("src_id"))
+    fresh = ~F.array_contains("nodes", _key("dst_type", "dst_id"))
+    moved = here.join(_near(steps, ends), on).filter(fresh).groupBy("nodes", "edges", "dst_type", "dst_id").agg(F.min(_key("edge_type", "edge_id")).alias("edge"))
+    moved = moved.select(F.array_append("nodes", _key("dst_type", "dst_id")).alias("nodes"), F.array_append("edges", F.col("edge")).alias("edges"), F.col("dst_type").alias("end_type"), F.col("dst_id").alias("end_id"))
+    return cut(moved if avoid is None else moved.join(avoid, ["end_type", "end_id"], "left_anti"))
+
+
+def _shortest(found: list[DataFrame], limit: int | None) -> DataFrame:
+    """Paths by length: found[i] has those of one length, given as its column depth."""
+    out = reduce(DataFrame.unionByName, [f.select("nodes", "edges", "depth") for f in found])
+    return out if limit is None else out.orderBy("depth", "nodes").limit(limit)
+
+
+def paths(edges: Edges, start: DataFrame, *, direction: str = "out", edge_types: list[str] | None = None, max_depth: int = 3, to: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Simple paths from start: nodes (array of type:id), edges (array of type:id) and depth.
 
     Parallel edges count as one path, with the least of them. With ``to``, only paths that end there, which go on no
-    further; the search stops with the hop that completes ``limit`` paths, so the shortest are found first.
+    further. The search stops with the hop that completes ``limit`` paths, so the shortest are found first, and of those
+    of one length the first by nodes.
     """
     _depth(max_depth)
-    step = arrows(edges, direction, edge_types).withColumn("edge", _key("edge_type", "edge_id"))
-    here = start.select(F.array(_key("type", "id")).alias("nodes"), F.array().cast("array<string>").alias("edges"), F.lit(0).alias("depth"), F.col("type").alias("end_type"), F.col("id").alias("end_id"))
-    goal = to.select(F.col("type").alias("end_type"), F.col("id").alias("end_id")) if to is not None else None
-    done = here.limit(0)
-    if goal is not None:
-        done = here.join(goal, ["end_type", "end_id"], "left_semi")
-        here = here.join(goal, ["end_type", "end_id"], "left_anti")
+    steps = arrows(edges, direction, edge_types)
+    if to is not None:
+        return _between(steps, arrows(edges, _BACK[direction], edge_types), start, to, max_depth, limit)
+    here, found, n = _trivial(start), [_trivial(start).limit(0).withColumn("depth", F.lit(0))], 0
     for depth in range(1, max_depth + 1):
-        if goal is not None and limit is not None and done.limit(limit).count() >= limit:
+        here = _extended(here, steps)
+        if not (more := here.count()):
+            break
+        found.append(here.withColumn("depth", F.lit(depth)))
+        n += more
+        if limit is not None and n >= limit:
+            break
+    return _shortest(found, limit)
+
+
+def _between(steps: DataFrame, back: DataFrame, start: DataFrame, goal: DataFrame, max_depth: int, limit: int | None) -> DataFrame:
+    """Paths from start to goal, met in the middle: halves grow from either side in turns, so none has more than half the
+    steps, and what only one side reaches is never extended to full length.
+    """
+    ahead, behind = _trivial(start), _trivial(goal)
+    ends = behind.select("end_type", "end_id").distinct()
+    found, n = [], 0
+    for length in range(max_depth + 1):
+        if length % 2:
+            ahead = _extended(ahead, steps)
+        elif length:
+            behind = _extended(behind, back, ends)
+        rest = behind.select(F.col("nodes").alias("b_nodes"), F.col("edges").alias("b_edges"), "end_type", "end_id")
+        met = ahead.join(rest, ["end_type", "end_id"]).filter(F.size(F.array_intersect("nodes", "b_nodes")) == 1)
+        # the meeting node is the last of both halves
+        tail = F.reverse(F.slice("b_nodes", F.lit(1), F.size("b_nodes") - 1))
+        met = met.select(F.concat("nodes", tail).alias("nodes"), F.concat("edges", F.reverse("b_edges")).alias("edges"), F.lit(length).alias("depth"))
+        if limit is not None:
+            met = cut(met.orderBy("nodes").limit(limit - n))
+            n += met.count()
+        found.append(met)
+        if limit is not None and n >= limit:
             break
-        on = (F.col("end_type") == F.col("src_type")) & (F.col("end_id") == F.col("src_id"))
-        fresh = ~F.array_contains("nodes", _key("dst_type", "dst_id"))
-        # parallel edges meet after the join, where only the frontier's are left
-        moved = here.join(step, on).filter(fresh).groupBy("nodes", "edges", "dst_type", "dst_id").agg(F.min("edge").alias("edge"))
-        moved = moved.select(F.array_append("nodes", _key("dst_type", "dst_id")).alias("nodes"), F.array_append("edges", F.col("edge")).alias("edges"), F.lit(depth).alias("depth"), F.col("dst_type").alias("end_type"), F.col("dst_id").alias("end_id"))
-        here = cut(moved)
-        if here.isEmpty():
+        if length < 2:
+            ahead = ahead.join(ends, ["end_type", "end_id"], "left_anti")
+        if ahead.isEmpty() or behind.isEmpty():
             break
-        done = done.unionByName(here if goal is None else here.join(goal, ["end_type", "end_id"], "left_semi"))
-        if goal is not None:
-            here = here.join(goal, ["end_type", "end_id"], "left_anti")
-    return done if limit is None else done.orderBy("depth", "nodes").limit(limit)
+    return _shortest(found, limit)
 
 
-def subgraph(edges: DataFrame, center: DataFrame, *, edge_types: list[str] | None = None, max_depth: int = 2, node_limit: int = 100, edge_limit: int = 200) -> tuple[DataFrame, DataFrame]:
+def subgraph(edges: Edges, center: DataFrame, *, edge_types: list[str] | None = None, max_depth: int = 2, node_limit: int = 100, edge_limit: int = 200) -> tuple[DataFrame, DataFrame]:
     """Nodes around center (type, id, min_depth), itself first, and the edges between them; undirected."""
-    found = traverse_nodes(edges, center, direction="both", edge_types=edge_types, max_depth=max_depth).drop("paths_count")
-    nodes = center.select("type", "id", F.lit(0).alias("min_depth")).unionByName(found).orderBy("min_depth", "type", "id").limit(node_limit)
-    own = edges.filter(F.col("edge_type").isin(edge_types)) if edge_types else edges
+    found = traverse_nodes(edges, center, direction="both", edge_types=edge_types, max_depth=max_depth, enough=node_limit).drop("paths_count")
+    nodes = cut(center.select("type", "id", F.lit(0).alias("min_depth")).unionByName(found).orderBy("min_depth", "type", "id").limit(node_limit))
+    own = _graph(edges).by_source
+    own = _near(own.filter(F.col("edge_type").isin(edge_types)) if edge_types else own, nodes, "from")
     for end in ("from", "to"):
         own = own.join(nodes.select(F.col("type").alias(f"{end}_type"), F.col("id").alias(f"{end}_id")), [f"{end}_type", f"{end}_id"], "left_semi")
     return nodes, own.orderBy("edge_type", "edge_id").limit(edge_limit)

@@ -43,6 +43,18 @@ def merge_cache(cache: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     return joined.select("content_hash", pick("fts_content").alias("fts_content"), pick("vector").alias("vector"), touched("last_used"), touched("created_at"))
 
 
+def with_vectors(rows: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows, whose missing vectors come from new (content_hash, vector)."""
+    found = new.select("content_hash", F.col("vector").alias("__new"))
+    return rows.join(found, "content_hash", "left").withColumn("vector", F.coalesce("vector", "__new")).select(*rows.columns)
+
+
+def renewed(held: DataFrame, ids: DataFrame | None, rows: DataFrame) -> DataFrame:
+    """Entries of a node type after its nodes ``ids`` (__id; None: all) have changed: theirs are rows, the others stay."""
+    kept = held.limit(0) if ids is None else held.join(ids.select(F.col("__id").alias("source_id")), "source_id", "left_anti").select(*held.columns)
+    return kept.unionByName(rows)
+
+
 def expire(cache: DataFrame, days: int, now: Column) -> DataFrame:
     return cache.filter(F.col("last_used") >= now - F.make_dt_interval(F.lit(days)))
 

@@ -41,6 +41,19 @@ def upsert(current: DataFrame, batch: DataFrame, keys: Sequence[str], *, now: Co
     return assign_ids(merged, keys, top).select(*current.columns)
 
 
+def loaded(current: DataFrame, rows: DataFrame, keys: Sequence[str], now: Column) -> DataFrame:
+    """current with rows read from files, which have all its columns.
+
+    Of rows with equal keys, the one last updated counts; those without a time come first, then lower ids. An empty table
+    takes their ids and times, any other keeps its own.
+    """
+    batch = last_wins(rows, keys, [F.coalesce("__updated_at", "__created_at"), F.col("__id")])
+    if current.isEmpty():
+        known = batch.withColumn("__created_at", F.coalesce("__created_at", now)).withColumn("__updated_at", F.coalesce("__updated_at", now))
+        return assign_ids(known.select(*rows.columns), keys)
+    return upsert(current, batch.drop("__id", "__created_at", "__updated_at"), keys, now=now)
+
+
 def highest(rows: DataFrame, column: str = "__id") -> Column:
     """The highest id, 0 if there is none."""
     return F.lit(rows.agg(F.coalesce(F.max(column), F.lit(0).cast("long"))).first()[0])

@@ -1,18 +1,15 @@
-"""Vector, full-text and hybrid search, and gated SQL, as DataFrame plans."""
+"""Vector, full-text and hybrid search as DataFrame plans."""
 
 from __future__ import annotations
 
-import json
-import re
 from collections.abc import Sequence
-from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreweave.functions.text import tokens
 from loreweave.functions.vector import cosine
-from loreweave.model import QUERY_LIMIT, RESULT_BYTES
+from loreweave.shared import cut
 
 K1, B = 1.2, 0.75
 
@@ -22,28 +19,32 @@ def vector_scores(rows: DataFrame, query: Column, vector: str = "vector") -> Dat
     return rows.filter(F.col(vector).isNotNull()).withColumn("score", F.round(cosine(F.col(vector), query), 6)).filter("score is not null")
 
 
-def bm25_scores(rows: DataFrame, terms: Sequence[str], text: str, keep: Column | None = None) -> DataFrame:
-    """Rows that match any of the distinct terms, scored by BM25; statistics are over all rows, ``keep`` filters after.
+def bm25_scores(rows: DataFrame, terms: Sequence[str], text: str, keep: Column | None = None, key: str = "id") -> DataFrame:
+    """key and score of the rows that match any of the distinct terms, by BM25; statistics are over all rows, ``keep``
+    filters after.
 
-    Term frequencies come from higher-order functions on each row, so the only exchange is that of one row of
-    statistics: document frequencies, number and mean length.
+    Texts are tokenised once: lengths and term frequencies are written to the shared folder, from where statistics, one
+    row of document frequencies, number and mean length, and scores are read. For a corpus that is searched often, see
+    bm25_postings.
     """
     terms = list(dict.fromkeys(terms))
+    if not terms:
+        return rows.select(key, F.lit(0.0).alias("score")).limit(0)
     # a generator of one row keeps the optimizer from putting the token expression in place of each of its uses
-    counted = rows.select("*", F.explode(F.array(tokens(F.col(text)))).alias("__t")).withColumn("__dl", F.size("__t"))
-    is_term = lambda t: lambda x: x == F.lit(t)
-    tf = [F.size(F.filter("__t", is_term(t))).alias(f"__tf{i}") for i, t in enumerate(terms)]
-    counted = counted.select("*", *tf).drop("__t")
-    some = [F.count_if(F.col(f"__tf{i}") > 0).alias(f"__df{i}") for i in range(len(terms))]
-    stats = counted.filter(F.col(text).isNotNull()).agg(F.count(F.lit(1)).alias("__n"), F.avg("__dl").alias("__avg"), *some)
-    hit = counted.filter(F.greatest(*[F.col(f"__tf{i}") for i in range(len(terms))], F.lit(0)) > 0) if terms else counted.limit(0)
-    hit = (hit.filter(keep) if keep is not None else hit).crossJoin(F.broadcast(stats))  # one row
+    split = rows.select(key, (keep if keep is not None else F.lit(True)).alias("__keep"), F.explode(F.array(tokens(F.col(text)))).alias("__t"))
+    some = split.select(key, "__keep", F.size("__t").alias("__dl"), F.explode(F.array(F.filter("__t", lambda x: x.isin(terms)))).alias("__m"))
+    tf = [(F.size("__m") - F.size(F.array_remove("__m", t))).alias(f"__tf{i}") for i, t in enumerate(terms)]
+    counted = cut(some.select(key, "__keep", "__dl", *tf))
+    found = [F.count_if(F.col(f"__tf{i}") > 0).alias(f"__df{i}") for i in range(len(terms))]
+    # a null text has no tokens, and no length either
+    stats = counted.filter("__dl is not null").agg(F.count(F.lit(1)).alias("__n"), F.avg("__dl").alias("__avg"), *found)
+    hit = counted.filter(F.col("__keep") & (F.greatest(*[F.col(f"__tf{i}") for i in range(len(terms))], F.lit(0)) > 0)).crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
     for i in range(len(terms)):
         f, df = F.col(f"__tf{i}").cast("double"), F.col(f"__df{i}")
         idf = F.log((F.col("__n") - df + F.lit(0.5)) / (df + F.lit(0.5)) + F.lit(1.0))
         score = score + idf * f * F.lit(K1 + 1) / (f + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("__dl") / F.col("__avg")))
-    return hit.withColumn("score", F.round(score, 6)).select(*rows.columns, "score")
+    return hit.select(key, F.round(score, 6).alias("score"))
 
 
 def bm25_postings(posts: DataFrame, terms: Sequence[str], n: int, average: float, keep: Column | None = None) -> DataFrame:
@@ -64,6 +65,11 @@ def top(scored: DataFrame, limit: int, key: str = "id") -> DataFrame:
     return scored.orderBy(F.desc("score"), F.col(key)).limit(limit)
 
 
+def with_content(best: DataFrame, index: DataFrame) -> DataFrame:
+    """Scored entries (id, score) with where they come from and what they say; best is as small as its limit."""
+    return best.join(index.select("id", "source_table", "source_id", "source_field", "chunk_seq", "content"), "id")
+
+
 def ranked(scored: DataFrame, prefetch: int, key: str = "id") -> DataFrame:
     """key and rank of the best rows. The window sees only these, where ranks are those among all."""
     best = top(scored.select(key, "score"), prefetch, key)
@@ -81,35 +87,3 @@ def fuse(vectors: DataFrame, texts: DataFrame, *, limit: int, k: int, alpha: flo
 
 def corpus_size(index: DataFrame) -> int:
     return index.agg(F.count_distinct(F.struct("source_table", "source_id"))).first()[0]
-
-
-_FORBIDDEN = ("INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "TRUNCATE", "GRANT", "REVOKE", "EXEC", "EXECUTE", "CALL")
-
-
-def gated_sql(spark: SparkSession, sql: str) -> DataFrame:
-    """One read-only query over registered views, at most QUERY_LIMIT rows unless it has a LIMIT of its own.
-
-    As a subquery the text can be nothing but one query; files can't be read by path.
-    """
-    sql = sql.strip().rstrip(";").strip()
-    if found := re.search(rf"\b({'|'.join(_FORBIDDEN)})\b", sql, re.IGNORECASE):
-        raise ValueError(f"Only SELECT queries are allowed; found the keyword {found[1].upper()}")
-    before = spark.conf.get("spark.sql.runSQLOnFiles", "true")
-    spark.conf.set("spark.sql.runSQLOnFiles", "false")
-    try:
-        spark.sql(f"SELECT * FROM (\n{sql}\n)")
-        df = spark.sql(sql)
-    finally:
-        spark.conf.set("spark.sql.runSQLOnFiles", before)
-    return df if re.search(r"\bLIMIT\s+\d+", sql, re.IGNORECASE) else df.limit(QUERY_LIMIT)
-
-
-def rows_of(df: DataFrame) -> list[dict[str, Any]]:
-    """Rows as dicts, if they are not too large as JSON."""
-    out, held = [], 2
-    for r in df.toLocalIterator():
-        out.append(r.asDict(recursive=True))
-        held += len(json.dumps(out[-1], default=str, ensure_ascii=False).encode()) + 1
-        if held > RESULT_BYTES:
-            raise ValueError(f"Result set size exceeds {RESULT_BYTES // 1024 // 1024}MB limit.")
-    return out

@@ -7,21 +7,25 @@ import json
 import math
 import threading
 from collections import defaultdict
+from collections.abc import Callable
 from datetime import UTC, date, datetime
-from functools import reduce
+from functools import reduce, wraps
 from pathlib import Path
 from typing import Any
 
+import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loreweave.errors import KnowledgeBaseError, NodeNotFoundError, ValidationError
+from loreweave.errors import ConflictError, KnowledgeBaseError, NodeNotFoundError, ValidationError
 from loreweave.functions.text import content_hash, segment, tokens
 from loreweave.functions.vector import literal
-from loreweave.model import CACHE_SCHEMA, CACHE_TABLE, INDEX_SCHEMA, INDEX_TABLE, POSTINGS_SCHEMA, POSTINGS_TABLE, STATS_SCHEMA, STATS_TABLE, Config, NodeType, table_name
-from loreweave.operators import graph, index, merge, search
+from loreweave.model import CACHE_SCHEMA, CACHE_TABLE, INDEX_SCHEMA, INDEX_TABLE, LINKS_SCHEMA, LINKS_TABLE, POSTINGS_SCHEMA, POSTINGS_TABLE, STATS_SCHEMA, STATS_TABLE, Config, EdgeType, NodeType, table_name
+from loreweave.operators import graph, index, merge, search, sqlgate
 from loreweave.shared import cut
+from loreweave.sources.embedder import HttpEmbedder
+from loreweave.sources.files import Files
 from loreweave.sources.store import Snapshots, Version, dump, read_bundle, read_jsonl
 from loreweave.validate import bundle_schema, validate_bundle
 
@@ -63,27 +67,45 @@ def _now() -> Column:
     return F.lit(datetime.now(UTC).replace(tzinfo=None)).cast("timestamp_ntz")
 
 
-def dictionary(path: Path) -> list[str]:
-    """Terms of a user dictionary, the first field of each line; none if there is no such file."""
-    lines = path.read_text(encoding="utf-8").splitlines() if path.exists() else []
-    return [f[0] for f in map(str.split, lines) if f]
+def dictionary(text: str) -> list[str]:
+    """Terms of a user dictionary, the first field of each line."""
+    return [f[0] for f in map(str.split, text.splitlines()) if f]
+
+
+def _one_version(read: Callable[..., Any]) -> Callable[..., Any]:
+    """All that a method reads comes from the version that was current when it began."""
+
+    @wraps(read)
+    def call(self: Engine, *args: Any, **kw: Any) -> Any:
+        with self.snapshots.pinned():
+            return read(self, *args, **kw)
+
+    return call
 
 
 class Engine:
-    """Opens the knowledge base in a folder; config.yaml declares it. Readers use immutable snapshots.
+    """Opens the knowledge base in a folder, of any file system that Hadoop knows; config.yaml declares it.
 
-    The index is kept in a slice for each node type, with postings and statistics beside it; a change of nodes indexes
-    those nodes only and rewrites the slices of their types. A session that was passed in is not stopped on close.
+    Readers use immutable snapshots. The index is kept in a slice for each node type, with postings and statistics beside
+    it; a change of nodes indexes those nodes only and rewrites the slices of their types. A session that was passed in is
+    not stopped on close.
     """
 
     def __init__(self, spark: SparkSession, path: str | Path, config: Config | None = None, embedder: index.Embedder | None = None) -> None:
-        self.spark, self.path = spark, Path(path)
-        self.config = config or Config.from_yaml(self.path / "config.yaml")
+        self.spark, self.path, self.files = spark, str(path).rstrip("/"), Files(spark)
+        self.config = config or Config.parse(yaml.safe_load(self._text("config.yaml")) or {})
         self.ontology = self.config.ontology
-        self.snapshots = Snapshots(self.config.data_dir or self.path / "data")
-        self.embedder = embedder or hashing_embedder(self.config.embedding_dim)
-        self.words = dictionary(self.path / "user_dict.txt")
+        self.snapshots = Snapshots(self.config.data_dir or f"{self.path}/data", spark)
+        remote = HttpEmbedder(self.config.embedding_url, self.config.embedding_model) if self.config.embedding_url else None
+        self.embedder = embedder or remote or hashing_embedder(self.config.embedding_dim)
+        self.words = dictionary(self._text("user_dict.txt"))
         self._writer = threading.Lock()
+        self._views: set[str] = set()
+
+    def _text(self, name: str) -> str:
+        """A file of the knowledge base; a missing one is empty."""
+        at = f"{self.path}/{name}"
+        return self.files.read(at) if self.files.exists(at) else ""
 
     def __enter__(self) -> Engine:
         return self
@@ -92,9 +114,21 @@ class Engine:
         self.close()
 
     def close(self) -> None:
-        """Drops the views that SQL has registered; files and session stay."""
-        for name in self.tables():
+        """Drops the views that register_views has made; files and session stay."""
+        for name in self._views:
             self.spark.catalog.dropTempView(name)
+        self._views = set()
+
+    def _write(self, change: Callable[[], Any], tries: int = 5) -> Any:
+        """Makes a change of one version, and anew of the next one if another writer has published meanwhile."""
+        with self._writer:
+            for left in reversed(range(tries)):
+                try:
+                    with self.snapshots.pinned():
+                        return change()
+                except ConflictError:
+                    if not left:
+                        raise
 
     # tables
 
@@ -122,13 +156,21 @@ class Engine:
     def cache(self) -> DataFrame:
         return self.snapshots.read(self.spark, CACHE_TABLE, CACHE_SCHEMA)
 
-    def links(self) -> DataFrame:
-        """All edges, as the graph operators take them."""
-        parts = [self.edges(e.name).select(F.lit(e.name).alias("edge_type"), F.col("__id").alias("edge_id"), F.lit(e.source).alias("from_type"), F.col("__from_id").alias("from_id"), F.lit(e.target).alias("to_type"), F.col("__to_id").alias("to_id")) for e in self.ontology.edges.values()]
-        out = parts[0] if parts else self.spark.createDataFrame([], "edge_type string, edge_id long, from_type string, from_id long, to_type string, to_id long")
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+    def links(self) -> graph.Graph:
+        """All edges in both orders, as the graph operators take them."""
+        empty = self.spark.createDataFrame([], "edge_type string, edge_id long, from_type string, from_id long, to_type string, to_id long")
+
+        def every(end: str) -> DataFrame:
+            parts = [self.snapshots.read(self.spark, f"{LINKS_TABLE}_{end}.{e.table}", LINKS_SCHEMA).select(F.lit(e.name).alias("edge_type"), "edge_id", F.lit(e.source).alias("from_type"), "from_id", F.lit(e.target).alias("to_type"), "to_id") for e in self.ontology.edges.values()]
+            return reduce(DataFrame.unionByName, parts) if parts else empty
+
+        return graph.Graph(every("from"), every("to"))
+
+    def _write_edges(self, version: Version, e: EdgeType, rows: DataFrame) -> None:
+        """An edge table, and its ends in order of either."""
+        ends = version.write(e.table, rows).select(F.col("__id").alias("edge_id"), F.col("__from_id").alias("from_id"), F.col("__to_id").alias("to_id"))
+        for end in ("from", "to"):
+            version.write(f"{LINKS_TABLE}_{end}.{e.table}", ends.repartitionByRange(f"{end}_id", "edge_id").sortWithinPartitions(f"{end}_id", "edge_id"))
 
     def tables(self) -> dict[str, DataFrame]:
         """All tables by name."""
@@ -149,25 +191,33 @@ class Engine:
     def table_count(self, name: str) -> int:
         return self._table(name).count()
 
-    def register_views(self) -> list[str]:
-        """Temp views of all tables, for SQL."""
-        tables = self.tables()
+    @_one_version
+    def register_views(self, prefix: str = "") -> list[str]:
+        """Temp views of all tables in the caller's session; a prefix keeps two knowledge bases apart."""
+        tables = {f"{prefix}{name}": df for name, df in self.tables().items()}
         for name, df in tables.items():
             df.createOrReplaceTempView(name)
+        self._views |= set(tables)
         return list(tables)
 
     # import
 
     def import_bundle(self, path: str | Path, *, delete: bool = False) -> dict[str, Any]:
-        return self.import_items(read_bundle(path, delete=delete))
+        return self.import_items(read_bundle(self.files, path, delete=delete))
 
     def import_items(self, items: list[dict[str, Any]]) -> dict[str, Any]:
-        """Upserts and deletes nodes, then edges; all of it is published, or nothing if an edge lacks an end."""
+        """Upserts and deletes nodes, then edges; all of it is published, or nothing if an edge lacks an end.
+
+        Texts can be searched by then. Vectors that the cache lacks are made afterwards and published with a version of
+        their own; ``vectors`` counts the contents that got one and those that didn't.
+        """
         validate_bundle(self.ontology, items)
-        with self._writer:
-            return self._import(items)
+        result, touched = self._write(lambda: self._import(items))
+        result["vectors"] = self._embed_index(touched)
+        return result | {"version": self.snapshots.current}
 
-    def _import(self, items: list[dict[str, Any]]) -> dict[str, Any]:
+    def _import(self, items: list[dict[str, Any]]) -> tuple[dict[str, Any], list[str]]:
+        """Counts, and the node types that have changed."""
         now = _now()
         groups: dict[tuple[str, str], list[dict[str, Any]]] = defaultdict(list)
         for item in items:
@@ -177,7 +227,7 @@ class Engine:
         counts: dict[str, Any] = {"nodes": {"upserted": {}, "deleted": {}}, "edges": {"upserted": {}, "deleted": {}}}
         cascaded: set[str] = set()
         touched: dict[str, DataFrame] = {}
-        indexed, vectors = 0, {"success": 0, "failed": 0}
+        indexed = 0
         with self.snapshots.version() as version:
             for name, n in self.ontology.nodes.items():
                 upserts, deletes = groups.get((name, "upsert")), groups.get((name, "delete"))
@@ -220,11 +270,10 @@ class Engine:
             if missing:
                 raise ValidationError(f"Edges whose ends don't exist: {'; '.join(missing)}")
             for name in cascaded:
-                version.write(self.ontology.edges[name].table, edges[name])
+                self._write_edges(version, self.ontology.edges[name], edges[name])
             if touched:
-                indexed, vectors = self._index(version, {n: (nodes[n], ids) for n, ids in touched.items()}, now)
-        at = self.snapshots.current
-        return {"status": "success", **counts, "indexed": indexed, "vectors": vectors, "dumped": bool(version.written), "version": at.name if at else None}
+                indexed = self._index(version, {n: (nodes[n], ids) for n, ids in touched.items()}, now)
+        return {"status": "success", **counts, "indexed": indexed, "dumped": bool(version.written)}, list(touched)
 
     def _batch(self, items: list[dict[str, Any]], columns: dict[str, T.DataType]) -> DataFrame:
         """Items as rows: columns, __supplied (the names that an item has) and __pos."""
@@ -241,15 +290,15 @@ class Engine:
             rows = merge.resolve(rows, nodes[ends[side].name], {k: f"__{side}_{k}" for k in ends[side].identity}, into)
         return rows.drop(*named)
 
-    def _index(self, version: Version, changed: dict[str, tuple[DataFrame, DataFrame | None]], now: Column, *, from_cache: bool = False) -> tuple[int, dict[str, int]]:
+    def _index(self, version: Version, changed: dict[str, tuple[DataFrame, DataFrame | None]], now: Column, *, from_cache: bool = False) -> int:
         """Writes index slices of node types: name by nodes and the ids that have changed (None: all); and the cache.
 
-        Entries of other nodes stay as they are. Only contents without a cached vector are embedded; with
-        ``from_cache``, what the cache lacks stays null. Returns the numbers of new entries and of their vectors.
+        Entries of other nodes stay as they are. Vectors come from the cache; with ``from_cache``, tokens too, and what
+        the cache lacks stays null. Returns the number of new entries.
         """
         types = [self.ontology.node(name) for name in changed if self.ontology.node(name).searched]
         if not types:
-            return 0, {"success": 0, "failed": 0}
+            return 0
 
         def own(n: NodeType) -> DataFrame:
             nodes, ids = changed[n.name]
@@ -257,27 +306,49 @@ class Engine:
 
         cache = self.cache()
         rows = cut(index.with_cache(reduce(DataFrame.unionByName, map(own, types)), cache, compute_tokens=not from_cache, words=self.words))
-        if not from_cache:
-            new = cut(index.embed_missing(rows, self.embedder)).select("content_hash", F.col("vector").alias("new_vector"))
-            rows = rows.join(new, "content_hash", "left").withColumn("vector", F.coalesce("vector", "new_vector")).drop("new_vector")
         rows = merge.assign_ids(rows.withColumn("__id", F.lit(None).cast("long")), ["source_table", "source_id", "source_field", "chunk_seq"], merge.highest(self.index(), "id"))
         rows = cut(rows.withColumn("created_at", now).withColumnRenamed("__id", "id").select(*INDEX_SCHEMA.names))
         for n in types:
             ids = changed[n.name][1]
-            kept = self.index(n.name)
-            kept = kept.limit(0) if ids is None else kept.join(ids.withColumnRenamed("__id", "source_id"), "source_id", "left_anti").select(*INDEX_SCHEMA.names)
-            whole = version.write(f"{INDEX_TABLE}.{n.table}", kept.unionByName(rows.filter(F.col("source_table") == n.table)))
+            whole = version.write(f"{INDEX_TABLE}.{n.table}", index.renewed(self.index(n.name), ids, rows.filter(F.col("source_table") == n.table)))
             version.write(f"{POSTINGS_TABLE}.{n.table}", index.stored_postings(whole))
             version.write(f"{STATS_TABLE}.{n.table}", index.stats(whole))
         if not from_cache:
             version.write(CACHE_TABLE, index.merge_cache(cache, rows.select("content_hash", "fts_content", "vector"), now))
-        done = rows.agg(F.count(F.lit(1)), F.count("vector")).first()
-        return done[0], {"success": done[1], "failed": done[0] - done[1]}
+        return rows.count()
+
+    def _embed_index(self, names: list[str]) -> dict[str, int]:
+        """Embeds what the index slices of some node types lack and publishes it. The provider works while other writers
+        may publish; its vectors go to whatever entries have those contents by then.
+        """
+        searched = [n for n in names if self.ontology.node(n).searched]
+        with self.snapshots.pinned():
+            lacking = [self.index(n).filter("vector is null").select("content_hash", "content", "vector") for n in searched]
+        if not lacking:
+            return {"success": 0, "failed": 0}
+        new = cut(index.embed_missing(reduce(DataFrame.unionByName, lacking), self.embedder))
+        n, done = new.agg(F.count(F.lit(1)), F.count("vector")).first()
+        if done:
+            self._write(lambda: self._publish_vectors(searched, new.filter("vector is not null").select("content_hash", "vector")))
+        return {"success": done, "failed": n - done}
+
+    def _publish_vectors(self, names: list[str], new: DataFrame) -> None:
+        with self.snapshots.version() as version:
+            for n in names:
+                version.write(f"{INDEX_TABLE}.{self.ontology.node(n).table}", index.with_vectors(self.index(n), new))
+            version.write(CACHE_TABLE, index.merge_cache(self.cache(), new, _now()))
 
     def _build(self, node_type: str | None, from_cache: bool) -> int:
-        names = [node_type] if node_type else list(self.ontology.nodes)
-        with self._writer, self.snapshots.version() as version:
-            return self._index(version, {self.ontology.node(n).name: (self.nodes(n), None) for n in names}, _now(), from_cache=from_cache)[0]
+        names = [self.ontology.node(n).name for n in ([node_type] if node_type else self.ontology.nodes)]
+
+        def change() -> int:
+            with self.snapshots.version() as version:
+                return self._index(version, {n: (self.nodes(n), None) for n in names}, _now(), from_cache=from_cache)
+
+        n = self._write(change)
+        if not from_cache:
+            self._embed_index(names)
+        return n
 
     def build_index(self, node_type: str | None = None) -> int:
         """Indexes all nodes, or those of a type, anew; chunks that are gone go. Returns the number of entries."""
@@ -295,13 +366,14 @@ class Engine:
             return []
         hashes = [hashlib.md5(t.encode()).hexdigest() for t in texts]
         rows = self.spark.createDataFrame(list(dict(zip(hashes, texts, strict=True)).items()), "content_hash string, content string")
-        with self._writer:
+        with self.snapshots.pinned():
             rows = index.with_cache(rows, self.cache(), words=self.words)
-            new = cut(index.embed_missing(rows, self.embedder))
-            if failed := new.filter("error is not null").select("error").first():
-                raise KnowledgeBaseError(f"Embedding failed: {failed[0]}")
-            rows = cut(rows.join(new.select("content_hash", F.col("vector").alias("n")), "content_hash", "left").withColumn("vector", F.coalesce("vector", "n")))
-            self.snapshots.publish({CACHE_TABLE: index.merge_cache(self.cache(), rows.select("content_hash", "fts_content", "vector"), _now())})
+        new = cut(index.embed_missing(rows, self.embedder))
+        if failed := new.filter("error is not null").select("error").first():
+            raise KnowledgeBaseError(f"Embedding failed: {failed[0]}")
+        rows = cut(index.with_vectors(rows, new))
+        fresh = rows.select("content_hash", "fts_content", "vector")
+        self._write(lambda: self.snapshots.publish({CACHE_TABLE: index.merge_cache(self.cache(), fresh, _now())}))
         held = {r[0]: r[1] for r in rows.select("content_hash", "vector").collect()}  # the caller's own list
         return [held[h] for h in hashes]
 
@@ -309,12 +381,13 @@ class Engine:
         return self.embed([text])[0]
 
     def clean_cache(self, expire_days: int = 30) -> int:
-        with self._writer:
+        def change() -> int:
             before = self.cache()
             kept = index.expire(before, expire_days, _now())
-            n = before.count() - kept.count()
             self.snapshots.publish({CACHE_TABLE: kept})
-        return n
+            return before.count() - kept.count()
+
+        return self._write(change)
 
     # files
 
@@ -334,26 +407,27 @@ class Engine:
     def load_node(self, node_type: str, folder: str) -> int:
         """Merges JSON lines by identity; rows without id get one."""
         n = self.ontology.node(node_type)
-        return self._load(n.table, read_jsonl(self.spark, f"{folder}/nodes/{n.table}", n.struct), list(n.identity))
+        return self._load(n, read_jsonl(self.spark, f"{folder}/nodes/{n.table}", n.struct), list(n.identity))
 
     def load_edge(self, name: str, folder: str) -> int:
         if name not in self.ontology.edges:
             raise ValueError(f"Unknown edge type: {name}")
         e = self.ontology.edges[name]
-        return self._load(e.table, read_jsonl(self.spark, f"{folder}/edges/{name.lower()}", e.struct), ["__from_id", "__to_id"])
+        return self._load(e, read_jsonl(self.spark, f"{folder}/edges/{name.lower()}", e.struct), ["__from_id", "__to_id"])
 
-    def _load(self, table: str, rows: DataFrame, keys: list[str]) -> int:
-        """Of rows with equal keys, the one last updated counts; those without a time come first, then lower ids."""
-        now, n = _now(), rows.count()
-        with self._writer:
-            current = self.snapshots.read(self.spark, table, rows.schema)
-            batch = merge.last_wins(rows, keys, [F.coalesce("__updated_at", "__created_at"), F.col("__id")])
-            if current.isEmpty():  # an empty table takes the ids and times of the files
-                known = batch.withColumn("__created_at", F.coalesce("__created_at", now)).withColumn("__updated_at", F.coalesce("__updated_at", now))
-                out = merge.assign_ids(known.select(*rows.columns), keys)
-            else:
-                out = merge.upsert(current, batch.drop("__id", "__created_at", "__updated_at"), keys, now=now)
-            self.snapshots.publish({table: out})
+    def _load(self, kind: NodeType | EdgeType, rows: DataFrame, keys: list[str]) -> int:
+        now = _now()
+
+        def change() -> None:
+            merged = merge.loaded(self.snapshots.read(self.spark, kind.table, rows.schema), rows, keys, now)
+            with self.snapshots.version() as version:
+                if isinstance(kind, EdgeType):
+                    self._write_edges(version, kind, merged)
+                else:
+                    version.write(kind.table, merged)
+
+        n = rows.count()
+        self._write(change)
         return n
 
     def save_cache(self, path: str) -> int:
@@ -361,11 +435,11 @@ class Engine:
         return self.cache().count()
 
     def load_cache(self, path: str) -> int:
-        if not Path(path).exists():
+        """Entries of a saved cache replace those of the same content; a folder that isn't there changes nothing."""
+        if not self.files.exists(path):
             return 0
-        new = self.spark.read.schema(CACHE_SCHEMA).parquet(path)
-        with self._writer:
-            self.snapshots.publish({CACHE_TABLE: merge.last_wins(self.cache().withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1))), ["content_hash"], ["__new"]).drop("__new")})
+        new = self.spark.read.schema(CACHE_SCHEMA).parquet(path).withColumn("__new", F.lit(1))
+        self._write(lambda: self.snapshots.publish({CACHE_TABLE: merge.last_wins(self.cache().withColumn("__new", F.lit(0)).unionByName(new), ["content_hash"], ["__new"]).drop("__new")}))
         return self.cache().count()
 
     # search
@@ -399,29 +473,33 @@ class Engine:
         return search.bm25_postings(self.postings(), terms, n, words / n if words else 1.0, keep)
 
     def _shape(self, best: DataFrame, k: int | None) -> list[dict[str, Any]]:
-        rows = best.join(self.index().select("id", "source_table", "source_id", "source_field", "chunk_seq", "content"), "id")
+        rows = search.with_content(best, self.index())
         out = []
         for i, r in enumerate(rows.orderBy(F.desc("score"), "id").collect(), 1):  # limit rows
             d = {c: r[c] for c in ("source_table", "source_id", "source_field", "chunk_seq", "content", "score")}
             out.append(d | ({"_meta": {"rank": i, "rrf_k": k, "auto_k": self.config.rrf.auto_k, "strategy": self.config.rrf.strategy}} if k else {}))
         return out
 
+    @_one_version
     def vector_search(self, query: str, *, node_type: str | None = None, limit: int = 10) -> list[dict[str, Any]]:
         if not self._checked(query, node_type, limit) or (v := self._query_vector(query)) is None:
             return []
         return self._shape(search.top(search.vector_scores(self.index(node_type), v).select("id", "score"), limit), None)
 
+    @_one_version
     def fts_search(self, query: str, *, node_type: str | None = None, limit: int = 10) -> list[dict[str, Any]]:
         if not self._checked(query, node_type, limit):
             return []
         return self._shape(search.top(self._text_scores(query, self._in(node_type)).select("id", "score"), limit), None)
 
+    @_one_version
     def search(self, query: str, *, node_type: str | None = None, limit: int = 10, alpha: float = 0.5) -> list[dict[str, Any]]:
         if not self._checked(query, node_type, limit) or (v := self._query_vector(query)) is None:
             return []
         keep, k = self._in(node_type), self.rrf_k()
         return self._shape(search.fuse(search.vector_scores(self.index(node_type), v), self._text_scores(query, keep), limit=limit, k=k, alpha=alpha), k)
 
+    @_one_version
     def get_source_record(self, source_table: str, source_id: int) -> dict[str, Any] | None:
         name = self.ontology.by_table(table_name(source_table))
         if name is None:
@@ -429,12 +507,20 @@ class Engine:
         row = self.nodes(name).filter(F.col("__id") == source_id).limit(1).collect()
         return row[0].asDict() if row else None
 
+    @_one_version
     def query_raw_sql(self, sql: str) -> list[dict[str, Any]]:
-        self.register_views()
-        return search.rows_of(search.gated_sql(self.spark, sql))
+        """Rows of one query over the tables of the knowledge base, and no others."""
+        return sqlgate.rows_of(sqlgate.gated_sql(self.spark, sql, self.tables()))
 
     # graph
 
+    def resolve(self, node_type: str, node_id: int | str) -> int | None:
+        """The id of a node by its id or its first identity field; None if there is no such node."""
+        try:
+            return self._start(node_type, node_id).first()["id"]
+        except NodeNotFoundError:
+            return None
+
     def _start(self, node_type: str, node_id: int | str) -> DataFrame:
         """type and id of an existing node, by id or by its first identity field."""
         n = self.ontology.node(node_type)
@@ -458,6 +544,7 @@ class Engine:
             out |= {(kind, r["__id"]): r.asDict() for r in self.edges(kind).filter(F.col("__id").isin(ids)).collect()}
         return out
 
+    @_one_version
     def get_neighbors(self, node_type: str, node_id: int | str, *, edge_types: list[str] | None = None, direction: str = "both", limit: int = 100) -> dict[str, Any]:
         if limit < 0:
             raise ValueError("limit must not be negative")
@@ -488,6 +575,7 @@ class Engine:
             found.append(d | (one if len(hits) == 1 else many))
         return found
 
+    @_one_version
     def traverse(self, node_type: str, node_id: int | str, *, edge_types: list[str] | None = None, direction: str = "out", max_depth: int = 3, limit: int = 1000, return_paths: bool = True) -> list[dict[str, Any]]:
         if limit < 0:
             raise ValueError("limit must not be negative")
@@ -496,7 +584,7 @@ class Engine:
         start = self._start(node_type, node_id)
         if return_paths:
             return [{"path": p, "depth": r["depth"], "end_node": p[-1]["node"]} for r, p in self._told(graph.paths(self.links(), start, direction=direction, edge_types=edge_types, max_depth=max_depth, limit=limit))]
-        rows = graph.traverse_nodes(self.links(), start, direction=direction, edge_types=edge_types, max_depth=max_depth).orderBy("min_depth", "type", "id").limit(limit).collect()
+        rows = graph.traverse_nodes(self.links(), start, direction=direction, edge_types=edge_types, max_depth=max_depth, enough=limit).orderBy("min_depth", "type", "id").limit(limit).collect()
         nodes = self._node_rows([(r["type"], r["id"]) for r in rows])
         return [{"node": nodes.get((r["type"], r["id"]), {}), "node_type": r["type"], "min_depth": r["min_depth"], "paths_count": r["paths_count"]} for r in rows]
 
@@ -515,6 +603,7 @@ class Engine:
                 path.append({"node": nodes.get(split(x), {}), "node_type": split(x)[0]})
             yield r, path
 
+    @_one_version
     def extract_subgraph(self, node_type: str, node_id: int | str, *, edge_types: list[str] | None = None, max_depth: int = 2, node_limit: int = 100, edge_limit: int = 200) -> dict[str, Any]:
         start = self._start(node_type, node_id)
         nodes, edges = graph.subgraph(self.links(), start, edge_types=edge_types, max_depth=max_depth, node_limit=node_limit, edge_limit=edge_limit)
@@ -525,12 +614,14 @@ class Engine:
         stats = {"node_count": len(nodes), "edge_count": len(edges), "depth_reached": max(r["min_depth"] for r in nodes), "truncated": len(nodes) >= node_limit or len(edges) >= edge_limit}
         return {"center_node": rows[0], "nodes": rows[1:], "edges": [{"type": r["edge_type"], **told.get((r["edge_type"], r["edge_id"]), {})} for r in edges], "stats": stats}
 
+    @_one_version
     def find_paths(self, from_type: str, from_id: int | str, to_type: str, to_id: int | str, *, edge_types: list[str] | None = None, max_depth: int = 5, limit: int = 10) -> list[dict[str, Any]]:
         if max_depth < 1 or limit < 0:
             raise ValueError("max_depth must be at least 1 and limit not negative")
         found = graph.paths(self.links(), self._start(from_type, from_id), direction="both", edge_types=edge_types, max_depth=max_depth, to=self._start(to_type, to_id), limit=limit)
         return [{"path": p, "length": r["depth"], "node_types": [x["node_type"] for x in p if "node" in x]} for r, p in self._told(found)]
 
+    @_one_version
     def graph_search(self, query: str, *, node_type: str | None = None, edge_types: list[str] | None = None, direction: str = "both", traverse_depth: int = 1, search_limit: int = 5, neighbor_limit: int = 10, alpha: float = 0.5) -> list[dict[str, Any]]:
         """Hybrid search, and around each hit the nodes within traverse_depth hops; a hop of all hits is one join."""
         graph.arrows(self.links(), direction)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import wraps
 from typing import Any
 
 from loreweave.plans.engine import Engine
@@ -28,9 +29,11 @@ def to_json(value: Any) -> str:
 
 def tools(engine: Engine) -> dict[str, Callable[..., str]]:
     def told(f: Callable[..., Any]) -> Callable[..., str]:
+        @wraps(f)
         def call(*args: Any, **kw: Any) -> str:
             if isinstance(kw.get("edge_types"), str):
                 kw["edge_types"] = edge_types(kw["edge_types"])
+            kw |= {k: node_id(kw[k]) for k in ("node_id", "from_id", "to_id") if isinstance(kw.get(k), str)}
             return to_json(f(*args, **kw))
 
         return call
