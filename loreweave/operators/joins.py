@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreweave.shared import cut
@@ -23,7 +24,8 @@ def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], at: str, val
     keys = [F.col(k) for k in on]
     value = F.struct(F.col(at).alias("at"), *[F.col(v) for v in values])
     rows = left.select(*keys, F.col(at).alias("__at"), F.lit(None).cast(right.select(value.alias("v")).schema[0].dataType).alias("__v"), F.struct(*[F.col(c) for c in left.columns]).alias("__row"))
-    seen = right.filter(F.col(at).isNotNull()).select(*keys, F.col(at).alias("__at"), value.alias("__v"), F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"))
+    known = reduce(Column.__and__, [k.isNotNull() for k in (*keys, F.col(at))])
+    seen = right.filter(known).select(*keys, F.col(at).alias("__at"), value.alias("__v"), F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"))
     both = cut(rows.unionByName(seen).repartitionByRange(*on, "__at", F.col("__row").isNotNull()).withColumn("__part", F.spark_partition_id()))
     # right's rows come before left's of the same time
     before = Window.partitionBy("__part", *on).orderBy("__at", F.col("__row").isNotNull(), "__v").rowsBetween(Window.unboundedPreceding, 0)

@@ -91,8 +91,8 @@ def _moved(df: DataFrame, to: SparkSession) -> DataFrame:
     return DataFrame(to._jvm.org.apache.spark.sql.classic.Dataset.ofRows(to._jsparkSession, plan), to)
 
 
-def gated_sql(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame]) -> DataFrame:
-    """One query over the given tables, at most QUERY_LIMIT rows unless it has a LIMIT of its own.
+def gated_sql(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], cap: int | None = QUERY_LIMIT) -> DataFrame:
+    """One query over the given tables, at most ``cap`` rows unless it has a LIMIT of its own.
 
     It is parsed and analysed in a session of its own, in which these tables are the only views: settings, views and tables
     of the caller's session can't be read or changed. Commands, scripts, files by path, other tables, functions that are
@@ -111,7 +111,7 @@ def gated_sql(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame]) ->
     df = own.sql(text)
     _check_analysed(own, df._jdf.queryExecution().analyzed())
     df = _moved(df, spark)
-    return df if _limited(parsed) else df.limit(QUERY_LIMIT)
+    return df if cap is None or _limited(parsed) else df.limit(cap)
 
 
 def rows_of(df: DataFrame) -> list[dict[str, Any]]:

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreweave.functions.text import chunk_by_sentence, chunk_text, content_hash, segment, tokens
-from loreweave.operators import graph, index, merge, search
+from loreweave.model import QUERY_LIMIT, RRF
+from loreweave.operators import graph, index, joins, merge, search, sqlgate
 from loreweave.plans.driver_sql import ORACLE_SQL
-from loreweave.sources.store import partition_counts
+from loreweave.shared import cut, shared_folder
+from loreweave.sources.files import Files
+from loreweave.sources.store import dump, partition_counts, read_jsonl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TERMS = ["tion", "ingthe", "and", "eau"]
@@ -31,10 +36,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def view(self, *names: str) -> SparkSession:
-        for n in names:
-            getattr(self, n).createOrReplaceTempView(n)
-        return self.spark
+    def named(self, names: str) -> dict[str, DataFrame]:
+        return {n: getattr(self, n) for n in names.split()}
 
     @property
     def docs(self) -> DataFrame:
@@ -52,8 +55,8 @@ class Tables:
 
         parts = [
             edge("placed", self.orders, "o_orderkey", "Customer", "o_custkey", "Order", "o_orderkey"),
-            edge("contains", self.lineitem.select("l_orderkey", "l_partkey").distinct(), "l_orderkey * 1000000 + l_partkey", "Order", "l_orderkey", "Part", "l_partkey"),
-            edge("supplied_by", self.lineitem.select("l_partkey", "l_suppkey").distinct(), "l_partkey * 1000000 + l_suppkey", "Part", "l_partkey", "Supplier", "l_suppkey"),
+            edge("contains", self.lineitem.select("l_orderkey", "l_partkey").distinct(), "l_orderkey * 4294967296 + l_partkey", "Order", "l_orderkey", "Part", "l_partkey"),
+            edge("supplied_by", self.lineitem.select("l_partkey", "l_suppkey").distinct(), "l_partkey * 4294967296 + l_suppkey", "Part", "l_partkey", "Supplier", "l_suppkey"),
             edge("located_in", self.customer, "c_custkey", "Customer", "c_custkey", "Nation", "c_nationkey"),
             edge("based_in", self.supplier, "s_suppkey", "Supplier", "s_suppkey", "Nation", "s_nationkey"),
             edge("in_region", self.nation, "n_nationkey", "Nation", "n_nationkey", "Region", "n_regionkey"),
@@ -64,6 +67,16 @@ class Tables:
         return self.spark.createDataFrame([(kind, ident)], "type string, id long")
 
 
+@contextmanager
+def dumped_to(spark: SparkSession) -> Iterator[str]:
+    """A new folder in the shared one, removed afterwards."""
+    folder = f"{shared_folder(spark)}/dump-{uuid.uuid4().hex}"
+    try:
+        yield folder
+    finally:
+        Files(spark).remove(folder)
+
+
 def _best(scored: DataFrame, limit: int) -> DataFrame:
     return search.top(scored.select("id", "score"), limit)
 
@@ -110,9 +123,8 @@ def hybrid_rrf_alpha(t: Tables) -> DataFrame:
 
 @_query
 def rrf_auto_k(t: Tables) -> DataFrame:
-    n = F.count_distinct("doc_id")
-    k = F.when(n <= 10_000, 10).when(n <= 100_000, 20).when(n <= 1_000_000, 40).otherwise(60)
-    return t.documents.agg(n.alias("documents"), k.cast("long").alias("rrf_k"))
+    n = search.corpus_size(t.documents.select(F.lit("documents").alias("source_table"), F.col("doc_id").alias("source_id")))
+    return t.spark.createDataFrame([(n, RRF().of(n))], "documents long, rrf_k long")
 
 
 @_query
@@ -297,8 +309,7 @@ def graph_search_context(t: Tables) -> DataFrame:
 
 def _sql(name: str, tables: str, text: str, whole: bool = False) -> None:
     """whole: without the gate's cap on rows, which is for interactive use."""
-    run = (lambda spark, sql: spark.sql(sql)) if whole else search.gated_sql
-    QUERIES[name] = lambda spark, sf_dir: run(Tables(spark, sf_dir).view(*tables.split()), text)
+    QUERIES[name] = lambda spark, sf_dir: sqlgate.gated_sql(spark, text, Tables(spark, sf_dir).named(tables), cap=None if whole else QUERY_LIMIT)
 
 
 _sql("sql_filter_order", "part", "SELECT p_partkey, p_name, p_size FROM part WHERE p_size > 40 ORDER BY p_size DESC, p_partkey LIMIT 50")
@@ -330,6 +341,8 @@ _sql("sql_theta_join", "nation region", "SELECT r_name, n_name FROM region JOIN
 _sql("sql_anti_join", "customer orders", "SELECT c_custkey FROM customer ANTI JOIN orders ON o_custkey = c_custkey AND o_totalprice > 100000", whole=True)
 _sql("sql_arrays", "documents", "SELECT doc_id, CAST(size(filter(w, x -> length(x) > 5)) AS BIGINT) AS long_words, aggregate(transform(w, x -> CAST(length(x) AS BIGINT)), 0L, (a, x) -> a + x) AS letters, array_max(w) AS last_word FROM (SELECT doc_id, split(text, ' ') AS w FROM documents)", whole=True)
 _sql("sql_strings", "part", "SELECT p_partkey, regexp_replace(p_name, '[aeiou]', '*') AS masked, upper(substring(p_name, 1, 3)) AS head, p_name ILIKE '%A%' AS has_a, lpad(CAST(p_size AS STRING), 4, '0') AS size4, split_part(p_type, ' ', 1) AS kind FROM part", whole=True)
+_sql("sql_star_except", "part", "SELECT * EXCEPT (p_retailprice), try_cast(p_name AS INT) AS n, CAST(p_size AS STRING) || 'x' AS size_x FROM part", whole=True)
+_sql("sql_sample", "part", "SELECT count(*) AS n FROM part TABLESAMPLE (100 PERCENT)")
 
 
 @_query
@@ -351,21 +364,103 @@ def index_incremental(t: Tables) -> DataFrame:
     """Entries of all parts, where those of some have changed: theirs are made anew, the others stay."""
     held = index.entries(t.part, "part", ["p_name"], id_col="p_partkey")
     changed = t.part.filter("p_size > 40").withColumn("p_name", F.concat("p_name", F.lit(" renewed")))
-    kept = held.join(changed.select(F.col("p_partkey").alias("source_id")), "source_id", "left_anti").select(*held.columns)
-    return kept.unionByName(index.entries(changed, "part", ["p_name"], id_col="p_partkey")).select("source_id", "content", "content_hash")
+    rows = index.entries(changed, "part", ["p_name"], id_col="p_partkey")
+    return index.renewed(held, changed.select(F.col("p_partkey").alias("__id")), rows).select("source_id", "content", "content_hash")
 
 
 @_query
 def sql_asof(t: Tables) -> DataFrame:
-    """For every order, the last earlier event's time; a union in order of time instead of a range join."""
-    o = t.orders.select(F.col("o_orderdate").alias("at"), "o_orderkey", F.lit(None).cast("timestamp").alias("ts"), (F.col("o_custkey") % 100).alias("k"))
-    e = t.events.select(F.col("ts").alias("at"), F.lit(None).cast("long").alias("o_orderkey"), F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 100).alias("k"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("k").orderBy("at", F.col("ts").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    both = o.withColumn("at", F.col("at").cast("timestamp")).unionByName(e.withColumn("at", F.col("at").cast("timestamp")))
-    last = both.withColumn("last", F.last("ts", ignorenulls=True).over(w)).filter("o_orderkey is not null")
-    return last.select("o_orderkey", F.date_format("last", "yyyy-MM-dd HH:mm:ss").alias("last_event"))
+    """For every order, the last earlier event's time."""
+    o = t.orders.select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("at"), (F.col("o_custkey") % 100).alias("k"))
+    e = t.events.select(F.col("ts").cast("timestamp").alias("at"), F.col("ts").cast("timestamp").alias("last"), (F.col("user_id") % 100).alias("k"))
+    return joins.asof_join(o, e, ["k"], "at", ["last"]).select("o_orderkey", F.date_format("last", "yyyy-MM-dd HH:mm:ss").alias("last_event"))
+
+
+@_query
+def node_delete(t: Tables) -> DataFrame:
+    """Customers without those that a batch of keys names, one of which is unknown and many repeated."""
+    keys = t.orders.filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")).unionByName(t.spark.createDataFrame([(-7,)], "c_custkey long"))
+    return merge.delete(t.customer, keys, ["c_custkey"]).select("c_custkey", "c_name")
+
+
+@_query
+def edge_delete(t: Tables) -> DataFrame:
+    """Edges without those whose ends a batch names."""
+    edges = t.lineitem.select(F.col("l_orderkey").alias("__from_id"), F.col("l_partkey").alias("__to_id")).distinct()
+    batch = t.lineitem.filter("l_quantity > 25").select(F.col("l_orderkey").alias("__from_id"), F.col("l_partkey").alias("__to_id"))
+    return merge.delete(edges, batch, ["__from_id", "__to_id"]).groupBy("__from_id").agg(F.count(F.lit(1)).alias("n"), F.max("__to_id").alias("last_part"))
+
+
+@_query
+def load_jsonl(t: Tables) -> DataFrame:
+    """Rows dumped as JSON lines by day, read again and merged by key into a table: for each customer, the last counts."""
+    now = F.lit("2030-01-01").cast("timestamp_ntz")
+    at = F.col("o_orderdate").cast("timestamp_ntz")
+    rows = t.orders.select(F.col("o_orderkey").alias("__id"), at.alias("__created_at"), at.alias("__updated_at"), F.col("o_custkey").alias("key"), F.col("o_orderstatus").alias("status"))
+    with dumped_to(t.spark) as folder:
+        dump(rows, folder, rows_per_file=500)
+        current = t.customer.select(F.col("c_custkey").alias("__id"), now.alias("__created_at"), now.alias("__updated_at"), F.col("c_custkey").alias("key"), F.lit(None).cast("string").alias("status"))
+        merged = cut(merge.loaded(current, read_jsonl(t.spark, folder, rows.schema), ["key"], now))
+    return merged.select("__id", "key", "status")
+
+
+@_query
+def vector_write_back(t: Tables) -> DataFrame:
+    """Entries, whose missing vectors come from newly embedded contents."""
+    rows = t.vectors.select(F.col("id").cast("string").alias("content_hash"), F.when(F.col("label") % 2 == 0, F.col("vector")).alias("vector"))
+    new = t.vectors.filter("label % 3 <> 0").select(F.col("id").cast("string").alias("content_hash"), F.transform("vector", lambda x: -x).alias("vector"))
+    return index.with_vectors(rows, new).select("content_hash", F.round(F.col("vector")[0].cast("double"), 5).alias("first"))
+
+
+@_query
+def cache_upsert(t: Tables) -> DataFrame:
+    """New tokens of some contents into a cache; what a new row lacks stays, and only touched entries get the time."""
+    then, now = F.lit("2024-01-01").cast("timestamp_ntz"), F.lit("2024-02-01").cast("timestamp_ntz")
+    hashed = t.documents.select("doc_id", "lang", content_hash(F.col("text")).alias("content_hash"))
+    none = F.lit(None).cast("array<float>").alias("vector")
+    cache = hashed.filter("lang = 'en'").select("content_hash").distinct().select("content_hash", F.lit("old").alias("fts_content"), none, then.alias("last_used"), then.alias("created_at"))
+    new = hashed.filter("doc_id % 3 <> 0").select("content_hash", F.when(F.col("doc_id") % 3 == 1, F.lit("new")).alias("fts_content"))
+    out = index.merge_cache(cache, new, now)
+    return out.select("content_hash", "fts_content", F.date_format("last_used", "yyyy-MM-dd").alias("last_used"))
+
+
+def _part_cache(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Entries of part names, and a cache that has the tokens of some and no vectors."""
+    rows = index.entries(t.part, "part", ["p_name"], id_col="p_partkey")
+    cache = t.part.filter("p_size > 25 and p_name <> ''").select(content_hash(F.col("p_name")).alias("content_hash")).distinct()
+    return rows, cache.select("content_hash", F.lit("cached").alias("fts_content"), F.lit(None).cast("array<float>").alias("vector"))
+
+
+@_query
+def index_with_cache(t: Tables) -> DataFrame:
+    """Tokens from the cache, or computed."""
+    return index.with_cache(*_part_cache(t)).select("source_id", "fts_content")
+
+
+@_query
+def index_from_cache(t: Tables) -> DataFrame:
+    """Tokens from the cache alone."""
+    return index.with_cache(*_part_cache(t), compute_tokens=False).select("source_id", "fts_content")
+
+
+def letter_counts(texts: list[str]) -> list[list[float]]:
+    """An embedder whose vectors SQL can say: characters, and letters a."""
+    return [[float(len(t)), float(t.count("a"))] for t in texts]
+
+
+@_query
+def embed_contents(t: Tables) -> DataFrame:
+    """Each distinct content that has no vector is embedded once."""
+    rows = index.entries(t.part, "part", ["p_name", "p_type"], id_col="p_partkey").withColumn("vector", F.lit(None).cast("array<float>"))
+    return index.embed_missing(rows, letter_counts).select("content_hash", F.col("vector")[0].cast("long").alias("chars"), F.col("vector")[1].cast("long").alias("letters_a"))
+
+
+@_query
+def search_content(t: Tables) -> DataFrame:
+    """The best texts joined back to what they say."""
+    held = t.documents.select(F.col("doc_id").alias("id"), F.lit("documents").alias("source_table"), F.col("doc_id").alias("source_id"), F.lit("text").alias("source_field"), F.lit(0).alias("chunk_seq"), F.col("text").alias("content"))
+    best = search.with_content(_best(search.bm25_scores(t.docs, TERMS, "text"), 20), held)
+    return best.select("source_table", "source_id", "score", content_hash(F.col("content")).alias("content_hash"))
 
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

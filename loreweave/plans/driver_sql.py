@@ -83,8 +83,8 @@ ORACLE_SQL["cache_expiry"] = "SELECT event_type, count(*) AS kept FROM events WH
 _EDGES = """
 edges AS (
   SELECT 'placed' AS edge_type, o_orderkey AS edge_id, 'Customer' AS from_type, o_custkey AS from_id, 'Order' AS to_type, o_orderkey AS to_id FROM orders
-  UNION ALL SELECT DISTINCT 'contains', l_orderkey * 1000000 + l_partkey, 'Order', l_orderkey, 'Part', l_partkey FROM lineitem
-  UNION ALL SELECT DISTINCT 'supplied_by', l_partkey * 1000000 + l_suppkey, 'Part', l_partkey, 'Supplier', l_suppkey FROM lineitem
+  UNION ALL SELECT DISTINCT 'contains', l_orderkey * 4294967296 + l_partkey, 'Order', l_orderkey, 'Part', l_partkey FROM lineitem
+  UNION ALL SELECT DISTINCT 'supplied_by', l_partkey * 4294967296 + l_suppkey, 'Part', l_partkey, 'Supplier', l_suppkey FROM lineitem
   UNION ALL SELECT 'located_in', c_custkey, 'Customer', c_custkey, 'Nation', c_nationkey FROM customer
   UNION ALL SELECT 'based_in', s_suppkey, 'Supplier', s_suppkey, 'Nation', s_nationkey FROM supplier
   UNION ALL SELECT 'in_region', n_nationkey, 'Nation', n_nationkey, 'Region', n_regionkey FROM nation
@@ -163,6 +163,35 @@ ORACLE_SQL["sql_theta_join"] = "SELECT r_name, n_name FROM region JOIN nation ON
 ORACLE_SQL["sql_anti_join"] = "SELECT c_custkey FROM customer ANTI JOIN orders ON o_custkey = c_custkey AND o_totalprice > 100000"
 ORACLE_SQL["sql_arrays"] = "SELECT doc_id, len(list_filter(w, lambda x: length(x) > 5)) AS long_words, list_sum(list_transform(w, lambda x: length(x)))::BIGINT AS letters, list_max(w) AS last_word FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)"
 ORACLE_SQL["sql_strings"] = "SELECT p_partkey, regexp_replace(p_name, '[aeiou]', '*', 'g') AS masked, upper(substring(p_name, 1, 3)) AS head, p_name ILIKE '%A%' AS has_a, lpad(p_size::VARCHAR, 4, '0') AS size4, split_part(p_type, ' ', 1) AS kind FROM part"
+ORACLE_SQL["sql_star_except"] = "SELECT * EXCLUDE (p_retailprice), try_cast(p_name AS INT) AS n, p_size::VARCHAR || 'x' AS size_x FROM part"
+ORACLE_SQL["sql_sample"] = "SELECT count(*) AS n FROM part"
+ORACLE_SQL["chunk_sentences"] = """
+SELECT doc_id, len(c)::BIGINT AS chunks, list_max(list_transform(c, lambda y: length(y)))::BIGINT AS longest
+FROM (
+  SELECT doc_id, CASE WHEN length(text) <= 400 THEN [text] ELSE list_transform(string_split(
+    list_reduce(regexp_extract_all(text, '(?s)[^。！？.!?]*[。！？.!?]\\s*|[^。！？.!?]+$'), lambda a, x: CASE WHEN length(string_split(a, chr(30))[-1]) + length(x) > 400 THEN a || chr(30) || x ELSE a || x END),
+    chr(30)), lambda y: regexp_replace(y, '^\\s+|\\s+$', '', 'g')) END AS c
+  FROM documents WHERE text <> ''
+)"""
+ORACLE_SQL["node_delete"] = "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')"
+ORACLE_SQL["edge_delete"] = "SELECT l_orderkey AS __from_id, count(*) AS n, max(l_partkey) AS last_part FROM (SELECT l_orderkey, l_partkey FROM lineitem EXCEPT SELECT l_orderkey, l_partkey FROM lineitem WHERE l_quantity > 25) GROUP BY 1"
+ORACLE_SQL["load_jsonl"] = """
+WITH last AS (SELECT o_custkey AS key, o_orderstatus AS status FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1)
+SELECT coalesce(c_custkey, (SELECT max(c_custkey) FROM customer) + row_number() OVER (PARTITION BY c_custkey IS NULL ORDER BY key)) AS __id, coalesce(c_custkey, key) AS key, status FROM customer FULL OUTER JOIN last ON key = c_custkey
+"""
+ORACLE_SQL["vector_write_back"] = "SELECT vec_id::VARCHAR AS content_hash, round((CASE WHEN label % 2 = 0 THEN embedding[1] WHEN label % 3 <> 0 THEN -embedding[1] END)::DOUBLE, 5) AS first FROM embeddings"
+ORACLE_SQL["cache_upsert"] = """
+WITH h AS (SELECT doc_id, lang, md5(text) AS content_hash FROM documents),
+old AS (SELECT DISTINCT content_hash FROM h WHERE lang = 'en'),
+new AS (SELECT content_hash, max(CASE WHEN doc_id % 3 = 1 THEN 'new' END) AS fts FROM h WHERE doc_id % 3 <> 0 GROUP BY 1)
+SELECT coalesce(o.content_hash, n.content_hash) AS content_hash, coalesce(n.fts, CASE WHEN o.content_hash IS NOT NULL THEN 'old' END) AS fts_content, CASE WHEN n.content_hash IS NOT NULL THEN '2024-02-01' ELSE '2024-01-01' END AS last_used
+FROM old o FULL OUTER JOIN new n ON o.content_hash = n.content_hash
+"""
+_PARTS = "SELECT p_partkey AS source_id, {} AS fts_content FROM part p LEFT JOIN (SELECT DISTINCT md5(p_name) AS h FROM part WHERE p_size > 25 AND p_name <> '') c ON c.h = md5(p_name) WHERE p_name <> ''"
+ORACLE_SQL["index_with_cache"] = _PARTS.format("CASE WHEN h IS NOT NULL THEN 'cached' ELSE array_to_string(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+'), ' ') END")
+ORACLE_SQL["index_from_cache"] = _PARTS.format("CASE WHEN h IS NOT NULL THEN 'cached' END")
+ORACLE_SQL["embed_contents"] = "SELECT DISTINCT md5(c) AS content_hash, length(c) AS chars, length(c) - length(replace(c, 'a', '')) AS letters_a FROM (SELECT p_name AS c FROM part UNION ALL SELECT p_type FROM part) WHERE c <> ''"
+ORACLE_SQL["search_content"] = f"WITH {_BM25}, best AS (SELECT id, score FROM bm ORDER BY score DESC, id LIMIT 20) SELECT 'documents' AS source_table, doc_id AS source_id, score, md5(text) AS content_hash FROM best JOIN documents ON doc_id = id"
 ORACLE_SQL["fts_postings"] = ORACLE_SQL["fts_bm25"]
 ORACLE_SQL["index_slice_stats"] = "SELECT lang AS source_table, count(DISTINCT doc_id) AS documents, count(t) AS chunks, coalesce(sum(len(t)), 0)::BIGINT AS tokens FROM (SELECT doc_id, lang, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM documents) GROUP BY lang"
 ORACLE_SQL["index_incremental"] = "SELECT p_partkey AS source_id, content, md5(content) AS content_hash FROM (SELECT p_partkey, CASE WHEN p_size > 40 THEN p_name || ' renewed' ELSE p_name END AS content FROM part) WHERE content <> ''"

@@ -1,8 +1,10 @@
 """Every query over the driver's tables against its SQL, and the registry itself."""
 
+import random
+
 import pytest
 
-from loreweave.operators import graph, index
+from loreweave.operators import graph, index, joins
 from loreweave.plans.driver_queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -27,6 +29,22 @@ def test_neighbors_without_limit(spark):
     assert [graph.neighbors(edges, seeds, **o).count() for o in ({"limit": None}, {}, {"limit": 7})] == [300, 100, 7]
 
 
+def test_asof_join(spark):
+    """A key that has most rows, times on both sides at once, null keys and times, and names that both sides have."""
+    rng = random.Random(8)
+    key = lambda: rng.choice([1, 1, 1, 2, 3, None])
+    left = [(i, key(), rng.choice([None, *range(60)])) for i in range(300)]
+    right = [(key(), rng.choice([None, *range(60)]), rng.randint(0, 99)) for _ in range(200)]
+    got = joins.asof_join(spark.createDataFrame(left, "row long, k long, at long"), spark.createDataFrame(right, "k long, at long, v long"), ["k"], "at", ["v"])
+    want = []
+    for i, k, at in left:
+        seen = [(t, v) for kk, t, v in right if k is not None and kk == k and None not in (t, at) and t <= at]
+        want.append((i, k, at, max(seen)[1] if seen else None))
+    assert sorted(map(tuple, got.collect())) == sorted(want, key=lambda r: r[0])
+    empty = spark.createDataFrame([], "k long, at long, v long")
+    assert [r["v"] for r in joins.asof_join(spark.createDataFrame([(1, 2)], "k long, at long"), empty, ["k"], "at", ["v"]).collect()] == [None]
+
+
 def test_embed_missing_tries_thrice(spark, tmp_path):
     """The first content answers at its third try, the other never; a try is a line of its file."""
 
@@ -40,6 +58,6 @@ def test_embed_missing_tries_thrice(spark, tmp_path):
         return [[1.0]]
 
     rows = spark.createDataFrame([("h1", "late", None), ("h2", "never", None)], "content_hash string, content string, vector array<float>")
-    got = {r["content_hash"]: (r["vector"], r["error"]) for r in index.embed_missing(rows, embed, batch=1, pause=0).localCheckpoint().collect()}
+    got = {r["content_hash"]: (r["vector"], r["error"]) for r in index.embed_missing(rows, embed, batch=1, pause=0).collect()}
     assert got == {"h1": ([1.0], None), "h2": (None, "OSError('no answer')")}
     assert (tmp_path / "never").read_text() == "x\n" * 3
