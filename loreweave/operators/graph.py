@@ -18,7 +18,7 @@ from loreweave.shared import cut
 DIRECTIONS = ("out", "in", "both")
 _BACK = {"out": "in", "in": "out", "both": "both"}
 #: Nodes that a scan looks for by value at most; more are joined.
-FEW = 1000
+FEW = 200
 
 
 @dataclass(frozen=True)
@@ -128,7 +128,7 @@ def _extended(here: DataFrame, steps: DataFrame, avoid: DataFrame | None = None)
 
     Parallel edges meet after the join, where only the paths' ends have them, and count as one path.
     """
-    ends = here.select(F.col("end_type").alias("type"), F.col("end_id").alias("id")).distinct()
+    ends = here.select(F.col("end_type").alias("type"), F.col("end_id").alias("id"))
     on = (F.col("end_type") == F.col("src_type")) & (F.col("end_id") == F.col("src_id"))
     fresh = ~F.array_contains("nodes", _key("dst_type", "dst_id"))
     moved = here.join(_near(steps, ends), on).filter(fresh).groupBy("nodes", "edges", "dst_type", "dst_id").agg(F.min(_key("edge_type", "edge_id")).alias("edge"))
@@ -136,6 +136,16 @@ def _extended(here: DataFrame, steps: DataFrame, avoid: DataFrame | None = None)
     return cut(moved if avoid is None else moved.join(avoid, ["end_type", "end_id"], "left_anti"))
 
 
+def _first(found: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """The first ``most`` paths by nodes, and how many there are; FEW at most are held as values, more as a table."""
+    found = found.orderBy("nodes").limit(most)
+    if most <= FEW:
+        rows = found.collect()
+        return found.sparkSession.createDataFrame(rows, found.schema), len(rows)
+    found = cut(found)
+    return found, found.count()
+
+
 def _shortest(found: list[DataFrame], limit: int | None) -> DataFrame:
     """Paths by length: found[i] has those of one length, given as its column depth."""
     out = reduce(DataFrame.unionByName, [f.select("nodes", "edges", "depth") for f in found])
@@ -183,14 +193,15 @@ def _between(steps: DataFrame, back: DataFrame, start: DataFrame, goal: DataFram
         tail = F.reverse(F.slice("b_nodes", F.lit(1), F.size("b_nodes") - 1))
         met = met.select(F.concat("nodes", tail).alias("nodes"), F.concat("edges", F.reverse("b_edges")).alias("edges"), F.lit(length).alias("depth"))
         if limit is not None:
-            met = cut(met.orderBy("nodes").limit(limit - n))
-            n += met.count()
+            met, more = _first(met, limit - n)
+            n += more
         found.append(met)
         if limit is not None and n >= limit:
             break
         if length < 2:
             ahead = ahead.join(ends, ["end_type", "end_id"], "left_anti")
-        if ahead.isEmpty() or behind.isEmpty():
+        # only the half that has just grown can have died out
+        if (behind if length and length % 2 == 0 else ahead).isEmpty():
             break
     return _shortest(found, limit)
 

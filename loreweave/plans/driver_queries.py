@@ -34,7 +34,9 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A table, whose schema is read once."""
+        self.__dict__[name] = df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return df
 
     def named(self, names: str) -> dict[str, DataFrame]:
         return {n: getattr(self, n) for n in names.split()}
@@ -393,12 +395,12 @@ def edge_delete(t: Tables) -> DataFrame:
 
 @_query
 def load_jsonl(t: Tables) -> DataFrame:
-    """Rows dumped as JSON lines by day, read again and merged by key into a table: for each customer, the last counts."""
+    """Rows dumped as JSON lines, read again and merged by key into a table: for each customer, the last counts."""
     now = F.lit("2030-01-01").cast("timestamp_ntz")
     at = F.col("o_orderdate").cast("timestamp_ntz")
     rows = t.orders.select(F.col("o_orderkey").alias("__id"), at.alias("__created_at"), at.alias("__updated_at"), F.col("o_custkey").alias("key"), F.col("o_orderstatus").alias("status"))
     with dumped_to(t.spark) as folder:
-        dump(rows, folder, rows_per_file=500)
+        dump(rows, folder, by_date=False, rows_per_file=500)
         current = t.customer.select(F.col("c_custkey").alias("__id"), now.alias("__created_at"), now.alias("__updated_at"), F.col("c_custkey").alias("key"), F.lit(None).cast("string").alias("status"))
         merged = cut(merge.loaded(current, read_jsonl(t.spark, folder, rows.schema), ["key"], now))
     return merged.select("__id", "key", "status")
