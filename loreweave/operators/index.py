@@ -83,18 +83,29 @@ def embed_missing(rows: DataFrame, embedder: Embedder, batch: int = 100, tries:
     return todo.mapInPandas(run, "content_hash string, vector array<float>, error string")
 
 
+def _posted(rows: DataFrame, keys: Sequence[str], words: Column) -> DataFrame:
+    """keys, dl, term and tf: a row for each distinct word of each row's array ``words``.
+
+    A row's words are sorted and counted where the row is: tf is the distance between the ends of two runs of equal
+    words. So no exchange has a row for each word of the corpus, as a groupBy of rows and words would.
+    """
+    # generators of one row keep the optimizer from putting an array's expression in place of each of its uses
+    rows = rows.select(*keys, F.explode(F.array(F.sort_array(words))).alias("t")).withColumn("dl", F.size("t")).filter("dl > 0")
+    ends = F.filter(F.sequence(F.lit(1), F.col("dl")), lambda i: (i == F.col("dl")) | (F.get("t", i) != F.get("t", i - 1)))
+    runs = F.transform("ends", lambda e, k: F.struct(F.get("t", e - 1).alias("term"), (e - F.coalesce(F.get("ends", k - 1), F.lit(0))).cast("long").alias("tf")))
+    return rows.select(*keys, "dl", "t", F.explode(F.array(ends)).alias("ends")).select(*keys, "dl", F.inline(runs))
+
+
 def postings(index: DataFrame, text: str = "content") -> DataFrame:
-    """id, term, tf and dl; written once per snapshot, it serves any query."""
-    docs = index.select("id", tokens(F.col(text)).alias("t")).withColumn("dl", F.size("t"))
-    return docs.select("id", "dl", F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """id, term, tf and dl; written once per snapshot, it serves any query. Ids differ."""
+    return _posted(index, ["id"], tokens(F.col(text))).select("id", "dl", "term", "tf")
 
 
 def stored_postings(index: DataFrame) -> DataFrame:
-    """Postings of the stored tokens, in order of term: a query reads the row groups that its terms are in."""
-    split = F.filter(F.split("fts_content", " "), lambda t: t != "")
-    docs = index.filter("fts_content is not null").select("source_table", "id", split.alias("t")).withColumn("dl", F.size("t").cast("long"))
-    posts = docs.select("source_table", "id", "dl", F.explode("t").alias("term")).groupBy("source_table", "id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return posts.select("source_table", "id", "dl", "term", "tf").repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+    """Postings of the stored tokens, in order of term: a query reads the row groups that its terms are in. Ids differ."""
+    posts = _posted(index, ["source_table", "id"], F.filter(F.split("fts_content", " "), lambda t: t != ""))
+    posts = posts.select("source_table", "id", F.col("dl").cast("long").alias("dl"), "term", "tf")
+    return posts.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
 
 
 def stats(index: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loreweave.functions.text import chunk_by_sentence, chunk_text, content_hash, segment
+from loreweave.operators.index import postings, stored_postings
 from loreweave.plans.engine import dictionary
 from loreweave.functions.vector import cosine
 
@@ -78,3 +79,13 @@ def test_dictionary(spark):
     assert words == ["东京", "东京都", "C++", "new"] and dictionary("") == []
     texts = ["我在东京都里面", "东京人", "use c++ now", "renewed a new", "中文字", "", "a.b"]
     assert run(spark, texts, lambda c: segment(c, words)) == ["我在 东京都 里面", "东京 人", "use c++ now", "renewed a new", "中文 文字", "", "a b"]
+
+
+def test_postings_count_words_inside_rows(spark):
+    rows = spark.createDataFrame([(1, "b a b, A c"), (2, ""), (3, None), (4, "?!"), (5, "b"), (6, "东京都 x 东京")], "id long, content string")
+    found = {(r.id, r.dl, r.term, r.tf) for r in postings(rows).collect()}
+    assert found == {(1, 5, "a", 2), (1, 5, "b", 2), (1, 5, "c", 1), (5, 1, "b", 1), (6, 4, "东京", 2), (6, 4, "京都", 1), (6, 4, "x", 1)}
+    kept = rows.select(F.lit("t").alias("source_table"), "id", segment(F.col("content")).alias("fts_content"))
+    stored = stored_postings(kept)
+    assert {(r.id, r.dl, r.term, r.tf) for r in stored.collect()} == found
+    assert "Aggregate" not in stored._jdf.queryExecution().executedPlan().toString()
