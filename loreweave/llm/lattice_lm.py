@@ -161,10 +161,10 @@ class _Owned:
         return self.count[at].tobytes(), self.log_p[at].tobytes()
 
 
-def _answer(sent: DataFrame, vocabulary: str) -> DataFrame:
+def _answer(sent: DataFrame, owners: int, vocabulary: str) -> DataFrame:
     """Owners add up counts, compute each distinct word's lattice once, and answer every chunk in its order.
 
-    An owner's rows pass in order, first all counts, then what chunks ask for, so it holds its distinct words only.
+    Each owner is a task, so tasks grow in number with the input. An owner's rows pass in order, first all counts, then what chunks ask for, so it holds its distinct words only.
     tokens and kinds, the sums over the owner's words, stand in a row of their own.
     """
 
@@ -197,10 +197,10 @@ def _answer(sent: DataFrame, vocabulary: str) -> DataFrame:
         if rows:
             yield given()
 
-    return sent.repartition("owner").sortWithinPartitions("owner", "kind", "chunk_id").mapInArrow(run, ANSWERED)
+    return sent.repartitionById(owners, "owner").sortWithinPartitions("owner", "kind", "chunk_id").mapInArrow(run, ANSWERED)
 
 
-def lattice_lm(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", chunk_mb: int = 8, owner_mb: int = 32, most_owners: int = 16_384) -> DataFrame:
+def lattice_lm(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", chunk_mb: int = 8, owner_mb: int = 8, most_owners: int = 16_384) -> DataFrame:
     """Scores every whole text: log10 of its marginal probability over all segmentations.
 
     Tokens are the words between white space with A-Z lower-cased, then one end. score sums the tokens' lattice
@@ -220,7 +220,7 @@ def lattice_lm(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text
     """
     chunks = chunked(documents(docs, id_col, text_col), chunk_mb << 20, "lm-chunks")
     owners = min(most_owners, max(8, -(-total_bytes(chunks) // (owner_mb << 20))))
-    answers = materialise(_answer(_send(chunks, owners), vocabulary), "lm-answers")
+    answers = materialise(_answer(_send(chunks, owners), owners, vocabulary), "lm-answers")
     tokens, kinds = (x or 0 for x in answers.agg(F.sum("tokens"), F.sum("kinds")).first())
     mass = float(max(1, kinds))
 
