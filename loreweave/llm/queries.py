@@ -13,6 +13,7 @@ from loreweave.llm.exact_dedup import exact_dedup
 from loreweave.llm.language_id import language_id
 from loreweave.llm.lattice_lm import lattice_lm
 from loreweave.llm.near_dedup import near_dedup
+from loreweave.llm.simhash_dedup import simhash_dedup
 from loreweave.llm.substring_dedup import substring_dedup
 from loreweave.llm.suffix_dedup import suffix_dedup
 from loreweave.llm.token_counts import token_counts
@@ -63,7 +64,11 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_bpe_codec, op3_language_id, op4_warc, op5_exact_dedup, op6_decontaminate, op7_token_counts, op8_substring_dedup, op9_lattice_lm, op10_near_dedup)}
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_bpe_codec, op3_language_id, op4_warc, op5_exact_dedup, op6_decontaminate, op7_token_counts, op8_substring_dedup, op9_lattice_lm, op10_near_dedup, op12_simhash_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
 
