@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from loreweave.llm.bpe_codec import bpe_encode
+from loreweave.llm.cross_tokenizer import cross_tokenizer
 from loreweave.llm.decontaminate import decontaminate
 from loreweave.llm.exact_dedup import exact_dedup
 from loreweave.llm.language_id import language_id
@@ -64,11 +65,15 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_tokenizer(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_bpe_codec, op3_language_id, op4_warc, op5_exact_dedup, op6_decontaminate, op7_token_counts, op8_substring_dedup, op9_lattice_lm, op10_near_dedup, op12_simhash_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_bpe_codec, op3_language_id, op4_warc, op5_exact_dedup, op6_decontaminate, op7_token_counts, op8_substring_dedup, op9_lattice_lm, op10_near_dedup, op11_cross_tokenizer, op12_simhash_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
 
