@@ -38,10 +38,11 @@ ORACLE_SQL["hybrid_rrf_alpha"] = f"WITH {_BM25}, {_COSINE}, {_hybrid(0.8)} SELEC
 ORACLE_SQL["rrf_auto_k"] = "SELECT count(DISTINCT doc_id) AS documents, (CASE WHEN count(DISTINCT doc_id) <= 10000 THEN 10 WHEN count(DISTINCT doc_id) <= 100000 THEN 20 WHEN count(DISTINCT doc_id) <= 1000000 THEN 40 ELSE 60 END)::BIGINT AS rrf_k FROM documents"
 
 
-def _chunks(size: int, overlap: int) -> str:
+def chunks_sql(size: int, overlap: int, table: str = "documents") -> str:
+    """Common table expressions that end in chunks (doc_id, lang, chunk_seq, content) of a table."""
     step, half = size - overlap, size // 2
     return f"""
-base AS (SELECT doc_id, lang, text, length(text) AS n FROM documents WHERE text <> ''),
+base AS (SELECT doc_id, lang, text, length(text) AS n FROM {table} WHERE text <> ''),
 starts AS (SELECT *, unnest(range(0, CASE WHEN n <= {size} THEN 1 ELSE n END, {step})) AS s FROM base),
 wins AS (SELECT *, CASE WHEN n <= {size} THEN text ELSE substring(text, s + 1, {size}) END AS w FROM starts),
 marked AS (SELECT *, sum(CASE WHEN n - s >= {half} OR s = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM wins),
@@ -52,13 +53,13 @@ chunks AS (
 )"""
 
 
-ORACLE_SQL["corpus_doc_count"] = f"WITH {_chunks(800, 100)} SELECT count(DISTINCT doc_id) AS documents, count(*) AS chunks FROM chunks"
-ORACLE_SQL["chunk_documents"] = f"WITH {_chunks(800, 100)} SELECT doc_id, chunk_seq, length(content) AS n_chars, md5(content) AS content_hash FROM chunks"
-ORACLE_SQL["chunk_stats"] = f"WITH {_chunks(333, 50)} SELECT lang, sum(k)::BIGINT AS chunks, max(k) AS most FROM (SELECT lang, doc_id, count(*) AS k FROM chunks GROUP BY ALL) GROUP BY lang"
+ORACLE_SQL["corpus_doc_count"] = f"WITH {chunks_sql(800, 100)} SELECT count(DISTINCT doc_id) AS documents, count(*) AS chunks FROM chunks"
+ORACLE_SQL["chunk_documents"] = f"WITH {chunks_sql(800, 100)} SELECT doc_id, chunk_seq, length(content) AS n_chars, md5(content) AS content_hash FROM chunks"
+ORACLE_SQL["chunk_stats"] = f"WITH {chunks_sql(333, 50)} SELECT lang, sum(k)::BIGINT AS chunks, max(k) AS most FROM (SELECT lang, doc_id, count(*) AS k FROM chunks GROUP BY ALL) GROUP BY lang"
 ORACLE_SQL["segment_text"] = "SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS segment_hash FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM documents)"
 ORACLE_SQL["fts_term_stats"] = "SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf, max(tf) AS max_tf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents) GROUP BY ALL) GROUP BY term"
 ORACLE_SQL["content_hash_dedupe"] = "SELECT md5(text) AS content_hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1"
-ORACLE_SQL["cache_hit_join"] = f"WITH {_chunks(800, 100)}, en AS (SELECT DISTINCT md5(content) AS h FROM chunks WHERE lang = 'en') SELECT 'documents' AS source_table, count(h) AS hits, count(*) - count(h) AS misses FROM chunks LEFT JOIN en ON h = md5(content)"
+ORACLE_SQL["cache_hit_join"] = f"WITH {chunks_sql(800, 100)}, en AS (SELECT DISTINCT md5(content) AS h FROM chunks WHERE lang = 'en') SELECT 'documents' AS source_table, count(h) AS hits, count(*) - count(h) AS misses FROM chunks LEFT JOIN en ON h = md5(content)"
 ORACLE_SQL["index_entries"] = """
 SELECT 'part' AS source_table, p_partkey AS source_id, source_field, 0::BIGINT AS chunk_seq, content, md5(content) AS content_hash, array_to_string(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+'), ' ') AS fts_content
 FROM (SELECT p_partkey, 'p_name' AS source_field, p_name AS content FROM part UNION ALL SELECT p_partkey, 'p_type', p_type FROM part) WHERE content <> ''

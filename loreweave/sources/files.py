@@ -23,6 +23,10 @@ class Files:
         fs, at = self._at(path)
         return fs.exists(at)
 
+    def is_file(self, path: str | os.PathLike) -> bool:
+        fs, at = self._at(path)
+        return fs.exists(at) and fs.getFileStatus(at).isFile()
+
     def names(self, folder: str | os.PathLike) -> list[str]:
         """Names of what is directly in a folder, in order; none if there is no such folder."""
         fs, at = self._at(folder)
