@@ -7,7 +7,6 @@ import json
 import os
 import re
 import uuid
-from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,12 +28,23 @@ ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_
 #: Unicode one goes by, nor U+2581, which B's pieces have for a space.
 _SOLID = r"[^\s\x00-\x20\x7f-\xa0 ᠎ -⁯▁　﻿]"
 _CUT = re.compile(rf"(?<={_SOLID})(?= {_SOLID})")
-#: Characters of a text that are aligned at once, and bytes of texts that leave a task at once.
-PIECE, SLICE = 1 << 18, 4 << 20
+_SOLID_AT = re.compile(_SOLID)
+#: Characters of texts that are aligned at once, and of parts that a library encodes at once.
+SLICE, JOINED = 1 << 20, 1 << 16
 #: Parts of texts that are remembered: of so many characters at most, in so many bytes about.
-LONGEST, MEMO_BYTES = 64, 256 << 20
-#: Distinct pairs that a task holds before it gives their counts away.
-HELD_PAIRS = 1 << 21
+LONGEST, MEMO_BYTES = 64, 128 << 20
+#: Links whose counts are looked up at once, and distinct pairs that a task holds before it gives their counts away.
+ROWS, HELD_PAIRS = 1 << 18, 1 << 21
+
+
+@dataclass
+class Cut:
+    """The alignment of one text or piece of it: numbers of tokens, the groups written out, and the keys of their links."""
+
+    n_a: int
+    n_b: int
+    told: bytes
+    keys: np.ndarray
 
 
 class Aligner:
@@ -50,9 +60,14 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         byte_of = {c: b for b, c in enumerate(byte_alphabet())}
-        self.bytes_a = {i: bytes(map(byte_of.get, t)) if all(c in byte_of for c in t) else b"" for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        vocabulary = self.a.get_vocab(with_added_tokens=True)
+        #: Bytes of each id; an added token, which encodes nothing here, has none.
+        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
+        for t, i in vocabulary.items():
+            self.bytes_a[i] = bytes(map(byte_of.__getitem__, t)) if all(c in byte_of for c in t) else b""
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.sizes_a, self.sizes_b = (np.array([len(x) for x in of], np.int64) for of in (self.bytes_a, self.bytes_b))
         split = spec["pre_tokenizer"] or {}
         plain_a = spec["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
         # B puts a space before what it encodes, and changes nothing else
@@ -60,63 +75,126 @@ class Aligner:
         #: Whether both encode the parts between cuts as they encode the whole: A splits there before it merges, and B
         #: has no piece with a space after something else.
         self.local = plain_a and plain_b and not any(re.search("[^▁]▁", p) for p in pieces)
-        self.memo: dict[str, tuple | None] = {}
+        #: Packed ids of A and B for each part; None where their bytes aren't those of the part.
+        self.memo: dict[str, tuple[bytes, bytes] | None] = {}
         self.memo_bytes = 0
 
-    def _align(self, part: str, a: list[int], b: list[int]) -> tuple[int, int, int, bytes, bytes] | None:
-        """Numbers of tokens and groups, the groups written out, and the packed keys of their links.
-
-        None if the bytes of the tokens of A or of B aren't those of the part.
-        """
-        raw_a, raw_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if not b"".join(raw_a) == b"".join(raw_b) == part.encode():
+    def _single(self, part: str) -> tuple[bytes, bytes] | None:
+        a, b = self.a.encode_batch_fast([part], add_special_tokens=False)[0].ids, self.b.encode(part[1:])
+        raw = part.encode()
+        if not b"".join([self.bytes_a[i] for i in a]) == b"".join([self.bytes_b[i] for i in b]) == raw:
             return None
-        told, keys = [], array("q")
-        i = j = at_a = at_b = 0
-        while i < len(a):
-            first_a, first_b = i, j
-            at_a, at_b = at_a + len(raw_a[i]), at_b + len(raw_b[j])
-            i, j = i + 1, j + 1
-            while at_a != at_b:
-                if at_a < at_b:
-                    at_a, i = at_a + len(raw_a[i]), i + 1
-                else:
-                    at_b, j = at_b + len(raw_b[j]), j + 1
-            told.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-            keys.append(b[j - 1] << 32 | a[i - 1])
-        return len(a), len(b), len(told), ";".join(told).encode(), keys.tobytes()
-
-    def parts(self, parts: list[str]) -> list[tuple | None]:
-        """Alignments of parts of a text, each with the space that it begins with."""
+        return np.array(a, np.int32).tobytes(), np.array(b, np.int32).tobytes()
+
+    def _many(self, parts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Parts between cuts, encoded as one text, whose ids are dealt to them by the bytes that they stand for."""
+        text = "".join(parts)
+        raw = text.encode()
+        a, b = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode(text[1:])
+        if not b"".join([self.bytes_a[i] for i in a]) == b"".join([self.bytes_b[i] for i in b]) == raw:
+            return [self._single(p) for p in parts]
+        ends = np.cumsum([len(p) for p in parts] if len(raw) == len(text) else [len(p.encode()) for p in parts])
+        dealt = []
+        for ids, sizes in ((a, self.sizes_a), (b, self.sizes_b)):
+            ids = np.array(ids, np.int32)
+            packed, at = ids.tobytes(), (4 * (np.searchsorted(np.cumsum(sizes[ids]), ends) + 1)).tolist()
+            dealt.append([packed[x:y] for x, y in zip([0, *at[:-1]], at, strict=True)])
+        return list(zip(*dealt, strict=True))
+
+    def learn(self, parts: set[str]) -> dict[str, tuple[bytes, bytes] | None]:
+        """Ids of parts that aren't remembered. What is short is from now on; what is long is given back only."""
         if self.memo_bytes > MEMO_BYTES:
             self.memo.clear()
             self.memo_bytes = 0
-        new = [p for p in set(parts) if p not in self.memo]
-        by_a = self.a.encode_batch_fast(new, add_special_tokens=False)
-        by_b = self.b.encode([p[1:] for p in new], num_threads=1)
-        once = {}
-        for p, a, b in zip(new, by_a, by_b, strict=True):
-            one = self._align(p, a.ids, b)
-            if len(p) <= LONGEST:
-                self.memo[p] = one
-                self.memo_bytes += 420 + 2 * len(p) + (len(one[3]) + len(one[4]) if one else 0)
+        joint, once, held, size = [], {}, [], 0
+        for p in parts:
+            if p in self.memo:
+                continue
+            if self.local and len(p) <= LONGEST and len(p) > 1 and _SOLID_AT.match(p, 1) and _SOLID_AT.match(p, len(p) - 1):
+                held.append(p)
+                size += len(p)
+                if size > JOINED:
+                    joint.append(held)
+                    held, size = [], 0
             else:
-                once[p] = one
-        return [once[p] if p in once else self.memo[p] for p in parts] if once else [self.memo[p] for p in parts]
+                once[p] = self._single(p)
+        for some in [*joint, held] if held else joint:
+            for p, ids in zip(some, self._many(some), strict=True):
+                self.memo[p] = ids
+                self.memo_bytes += 320 + len(p) + (len(ids[0]) + len(ids[1]) if ids else 0)
+        for p in [p for p in once if len(p) <= LONGEST]:
+            self.memo[p] = once.pop(p)
+            self.memo_bytes += 500
+        return once
 
     def pieces(self, text: str) -> Iterator[list[str]]:
-        """The text behind a space, cut to parts; those of some PIECE characters together."""
+        """The text behind a space, cut to parts; those of some SLICE characters together."""
         text = f" {text}"
         at = 0
         while at < len(text):
-            m = _CUT.search(text, at + PIECE) if self.local and len(text) - at > PIECE else None
+            m = _CUT.search(text, at + SLICE) if self.local and len(text) - at > SLICE else None
             end = m.start() if m else len(text)
             yield _CUT.split(text[at:end]) if self.local else [text[at:end]]
             at = end
 
+    def align(self, pieces: list[list[str]]) -> list[Cut | None]:
+        """Alignments of pieces of texts, all at once; None for a piece whose bytes the tokens don't give."""
+        if self.memo_bytes > MEMO_BYTES:
+            self.memo.clear()
+            self.memo_bytes = 0
+        ids = self.memo | once if (once := self.learn({p for parts in pieces for p in parts})) else self.memo
+        found = [[ids[p] for p in parts] for parts in pieces]
+        whole = [None not in x for x in found]
+        packed = [(b"".join([a for a, _ in x]), b"".join([b for _, b in x])) for x, good in zip(found, whole, strict=True) if good]
+        cuts = iter(self._cut([a for a, _ in packed], [b for _, b in packed]))
+        return [next(cuts) if good else None for good in whole]
+
+    def _cut(self, packed_a: list[bytes], packed_b: list[bytes]) -> list[Cut]:
+        """Cuts the tokens of some pieces, which have the same bytes by A and B, where tokens of both end."""
+        n_a, n_b = ([len(x) // 4 for x in packed] for packed in (packed_a, packed_b))
+        a, b = (np.frombuffer(b"".join(packed), np.int32).astype(np.int64) for packed in (packed_a, packed_b))
+        if not len(a):
+            return [Cut(0, 0, b"", np.empty(0, np.int64)) for _ in n_a]
+        ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
+        has = np.zeros((2, int(ends_a[-1]) + 1), bool)
+        has[0, ends_a], has[1, ends_b] = True, True
+        last_a, last_b = has[1, ends_a], has[0, ends_b]  # whether a token is the last of its group
+        to_a, to_b = np.flatnonzero(last_a), np.flatnonzero(last_b)
+        keys = b[to_b] << 32 | a[to_a]
+        # a group's tokens of A, then its tokens of B
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        at_a, at_b = np.arange(len(a)) + np.concatenate(([0], to_b + 1))[group_a], np.arange(len(b)) + (to_a + 1)[group_b]
+        number, mark = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        number[at_a], number[at_b] = a, b
+        mark[at_a[to_a]], mark[at_b[to_b]] = ord("|"), ord(";")
+        written, ends = decimal(number, mark)
+        # where pieces end among tokens, groups and bytes
+        tokens = np.cumsum(n_a) + np.cumsum(n_b)
+        groups = [0, *np.searchsorted(to_a, np.cumsum(n_a)).tolist()]
+        bytes_to = [0, *np.concatenate(([0], ends))[tokens].tolist()]
+        return [Cut(x, y, written[i : max(i, j - 1)].tobytes(), keys[g:h]) for x, y, i, j, g, h in zip(n_a, n_b, bytes_to[:-1], bytes_to[1:], groups[:-1], groups[1:], strict=True)]
+
+
+def decimal(numbers: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in decimal, each with its mark behind it, as bytes; and where each ends."""
+    digits = np.ones(len(numbers), np.int64)
+    most = 10
+    while (longer := numbers >= most).any():
+        digits += longer
+        most *= 10
+    ends = np.cumsum(digits + 1)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    out[ends - 1] = marks
+    at, rest = ends - 2, numbers
+    while len(at):
+        out[at] = rest % 10 + 48
+        more = rest >= 10
+        at, rest = at[more] - 1, rest[more] // 10
+    return out, ends
+
 
 class _Told:
-    """What is gathered about one text."""
+    """What is gathered about one text, a piece at a time."""
 
     def __init__(self) -> None:
         self.n_a = self.n_b = self.n_groups = 0
@@ -124,15 +202,12 @@ class _Told:
         self.keys, self.times = np.empty(0, np.int64), np.empty(0, np.int64)
         self.found = False
 
-    def add(self, parts: list[tuple], keep: bool) -> None:
-        self.n_a += sum([p[0] for p in parts])
-        self.n_b += sum([p[1] for p in parts])
-        self.n_groups += sum([p[2] for p in parts])
-        told = b";".join([p[3] for p in parts])
-        self.sha.update(b";" + told if self.found else told)
+    def add(self, cut: Cut, keep: bool) -> None:
+        self.n_a, self.n_b, self.n_groups = self.n_a + cut.n_a, self.n_b + cut.n_b, self.n_groups + len(cut.keys)
+        self.sha.update(b";" + cut.told if self.found else cut.told)
         if keep:
-            self.told.append(told)
-        keys, times = np.unique(np.frombuffer(b"".join([p[4] for p in parts]), np.int64), return_counts=True)
+            self.told.append(cut.told)
+        keys, times = np.unique(cut.keys, return_counts=True)
         self.keys, self.times = merged([(self.keys, self.times), (keys, times)]) if self.found else (keys, times)
         self.found = True
 
@@ -159,18 +234,29 @@ def align(docs: DataFrame, path_a: str, path_b: str, *, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(path_a, path_b)
 
-        def one(text: str | None) -> _Told:
-            told = _Told()
-            for parts in own.pieces(text) if text else ():
-                found = own.parts(parts)
-                if None in found:
-                    return _Told()
-                told.add(found, groups)
-            return told
+        def told(texts: pa.Array) -> list[_Told]:
+            rows = [_Told() for _ in texts]
+            held: list[tuple[int, list[str]]] = []
+
+            def add() -> None:
+                for (k, _), cut in zip(held, own.align([parts for _, parts in held]), strict=True):
+                    if cut is None:
+                        rows[k] = None
+                    elif rows[k] is not None:
+                        rows[k].add(cut, groups)
+                held.clear()
+
+            for k, text in enumerate(texts):
+                for parts in own.pieces(text.as_py()) if text.as_py() else ():
+                    held.append((k, parts))
+                    if len(texts) == 1:  # a long text, of which a piece at a time is enough
+                        add()
+            add()
+            return [r or _Told() for r in rows]
 
         for batch in batches:
             for i, j in text_slices(batch.column(1), SLICE):
-                rows = [one(t.as_py()) for t in batch.column(1).slice(i, j - i)]
+                rows = told(batch.column(1).slice(i, j - i))
                 ends = pa.array(np.cumsum([0, *(len(r.keys) for r in rows)]), pa.int32())
                 numbers = {c: pa.array([getattr(r, f) for r in rows], pa.int64()) for c, f in (("n_a", "n_a"), ("n_b", "n_b"), ("n_groups", "n_groups"), ("n_links", "n_groups"))}
                 out = {"doc_id": batch.column(0).slice(i, j - i), **numbers, "groups_sha256": pa.array([r.sha.hexdigest() if r.found else "" for r in rows], pa.string())}
@@ -305,17 +391,22 @@ def cross_tokenizer(docs: DataFrame, path_a: str, path_b: str, *, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup, best = Lookup(shipped.value), shipped.value.best
-        for batch in batches:
-            column = dict(zip(batch.schema.names, batch.columns, strict=True))
-            keys, times = (column[c].flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("keys", "times"))
-            distinct, which = np.unique(keys, return_inverse=True)
-            n = lookup.of(distinct)
-            top = n == best[distinct >> 32]
-            ends = np.concatenate(([0], np.cumsum(column["keys"].value_lengths().to_numpy(zero_copy_only=False))))
-            sums = {"n_best": times * top[which], "count_sum": times * n[which]}
-            told = {c: np.concatenate(([0], np.cumsum(v))) for c, v in sums.items()}
-            out = column | {c: pa.array(v[ends[1:]] - v[ends[:-1]], pa.int64()) for c, v in told.items()}
-            yield pa.RecordBatch.from_pydict({c: out[c] for c in names})
+        for whole in batches:
+            sizes = np.cumsum(whole.column("keys").value_lengths().to_numpy(zero_copy_only=False))
+            lo = 0
+            while lo < whole.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + ROWS, side="right")))
+                batch, lo = whole.slice(lo, hi - lo), hi
+                column = dict(zip(batch.schema.names, batch.columns, strict=True))
+                keys, times = (column[c].flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("keys", "times"))
+                distinct, which = np.unique(keys, return_inverse=True)
+                n = lookup.of(distinct)
+                top = n == best[distinct >> 32]
+                ends = np.concatenate(([0], np.cumsum(column["keys"].value_lengths().to_numpy(zero_copy_only=False))))
+                for c, v in (("n_best", times * top[which]), ("count_sum", times * n[which])):
+                    sums = np.concatenate(([0], np.cumsum(v)))
+                    column[c] = pa.array(sums[ends[1:]] - sums[ends[:-1]], pa.int64())
+                yield pa.RecordBatch.from_pydict({c: column[c] for c in names})
 
     schema = SCHEMA + (", groups string" if groups else "")
     names = [f.split()[0] for f in schema.split(", ")]

@@ -88,30 +88,37 @@ def test_cross_tokenizer(spark, small):
     assert all((hashlib.sha256(r["groups"].encode()).hexdigest() if r["n_a"] else "") == r["groups_sha256"] for r in got.collect())
 
 
-def test_parts_make_the_whole(monkeypatch):
+@pytest.mark.parametrize("joined", [1 << 16, 1])
+def test_parts_make_the_whole(monkeypatch, joined):
     """A text that is cut at each place where it may be, in pieces of a few characters, without remembering anything."""
-    monkeypatch.setattr(cross, "PIECE", 30)
-    monkeypatch.setattr(cross, "MEMO_BYTES", 0)
-    monkeypatch.setattr(cross, "LONGEST", 5)
-    own = cross.Aligner(A, B)
-    assert own.local
     whole = cross.Aligner(A, B)
     whole.local = False
-    for _, t in [*awkward(9), *enumerate(ODD)]:
-        for text in filter(None, (t, t and f"{t} {t}")):
-            assert told(own, text) == told(whole, text)
+    texts = [x for _, t in [*awkward(9), *enumerate(ODD)] if t for x in (t, f"{t} {t}")]
+    want = [told(whole, t) for t in texts]
+    monkeypatch.setattr(cross, "SLICE", 30)
+    monkeypatch.setattr(cross, "MEMO_BYTES", 0)
+    monkeypatch.setattr(cross, "JOINED", joined)
+    monkeypatch.setattr(cross, "LONGEST", 7)
+    own = cross.Aligner(A, B)
+    assert own.local and [told(own, t) for t in texts] == want
 
 
 def told(own, text):
     out = cross._Told()
-    for parts in own.pieces(text):
-        found = own.parts(parts)
-        if None in found:
+    for cut in own.align(list(own.pieces(text))):
+        if cut is None:
             return None
-        out.add(found, True)
+        out.add(cut, True)
     return out.n_a, out.n_b, out.n_groups, b";".join(out.told), out.keys.tolist(), out.times.tolist()
 
 
+def test_decimal():
+    numbers = np.array([0, 9, 10, 99, 100, 50256, 7, 31999, 123456])
+    out, ends = cross.decimal(numbers, np.frombuffer(b",|;,|;,|;", np.uint8))
+    assert out.tobytes() == b"0,9|10;99,100|50256;7,31999|123456;" and ends.tolist() == [2, 4, 7, 10, 14, 20, 22, 28, 35]
+    assert cross.decimal(numbers[:0], np.empty(0, np.uint8))[0].tobytes() == b""
+
+
 CHARACTERS = st.one_of(st.sampled_from(" \n'a.1é字▁ 　́ ᠎ "), st.characters(exclude_categories=["Cs"]))
 
 
