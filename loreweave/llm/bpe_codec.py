@@ -17,7 +17,8 @@ from loreweave.llm.common import documents
 from loreweave.llm.pretokens import Memo, byte_alphabet, split
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-MEMO = 400_000
+#: Bytes, about, that a worker remembers pre-tokens in.
+MEMO = 100 << 20
 #: Ids of about so many bytes of text leave a task at once.
 FLUSH = 8 << 20
 

@@ -27,19 +27,32 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in printing else chr(next(spare)) for b in range(256)]
 
 
+#: A pre-token of more characters isn't remembered.
+LONGEST = 256
+
+
 class Memo(dict):
-    """Answers for pre-tokens, computed when they are first asked for; emptied when it holds too many."""
+    """Answers for pre-tokens, computed when they are first asked for; emptied when they take over ``most`` bytes.
+
+    An entry counts with ENTRY bytes and those of its pre-token; what one call adds may go beyond.
+    """
+
+    ENTRY = 250
 
     def __init__(self, compute: Callable[[list[str]], list], most: int) -> None:
         super().__init__()
-        self.compute, self.most = compute, most
+        self.compute, self.most, self.held = compute, most, 0
 
     def of(self, tokens: list[str]) -> list:
-        new = {t for t in set(tokens) if t not in self}
-        if len(self) + len(new) > self.most:
+        if self.held > self.most:
             self.clear()
-            new = set(tokens)
-        if new:
-            ask = list(new)
-            self.update(zip(ask, self.compute(ask), strict=True))
-        return list(map(self.__getitem__, tokens))
+            self.held = 0
+        ask = [t for t in set(tokens) if t not in self]
+        once = {}
+        for t, answer in zip(ask, self.compute(ask), strict=True) if ask else ():
+            if len(t) > LONGEST:
+                once[t] = answer
+            else:
+                self[t] = answer
+                self.held += self.ENTRY + 2 * len(t)
+        return [once[t] if t in once else self[t] for t in tokens] if once else list(map(self.__getitem__, tokens))
