@@ -65,6 +65,15 @@ def _near(rows: DataFrame, nodes: DataFrame, end: str = "src") -> DataFrame:
     return rows.filter(reduce(Column.__or__, [(F.col(f"{end}_type") == kind) & F.col(f"{end}_id").isin(sorted(ids)) for kind, ids in sorted(by.items())], F.lit(False)))
 
 
+def held_or_cut(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Rows and their number: FEW at most are held as values, more are written as a table."""
+    few = rows.limit(FEW + 1).collect()
+    if len(few) <= FEW:
+        return rows.sparkSession.createDataFrame(few, rows.schema), len(few)
+    rows = cut(rows)
+    return rows, rows.count()
+
+
 def neighbors(edges: Edges, seeds: DataFrame, *, direction: str = "both", edge_types: list[str] | None = None, limit: int | None = 100) -> DataFrame:
     """Steps from seeds (type, id), at most ``limit`` for each seed and edge type: out before in, then by edge; all if it is None."""
     if limit is not None and limit < 0:
@@ -99,17 +108,16 @@ def traverse_nodes(edges: Edges, start: DataFrame, *, direction: str = "out", ed
     steps = arrows(edges, direction, edge_types)
     frontier = start.select("type", "id", F.lit(1).cast("long").alias("paths_count"))
     seen = start.select("type", "id", F.lit(0).alias("min_depth"), F.lit(1).cast("long").alias("paths_count"))
-    held = 0
+    found = 0
     for depth in range(1, max_depth + 1):
         on = (F.col("type") == F.col("src_type")) & (F.col("id") == F.col("src_id"))
         reached = frontier.join(_near(steps, frontier), on).groupBy(F.col("dst_type").alias("type"), F.col("dst_id").alias("id")).agg(F.sum("paths_count").alias("paths_count"))
-        frontier = cut(reached.join(seen, ["type", "id"], "left_anti"))
-        n = frontier.count()
+        frontier, n = held_or_cut(reached.join(seen, ["type", "id"], "left_anti"))
         if not n:
             break
         seen = seen.unionByName(frontier.select("type", "id", F.lit(depth).alias("min_depth"), "paths_count"))
-        held += n
-        if enough is not None and held >= enough:
+        found += n
+        if enough is not None and found >= enough:
             break
     return seen.filter("min_depth > 0")
 
@@ -123,27 +131,26 @@ def _trivial(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.array(_key("type", "id")).alias("nodes"), F.array().cast("array<string>").alias("edges"), F.col("type").alias("end_type"), F.col("id").alias("end_id"))
 
 
-def _extended(here: DataFrame, steps: DataFrame, avoid: DataFrame | None = None) -> DataFrame:
-    """Simple paths that are a step longer than those here, and don't end in nodes to avoid (end_type, end_id).
+def _extended(here: DataFrame, steps: DataFrame, most: int | None, length: int, allowed: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """Simple paths that are a step longer than those here, of ``length`` steps by then, and how many there are; with
+    ``most``, the first by nodes. ``allowed``: the nodes (type, id) that they may end in.
 
-    Parallel edges meet after the join, where only the paths' ends have them, and count as one path.
+    What follows each end node is looked up once, however many paths end there: its distinct neighbors, with the least of
+    parallel edges. A path holds ``length`` nodes, so its first ``most`` ways on are among the first most + length of them; a
+    hub gives no more, and its edges are cut to these where they are read.
     """
-    ends = here.select(F.col("end_type").alias("type"), F.col("end_id").alias("id"))
-    on = (F.col("end_type") == F.col("src_type")) & (F.col("end_id") == F.col("src_id"))
-    fresh = ~F.array_contains("nodes", _key("dst_type", "dst_id"))
-    moved = here.join(_near(steps, ends), on).filter(fresh).groupBy("nodes", "edges", "dst_type", "dst_id").agg(F.min(_key("edge_type", "edge_id")).alias("edge"))
-    moved = moved.select(F.array_append("nodes", _key("dst_type", "dst_id")).alias("nodes"), F.array_append("edges", F.col("edge")).alias("edges"), F.col("dst_type").alias("end_type"), F.col("dst_id").alias("end_id"))
-    return cut(moved if avoid is None else moved.join(avoid, ["end_type", "end_id"], "left_anti"))
-
-
-def _first(found: DataFrame, most: int) -> tuple[DataFrame, int]:
-    """The first ``most`` paths by nodes, and how many there are; FEW at most are held as values, more as a table."""
-    found = found.orderBy("nodes").limit(most)
-    if most <= FEW:
-        rows = found.collect()
-        return found.sparkSession.createDataFrame(rows, found.schema), len(rows)
-    found = cut(found)
-    return found, found.count()
+    ends = here.select(F.col("end_type").alias("type"), F.col("end_id").alias("id")).distinct()
+    on = (F.col("type") == F.col("src_type")) & (F.col("id") == F.col("src_id"))
+    ways = _near(steps, ends).join(ends, on).drop("type", "id")
+    if allowed is not None:
+        ways = _near(ways, allowed, "dst").join(allowed, (F.col("dst_type") == F.col("type")) & (F.col("dst_id") == F.col("id")), "left_semi")
+    ways = ways.groupBy("src_type", "src_id", "dst_type", "dst_id").agg(F.min(_key("edge_type", "edge_id")).alias("edge")).withColumn("dst", _key("dst_type", "dst_id"))
+    if most is not None:
+        first = Window.partitionBy("src_type", "src_id").orderBy("dst")
+        ways = ways.withColumn("__rn", F.row_number().over(first)).filter(F.col("__rn") <= most + length)
+    moved = here.join(ways, (F.col("end_type") == F.col("src_type")) & (F.col("end_id") == F.col("src_id"))).filter(~F.array_contains("nodes", F.col("dst")))
+    moved = moved.select(F.array_append("nodes", F.col("dst")).alias("nodes"), F.array_append("edges", F.col("edge")).alias("edges"), F.col("dst_type").alias("end_type"), F.col("dst_id").alias("end_id"))
+    return held_or_cut(moved if most is None else moved.orderBy("nodes").limit(most))
 
 
 def _shortest(found: list[DataFrame], limit: int | None) -> DataFrame:
@@ -157,7 +164,7 @@ def paths(edges: Edges, start: DataFrame, *, direction: str = "out", edge_types:
 
     Parallel edges count as one path, with the least of them. With ``to``, only paths that end there, which go on no
     further. The search stops with the hop that completes ``limit`` paths, so the shortest are found first, and of those
-    of one length the first by nodes.
+    of one length the first by nodes; a hop gives no more than are wanted.
     """
     _depth(max_depth)
     steps = arrows(edges, direction, edge_types)
@@ -165,8 +172,8 @@ def paths(edges: Edges, start: DataFrame, *, direction: str = "out", edge_types:
         return _between(steps, arrows(edges, _BACK[direction], edge_types), start, to, max_depth, limit)
     here, found, n = _trivial(start), [_trivial(start).limit(0).withColumn("depth", F.lit(0))], 0
     for depth in range(1, max_depth + 1):
-        here = _extended(here, steps)
-        if not (more := here.count()):
+        here, more = _extended(here, steps, None if limit is None else limit - n, depth)
+        if not more:
             break
         found.append(here.withColumn("depth", F.lit(depth)))
         n += more
@@ -175,34 +182,61 @@ def paths(edges: Edges, start: DataFrame, *, direction: str = "out", edge_types:
     return _shortest(found, limit)
 
 
+def _next(level: DataFrame, steps: DataFrame, within: DataFrame | None = None, without: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """The nodes (type, id) a step from a level: those in ``within``, those not in ``without``; and how many there are."""
+    on = (F.col("type") == F.col("src_type")) & (F.col("id") == F.col("src_id"))
+    there = _near(steps, level).join(level, on, "left_semi").select(F.col("dst_type").alias("type"), F.col("dst_id").alias("id")).distinct()
+    for other, how in ((within, "left_semi"), (without, "left_anti")):
+        there = there if other is None else there.join(other, ["type", "id"], how)
+    return held_or_cut(there)
+
+
 def _between(steps: DataFrame, back: DataFrame, start: DataFrame, goal: DataFrame, max_depth: int, limit: int | None) -> DataFrame:
-    """Paths from start to goal, met in the middle: halves grow from either side in turns, so none has more than half the
-    steps, and what only one side reaches is never extended to full length.
+    """Paths from start to goal, length by length.
+
+    Levels of nodes, which are sets and not paths, grow from either side in turns: those that are so many steps from
+    the start or before the goal. Paths of a length are looked for only if its levels meet, and a path is extended
+    only to nodes from where the goal is in reach of the steps that are left. With a limit, a hop keeps the first paths by
+    nodes, as many as are wanted. These begin the first of all paths, so if enough of them arrive, they are the ones; if
+    nodes that paths may not visit twice have led some astray, the hops are made anew with more.
     """
-    ahead, behind = _trivial(start), _trivial(goal)
-    ends = behind.select("end_type", "end_id").distinct()
-    found, n = [], 0
-    for length in range(max_depth + 1):
-        if length % 2:
-            ahead = _extended(ahead, steps)
-        elif length:
-            behind = _extended(behind, back, ends)
-        rest = behind.select(F.col("nodes").alias("b_nodes"), F.col("edges").alias("b_edges"), "end_type", "end_id")
-        met = ahead.join(rest, ["end_type", "end_id"]).filter(F.size(F.array_intersect("nodes", "b_nodes")) == 1)
-        # the meeting node is the last of both halves
-        tail = F.reverse(F.slice("b_nodes", F.lit(1), F.size("b_nodes") - 1))
-        met = met.select(F.concat("nodes", tail).alias("nodes"), F.concat("edges", F.reverse("b_edges")).alias("edges"), F.lit(length).alias("depth"))
-        if limit is not None:
-            met, more = _first(met, limit - n)
-            n += more
-        found.append(met)
+    goal = held_or_cut(goal.select("type", "id").distinct())[0]
+    at_goal = start.select("type", "id").distinct().join(goal, ["type", "id"], "left_semi")
+    ahead = [held_or_cut(start.select("type", "id").distinct().join(goal, ["type", "id"], "left_anti"))]
+    behind = [(goal, 1)]
+    found, n = [_trivial(at_goal).withColumn("depth", F.lit(0))], 0
+    if limit is not None:
+        n = at_goal.count()
+    for length in range(1, max_depth + 1):
         if limit is not None and n >= limit:
             break
-        if length < 2:
-            ahead = ahead.join(ends, ["end_type", "end_id"], "left_anti")
-        # only the half that has just grown can have died out
-        if (behind if length and length % 2 == 0 else ahead).isEmpty():
+        side, way = (behind, back) if length % 2 else (ahead, steps)
+        side.append(_next(side[-1][0], way, without=goal))
+        if not side[-1][1] or not ahead[0][1]:
             break
+        half = length // 2
+        meet = ahead[half][0].join(behind[length - half][0], ["type", "id"], "left_semi")
+        allowed = {half: held_or_cut(meet)}
+        if not allowed[half][1]:
+            continue
+        # before the middle, a node is on a path only if a node of the next level is
+        for at in range(half - 1, 0, -1):
+            allowed[at] = ahead[at] if ahead[at][1] <= FEW else _next(allowed[at + 1][0], back, within=ahead[at][0])
+        allowed |= {at: behind[length - at] for at in range(half + 1, length + 1)}
+        wanted = most = None if limit is None else limit - n
+        while True:
+            here, cut_off, more = _trivial(ahead[0][0]), False, 0
+            for at in range(1, length + 1):
+                here, more = _extended(here, steps, most, at, allowed[at][0])
+                cut_off |= more == most
+                if not more:
+                    break
+            if most is None or more >= wanted or not cut_off:
+                break
+            most *= 10
+        if more:
+            found.append((here if wanted is None else here.orderBy("nodes").limit(wanted)).withColumn("depth", F.lit(length)))
+            n += more if wanted is None else min(more, wanted)
     return _shortest(found, limit)
 
 

@@ -104,7 +104,10 @@ def postings(index: DataFrame, text: str = "content") -> DataFrame:
 def stored_postings(index: DataFrame) -> DataFrame:
     """Postings of the stored tokens, in order of term: a query reads the row groups that its terms are in. Ids differ."""
     posts = _posted(index, ["source_table", "id"], F.filter(F.split("fts_content", " "), lambda t: t != ""))
-    posts = posts.select("source_table", "id", F.col("dl").cast("long").alias("dl"), "term", "tf")
+    return by_term(posts.select("source_table", "id", F.col("dl").cast("long").alias("dl"), "term", "tf"))
+
+
+def by_term(posts: DataFrame) -> DataFrame:
     return posts.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
 
 
@@ -112,3 +115,13 @@ def stats(index: DataFrame) -> DataFrame:
     """For each source table: documents, chunks with tokens, and their tokens."""
     n = F.size(F.filter(F.split("fts_content", " "), lambda t: t != "")).cast("long")
     return index.groupBy("source_table").agg(F.count_distinct("source_id").alias("documents"), F.count("fts_content").alias("chunks"), F.coalesce(F.sum(F.when(F.col("fts_content").isNotNull(), n)), F.lit(0).cast("long")).alias("tokens"))
+
+
+def stats_change(old: DataFrame, new: DataFrame) -> DataFrame:
+    """What replacing the entries ``old`` by ``new`` adds to stats(), if all entries of a document are replaced together."""
+    both = stats(new).unionByName(stats(old).select("source_table", *[(-F.col(c)).alias(c) for c in ("documents", "chunks", "tokens")]))
+    return summed(both)
+
+
+def summed(stats: DataFrame) -> DataFrame:
+    return stats.groupBy("source_table").agg(*[F.sum(c).alias(c) for c in ("documents", "chunks", "tokens")])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,8 +42,22 @@ def upsert(current: DataFrame, batch: DataFrame, keys: Sequence[str], *, now: Co
     return assign_ids(merged, keys, top).select(*current.columns)
 
 
-def loaded(current: DataFrame, rows: DataFrame, keys: Sequence[str], now: Column) -> DataFrame:
-    """current with rows read from files, which have all its columns.
+def matching(current: DataFrame, keys_df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of current whose keys are in keys_df."""
+    k = keys_df.select(*[F.col(x).alias(f"b_{x}") for x in keys])
+    return current.join(k, [F.col(x).eqNullSafe(F.col(f"b_{x}")) for x in keys], "left_semi")
+
+
+def changes(current: DataFrame, batch: DataFrame, keys: Sequence[str], *, now: Column, top: Column, supplied: str | None = None) -> DataFrame:
+    """The rows that an upsert of batch makes or changes, and no others; new ones get the ids after ``top``.
+
+    The batch meets the table in a semi join, which reads the table's keys and moves none of its rows if the batch is small.
+    """
+    return upsert(cut(matching(current, batch, keys)), batch, keys, now=now, supplied=supplied, next_id=top)
+
+
+def loaded(current: DataFrame, rows: DataFrame, keys: Sequence[str], now: Column, top: Column | None = None) -> DataFrame:
+    """current with rows read from files, which have all its columns; new ones get the ids after ``top`` (the highest, if None).
 
     Of rows with equal keys, the one last updated counts; those without a time come first, then lower ids. An empty table
     takes their ids and times, any other keeps its own.
@@ -50,13 +65,18 @@ def loaded(current: DataFrame, rows: DataFrame, keys: Sequence[str], now: Column
     batch = last_wins(rows, keys, [F.coalesce("__updated_at", "__created_at"), F.col("__id")])
     if current.isEmpty():
         known = batch.withColumn("__created_at", F.coalesce("__created_at", now)).withColumn("__updated_at", F.coalesce("__updated_at", now))
-        return assign_ids(known.select(*rows.columns), keys)
-    return upsert(current, batch.drop("__id", "__created_at", "__updated_at"), keys, now=now)
+        own = highest(known)
+        return assign_ids(known.select(*rows.columns), keys, own if top is None else F.greatest(top, own))
+    return upsert(current, batch.drop("__id", "__created_at", "__updated_at"), keys, now=now, next_id=top)
 
 
-def highest(rows: DataFrame, column: str = "__id") -> Column:
+def highest_id(rows: DataFrame, column: str = "__id") -> int:
     """The highest id, 0 if there is none."""
-    return F.lit(rows.agg(F.coalesce(F.max(column), F.lit(0).cast("long"))).first()[0])
+    return rows.agg(F.coalesce(F.max(column), F.lit(0).cast("long"))).first()[0]
+
+
+def highest(rows: DataFrame, column: str = "__id") -> Column:
+    return F.lit(highest_id(rows, column))
 
 
 def assign_ids(rows: DataFrame, order: Sequence[str], top: Column | None = None) -> DataFrame:
@@ -90,6 +110,13 @@ def cascade(edges: DataFrame, gone: DataFrame, *, source: bool, target: bool) ->
     return edges
 
 
+def ending_in(edges: DataFrame, gone: DataFrame, *, source: bool, target: bool) -> DataFrame:
+    """__id of the edges that cascade() takes away."""
+    ids = gone.select(F.col("__id").alias("__gone")).distinct()
+    found = [edges.join(ids, F.col(end) == F.col("__gone"), "left_semi").select("__id") for end in ["__from_id"] * source + ["__to_id"] * target]
+    return reduce(DataFrame.unionByName, found)
+
+
 def resolve(batch: DataFrame, nodes: DataFrame, fields: dict[str, str], into: str) -> DataFrame:
     """batch with the ids of the nodes that it names; fields: batch column by identity column. Null if there is none."""
     n = nodes.select(F.col("__id").alias(into), *[F.col(k).cast("string").alias(f"n_{k}") for k in fields])

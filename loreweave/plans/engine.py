@@ -9,7 +9,7 @@ import threading
 from collections import defaultdict
 from collections.abc import Callable
 from datetime import UTC, date, datetime
-from functools import reduce, wraps
+from functools import partial, reduce, wraps
 from pathlib import Path
 from typing import Any
 
@@ -23,7 +23,7 @@ from loreweave.functions.text import content_hash, segment, tokens
 from loreweave.functions.vector import literal
 from loreweave.model import CACHE_SCHEMA, CACHE_TABLE, INDEX_SCHEMA, INDEX_TABLE, LINKS_SCHEMA, LINKS_TABLE, POSTINGS_SCHEMA, POSTINGS_TABLE, STATS_SCHEMA, STATS_TABLE, Config, EdgeType, NodeType, table_name
 from loreweave.operators import graph, index, merge, search, sqlgate
-from loreweave.shared import cut
+from loreweave.shared import cut, temporary_tables
 from loreweave.sources.embedder import HttpEmbedder
 from loreweave.sources.files import Files
 from loreweave.sources.store import Snapshots, Version, dump, read_bundle, read_jsonl
@@ -72,26 +72,45 @@ def dictionary(text: str) -> list[str]:
     return [f[0] for f in map(str.split, text.splitlines()) if f]
 
 
+def _ends_of(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("__id").alias("edge_id"), F.col("__from_id").alias("from_id"), F.col("__to_id").alias("to_id"))
+
+
+def _in_order(ends: DataFrame, end: str) -> DataFrame:
+    return ends.repartitionByRange(f"{end}_id", "edge_id").sortWithinPartitions(f"{end}_id", "edge_id")
+
+
 def _one_version(read: Callable[..., Any]) -> Callable[..., Any]:
     """All that a method reads comes from the version that was current when it began."""
 
     @wraps(read)
     def call(self: Engine, *args: Any, **kw: Any) -> Any:
-        with self.snapshots.pinned():
+        with temporary_tables(self.spark), self.snapshots.pinned():
             return read(self, *args, **kw)
 
     return call
 
 
+def _tidy(work: Callable[..., Any]) -> Callable[..., Any]:
+    """Tables that a method cuts lineage with go when it ends."""
+
+    @wraps(work)
+    def call(self: Engine, *args: Any, **kw: Any) -> Any:
+        with temporary_tables(self.spark):
+            return work(self, *args, **kw)
+
+    return call
+
+
 class Engine:
     """Opens the knowledge base in a folder, of any file system that Hadoop knows; config.yaml declares it.
 
     Readers use immutable snapshots. The index is kept in a slice for each node type, with postings and statistics beside
-    it; a change of nodes indexes those nodes only and rewrites the slices of their types. A session that was passed in is
-    not stopped on close.
+    it; a change of nodes indexes those nodes only, and what it writes is about what it changes. Versions older than the
+    last two and ``retention`` seconds go with each change. A session that was passed in is not stopped on close.
     """
 
-    def __init__(self, spark: SparkSession, path: str | Path, config: Config | None = None, embedder: index.Embedder | None = None) -> None:
+    def __init__(self, spark: SparkSession, path: str | Path, config: Config | None = None, embedder: index.Embedder | None = None, retention: float = 3600.0) -> None:
         self.spark, self.path, self.files = spark, str(path).rstrip("/"), Files(spark)
         self.config = config or Config.parse(yaml.safe_load(self._text("config.yaml")) or {})
         self.ontology = self.config.ontology
@@ -99,6 +118,7 @@ class Engine:
         remote = HttpEmbedder(self.config.embedding_url, self.config.embedding_model) if self.config.embedding_url else None
         self.embedder = embedder or remote or hashing_embedder(self.config.embedding_dim)
         self.words = dictionary(self._text("user_dict.txt"))
+        self.retention = retention
         self._writer = threading.Lock()
         self._views: set[str] = set()
 
@@ -121,11 +141,13 @@ class Engine:
 
     def _write(self, change: Callable[[], Any], tries: int = 5) -> Any:
         """Makes a change of one version, and anew of the next one if another writer has published meanwhile."""
-        with self._writer:
+        with self._writer, temporary_tables(self.spark):
             for left in reversed(range(tries)):
                 try:
                     with self.snapshots.pinned():
-                        return change()
+                        done = change()
+                    self.snapshots.prune(least_age=self.retention)
+                    return done
                 except ConflictError:
                     if not left:
                         raise
@@ -167,10 +189,16 @@ class Engine:
         return graph.Graph(every("from"), every("to"))
 
     def _write_edges(self, version: Version, e: EdgeType, rows: DataFrame) -> None:
-        """An edge table, and its ends in order of either."""
-        ends = version.write(e.table, rows).select(F.col("__id").alias("edge_id"), F.col("__from_id").alias("from_id"), F.col("__to_id").alias("to_id"))
+        """A whole edge table, and its ends in order of either."""
+        rows = version.write(e.table, rows)
+        for end in ("from", "to"):
+            version.write(f"{LINKS_TABLE}_{end}.{e.table}", _in_order(_ends_of(rows), end))
+
+    def _change_edges(self, version: Version, e: EdgeType, rows: DataFrame, ids: DataFrame) -> None:
+        """Rows take the place of the edges with these ids (__id)."""
+        rows = version.change(e.table, rows, "__id", ids)
         for end in ("from", "to"):
-            version.write(f"{LINKS_TABLE}_{end}.{e.table}", ends.repartitionByRange(f"{end}_id", "edge_id").sortWithinPartitions(f"{end}_id", "edge_id"))
+            version.change(f"{LINKS_TABLE}_{end}.{e.table}", _ends_of(rows), "edge_id", ids.select(F.col("__id").alias("edge_id")), partial(_in_order, end=end))
 
     def tables(self) -> dict[str, DataFrame]:
         """All tables by name."""
@@ -205,6 +233,7 @@ class Engine:
     def import_bundle(self, path: str | Path, *, delete: bool = False) -> dict[str, Any]:
         return self.import_items(read_bundle(self.files, path, delete=delete))
 
+    @_tidy
     def import_items(self, items: list[dict[str, Any]]) -> dict[str, Any]:
         """Upserts and deletes nodes, then edges; all of it is published, or nothing if an edge lacks an end.
 
@@ -225,54 +254,60 @@ class Engine:
         nodes = {n: self.nodes(n) for n in self.ontology.nodes}
         edges = {e: self.edges(e) for e in self.ontology.edges}
         counts: dict[str, Any] = {"nodes": {"upserted": {}, "deleted": {}}, "edges": {"upserted": {}, "deleted": {}}}
-        cascaded: set[str] = set()
-        touched: dict[str, DataFrame] = {}
+        lost_edges: dict[str, list[DataFrame]] = defaultdict(list)
+        touched: dict[str, tuple[DataFrame, DataFrame]] = {}
         indexed = 0
+
+        def merged(version: Version, table: str, keys: list[str], before: DataFrame, upserts: DataFrame | None, deletes: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+            """Rows that a table gets, ids of all rows that change or go, and ids of those that go by key."""
+            top = version.top(table, lambda: merge.highest_id(before))
+            rows = before.limit(0)
+            if upserts is not None:
+                rows = cut(merge.changes(before, upserts, keys, now=now, top=F.lit(top).cast("long"), supplied="__supplied"))
+                version.raise_top(table, merge.highest_id(rows))
+            if deletes is None:
+                return rows, rows.select("__id"), None
+            gone = cut(merge.matching(before, deletes, keys).select("__id").unionByName(merge.matching(rows, deletes, keys).select("__id")).distinct())
+            return rows.join(gone, "__id", "left_anti").select(*before.columns), rows.select("__id").unionByName(gone).distinct(), gone
+
         with self.snapshots.version() as version:
             for name, n in self.ontology.nodes.items():
                 upserts, deletes = groups.get((name, "upsert")), groups.get((name, "delete"))
                 if not (upserts or deletes):
                     continue
-                before = nodes[name]
-                if upserts:
-                    rows = merge.last_wins(self._batch(upserts, n.columns), list(n.identity), ["__pos"]).drop("__pos")
-                    nodes[name] = merge.upsert(before, rows, list(n.identity), now=now, supplied="__supplied")
-                    counts["nodes"]["upserted"][name] = len(upserts)
-                ids = [nodes[name].filter(F.col("__updated_at") == now).select("__id")]
-                if deletes:
-                    keys = self._batch(deletes, {k: n.columns[k] for k in n.identity})
-                    gone = cut(nodes[name].join(keys.select(*n.identity).distinct(), list(n.identity), "left_semi").select("__id"))
-                    for e in self.ontology.edges.values():
-                        if name in (e.source, e.target):
-                            edges[e.name] = merge.cascade(edges[e.name], gone, source=e.source == name, target=e.target == name)
-                            cascaded.add(e.name)
-                    nodes[name] = merge.delete(nodes[name], keys, list(n.identity))
-                    counts["nodes"]["deleted"][name] = len(deletes)
-                    ids.append(gone)
-                nodes[name] = version.write(n.table, nodes[name])
-                ids[0] = nodes[name].filter(F.col("__updated_at") == now).select("__id")
-                touched[name] = reduce(DataFrame.unionByName, ids).distinct()
+                keys = list(n.identity)
+                new = merge.last_wins(self._batch(upserts, n.columns), keys, ["__pos"]).drop("__pos") if upserts else None
+                old = self._batch(deletes, {k: n.columns[k] for k in keys}) if deletes else None
+                rows, ids, gone = merged(version, n.table, keys, nodes[name], new, old)
+                for e in self.ontology.edges.values() if gone is not None else ():
+                    if name in (e.source, e.target):
+                        lost_edges[e.name].append(merge.ending_in(edges[e.name], gone, source=e.source == name, target=e.target == name))
+                for action, batch in (("upserted", upserts), ("deleted", deletes)):
+                    if batch:
+                        counts["nodes"][action][name] = len(batch)
+                ids = ids if gone is None else cut(ids)
+                touched[name] = version.change(n.table, rows, "__id", ids), ids
+                nodes[name] = version.read(self.spark, n.table, n.struct)
             missing: list[str] = []
             for name, e in self.ontology.edges.items():
-                for action in ("upsert", "delete"):
-                    if not (batch := groups.get((name, action))):
-                        continue
-                    rows = self._edge_batch(batch, e, nodes)
-                    if action == "upsert":
-                        lost = rows.filter("__from_id is null or __to_id is null").select("__pos").orderBy("__pos").limit(20).collect()
-                        missing += [f"{name}[{r[0]}]: {batch[r[0]]['source']} -> {batch[r[0]]['target']}" for r in lost]
-                        rows = merge.last_wins(rows.filter("__from_id is not null and __to_id is not null"), ["__from_id", "__to_id"], ["__pos"]).drop("__pos")
-                        edges[name] = merge.upsert(edges[name], rows, ["__from_id", "__to_id"], now=now, supplied="__supplied")
-                    else:
-                        edges[name] = merge.delete(edges[name], rows.select("__from_id", "__to_id"), ["__from_id", "__to_id"])
+                batches = {action: batch for action in ("upsert", "delete") if (batch := groups.get((name, action)))}
+                if not (batches or lost_edges[name]):
+                    continue
+                lost = cut(reduce(DataFrame.unionByName, lost_edges[name]).distinct()) if lost_edges[name] else None
+                before = edges[name] if lost is None else edges[name].join(lost, "__id", "left_anti").select(*edges[name].columns)
+                keys, said = ["__from_id", "__to_id"], {action: self._edge_batch(batch, e, nodes) for action, batch in batches.items()}
+                for action, batch in batches.items():
                     counts["edges"]["upserted" if action == "upsert" else "deleted"][name] = len(batch)
-                    cascaded.add(name)
+                if "upsert" in said:
+                    absent = said["upsert"].filter("__from_id is null or __to_id is null").select("__pos").orderBy("__pos").limit(20).collect()
+                    missing += [f"{name}[{r[0]}]: {batches['upsert'][r[0]]['source']} -> {batches['upsert'][r[0]]['target']}" for r in absent]
+                    said["upsert"] = merge.last_wins(said["upsert"].filter("__from_id is not null and __to_id is not null"), keys, ["__pos"]).drop("__pos")
+                rows, ids, _ = merged(version, e.table, keys, before, said.get("upsert"), said["delete"].select(*keys) if "delete" in said else None)
+                self._change_edges(version, e, rows, cut(ids if lost is None else ids.unionByName(lost)))
             if missing:
                 raise ValidationError(f"Edges whose ends don't exist: {'; '.join(missing)}")
-            for name in cascaded:
-                self._write_edges(version, self.ontology.edges[name], edges[name])
             if touched:
-                indexed = self._index(version, {n: (nodes[n], ids) for n, ids in touched.items()}, now)
+                indexed = self._index(version, touched, now)
         return {"status": "success", **counts, "indexed": indexed, "dumped": bool(version.written)}, list(touched)
 
     def _batch(self, items: list[dict[str, Any]], columns: dict[str, T.DataType]) -> DataFrame:
@@ -287,36 +322,50 @@ class Engine:
         named = {f"__{side}_{k}": T.StringType() for side, n in ends.items() for k in n.identity}
         rows = self._batch(flat, e.columns | named)
         for side, into in _ENDS:
-            rows = merge.resolve(rows, nodes[ends[side].name], {k: f"__{side}_{k}" for k in ends[side].identity}, into)
+            fields = {k: f"__{side}_{k}" for k in ends[side].identity}
+            # only the nodes that the batch names are moved to it
+            named_here = [F.col(k).cast("string") == F.col(c) for k, c in fields.items()]
+            known = nodes[ends[side].name].select("__id", *fields).join(rows.select(*fields.values()).distinct(), named_here, "left_semi")
+            rows = merge.resolve(rows, known, fields, into)
         return rows.drop(*named)
 
     def _index(self, version: Version, changed: dict[str, tuple[DataFrame, DataFrame | None]], now: Column, *, from_cache: bool = False) -> int:
-        """Writes index slices of node types: name by nodes and the ids that have changed (None: all); and the cache.
+        """Writes index slices, postings and statistics of node types, and the cache.
 
-        Entries of other nodes stay as they are. Vectors come from the cache; with ``from_cache``, tokens too, and what
-        the cache lacks stays null. Returns the number of new entries.
+        changed: by name, nodes to index and the ids that they take the place of; None makes the slices anew. Vectors come
+        from the cache; with ``from_cache``, tokens too, and what the cache lacks stays null. Returns the number of new entries.
         """
         types = [self.ontology.node(name) for name in changed if self.ontology.node(name).searched]
         if not types:
             return 0
-
-        def own(n: NodeType) -> DataFrame:
-            nodes, ids = changed[n.name]
-            return index.entries(nodes if ids is None else nodes.join(ids, "__id", "left_semi"), n.table, n.searched, size=self.config.chunk_size, overlap=self.config.chunk_overlap)
-
-        cache = self.cache()
-        rows = cut(index.with_cache(reduce(DataFrame.unionByName, map(own, types)), cache, compute_tokens=not from_cache, words=self.words))
-        rows = merge.assign_ids(rows.withColumn("__id", F.lit(None).cast("long")), ["source_table", "source_id", "source_field", "chunk_seq"], merge.highest(self.index(), "id"))
+        cache = version.read(self.spark, CACHE_TABLE, CACHE_SCHEMA)
+        own = [index.entries(changed[n.name][0], n.table, n.searched, size=self.config.chunk_size, overlap=self.config.chunk_overlap) for n in types]
+        rows = cut(index.with_cache(reduce(DataFrame.unionByName, own), cache, compute_tokens=not from_cache, words=self.words))
+        top = version.top(INDEX_TABLE, lambda: merge.highest_id(self.index(), "id"))
+        rows = merge.assign_ids(rows.withColumn("__id", F.lit(None).cast("long")), ["source_table", "source_id", "source_field", "chunk_seq"], F.lit(top).cast("long"))
         rows = cut(rows.withColumn("created_at", now).withColumnRenamed("__id", "id").select(*INDEX_SCHEMA.names))
+        version.raise_top(INDEX_TABLE, merge.highest_id(rows, "id"))
         for n in types:
-            ids = changed[n.name][1]
-            whole = version.write(f"{INDEX_TABLE}.{n.table}", index.renewed(self.index(n.name), ids, rows.filter(F.col("source_table") == n.table)))
-            version.write(f"{POSTINGS_TABLE}.{n.table}", index.stored_postings(whole))
-            version.write(f"{STATS_TABLE}.{n.table}", index.stats(whole))
+            mine, ids = rows.filter(F.col("source_table") == n.table), changed[n.name][1]
+            slices = [f"{table}.{n.table}" for table in (INDEX_TABLE, POSTINGS_TABLE, STATS_TABLE)]
+            if ids is None:
+                for table, made in zip(slices, (mine, index.stored_postings(mine), index.stats(mine)), strict=True):
+                    version.write(table, made)
+                continue
+            sources = ids.select(F.col("__id").alias("source_id"))
+            old = cut(version.read(self.spark, slices[0], INDEX_SCHEMA).join(sources, "source_id", "left_semi").select(*INDEX_SCHEMA.names))
+            version.change(slices[0], mine, "source_id", sources)
+            version.change(slices[1], index.stored_postings(mine), "id", old.select("id"), index.by_term)
+            version.change(slices[2], index.stats_change(old, mine), layout=index.summed)
         if not from_cache:
-            version.write(CACHE_TABLE, index.merge_cache(cache, rows.select("content_hash", "fts_content", "vector"), now))
+            self._change_cache(version, rows.select("content_hash", "fts_content", "vector"), now)
         return rows.count()
 
+    def _change_cache(self, version: Version, new: DataFrame, now: Column) -> None:
+        hashes = new.select("content_hash").distinct()
+        held = version.read(self.spark, CACHE_TABLE, CACHE_SCHEMA)
+        version.change(CACHE_TABLE, index.merge_cache(held.join(hashes, "content_hash", "left_semi").select(*held.columns), new, now), "content_hash", hashes)
+
     def _embed_index(self, names: list[str]) -> dict[str, int]:
         """Embeds what the index slices of some node types lack and publishes it. The provider works while other writers
         may publish; its vectors go to whatever entries have those contents by then.
@@ -324,9 +373,9 @@ class Engine:
         searched = [n for n in names if self.ontology.node(n).searched]
         with self.snapshots.pinned():
             lacking = [self.index(n).filter("vector is null").select("content_hash", "content", "vector") for n in searched]
-        if not lacking:
-            return {"success": 0, "failed": 0}
-        new = cut(index.embed_missing(reduce(DataFrame.unionByName, lacking), self.embedder))
+            if not lacking:
+                return {"success": 0, "failed": 0}
+            new = cut(index.embed_missing(reduce(DataFrame.unionByName, lacking), self.embedder))
         n, done = new.agg(F.count(F.lit(1)), F.count("vector")).first()
         if done:
             self._write(lambda: self._publish_vectors(searched, new.filter("vector is not null").select("content_hash", "vector")))
@@ -335,9 +384,14 @@ class Engine:
     def _publish_vectors(self, names: list[str], new: DataFrame) -> None:
         with self.snapshots.version() as version:
             for n in names:
-                version.write(f"{INDEX_TABLE}.{self.ontology.node(n).table}", index.with_vectors(self.index(n), new))
-            version.write(CACHE_TABLE, index.merge_cache(self.cache(), new, _now()))
-
+                held = self.index(n)
+                sources = cut(held.filter("vector is null").join(new, "content_hash", "left_semi").select("source_id").distinct())
+                if not sources.isEmpty():
+                    rows = held.join(sources, "source_id", "left_semi").select(*INDEX_SCHEMA.names)
+                    version.change(f"{INDEX_TABLE}.{self.ontology.node(n).table}", index.with_vectors(rows, new), "source_id", sources)
+            self._change_cache(version, new, _now())
+
+    @_tidy
     def _build(self, node_type: str | None, from_cache: bool) -> int:
         names = [self.ontology.node(n).name for n in ([node_type] if node_type else self.ontology.nodes)]
 
@@ -360,6 +414,7 @@ class Engine:
         """The same with tokens and vectors from the cache alone; what it lacks stays null."""
         return self._build(node_type, True)
 
+    @_tidy
     def embed(self, texts: list[str]) -> list[list[float]]:
         """Vectors of texts in their order, from the cache where it has them; new ones go there."""
         if not texts:
@@ -373,7 +428,12 @@ class Engine:
             raise KnowledgeBaseError(f"Embedding failed: {failed[0]}")
         rows = cut(index.with_vectors(rows, new))
         fresh = rows.select("content_hash", "fts_content", "vector")
-        self._write(lambda: self.snapshots.publish({CACHE_TABLE: index.merge_cache(self.cache(), fresh, _now())}))
+
+        def change() -> None:
+            with self.snapshots.version() as version:
+                self._change_cache(version, fresh, _now())
+
+        self._write(change)
         held = {r[0]: r[1] for r in rows.select("content_hash", "vector").collect()}  # the caller's own list
         return [held[h] for h in hashes]
 
@@ -419,12 +479,14 @@ class Engine:
         now = _now()
 
         def change() -> None:
-            merged = merge.loaded(self.snapshots.read(self.spark, kind.table, rows.schema), rows, keys, now)
             with self.snapshots.version() as version:
+                held = version.read(self.spark, kind.table, rows.schema)
+                merged = merge.loaded(held, rows, keys, now, F.lit(version.top(kind.table, lambda: merge.highest_id(held))).cast("long"))
                 if isinstance(kind, EdgeType):
                     self._write_edges(version, kind, merged)
                 else:
                     version.write(kind.table, merged)
+                version.raise_top(kind.table, merge.highest_id(version.read(self.spark, kind.table, rows.schema)))
 
         n = rows.count()
         self._write(change)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,9 +28,33 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Of each thread, the tables that the block of temporary_tables() it is in has written.
+_OWN = threading.local()
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what cut() writes meanwhile on this thread, so results must have been collected or written by
+    then. Blocks within such a block leave that to it.
+    """
+    if getattr(_OWN, "paths", None) is not None:
+        yield
+        return
+    _OWN.paths = []
+    try:
+        yield
+    finally:
+        paths, _OWN.paths = _OWN.paths, None
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read back; survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/kb-{uuid.uuid4().hex}"
+    if getattr(_OWN, "paths", None) is not None:
+        _OWN.paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -43,6 +43,11 @@ class Files:
                 return True
         return False
 
+    def size(self, path: str | os.PathLike) -> int:
+        """Bytes of a file, or of all files under a folder."""
+        fs, at = self._at(path)
+        return fs.getContentSummary(at).getLength()
+
     def age(self, path: str | os.PathLike, now: float) -> float:
         """Seconds since a path was last changed."""
         fs, at = self._at(path)
