@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreweave.errors import InvalidDirectionError
-from loreweave.shared import cut
+from loreweave.shared import cut, values
 
 DIRECTIONS = ("out", "in", "both")
 _BACK = {"out": "in", "in": "out", "both": "both"}
@@ -69,7 +69,7 @@ def held_or_cut(rows: DataFrame) -> tuple[DataFrame, int]:
     """Rows and their number: FEW at most are held as values, more are written as a table."""
     few = rows.limit(FEW + 1).collect()
     if len(few) <= FEW:
-        return rows.sparkSession.createDataFrame(few, rows.schema), len(few)
+        return values(rows.sparkSession, few, rows.schema), len(few)
     rows = cut(rows)
     return rows, rows.count()
 
@@ -194,27 +194,26 @@ def _next(level: DataFrame, steps: DataFrame, within: DataFrame | None = None, w
 def _between(steps: DataFrame, back: DataFrame, start: DataFrame, goal: DataFrame, max_depth: int, limit: int | None) -> DataFrame:
     """Paths from start to goal, length by length.
 
-    Levels of nodes, which are sets and not paths, grow from either side in turns: those that are so many steps from
-    the start or before the goal. Paths of a length are looked for only if its levels meet, and a path is extended
+    Levels of nodes, which are sets and not paths, grow from either side, the smaller one first: those that are so many
+    steps from the start or before the goal. Paths of a length are looked for only if its levels meet, and a path is extended
     only to nodes from where the goal is in reach of the steps that are left. With a limit, a hop keeps the first paths by
     nodes, as many as are wanted. These begin the first of all paths, so if enough of them arrive, they are the ones; if
     nodes that paths may not visit twice have led some astray, the hops are made anew with more.
     """
     goal = held_or_cut(goal.select("type", "id").distinct())[0]
-    at_goal = start.select("type", "id").distinct().join(goal, ["type", "id"], "left_semi")
-    ahead = [held_or_cut(start.select("type", "id").distinct().join(goal, ["type", "id"], "left_anti"))]
-    behind = [(goal, 1)]
-    found, n = [_trivial(at_goal).withColumn("depth", F.lit(0))], 0
-    if limit is not None:
-        n = at_goal.count()
+    start = start.select("type", "id").distinct()
+    at_goal, n = held_or_cut(start.join(goal, ["type", "id"], "left_semi"))
+    ahead, behind = [held_or_cut(start.join(goal, ["type", "id"], "left_anti"))], [(goal, 1)]
+    found = [_trivial(at_goal).withColumn("depth", F.lit(0))]
     for length in range(1, max_depth + 1):
-        if limit is not None and n >= limit:
+        if limit is not None and n >= limit or not ahead[0][1]:
             break
-        side, way = (behind, back) if length % 2 else (ahead, steps)
+        # the side that has fewer nodes to step from; the goal itself is no level that paths go through
+        side, way = (behind, back) if length == 1 or behind[-1][1] < ahead[-1][1] else (ahead, steps)
         side.append(_next(side[-1][0], way, without=goal))
-        if not side[-1][1] or not ahead[0][1]:
+        if not side[-1][1]:
             break
-        half = length // 2
+        half = len(ahead) - 1
         meet = ahead[half][0].join(behind[length - half][0], ["type", "id"], "left_semi")
         allowed = {half: held_or_cut(meet)}
         if not allowed[half][1]:

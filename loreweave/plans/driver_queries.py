@@ -14,7 +14,7 @@ from loreweave.functions.text import chunk_by_sentence, chunk_text, content_hash
 from loreweave.model import QUERY_LIMIT, RRF
 from loreweave.operators import graph, index, joins, merge, search, sqlgate
 from loreweave.plans.driver_sql import ORACLE_SQL
-from loreweave.shared import cut, shared_folder
+from loreweave.shared import cut, shared_folder, values
 from loreweave.sources.files import Files
 from loreweave.sources.store import dump, partition_counts, read_jsonl
 
@@ -66,7 +66,7 @@ class Tables:
         return reduce(DataFrame.unionByName, parts)
 
     def node(self, kind: str, ident: int) -> DataFrame:
-        return self.spark.createDataFrame([(kind, ident)], "type string, id long")
+        return values(self.spark, [(kind, ident)], "type string, id long")
 
 
 @contextmanager
@@ -283,7 +283,7 @@ def traverse_paths(t: Tables) -> DataFrame:
 
 @_query
 def find_paths(t: Tables) -> DataFrame:
-    return _path_rows(graph.paths(t.edges(), t.node("Customer", 7), direction="both", max_depth=3, to=t.node("Supplier", 3), limit=10))
+    return _path_rows(graph.paths(cut(t.edges()), t.node("Customer", 7), direction="both", max_depth=3, to=t.node("Supplier", 3), limit=10))
 
 
 @_query

@@ -23,7 +23,7 @@ from loreweave.functions.text import content_hash, segment, tokens
 from loreweave.functions.vector import literal
 from loreweave.model import CACHE_SCHEMA, CACHE_TABLE, INDEX_SCHEMA, INDEX_TABLE, LINKS_SCHEMA, LINKS_TABLE, POSTINGS_SCHEMA, POSTINGS_TABLE, STATS_SCHEMA, STATS_TABLE, Config, EdgeType, NodeType, table_name
 from loreweave.operators import graph, index, merge, search, sqlgate
-from loreweave.shared import cut, temporary_tables
+from loreweave.shared import cut, temporary_tables, values
 from loreweave.sources.embedder import HttpEmbedder
 from loreweave.sources.files import Files
 from loreweave.sources.store import Snapshots, Version, dump, read_bundle, read_jsonl
@@ -314,7 +314,7 @@ class Engine:
         """Items as rows: columns, __supplied (the names that an item has) and __pos."""
         fields = [T.StructField(k, t) for k, t in columns.items()] + [T.StructField("__supplied", T.ArrayType(T.StringType())), T.StructField("__pos", T.LongType())]
         rows = [(*(_value(x.get(k), t) for k, t in columns.items()), [k for k in columns if k in x], i) for i, x in enumerate(items)]
-        return self.spark.createDataFrame(rows, T.StructType(fields))
+        return values(self.spark, rows, T.StructType(fields))
 
     def _edge_batch(self, items: list[dict[str, Any]], e: Any, nodes: dict[str, DataFrame]) -> DataFrame:
         ends = {"source": self.ontology.nodes[e.source], "target": self.ontology.nodes[e.target]}
@@ -590,7 +590,7 @@ class Engine:
         row = self.nodes(node_type).filter(by).select("__id").limit(1).collect()
         if not row:
             raise NodeNotFoundError(node_type, node_id)
-        return self.spark.createDataFrame([(node_type, row[0][0])], "type string, id long")
+        return values(self.spark, [(node_type, row[0][0])], "type string, id long")
 
     def _node_rows(self, keys: list[tuple[str, int]]) -> dict[tuple[str, int], dict[str, Any]]:
         out = {}
@@ -697,7 +697,7 @@ class Engine:
             frontier = sorted({key for keys in level for key in keys})
             if not frontier:
                 break
-            start = self.spark.createDataFrame(frontier, "type string, id long")
+            start = values(self.spark, frontier, "type string, id long")
             steps = graph.neighbors(self.links(), start, direction=direction, edge_types=edge_types, limit=neighbor_limit).collect()  # limit rows of each node and edge type
             steps.sort(key=lambda r: (r["direction"] != "out", r["edge_type"], r["edge_id"]))
             nodes, edges = self._node_rows(list({(r["dst_type"], r["dst_id"]) for r in steps})), self._edge_rows(list({(r["edge_type"], r["edge_id"]) for r in steps}))

@@ -6,10 +6,14 @@ import re
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from loreweave.errors import ConfigurationError
 
@@ -28,6 +32,12 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def values(spark: SparkSession, rows: Sequence[Sequence[Any]], schema: T.StructType | str) -> DataFrame:
+    """A few rows as a relation in the plan itself: collecting it runs no job, and joins know that it is small."""
+    schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], to_arrow_schema(schema)), schema)
+
+
 #: Of each thread, the tables that the block of temporary_tables() it is in has written.
 _OWN = threading.local()
 
