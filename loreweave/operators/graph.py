@@ -6,10 +6,11 @@ node is a type and an id; ids of different types may be equal.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loreweave.errors import InvalidDirectionError
@@ -19,6 +20,8 @@ DIRECTIONS = ("out", "in", "both")
 _BACK = {"out": "in", "in": "out", "both": "both"}
 #: Nodes that a scan looks for by value at most; more are joined.
 FEW = 200
+#: Rows that are held as values at most; more are written as a table.
+HELD = 2000
 
 
 @dataclass(frozen=True)
@@ -66,14 +69,42 @@ def _near(rows: DataFrame, nodes: DataFrame, end: str = "src") -> DataFrame:
 
 
 def held_or_cut(rows: DataFrame) -> tuple[DataFrame, int]:
-    """Rows and their number: FEW at most are held as values, more are written as a table."""
-    few = rows.limit(FEW + 1).collect()
-    if len(few) <= FEW:
+    """Rows and their number: HELD at most are held as values, more are written as a table."""
+    few = rows.limit(HELD + 1).collect()
+    if len(few) <= HELD:
         return values(rows.sparkSession, few, rows.schema), len(few)
     rows = cut(rows)
     return rows, rows.count()
 
 
+@dataclass(frozen=True)
+class Level:
+    """Distinct nodes (type, id), their number, and if they are few, themselves."""
+
+    nodes: DataFrame
+    n: int
+    known: frozenset[tuple[str, int]] | None = None
+
+    @classmethod
+    def of(cls, nodes: DataFrame) -> Level:
+        few = nodes.limit(HELD + 1).collect()
+        if len(few) <= HELD:
+            return cls.few(nodes.sparkSession, [(r["type"], r["id"]) for r in few])
+        nodes = cut(nodes)
+        return cls(nodes, nodes.count())
+
+    @classmethod
+    def few(cls, spark: SparkSession, known: Iterable[tuple[str, int]]) -> Level:
+        known = frozenset(known)
+        return cls(values(spark, sorted(known), "type string, id long"), len(known), known)
+
+    def where(self, other: Level, there: bool) -> Level:
+        """The nodes that are in the other level, or those that aren't."""
+        if self.known is not None and other.known is not None:
+            return Level.few(self.nodes.sparkSession, self.known & other.known if there else self.known - other.known)
+        return Level.of(self.nodes.join(other.nodes, ["type", "id"], "left_semi" if there else "left_anti"))
+
+
 def neighbors(edges: Edges, seeds: DataFrame, *, direction: str = "both", edge_types: list[str] | None = None, limit: int | None = 100) -> DataFrame:
     """Steps from seeds (type, id), at most ``limit`` for each seed and edge type: out before in, then by edge; all if it is None."""
     if limit is not None and limit < 0:
@@ -182,13 +213,13 @@ def paths(edges: Edges, start: DataFrame, *, direction: str = "out", edge_types:
     return _shortest(found, limit)
 
 
-def _next(level: DataFrame, steps: DataFrame, within: DataFrame | None = None, without: DataFrame | None = None) -> tuple[DataFrame, int]:
-    """The nodes (type, id) a step from a level: those in ``within``, those not in ``without``; and how many there are."""
+def _next(level: Level, steps: DataFrame, within: Level | None = None, without: Level | None = None) -> Level:
+    """The nodes a step from a level: those in ``within``, those not in ``without``."""
     on = (F.col("type") == F.col("src_type")) & (F.col("id") == F.col("src_id"))
-    there = _near(steps, level).join(level, on, "left_semi").select(F.col("dst_type").alias("type"), F.col("dst_id").alias("id")).distinct()
+    there = _near(steps, level.nodes).join(level.nodes, on, "left_semi").select(F.col("dst_type").alias("type"), F.col("dst_id").alias("id")).distinct()
     for other, how in ((within, "left_semi"), (without, "left_anti")):
-        there = there if other is None else there.join(other, ["type", "id"], how)
-    return held_or_cut(there)
+        there = there if other is None else there.join(other.nodes, ["type", "id"], how)
+    return Level.of(there)
 
 
 def _between(steps: DataFrame, back: DataFrame, start: DataFrame, goal: DataFrame, max_depth: int, limit: int | None) -> DataFrame:
@@ -197,36 +228,35 @@ def _between(steps: DataFrame, back: DataFrame, start: DataFrame, goal: DataFram
     Levels of nodes, which are sets and not paths, grow from either side, the smaller one first: those that are so many
     steps from the start or before the goal. Paths of a length are looked for only if its levels meet, and a path is extended
     only to nodes from where the goal is in reach of the steps that are left. With a limit, a hop keeps the first paths by
-    nodes, as many as are wanted. These begin the first of all paths, so if enough of them arrive, they are the ones; if
-    nodes that paths may not visit twice have led some astray, the hops are made anew with more.
+    nodes, as many as are wanted, or FEW. These begin the first of all paths, so if enough of them arrive, they are the
+    ones; if nodes that paths may not visit twice have led some astray, the hops are made anew with more.
     """
-    goal = held_or_cut(goal.select("type", "id").distinct())[0]
-    start = start.select("type", "id").distinct()
-    at_goal, n = held_or_cut(start.join(goal, ["type", "id"], "left_semi"))
-    ahead, behind = [held_or_cut(start.join(goal, ["type", "id"], "left_anti"))], [(goal, 1)]
-    found = [_trivial(at_goal).withColumn("depth", F.lit(0))]
+    goal, start = Level.of(goal.select("type", "id").distinct()), Level.of(start.select("type", "id").distinct())
+    at_goal = start.where(goal, True)
+    ahead, behind = [start.where(goal, False)], [goal]
+    found, n = [_trivial(at_goal.nodes).withColumn("depth", F.lit(0))], at_goal.n
     for length in range(1, max_depth + 1):
-        if limit is not None and n >= limit or not ahead[0][1]:
+        if limit is not None and n >= limit or not ahead[0].n:
             break
         # the side that has fewer nodes to step from; the goal itself is no level that paths go through
-        side, way = (behind, back) if length == 1 or behind[-1][1] < ahead[-1][1] else (ahead, steps)
-        side.append(_next(side[-1][0], way, without=goal))
-        if not side[-1][1]:
+        side, way = (behind, back) if length == 1 or behind[-1].n < ahead[-1].n else (ahead, steps)
+        side.append(_next(side[-1], way, without=goal))
+        if not side[-1].n:
             break
         half = len(ahead) - 1
-        meet = ahead[half][0].join(behind[length - half][0], ["type", "id"], "left_semi")
-        allowed = {half: held_or_cut(meet)}
-        if not allowed[half][1]:
+        allowed = {half: ahead[half].where(behind[length - half], True)}
+        if not allowed[half].n:
             continue
         # before the middle, a node is on a path only if a node of the next level is
         for at in range(half - 1, 0, -1):
-            allowed[at] = ahead[at] if ahead[at][1] <= FEW else _next(allowed[at + 1][0], back, within=ahead[at][0])
+            allowed[at] = ahead[at] if ahead[at].n <= FEW else _next(allowed[at + 1], back, within=ahead[at])
         allowed |= {at: behind[length - at] for at in range(half + 1, length + 1)}
-        wanted = most = None if limit is None else limit - n
+        wanted = None if limit is None else limit - n
+        most = None if wanted is None else max(wanted, FEW)
         while True:
-            here, cut_off, more = _trivial(ahead[0][0]), False, 0
+            here, cut_off, more = _trivial(ahead[0].nodes), False, 0
             for at in range(1, length + 1):
-                here, more = _extended(here, steps, most, at, allowed[at][0])
+                here, more = _extended(here, steps, most, at, allowed[at].nodes)
                 cut_off |= more == most
                 if not more:
                     break

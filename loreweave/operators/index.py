@@ -111,6 +111,19 @@ def by_term(posts: DataFrame) -> DataFrame:
     return posts.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
 
 
+def block_postings(posts: DataFrame, size: int = 1024) -> DataFrame:
+    """Postings (id, term, tf, dl) in blocks: a row for each term and each range of ``size`` ids that has it.
+
+    block is the range's first id, n its number of postings, max_tf and min_dl bound what any of them can score, and
+    ``rows`` has them as offsets from block, frequencies and lengths, which compress well. Ranges are the same for all terms, so
+    what a document can score is bounded by the sum over its block. A block is made in one task and has ``size`` postings at most.
+    """
+    own = posts.withColumn("at", F.pmod("id", F.lit(size)).cast("int")).withColumn("block", F.col("id") - F.col("at"))
+    one = F.struct("at", F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl"))
+    made = own.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").cast("int").alias("max_tf"), F.min("dl").cast("int").alias("min_dl"), F.sort_array(F.collect_list(one)).alias("rows"))
+    return made.repartitionByRange("term", "block").sortWithinPartitions("term", "block")
+
+
 def stats(index: DataFrame) -> DataFrame:
     """For each source table: documents, chunks with tokens, and their tokens."""
     n = F.size(F.filter(F.split("fts_content", " "), lambda t: t != "")).cast("long")

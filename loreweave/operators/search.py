@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loreweave.functions.text import tokens
 from loreweave.functions.vector import cosine
-from loreweave.shared import cut
+from loreweave.shared import cut, values
 
 K1, B = 1.2, 0.75
 
@@ -60,6 +61,52 @@ def bm25_postings(posts: DataFrame, terms: Sequence[str], n: int, average: float
     return hit.join(F.broadcast(df), "term").groupBy("id").agg(F.round(F.sum(part), 6).alias("score"))  # a row for each query term
 
 
+def _part(tf: Column, dl: Column, idf: Column, average: float) -> Column:
+    """What a term adds to a score: more with tf, less with the length."""
+    tf = tf.cast("double")
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(average)))
+
+
+def block_bounds(blocks: DataFrame, terms: Sequence[str], n: int, average: float) -> tuple[DataFrame, dict[str, float]]:
+    """block and bound, which no document of the block scores above, from the heads of the terms' blocks alone; and the
+    terms' inverse document frequencies.
+    """
+    heads = cut(blocks.filter(F.col("term").isin(list(dict.fromkeys(terms)))).select("term", "block", "n", "max_tf", "min_dl"))
+    idf = {r["term"]: math.log((n - r["df"] + 0.5) / (r["df"] + 0.5) + 1.0) for r in heads.groupBy("term").agg(F.sum("n").alias("df")).collect()}  # a row for each query term
+    return heads.groupBy("block").agg(F.sum(_part(F.col("max_tf"), F.col("min_dl"), _by_term(idf), average)).alias("bound")), idf
+
+
+def _by_term(idf: dict[str, float]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in idf.items() for x in pair]), F.col("term")) if idf else F.lit(0.0)
+
+
+def bm25_in_blocks(blocks: DataFrame, idf: dict[str, float], average: float) -> DataFrame:
+    """id and score of the documents in some blocks of the terms."""
+    rows = blocks.select("term", "block", F.inline("rows")).select((F.col("block") + F.col("at")).alias("id"), _part(F.col("tf"), F.col("dl"), _by_term(idf), average).alias("part"))
+    return rows.groupBy("id").agg(F.round(F.sum("part"), 6).alias("score"))
+
+
+def bm25_blocks(blocks: DataFrame, terms: Sequence[str], n: int, average: float, limit: int) -> DataFrame:
+    """The ``limit`` best documents by BM25 (id, score) from postings in blocks (see index.block_postings), as
+    bm25_postings and top() give them.
+
+    The blocks with the highest bounds, as many as documents are wanted, are scored first. No block whose bound is below
+    the last of the best documents so far can have a better one; only the others' postings are read.
+    """
+    terms = list(dict.fromkeys(terms))
+    bounds, idf = block_bounds(blocks, terms, n, average)
+    own = blocks.filter(F.col("term").isin(terms))
+    bounds = cut(bounds)
+    first = [r["block"] for r in bounds.orderBy(F.desc("bound"), "block").limit(limit).select("block").collect()]  # limit rows
+    best = top(bm25_in_blocks(own.filter(F.col("block").isin(first)), idf, average), limit).collect()
+    schema = bm25_in_blocks(own.limit(0), idf, average).schema
+    known = values(blocks.sparkSession, best, schema)
+    # rounded scores may be that much above a bound
+    least = best[-1]["score"] - 1e-6 if len(best) == limit and limit else -math.inf
+    rest = bounds.filter((F.col("bound") >= F.lit(least)) & ~F.col("block").isin(first)).select("block")
+    return top(known.unionByName(bm25_in_blocks(own.join(rest, "block", "left_semi"), idf, average)), limit)
+
+
 def top(scored: DataFrame, limit: int, key: str = "id") -> DataFrame:
     """The best rows; equal scores in order of key."""
     return scored.orderBy(F.desc("score"), F.col(key)).limit(limit)

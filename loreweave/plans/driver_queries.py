@@ -16,7 +16,7 @@ from loreweave.operators import graph, index, joins, merge, search, sqlgate
 from loreweave.plans.driver_sql import ORACLE_SQL
 from loreweave.shared import cut, shared_folder, values
 from loreweave.sources.files import Files
-from loreweave.sources.store import dump, partition_counts, read_jsonl
+from loreweave.sources.store import Snapshots, dump, partition_counts, read_jsonl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TERMS = ["tion", "ingthe", "and", "eau"]
@@ -194,6 +194,32 @@ def node_upsert_merge(t: Tables) -> DataFrame:
     return out.select("__id", F.date_format("__created_at", "yyyy-MM-dd").alias("created"), F.date_format("__updated_at", "yyyy-MM-dd").alias("updated"), "key", "name", "status")
 
 
+def _changed_orders(t: Tables, **limits: float) -> DataFrame:
+    """Orders after three changes: finished ones get a new status and price, those of low priority go, and new ones come."""
+    store = Snapshots(f"{shared_folder(t.spark)}/kb-changes-{uuid.uuid4().hex}", t.spark, delta_from=0, **limits)
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
+    store.publish({"orders": t.orders.select(*columns)})
+    finished = t.orders.filter("o_orderstatus = 'F'").withColumn("o_orderstatus", F.lit("X")).withColumn("o_totalprice", F.col("o_totalprice") * 2).select(*columns)
+    low = t.orders.filter("o_orderpriority = '5-LOW'").select("o_orderkey")
+    new = t.customer.select((-F.col("c_custkey") - 1).alias("o_orderkey"), F.col("c_custkey").alias("o_custkey"), F.lit("N").alias("o_orderstatus"), F.col("c_acctbal").alias("o_totalprice"))
+    for rows, gone in ((finished, low.limit(0)), (finished.limit(0), low), (new, low.limit(0))):
+        with store.version() as version:
+            version.change("orders", rows, "o_orderkey", gone)
+    return store.read(t.spark, "orders", t.orders.select(*columns).schema)
+
+
+@_query
+def table_changes_merged(t: Tables) -> DataFrame:
+    """Changes beside their table, merged as it is read."""
+    return _changed_orders(t, most_deltas=10, most_share=1e9)
+
+
+@_query
+def table_changes_rewritten(t: Tables) -> DataFrame:
+    """Each change makes the table anew from what it was and the changes."""
+    return _changed_orders(t, most_deltas=1, most_share=1e9)
+
+
 @_query
 def edge_upsert_dedupe(t: Tables) -> DataFrame:
     order = ["l_shipdate", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
@@ -355,6 +381,15 @@ def fts_postings(t: Tables) -> DataFrame:
     return _best(search.bm25_postings(index.stored_postings(rows), TERMS, n or 0, words / n if words else 1.0), 20)
 
 
+@_query
+def fts_block_max(t: Tables) -> DataFrame:
+    """The same from postings in blocks, of which only those are read that may have one of the best."""
+    rows = t.documents.select(F.lit("documents").alias("source_table"), F.col("doc_id").alias("id"), F.col("doc_id").alias("source_id"), segment(F.col("text")).alias("fts_content"))
+    n, words = index.stats(rows).agg(F.sum("chunks"), F.sum("tokens")).first()
+    blocks = cut(index.block_postings(index.stored_postings(rows), 64))
+    return search.bm25_blocks(blocks, TERMS, n or 0, words / n if words else 1.0, 20)
+
+
 @_query
 def index_slice_stats(t: Tables) -> DataFrame:
     rows = t.documents.select(F.col("lang").alias("source_table"), F.col("doc_id").alias("source_id"), segment(F.col("text")).alias("fts_content"))

@@ -193,6 +193,10 @@ ORACLE_SQL["index_with_cache"] = _PARTS.format("CASE WHEN h IS NOT NULL THEN 'ca
 ORACLE_SQL["index_from_cache"] = _PARTS.format("CASE WHEN h IS NOT NULL THEN 'cached' END")
 ORACLE_SQL["embed_contents"] = "SELECT DISTINCT md5(c) AS content_hash, length(c) AS chars, length(c) - length(replace(c, 'a', '')) AS letters_a FROM (SELECT p_name AS c FROM part UNION ALL SELECT p_type FROM part) WHERE c <> ''"
 ORACLE_SQL["search_content"] = f"WITH {_BM25}, best AS (SELECT id, score FROM bm ORDER BY score DESC, id LIMIT 20) SELECT 'documents' AS source_table, doc_id AS source_id, score, md5(text) AS content_hash FROM best JOIN documents ON doc_id = id"
-ORACLE_SQL["fts_postings"] = ORACLE_SQL["fts_bm25"]
+ORACLE_SQL["fts_postings"] = ORACLE_SQL["fts_block_max"] = ORACLE_SQL["fts_bm25"]
+ORACLE_SQL["table_changes_merged"] = ORACLE_SQL["table_changes_rewritten"] = """
+SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'F' THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice
+FROM orders WHERE o_orderpriority IS DISTINCT FROM '5-LOW' UNION ALL SELECT -c_custkey - 1, c_custkey, 'N', c_acctbal FROM customer
+"""
 ORACLE_SQL["index_slice_stats"] = "SELECT lang AS source_table, count(DISTINCT doc_id) AS documents, count(t) AS chunks, coalesce(sum(len(t)), 0)::BIGINT AS tokens FROM (SELECT doc_id, lang, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM documents) GROUP BY lang"
 ORACLE_SQL["index_incremental"] = "SELECT p_partkey AS source_id, content, md5(content) AS content_hash FROM (SELECT p_partkey, CASE WHEN p_size > 40 THEN p_name || ' renewed' ELSE p_name END AS content FROM part) WHERE content <> ''"
