@@ -37,3 +37,44 @@ def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], at: str, val
     found = F.when(F.col("__row").getField(at).isNotNull(), F.coalesce("__own", "__taken"))
     joined = own.alias("l").join(taken.alias("r"), same, "left").select("__row", found.alias("__v"))
     return joined.select("__row.*", *[F.col("__v").getField(v).alias(v) for v in values])
+
+
+def interval_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_span: tuple[str, str], right_span: tuple[str, str]) -> DataFrame:
+    """Pairs of rows with equal keys ``on`` whose spans, of whole numbers and with both ends, overlap.
+
+    Returns left's columns and those of right that aren't in ``on``, which must have other names. Null keys, null ends and
+    spans that end before they begin join nothing.
+
+    A span's class is the least c so that 2**c is over its length; in bins of that width or more it has two at most. The longer
+    span of a pair, of equal ones right's, stands in the bins of its own class, and the other looks there. So spans of
+    all lengths meet by equality, a row goes to two bins for each class that is there and not below its own (63 at most), and
+    no long span is spread over many small bins. A pair that shares two bins counts in that where the later of
+    both begins. A bin that most rows are in is a skewed key of an inner join, which Spark splits.
+    """
+    mine, other = F.struct(*left.columns).alias("__l"), F.struct(*[c for c in right.columns if c not in on]).alias("__r")
+    keys = [f"__k{i}" for i in range(len(on))]
+
+    def spans(rows: DataFrame, row: Column, ends: tuple[str, str]) -> DataFrame:
+        a, b = (F.col(e).cast("long") for e in ends)
+        known = reduce(Column.__and__, [F.col(k).isNotNull() for k in on], a <= b)
+        size = F.length(F.bin(b - a))
+        return rows.filter(known).select(*[F.col(k).alias(x) for k, x in zip(on, keys, strict=True)], a.alias("__a"), b.alias("__b"), F.when(b == a, 0).otherwise(size).cast("int").alias("__c"), row)
+
+    l_rows, r_rows = spans(left, mine, left_span), spans(right, other, right_span)
+    bin_of = lambda x, c: F.call_function("shiftright", x, c)
+    bins = lambda a, b, c: F.sequence(bin_of(a, c), bin_of(b, c))
+
+    def met(long: DataFrame, short: DataFrame, classes: list[int], equal: bool) -> DataFrame:
+        """Pairs of which ``long`` has the higher class, or an equal one."""
+        there = F.array(*[F.lit(c) for c in classes])
+        stand = long.select(*keys, "__c", F.explode(bins(F.col("__a"), F.col("__b"), F.col("__c"))).alias("__bin"), *[c for c in long.columns if c in ("__l", "__r")], F.col("__a").alias("__long_a"), F.col("__b").alias("__long_b"))
+        look = short.withColumn("__to", F.explode(F.filter(there, lambda c: (c >= F.col("__c")) if equal else (c > F.col("__c")))))
+        look = look.select(*keys, F.col("__to").alias("__c"), F.explode(bins(F.col("__a"), F.col("__b"), F.col("__to"))).alias("__bin"), *[c for c in short.columns if c in ("__l", "__r")], "__a", "__b")
+        pairs = stand.join(look, [*keys, "__c", "__bin"]).filter((F.col("__a") <= F.col("__long_b")) & (F.col("__long_a") <= F.col("__b")))
+        return pairs.filter(F.col("__bin") == bin_of(F.greatest("__a", "__long_a"), F.col("__c"))).select("__l", "__r")
+
+    def classes(rows: DataFrame) -> list[int]:
+        return sorted(r[0] for r in rows.select("__c").distinct().collect())  # 64 at most
+
+    both = met(r_rows, l_rows, classes(r_rows), True).unionByName(met(l_rows, r_rows, classes(l_rows), False))
+    return both.select("__l.*", "__r.*")

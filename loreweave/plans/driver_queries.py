@@ -381,6 +381,17 @@ def fts_postings(t: Tables) -> DataFrame:
     return _best(search.bm25_postings(index.stored_postings(rows), TERMS, n or 0, words / n if words else 1.0), 20)
 
 
+@_query
+def interval_overlaps(t: Tables) -> DataFrame:
+    """Of each user and kind of event, how many overlap with the user's errors, which last minutes where others last seconds."""
+    began = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
+    ends = lambda micros: began + F.round(F.col("value") * micros).cast("long")
+    errors = t.events.filter("event_type = 'error'").select("user_id", began.alias("error_from"), ends(60_000_000).alias("error_to"))
+    others = t.events.filter("event_type <> 'error'").select("user_id", "event_type", began.alias("event_from"), ends(1_000_000).alias("event_to"))
+    found = joins.interval_join(errors, others, ["user_id"], ("error_from", "error_to"), ("event_from", "event_to"))
+    return found.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.least("error_to", "event_to") - F.greatest("error_from", "event_from")).alias("micros"))
+
+
 @_query
 def fts_block_max(t: Tables) -> DataFrame:
     """The same from postings in blocks, of which only those are read that may have one of the best."""

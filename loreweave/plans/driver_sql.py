@@ -200,3 +200,10 @@ FROM orders WHERE o_orderpriority IS DISTINCT FROM '5-LOW' UNION ALL SELECT -c_c
 """
 ORACLE_SQL["index_slice_stats"] = "SELECT lang AS source_table, count(DISTINCT doc_id) AS documents, count(t) AS chunks, coalesce(sum(len(t)), 0)::BIGINT AS tokens FROM (SELECT doc_id, lang, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM documents) GROUP BY lang"
 ORACLE_SQL["index_incremental"] = "SELECT p_partkey AS source_id, content, md5(content) AS content_hash FROM (SELECT p_partkey, CASE WHEN p_size > 40 THEN p_name || ' renewed' ELSE p_name END AS content FROM part) WHERE content <> ''"
+
+ORACLE_SQL["interval_overlaps"] = """
+WITH e AS (SELECT user_id, epoch_us(ts) AS a, epoch_us(ts) + round(value * 60000000)::BIGINT AS b FROM events WHERE event_type = 'error'),
+o AS (SELECT user_id, event_type, epoch_us(ts) AS a, epoch_us(ts) + round(value * 1000000)::BIGINT AS b FROM events WHERE event_type <> 'error')
+SELECT user_id, event_type, count(*) AS n, sum(least(e.b, o.b) - greatest(e.a, o.a))::BIGINT AS micros
+FROM e JOIN o USING (user_id) WHERE e.a <= o.b AND o.a <= e.b AND e.a <= e.b AND o.a <= o.b GROUP BY ALL
+"""

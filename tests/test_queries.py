@@ -45,6 +45,31 @@ def test_asof_join(spark):
     assert [r["v"] for r in joins.asof_join(spark.createDataFrame([(1, 2)], "k long, at long"), empty, ["k"], "at", ["v"]).collect()] == [None]
 
 
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_interval_join(spark, keys):
+    """Spans of all lengths, also of one point, below zero, reversed or with nulls, against all pairs."""
+    rng = random.Random(len(keys))
+
+    def some(n):
+        out = [(0, 1, 5, 5), (1, 1, None, 3), (2, 1, 9, 2), (3, None, 0, 9), (4, 2, -(1 << 50), 1 << 50)]
+        for i in range(5, n):
+            a = rng.randint(-200, 200)
+            out.append((i, rng.choice([1, 1, 1, 2, None]), a, a + rng.choice([0, 1, 2, 3, 7, 8, 60, 300, 5000])))
+        return out
+
+    left, right = some(70), some(60)
+    l_df, r_df = spark.createDataFrame(left, "l long, k long, a long, b long"), spark.createDataFrame(right, "r long, k long, from long, to long")
+    r_df = r_df if keys else r_df.withColumnRenamed("k", "rk")
+    got = joins.interval_join(l_df, r_df, keys, ("a", "b"), ("from", "to"))
+    assert set(got.columns) == {"l", "k", "a", "b", "r", "from", "to"} | ({"rk"} if not keys else set())
+    good = lambda x: None not in x[2:] and x[2] <= x[3]
+    want = [(x[0], y[0]) for x in left for y in right if good(x) and good(y) and x[2] <= y[3] and y[2] <= x[3] and (not keys or (x[1] is not None and x[1] == y[1]))]
+    assert sorted(map(tuple, got.select("l", "r").collect())) == sorted(want)
+    assert joins.interval_join(l_df.limit(0), r_df, keys, ("a", "b"), ("from", "to")).count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
 def test_embed_missing_tries_thrice(spark, tmp_path):
     """The first content answers at its third try, the other never; a try is a line of its file."""
 
