@@ -49,16 +49,17 @@ class Tables:
     def vectors(self) -> DataFrame:
         return self.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 
-    def edges(self) -> DataFrame:
-        """The tables as a graph of typed nodes."""
+    def edges(self, distinct: bool = True) -> DataFrame:
+        """The tables as a graph of typed nodes; where repeats of an edge don't matter, they needn't be taken out."""
+        once = DataFrame.distinct if distinct else lambda df: df
 
         def edge(name: str, rows: DataFrame, ident: str, a: str, a_id: str, b: str, b_id: str) -> DataFrame:
             return rows.select(F.lit(name).alias("edge_type"), F.expr(ident).cast("long").alias("edge_id"), F.lit(a).alias("from_type"), F.col(a_id).cast("long").alias("from_id"), F.lit(b).alias("to_type"), F.col(b_id).cast("long").alias("to_id"))
 
         parts = [
             edge("placed", self.orders, "o_orderkey", "Customer", "o_custkey", "Order", "o_orderkey"),
-            edge("contains", self.lineitem.select("l_orderkey", "l_partkey").distinct(), "l_orderkey * 4294967296 + l_partkey", "Order", "l_orderkey", "Part", "l_partkey"),
-            edge("supplied_by", self.lineitem.select("l_partkey", "l_suppkey").distinct(), "l_partkey * 4294967296 + l_suppkey", "Part", "l_partkey", "Supplier", "l_suppkey"),
+            edge("contains", once(self.lineitem.select("l_orderkey", "l_partkey")), "l_orderkey * 4294967296 + l_partkey", "Order", "l_orderkey", "Part", "l_partkey"),
+            edge("supplied_by", once(self.lineitem.select("l_partkey", "l_suppkey")), "l_partkey * 4294967296 + l_suppkey", "Part", "l_partkey", "Supplier", "l_suppkey"),
             edge("located_in", self.customer, "c_custkey", "Customer", "c_custkey", "Nation", "c_nationkey"),
             edge("based_in", self.supplier, "s_suppkey", "Supplier", "s_suppkey", "Nation", "s_nationkey"),
             edge("in_region", self.nation, "n_nationkey", "Nation", "n_nationkey", "Region", "n_regionkey"),
@@ -304,12 +305,12 @@ def _path_rows(df: DataFrame) -> DataFrame:
 
 @_query
 def traverse_paths(t: Tables) -> DataFrame:
-    return _path_rows(graph.paths(t.edges(), t.node("Customer", 7), direction="out", max_depth=3))
+    return _path_rows(graph.paths(t.edges(distinct=False), t.node("Customer", 7), direction="out", max_depth=3))
 
 
 @_query
 def find_paths(t: Tables) -> DataFrame:
-    return _path_rows(graph.paths(cut(t.edges()), t.node("Customer", 7), direction="both", max_depth=3, to=t.node("Supplier", 3), limit=10))
+    return _path_rows(graph.paths(t.edges(distinct=False), t.node("Customer", 7), direction="both", max_depth=3, to=t.node("Supplier", 3), limit=10))
 
 
 @_query
