@@ -269,6 +269,48 @@ def _between(steps: DataFrame, back: DataFrame, start: DataFrame, goal: DataFram
     return _shortest(found, limit)
 
 
+def context(edges: Edges, seeds: DataFrame, *, direction: str = "both", edge_types: list[str] | None = None, max_depth: int = 1, limit: int | None = 100) -> DataFrame:
+    """Around each of many seeds (type, id), the nodes within max_depth steps, itself left out: seed_type, seed_id, depth, type,
+    id; the first of the steps that lead there (out before in, then by edge, then by the node it comes from): edge_type, edge_id,
+    direction, from_type, from_id; and n_edges, how many edges that node has with it. ``limit``: steps of a node and edge type.
+
+    Seeds search in blocks of 64, of which a node has one row: a bit says which of them have come there. A hop is one join for all
+    seeds, in which a block's seeds share a row, and the bits that a node had before are taken off.
+    """
+    _depth(max_depth)
+    arrows(edges, direction)
+    own = cut(seeds.select("type", "id").distinct().repartitionByRange("type", "id").withColumn("__part", F.spark_partition_id()))
+    at = F.row_number().over(Window.partitionBy("__part").orderBy("type", "id")) - 1
+    own = own.withColumn("__at", at).select("type", "id", (F.shiftleft(F.col("__part").cast("long"), 32) + F.shiftright("__at", 6)).alias("block"), F.pmod("__at", F.lit(64)).alias("bit"))
+    frontier = own.groupBy("block", "type", "id").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("mask"))
+    seen, found = frontier, []
+    first = F.min(F.struct((F.col("direction") != "out").alias("after"), "edge_type", "edge_id", "direction")).alias("step")
+    for depth in range(1, max_depth + 1):
+        steps = neighbors(edges, frontier, direction=direction, edge_types=edge_types, limit=limit)
+        ways = steps.groupBy("src_type", "src_id", "dst_type", "dst_id").agg(first, F.count(F.lit(1)).alias("n_edges"))
+        moved = frontier.join(ways, (F.col("type") == F.col("src_type")) & (F.col("id") == F.col("src_id"))).drop("type", "id")
+        before = seen.select("block", F.col("type").alias("dst_type"), F.col("id").alias("dst_id"), F.col("mask").alias("had"))
+        fresh = F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long"))))
+        here, n = held_or_cut(moved.join(before, ["block", "dst_type", "dst_id"], "left").withColumn("mask", fresh).filter("mask <> 0").drop("had"))
+        if not n:
+            break
+        found.append(here.withColumn("depth", F.lit(depth)))
+        if depth < max_depth:
+            frontier, _ = held_or_cut(here.groupBy("block", F.col("dst_type").alias("type"), F.col("dst_id").alias("id")).agg(F.bit_or("mask").alias("mask")))
+            seen, _ = held_or_cut(seen.unionByName(frontier).groupBy("block", "type", "id").agg(F.bit_or("mask").alias("mask")))
+    if not found:
+        return _told(own.limit(0).selectExpr("type AS seed_type", "id AS seed_id", "0 AS depth", "type", "id", "'' AS edge_type", "0L AS edge_id", "'' AS direction", "type AS from_type", "id AS from_id", "0L AS n_edges"))
+    rows = reduce(DataFrame.unionByName, found)
+    rows = rows.withColumn("bit", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.call_function("bit_get", F.col("mask"), b) == 1)))
+    via = F.min(F.struct("step.after", "step.edge_type", "step.edge_id", F.col("src_type").alias("from_type"), F.col("src_id").alias("from_id"), "step.direction", "n_edges")).alias("via")
+    told = rows.groupBy("block", "bit", "depth", F.col("dst_type").alias("type"), F.col("dst_id").alias("id")).agg(via)
+    return _told(told.join(own.select("block", "bit", F.col("type").alias("seed_type"), F.col("id").alias("seed_id")), ["block", "bit"]).select("*", "via.*"))
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    return rows.select("seed_type", "seed_id", "depth", "type", "id", "edge_type", "edge_id", "direction", "from_type", "from_id", "n_edges")
+
+
 def subgraph(edges: Edges, center: DataFrame, *, edge_types: list[str] | None = None, max_depth: int = 2, node_limit: int = 100, edge_limit: int = 200) -> tuple[DataFrame, DataFrame]:
     """Nodes around center (type, id, min_depth), itself first, and the edges between them; undirected."""
     found = traverse_nodes(edges, center, direction="both", edge_types=edge_types, max_depth=max_depth, enough=node_limit).drop("paths_count")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loreweave.functions.text import chunk_by_sentence, chunk_text, content_hash, segment, tokens
 from loreweave.model import QUERY_LIMIT, RRF
-from loreweave.operators import graph, index, joins, merge, search, sqlgate
+from loreweave.operators import graph, index, joins, merge, sampling, search, sqlgate, vectors
 from loreweave.plans.driver_sql import ORACLE_SQL
 from loreweave.shared import cut, shared_folder, values
 from loreweave.sources.files import Files
@@ -330,10 +330,16 @@ def graph_search_context(t: Tables) -> DataFrame:
     """Hybrid hits, and the other documents of their sources, ten at most of each."""
     hits = _hybrid(t, 0.5, 5)
     edges = t.documents.select(F.lit("from_source").alias("edge_type"), F.col("doc_id").alias("edge_id"), F.lit("Document").alias("from_type"), F.col("doc_id").alias("from_id"), F.lit("Source").alias("to_type"), F.substring("source", 4, 9).cast("long").alias("to_id"))
-    sources = graph.neighbors(edges, hits.select(F.lit("Document").alias("type"), "id"), direction="out")
-    near = graph.neighbors(edges, sources.select(F.col("dst_type").alias("type"), F.col("dst_id").alias("id")), direction="in", limit=10)
-    pairs = sources.select(F.col("src_id").alias("seed"), F.col("dst_id").alias("source")).join(near.select(F.col("src_id").alias("source"), F.col("dst_id").alias("node")), "source").filter("seed <> node")
-    return pairs.join(hits.withColumnRenamed("id", "seed"), "seed").select("seed", "score", "source", "node")
+    found = graph.context(edges, hits.select(F.lit("Document").alias("type"), "id"), max_depth=2, limit=10).filter("type = 'Document'")
+    return found.join(hits.withColumnRenamed("id", "seed_id"), "seed_id").select(F.col("seed_id").alias("seed"), "score", F.col("from_id").alias("source"), F.col("id").alias("node"))
+
+
+@_query
+def graph_context(t: Tables) -> DataFrame:
+    """Around every supplier and every nation, the nodes within two steps, five at most of each edge type and node."""
+    seeds = t.supplier.select(F.lit("Supplier").alias("type"), F.col("s_suppkey").alias("id")).unionByName(t.nation.select(F.lit("Nation").alias("type"), F.col("n_nationkey").cast("long").alias("id")))
+    found = graph.context(t.edges(), seeds, max_depth=2, limit=5)
+    return found.select("seed_type", "seed_id", F.col("depth").cast("long").alias("depth"), "type", "id", "edge_type", "edge_id", "direction", "from_type", "from_id")
 
 
 def _sql(name: str, tables: str, text: str, whole: bool = False) -> None:
@@ -402,6 +408,36 @@ def fts_block_max(t: Tables) -> DataFrame:
     return search.bm25_blocks(blocks, TERMS, n or 0, words / n if words else 1.0, 20)
 
 
+@_query
+def vector_clusters(t: Tables) -> DataFrame:
+    """The best vectors from clusters, of which only those rows are scored that may be among them."""
+    query = t.vectors.filter("id = 0").select("vector").first()[0]
+    return vectors.nearest(vectors.clustered(t.vectors, len(query)), query, 15)
+
+
+@_query
+def vector_clusters_filtered(t: Tables) -> DataFrame:
+    query = t.vectors.filter("id = 0").select("vector").first()[0]
+    return vectors.nearest(vectors.clustered(t.vectors, len(query)), query, 15, keep=F.col("label") == 3)
+
+
+@_query
+def sample_stratified(t: Tables) -> DataFrame:
+    """20 orders of each priority, from the merged sketches of orders by status."""
+    orders = t.orders.select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    parts = [orders.filter("o_orderstatus = 'F'"), orders.filter("o_orderstatus is distinct from 'F'")]
+    sketch = sampling.merged([sampling.bottom(p, 20, "o_orderkey", strata=["o_orderpriority"]) for p in parts], 20, strata=["o_orderpriority"])
+    return sampling.sample(sketch, 20, strata=["o_orderpriority"]).select("o_orderkey", "o_orderpriority", F.round("chance", 9).alias("chance"))
+
+
+@_query
+def sample_weighted(t: Tables) -> DataFrame:
+    """25 orders of each status, the dearer the likelier."""
+    orders = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice")
+    sketch = sampling.bottom(orders, 25, "o_orderkey", strata=["o_orderstatus"], weight="o_totalprice", salt="w")
+    return sampling.sample(sketch, 25, strata=["o_orderstatus"], weight="o_totalprice").select("o_orderkey", "o_orderstatus", F.round("chance", 6).alias("chance"))
+
+
 @_query
 def index_slice_stats(t: Tables) -> DataFrame:
     rows = t.documents.select(F.col("lang").alias("source_table"), F.col("doc_id").alias("source_id"), segment(F.col("text")).alias("fts_content"))

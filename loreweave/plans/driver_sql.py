@@ -207,3 +207,29 @@ o AS (SELECT user_id, event_type, epoch_us(ts) AS a, epoch_us(ts) + round(value
 SELECT user_id, event_type, count(*) AS n, sum(least(e.b, o.b) - greatest(e.a, o.a))::BIGINT AS micros
 FROM e JOIN o USING (user_id) WHERE e.a <= o.b AND o.a <= e.b AND e.a <= e.b AND o.a <= o.b GROUP BY ALL
 """
+ORACLE_SQL["vector_clusters"] = ORACLE_SQL["vector_topk"]
+ORACLE_SQL["vector_clusters_filtered"] = ORACLE_SQL["vector_topk_filtered"]
+ORACLE_SQL["graph_context"] = f"""WITH {_EDGES},
+steps AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src_type, src_id, edge_type ORDER BY direction DESC, edge_id, dst_type, dst_id) AS rn FROM arrows) WHERE rn <= 5),
+seeds AS (SELECT 'Supplier' AS type, s_suppkey AS id FROM supplier UNION SELECT 'Nation', n_nationkey FROM nation),
+near AS (SELECT s.type AS seed_type, s.id AS seed_id, 1::BIGINT AS depth, t.* FROM seeds s JOIN steps t ON src_type = type AND src_id = id WHERE (dst_type, dst_id) <> (type, id)),
+far AS (
+  SELECT n.seed_type, n.seed_id, 2::BIGINT AS depth, t.* FROM (SELECT DISTINCT seed_type, seed_id, dst_type, dst_id FROM near) n JOIN steps t ON t.src_type = n.dst_type AND t.src_id = n.dst_id
+  WHERE (t.dst_type, t.dst_id) <> (n.seed_type, n.seed_id) AND (n.seed_type, n.seed_id, t.dst_type, t.dst_id) NOT IN (SELECT (seed_type, seed_id, dst_type, dst_id) FROM near)
+)
+SELECT seed_type, seed_id, depth, dst_type AS type, dst_id AS id, edge_type, edge_id, direction, src_type AS from_type, src_id AS from_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY seed_type, seed_id, dst_type, dst_id ORDER BY direction DESC, edge_type, edge_id, src_type, src_id) AS best FROM (FROM near UNION ALL FROM far)
+) WHERE best = 1"""
+
+
+def _sampled(k: int, stratum: str, salt: str, priority: str, chance: str) -> str:
+    return f"""
+WITH h AS (SELECT *, (('0x' || substr(md5('{salt}:' || o_orderkey), 1, 13))::BIGINT + 1)::DOUBLE / 4503599627370496.0 AS share FROM orders),
+p AS (SELECT *, {priority} AS priority FROM h),
+r AS (SELECT *, row_number() OVER (PARTITION BY {stratum} ORDER BY priority) AS rn FROM p WHERE priority IS NOT NULL),
+b AS (SELECT *, max(CASE WHEN rn = {k + 1} THEN priority END) OVER (PARTITION BY {stratum}) AS bound FROM r)
+SELECT o_orderkey, {stratum}, coalesce({chance}, 1.0::DOUBLE) AS chance FROM b WHERE rn <= {k}"""
+
+
+ORACLE_SQL["sample_stratified"] = _sampled(20, "o_orderpriority", "", "share", "round(bound, 9)")
+ORACLE_SQL["sample_weighted"] = _sampled(25, "o_orderstatus", "w", "CASE WHEN o_totalprice > 0 THEN -ln(share) / o_totalprice END", "round(1 - exp(-o_totalprice * bound), 6)")

@@ -685,35 +685,20 @@ class Engine:
 
     @_one_version
     def graph_search(self, query: str, *, node_type: str | None = None, edge_types: list[str] | None = None, direction: str = "both", traverse_depth: int = 1, search_limit: int = 5, neighbor_limit: int = 10, alpha: float = 0.5) -> list[dict[str, Any]]:
-        """Hybrid search, and around each hit the nodes within traverse_depth hops; a hop of all hits is one join."""
+        """Hybrid search, and around each hit the nodes within traverse_depth hops; a hop of all hits is one join (see graph.context)."""
         graph.arrows(self.links(), direction)
         hits = [(self.ontology.by_table(h["source_table"]), h) for h in self.search(query, node_type=node_type, limit=search_limit, alpha=alpha)]
         seeds = self._node_rows(list({(k, h["source_id"]) for k, h in hits if k}))
         hits = [(k, h) for k, h in hits if (k, h["source_id"]) in seeds]
-        context: list[list[dict[str, Any]]] = [[] for _ in hits]
-        seen = [{(k, h["source_id"])} for k, h in hits]
-        level = [[(k, h["source_id"])] for k, h in hits]
-        for _ in range(traverse_depth):
-            frontier = sorted({key for keys in level for key in keys})
-            if not frontier:
-                break
-            start = values(self.spark, frontier, "type string, id long")
-            steps = graph.neighbors(self.links(), start, direction=direction, edge_types=edge_types, limit=neighbor_limit).collect()  # limit rows of each node and edge type
-            steps.sort(key=lambda r: (r["direction"] != "out", r["edge_type"], r["edge_id"]))
-            nodes, edges = self._node_rows(list({(r["dst_type"], r["dst_id"]) for r in steps})), self._edge_rows(list({(r["edge_type"], r["edge_id"]) for r in steps}))
-            of: dict[tuple[str, int], list[Any]] = defaultdict(list)
-            for r in steps:
-                of[r["src_type"], r["src_id"]].append(r)
-            for i, keys in enumerate(level):
-                level[i] = []
-                for key in keys:
-                    for n in self._neighbors(of[key], nodes, edges, direction):
-                        to = (n["node_type"], n["node"].get("__id"))
-                        if to not in seen[i]:
-                            seen[i].add(to)
-                            level[i].append(to)
-                            context[i].append({"edge_type": n["edge_type"], "direction": n.get("direction", "both"), "edge": n.get("edge") or n["edges"][0], "node_type": n["node_type"], "node": n["node"]})
-        return [{"seed": {"node_type": k, "node": seeds[k, h["source_id"]], "score": h["score"], "source_field": h["source_field"], "content": h["content"]}, "context": c} for (k, h), c in zip(hits, context, strict=True)]
+        around: dict[tuple[str, int], list[dict[str, Any]]] = defaultdict(list)
+        if hits and traverse_depth > 0:
+            start = values(self.spark, sorted(seeds), "type string, id long")
+            found = graph.context(self.links(), start, direction=direction, edge_types=edge_types, max_depth=traverse_depth, limit=neighbor_limit).collect()  # limit rows of each hit, hop and edge type
+            nodes, edges = self._node_rows(list({(r["type"], r["id"]) for r in found})), self._edge_rows(list({(r["edge_type"], r["edge_id"]) for r in found}))
+            for r in sorted(found, key=lambda r: (r["depth"], r["direction"] != "out", r["edge_type"], r["edge_id"])):
+                way = "both" if direction == "both" and r["n_edges"] > 1 else r["direction"]
+                around[r["seed_type"], r["seed_id"]].append({"edge_type": r["edge_type"], "direction": way, "edge": edges.get((r["edge_type"], r["edge_id"]), {}), "node_type": r["type"], "node": nodes.get((r["type"], r["id"]), {})})
+        return [{"seed": {"node_type": k, "node": seeds[k, h["source_id"]], "score": h["score"], "source_field": h["source_field"], "content": h["content"]}, "context": around[k, h["source_id"]]} for k, h in hits]
 
     # documents about the knowledge base
 
