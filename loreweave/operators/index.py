@@ -138,3 +138,29 @@ def stats_change(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def summed(stats: DataFrame) -> DataFrame:
     return stats.groupBy("source_table").agg(*[F.sum(c).alias(c) for c in ("documents", "chunks", "tokens")])
+
+
+def sketches(index: DataFrame) -> DataFrame:
+    """For each source table, sketches that can be merged: of its documents, of its terms, and of its entries' numbers of
+    tokens. They are made where the rows are; no exchange has a row for each word, as counting terms exactly would.
+    """
+    own = index.select("source_table", "source_id", F.filter(F.split("fts_content", " "), lambda t: t != "").alias("t"))
+    sizes = own.groupBy("source_table").agg(F.hll_sketch_agg("source_id").alias("documents"), F.kll_sketch_agg_bigint(F.size("t").cast("long")).alias("tokens"))
+    terms = own.select("source_table", F.explode("t").alias("term")).groupBy("source_table").agg(F.hll_sketch_agg("term").alias("terms"))
+    return sizes.join(terms, "source_table", "left").select("source_table", "documents", "terms", "tokens")
+
+
+def merged_sketches(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Sketches of slices as one of each group, or of all."""
+    return rows.groupBy(*by).agg(F.hll_union_agg("documents").alias("documents"), F.hll_union_agg("terms").alias("terms"), F.kll_merge_agg_bigint("tokens").alias("tokens"))
+
+
+def estimates(rows: DataFrame, shares: Sequence[float] = (0.5, 0.9)) -> DataFrame:
+    """What sketches tell: documents and terms, each about, and ``tokens``, the number that a share of entries has at most.
+
+    Without entries that have tokens it is null. Counts are off by over 5 % (three times 1.6 %), and ranks of quantiles by over 2 %, in few of a hundred cases.
+    """
+    # a sketch of no entries with tokens has no quantiles
+    told = F.when(F.kll_sketch_get_n_bigint("tokens") > 0, F.array(*[F.kll_sketch_get_quantile_bigint("tokens", F.lit(s)) for s in shares])).alias("tokens")
+    zero = F.lit(0).cast("long")
+    return rows.select(*[c for c in rows.columns if c not in ("documents", "terms", "tokens")], *[F.coalesce(F.hll_sketch_estimate(c), zero).alias(c) for c in ("documents", "terms")], told)

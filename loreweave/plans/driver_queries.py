@@ -17,6 +17,7 @@ from loreweave.plans.driver_sql import ORACLE_SQL
 from loreweave.shared import cut, shared_folder, values
 from loreweave.sources.files import Files
 from loreweave.sources.store import Snapshots, dump, partition_counts, read_jsonl
+from loreweave.streaming.bundles import latest_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TERMS = ["tion", "ingthe", "and", "eau"]
@@ -438,6 +439,36 @@ def sample_weighted(t: Tables) -> DataFrame:
     return sampling.sample(sketch, 25, strata=["o_orderstatus"], weight="o_totalprice").select("o_orderkey", "o_orderstatus", F.round("chance", 6).alias("chance"))
 
 
+@_query
+def stream_latest(t: Tables) -> DataFrame:
+    """Each user's last event, from a stream of files of events in no order of time, four in a batch."""
+    root = f"{shared_folder(t.spark)}/kb-stream-{uuid.uuid4().hex}"
+    rows = t.events.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", "event_type", "value")
+    rows.repartition(16, "event_id").write.parquet(f"{root}/in")
+    store = Snapshots(f"{root}/kb", t.spark)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/in")
+    latest_stream(stream, store, "last_events", "user_id", order="ts", checkpoint=f"{root}/checkpoint").awaitTermination()
+    return store.read(t.spark, "last_events", rows.schema).select("user_id", "event_id", "event_type", "value")
+
+
+@_query
+def index_sketches(t: Tables) -> DataFrame:
+    """Of each language and of all, exact numbers beside whether those of merged sketches are within their bounds."""
+    rows = t.documents.select(F.col("lang").alias("source_table"), F.col("doc_id").alias("source_id"), segment(F.col("text")).alias("fts_content"))
+    slices = cut(index.sketches(rows))
+    told = index.estimates(index.merged_sketches(slices, ["source_table"])).unionByName(index.estimates(index.merged_sketches(slices)).select(F.lit("all").alias("source_table"), "*"))
+    split = rows.withColumn("t", F.filter(F.split("fts_content", " "), lambda x: x != ""))
+    groups = split.select(F.explode(F.array("source_table", F.lit("all"))).alias("source_table"), "source_id", "t")
+    exact = groups.groupBy("source_table").agg(F.count_distinct("source_id").alias("documents"))
+    terms = groups.select("source_table", F.explode("t").alias("term")).groupBy("source_table").agg(F.count_distinct("term").alias("terms"))
+    half = groups.join(F.broadcast(told.select("source_table", F.col("tokens")[0].alias("half"))), "source_table").groupBy("source_table")  # a row for each language
+    ranks = half.agg(F.avg((F.size("t") < F.col("half")).cast("double")).alias("below"), F.avg((F.size("t") <= F.col("half")).cast("double")).alias("upto"))
+    near = lambda c: F.abs(F.col(f"told.{c}") - F.col(f"exact.{c}")) <= 0.05 * F.col(f"exact.{c}")
+    exact = exact.join(terms, "source_table").join(ranks, "source_table").alias("exact")
+    both = exact.join(told.alias("told"), F.col("exact.source_table").eqNullSafe(F.col("told.source_table")))
+    return both.select("exact.source_table", "exact.documents", "exact.terms", near("documents").alias("documents_near"), near("terms").alias("terms_near"), ((F.col("below") <= 0.52) & (F.col("upto") >= 0.48)).alias("half_near"))
+
+
 @_query
 def index_slice_stats(t: Tables) -> DataFrame:
     rows = t.documents.select(F.col("lang").alias("source_table"), F.col("doc_id").alias("source_id"), segment(F.col("text")).alias("fts_content"))

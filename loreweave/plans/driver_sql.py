@@ -233,3 +233,9 @@ SELECT o_orderkey, {stratum}, coalesce({chance}, 1.0::DOUBLE) AS chance FROM b W
 
 ORACLE_SQL["sample_stratified"] = _sampled(20, "o_orderpriority", "", "share", "round(bound, 9)")
 ORACLE_SQL["sample_weighted"] = _sampled(25, "o_orderstatus", "w", "CASE WHEN o_totalprice > 0 THEN -ln(share) / o_totalprice END", "round(1 - exp(-o_totalprice * bound), 6)")
+ORACLE_SQL["stream_latest"] = "SELECT user_id, event_id, event_type, value FROM events WHERE user_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id DESC) = 1"
+ORACLE_SQL["index_sketches"] = """
+WITH d AS (SELECT doc_id, unnest([lang, 'all']) AS source_table, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM documents),
+w AS (SELECT source_table, count(DISTINCT term) AS terms FROM (SELECT source_table, unnest(t) AS term FROM d) GROUP BY 1)
+SELECT source_table, count(DISTINCT doc_id) AS documents, any_value(terms) AS terms, true AS documents_near, true AS terms_near, true AS half_near FROM d JOIN w USING (source_table) GROUP BY 1
+"""

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from loreweave.operators import sampling
+from loreweave.operators import index, sampling
 
 SCHEMA = "id long, s string, w double"
 
@@ -68,3 +68,19 @@ def test_awkward(spark):
     assert sampling.sample(sampling.bottom(df.limit(0), 5, "id", strata=["s"]), 5, strata=["s"]).count() == 0
     with pytest.raises(ValueError, match="negative"):
         sampling.bottom(df, -1, "id")
+
+
+def test_sketches_merge(spark):
+    """Merged sketches of slices tell what those of all rows tell, near the exact numbers; nulls and no rows at all."""
+    rng = random.Random(6)
+    data = [(rng.choice(["a", "b", "c"]), i, " ".join(f"w{rng.randint(0, 3000)}" for _ in range(rng.randint(1, 30)))) for i in range(3000)]
+    data += [("d", 1, None), (None, 2, "x y z"), ("e", 3, "")]
+    df = spark.createDataFrame(data, "source_table string, source_id long, fts_content string")
+    told = index.estimates(index.merged_sketches(index.sketches(df)), [0.5]).first()
+    assert told["documents"] == pytest.approx(3001, rel=0.05)
+    assert told["terms"] == pytest.approx(len({w for *_, t in data for w in (t or "").split()}), rel=0.05)
+    sizes = sorted(len(t.split()) for *_, t in data if t is not None)
+    assert abs(sizes.index(told["tokens"][0]) / len(sizes) - 0.5) < 0.06
+    by = {r["source_table"]: r for r in index.estimates(index.sketches(df)).collect()}
+    assert set(by) == {"a", "b", "c", "d", "e", None} and by["d"]["terms"] == by["e"]["terms"] == 0 and by[None]["terms"] == 3
+    assert index.sketches(df.limit(0)).count() == 0
