@@ -146,8 +146,8 @@ def sketches(index: DataFrame) -> DataFrame:
     """
     own = index.select("source_table", "source_id", F.filter(F.split("fts_content", " "), lambda t: t != "").alias("t"))
     sizes = own.groupBy("source_table").agg(F.hll_sketch_agg("source_id").alias("documents"), F.kll_sketch_agg_bigint(F.size("t").cast("long")).alias("tokens"))
-    terms = own.select("source_table", F.explode("t").alias("term")).groupBy("source_table").agg(F.hll_sketch_agg("term").alias("terms"))
-    return sizes.join(terms, "source_table", "left").select("source_table", "documents", "terms", "tokens")
+    terms = own.select("source_table", F.explode("t").alias("term")).groupBy(F.col("source_table").alias("__of")).agg(F.hll_sketch_agg("term").alias("terms"))
+    return sizes.join(terms, F.col("source_table").eqNullSafe(F.col("__of")), "left").select("source_table", "documents", "terms", "tokens")
 
 
 def merged_sketches(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
