@@ -112,6 +112,11 @@ def top(scored: DataFrame, limit: int, key: str = "id") -> DataFrame:
     return scored.orderBy(F.desc("score"), F.col(key)).limit(limit)
 
 
+def record(rows: DataFrame, ident: int, key: str = "__id") -> DataFrame:
+    """The row of an id, which is a filter that reaches the scan; no row if there is none."""
+    return rows.filter(F.col(key) == ident).limit(1)
+
+
 def with_content(best: DataFrame, index: DataFrame) -> DataFrame:
     """Scored entries (id, score) with where they come from and what they say; best is as small as its limit."""
     return best.join(index.select("id", "source_table", "source_id", "source_field", "chunk_seq", "content"), "id")

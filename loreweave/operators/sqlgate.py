@@ -23,6 +23,8 @@ LEAVES = frozenset("CTERelationRef LocalRelation OneRowRelation Range UnionLoopR
 TABLE_FUNCTIONS = frozenset("explode explode_outer inline inline_outer json_tuple posexplode posexplode_outer range stack variant_explode variant_explode_outer".split())
 #: Functions that call any method of the JVM, and expressions that do so or take names from values.
 CALLS = frozenset("java_method reflect try_reflect".split())
+#: Functions that tell where on the server a row's file lies.
+PLACES = frozenset("input_file_block_length input_file_block_start input_file_name".split())
 CALLING = frozenset("CallMethodViaReflection ExpressionWithUnresolvedIdentifier TryReflect".split())
 
 
@@ -64,7 +66,7 @@ def _check_parsed(spark: SparkSession, plan: JavaObject) -> None:
         if kind in ("UnresolvedFunction", "UnresolvedTableValuedFunction", "UnresolvedGenerator"):
             name = [x.name().funcName()] if kind == "UnresolvedGenerator" else _all(x.nameParts() if kind == "UnresolvedFunction" else x.name())
             known = len(name) == 1 and (name[0].lower() in TABLE_FUNCTIONS or (kind == "UnresolvedFunction" and builtin.functionExists(catalyst.FunctionIdentifier(name[0]))))
-            if not known or name[0].lower() in CALLS:
+            if not known or name[0].lower() in CALLS | PLACES:
                 raise ValueError(f"Queries can't call {'.'.join(name)}")
 
 
@@ -96,7 +98,7 @@ def gated_sql(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], ca
 
     It is parsed and analysed in a session of its own, in which these tables are the only views: settings, views and tables
     of the caller's session can't be read or changed. Commands, scripts, files by path, other tables, functions that are
-    not built in, and those that call the JVM are refused.
+    not built in, and those that call the JVM or tell paths are refused.
     """
     own = spark.newSession()
     for k, v in spark.conf.getAll.items():

@@ -175,8 +175,9 @@ def content_hash_dedupe(t: Tables) -> DataFrame:
 def cache_hit_join(t: Tables) -> DataFrame:
     rows = index.entries(t.documents, "documents", ["text"], id_col="doc_id")
     cached = index.entries(t.documents.filter("lang = 'en'"), "documents", ["text"], id_col="doc_id").select("content_hash").distinct()
-    hit = rows.join(cached.withColumn("hit", F.lit(1)), "content_hash", "left")
-    return hit.groupBy("source_table").agg(F.count("hit").alias("hits"), F.count_if(F.col("hit").isNull()).alias("misses"))
+    cache = cached.select("content_hash", F.lit("cached").alias("fts_content"), F.lit(None).cast("array<float>").alias("vector"))
+    hit = index.with_cache(rows, cache, compute_tokens=False)
+    return hit.groupBy("source_table").agg(F.count("fts_content").alias("hits"), F.count_if(F.col("fts_content").isNull()).alias("misses"))
 
 
 @_query
@@ -252,7 +253,7 @@ def identity_resolution(t: Tables) -> DataFrame:
 
 @_query
 def source_record(t: Tables) -> DataFrame:
-    return t.orders.filter("o_orderkey = 7").limit(1).select("o_orderkey", "o_custkey", "o_orderstatus")
+    return search.record(t.orders, 7, "o_orderkey").select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
 @_query
@@ -260,6 +261,16 @@ def dump_partition_counts(t: Tables) -> DataFrame:
     return partition_counts(t.events.withColumnRenamed("ts", "__created_at"), 100)
 
 
+@_query
+def dump_by_date(t: Tables) -> DataFrame:
+    """Events dumped in a folder for each day and read again: what each folder has."""
+    rows = t.events.select(F.col("event_id").alias("__id"), F.col("ts").cast("timestamp_ntz").alias("__created_at"), "event_type", "value")
+    with dumped_to(t.spark) as folder:
+        dump(rows, folder, by_date=True, rows_per_file=100)
+        read = read_jsonl(t.spark, folder, rows.schema).withColumn("dt", F.regexp_extract("_metadata.file_path", "dt=([^/]+)/", 1))
+        return cut(read.groupBy("dt", "event_type").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("first_id"), F.max("__created_at").alias("last_at"), F.round(F.sum("value"), 4).alias("total")))
+
+
 @_query
 def cache_expiry(t: Tables) -> DataFrame:
     now = F.lit("2024-01-31").cast("timestamp_ntz")

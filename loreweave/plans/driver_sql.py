@@ -239,3 +239,4 @@ WITH d AS (SELECT doc_id, unnest([lang, 'all']) AS source_table, regexp_extract_
 w AS (SELECT source_table, count(DISTINCT term) AS terms FROM (SELECT source_table, unnest(t) AS term FROM d) GROUP BY 1)
 SELECT source_table, count(DISTINCT doc_id) AS documents, any_value(terms) AS terms, true AS documents_near, true AS terms_near, true AS half_near FROM d JOIN w USING (source_table) GROUP BY 1
 """
+ORACLE_SQL["dump_by_date"] = "SELECT coalesce(strftime(ts, '%Y%m%d'), 'unknown') AS dt, event_type, count(*) AS n, min(event_id) AS first_id, max(ts) AS last_at, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"

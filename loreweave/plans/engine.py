@@ -231,6 +231,7 @@ class Engine:
     # import
 
     def import_bundle(self, path: str | Path, *, delete: bool = False) -> dict[str, Any]:
+        """Imports a YAML file of nodes and edges to upsert or delete (see import_items); with ``delete``, the file goes afterwards."""
         return self.import_items(read_bundle(self.files, path, delete=delete))
 
     @_tidy
@@ -544,18 +545,21 @@ class Engine:
 
     @_one_version
     def vector_search(self, query: str, *, node_type: str | None = None, limit: int = 10) -> list[dict[str, Any]]:
+        """Chunks whose vectors are nearest to the query's by cosine, best first, of one node type or of all."""
         if not self._checked(query, node_type, limit) or (v := self._query_vector(query)) is None:
             return []
         return self._shape(search.top(search.vector_scores(self.index(node_type), v).select("id", "score"), limit), None)
 
     @_one_version
     def fts_search(self, query: str, *, node_type: str | None = None, limit: int = 10) -> list[dict[str, Any]]:
+        """Chunks that have any of the query's words, best by BM25 first, of one node type or of all."""
         if not self._checked(query, node_type, limit):
             return []
         return self._shape(search.top(self._text_scores(query, self._in(node_type)).select("id", "score"), limit), None)
 
     @_one_version
     def search(self, query: str, *, node_type: str | None = None, limit: int = 10, alpha: float = 0.5) -> list[dict[str, Any]]:
+        """Vector and full-text search fused by ranks; ``alpha`` is the weight of vectors, 0 to 1. Results tell where a chunk comes from and what it says."""
         if not self._checked(query, node_type, limit) or (v := self._query_vector(query)) is None:
             return []
         keep, k = self._in(node_type), self.rrf_k()
@@ -563,10 +567,11 @@ class Engine:
 
     @_one_version
     def get_source_record(self, source_table: str, source_id: int) -> dict[str, Any] | None:
+        """The node that a search result comes from, by its source_table and source_id; None if it is gone."""
         name = self.ontology.by_table(table_name(source_table))
         if name is None:
             raise ValueError(f"Unknown table: {source_table}")
-        row = self.nodes(name).filter(F.col("__id") == source_id).limit(1).collect()
+        row = search.record(self.nodes(name), source_id).collect()
         return row[0].asDict() if row else None
 
     @_one_version
@@ -608,6 +613,7 @@ class Engine:
 
     @_one_version
     def get_neighbors(self, node_type: str, node_id: int | str, *, edge_types: list[str] | None = None, direction: str = "both", limit: int = 100) -> dict[str, Any]:
+        """A node, by id or first identity field, its neighbors over the given edge types and direction (out, in or both) with the edges between, and counts; ``limit`` counts for each edge type."""
         if limit < 0:
             raise ValueError("limit must not be negative")
         graph.arrows(self.links(), direction)
@@ -639,6 +645,7 @@ class Engine:
 
     @_one_version
     def traverse(self, node_type: str, node_id: int | str, *, edge_types: list[str] | None = None, direction: str = "out", max_depth: int = 3, limit: int = 1000, return_paths: bool = True) -> list[dict[str, Any]]:
+        """What can be reached from a node in max_depth steps: paths, or with return_paths false the nodes with their least depth and number of shortest paths."""
         if limit < 0:
             raise ValueError("limit must not be negative")
         if max_depth < 1:
@@ -667,6 +674,7 @@ class Engine:
 
     @_one_version
     def extract_subgraph(self, node_type: str, node_id: int | str, *, edge_types: list[str] | None = None, max_depth: int = 2, node_limit: int = 100, edge_limit: int = 200) -> dict[str, Any]:
+        """The nodes within max_depth steps of a node, nearest first, and the edges between them, up to both limits; ``truncated`` tells whether a limit was met."""
         start = self._start(node_type, node_id)
         nodes, edges = graph.subgraph(self.links(), start, edge_types=edge_types, max_depth=max_depth, node_limit=node_limit, edge_limit=edge_limit)
         nodes, edges = nodes.collect(), edges.collect()  # bounded by the limits
@@ -678,6 +686,7 @@ class Engine:
 
     @_one_version
     def find_paths(self, from_type: str, from_id: int | str, to_type: str, to_id: int | str, *, edge_types: list[str] | None = None, max_depth: int = 5, limit: int = 10) -> list[dict[str, Any]]:
+        """Paths between two nodes over edges of either direction, shortest first, at most ``limit`` and of max_depth steps."""
         if max_depth < 1 or limit < 0:
             raise ValueError("max_depth must be at least 1 and limit not negative")
         found = graph.paths(self.links(), self._start(from_type, from_id), direction="both", edge_types=edge_types, max_depth=max_depth, to=self._start(to_type, to_id), limit=limit)

@@ -56,7 +56,9 @@ def dump(df: DataFrame, folder: str, *, by_date: bool = True, rows_per_file: int
         writer = df.withColumn("dt", day).repartitionByRange("dt", "__id").sortWithinPartitions("dt", "__id").write.partitionBy("dt")
     else:
         writer = df.repartitionByRange("__id").sortWithinPartitions("__id").write
-    writer.mode("overwrite").option("maxRecordsPerFile", rows_per_file).option("ignoreNullFields", False).json(folder)
+    # Spark's own formats keep milliseconds only
+    times = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    writer.mode("overwrite").option("maxRecordsPerFile", rows_per_file).option("ignoreNullFields", False).options(**times).json(folder)
     return n
 
 

@@ -91,7 +91,7 @@ def test_sql(kb):
     "SELECT * FROM parquet.`/root/testdata/sf0.001/nation.parquet`", "SELECT * FROM json.`/etc/passwd`", "INSERT OVERWRITE DIRECTORY '/tmp/none' USING parquet SELECT 1",
     "SELECT TRANSFORM(hull) USING 'echo hi' AS (x STRING) FROM vessels", "SELECT * FROM (SELECT TRANSFORM(hull) USING 'cat' AS (x STRING) FROM vessels)",
     "SELECT reflect('java.lang.System', 'getProperty', 'java.home')", "SELECT 1 WHERE java_method('java.lang.System', 'nanoTime') > 0", "SELECT (SELECT try_reflect('java.lang.System', 'nanoTime'))", "WITH a AS (SELECT REFLECT('java.lang.System', 'nanoTime') AS x) SELECT * FROM a",
-    "SELECT * FROM VALUES (reflect('java.lang.System', 'nanoTime')) AS t(a)", "SELECT IDENTIFIER('reflect')('java.lang.System', 'nanoTime')", "SELECT * FROM foreign_view", "SELECT * FROM default.vessels", "SELECT * FROM global_temp.seen", "SELECT own_function(1)", "",
+    "SELECT * FROM VALUES (reflect('java.lang.System', 'nanoTime')) AS t(a)", "SELECT IDENTIFIER('reflect')('java.lang.System', 'nanoTime')", "SELECT input_file_name() FROM vessels", "SELECT * FROM vessels WHERE Input_File_Block_Start() >= 0", "SELECT _metadata.file_path FROM vessels", "SELECT * FROM foreign_view", "SELECT * FROM default.vessels", "SELECT * FROM global_temp.seen", "SELECT own_function(1)", "",
 ])
 def test_sql_refuses(kb, spark, bad):
     spark.range(3).createOrReplaceTempView("foreign_view")
@@ -159,6 +159,7 @@ def test_protocol(kb):
     mcp.serve(kb, [*map(json.dumps, sent), "{", "", "[]"], out, "1")
     got = [json.loads(x) for x in out.getvalue().splitlines()]
     assert [g["id"] for g in got] == [1, 2, 3, "a", 5, 6, 7, None, 9, None, None]
+    assert all(len(t["description"]) > 30 for t in got[1]["result"]["tools"])
     assert got[0]["result"]["protocolVersion"] == "2024-11-05" and got[0]["result"]["serverInfo"] == {"name": "loreweave", "version": "1"}
     listed = {x["name"]: x["inputSchema"] for x in got[1]["result"]["tools"]}
     assert len(listed) == 12 and listed["search"]["required"] == ["query"] and listed["search"]["properties"]["alpha"] == {"type": "number", "default": 0.5} and listed["get_neighbors"]["properties"]["node_id"]["type"] == ["integer", "string"]
