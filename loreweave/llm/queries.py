@@ -58,7 +58,9 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice_lm(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    """score is the model that has learned; lattice_score sums segmentations to pieces alone."""
+    scored = lattice_lm(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), rounds=2)
+    return scored.withColumnsRenamed({"score": "lattice_score", "model_score": "score"})
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -505,6 +505,67 @@ def test_lattice_lm(spark):
         assert math.isclose(r["mixed_score"], sum((np.logaddexp(math.log(c[w]) if c[w] else -np.inf, math.log(v) + lat.log_probability(w)) - math.log(n + v)) / math.log(10) for w in ws), rel_tol=1e-6)
 
 
+def test_lattice_learns_by_expectation():
+    """Expected numbers against all segmentations, of which slices of long words have their own."""
+    lat = Lattice(P.path("piece_bpe_32k.model"))
+    names = [*lat.begin, *lat.inner]
+
+    def ways(w, first):
+        if first:
+            for j in range(len(w) + 1):
+                if w[:j] in lat.begin:
+                    yield from (((names.index(w[:j]), *ks), math.exp(lat.begin[w[:j]]) * p) for ks, p in ways(w[j:], False))
+        elif not w:
+            yield (), 1.0
+        else:
+            for j in range(1, len(w) + 1):
+                if w[:j] in lat.inner:
+                    k = len(lat.begin) + list(lat.inner).index(w[:j])
+                    yield from (((k, *ks), math.exp(lat.inner[w[:j]]) * p) for ks, p in ways(w[j:], False))
+
+    words = [b"the", "né".encode(), b"zqx", b"other"]
+    want = np.zeros(len(names))
+    for w in words:
+        every = list(ways(w, True))
+        for ks, p in every:
+            for k in ks:
+                want[k] += p / sum(q for _, q in every)
+    assert np.allclose(lat.expect(words), want, rtol=1e-9, atol=1e-12)
+    long = lat.expect([b"ab" * 50])
+    lengths = np.array([len(x) for x in names])
+    assert math.isclose(long @ lengths, 100, rel_tol=1e-9)
+    new = lat.learned(want)
+    assert math.isclose(sum(map(math.exp, [*new.begin.values(), *new.inner.values(), new.end])), 1, rel_tol=1e-9)
+    assert sum(map(new.log_probability, words)) > sum(map(lat.log_probability, words))
+    for w in (b"ab" * 16, b"ab" * 16 + b"c"):  # either side of the length from which on logarithms are summed
+        f = new._forward(w, True)[-1]
+        assert math.isclose(new.log_probability(w), math.log(f), rel_tol=1e-9)
+
+
+def test_lattice_lm_learns(spark, tmp_path):
+    """Held-out texts score about as the base does, and all scores are finite; words that are new are spelled."""
+    rng = random.Random(5)
+    parts = "the of and ing tion er ist sch ver eau".split()
+    vocabulary = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(400)]
+    some = lambda: " ".join("".join(rng.choice(parts) for _ in range(4)) if rng.random() < 0.05 else vocabulary[min(int(rng.expovariate(0.02)), 399)] for _ in range(150))
+    texts = [(i, None if i == 3 else "" if i == 4 else some()) for i in range(300)]
+    frame(spark, texts).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = by_id(QUERIES["op9_lattice_lm"](spark, f"file://{tmp_path}"))
+    assert len(got) == 300 and all(math.isfinite(r[c]) for r in got.values() for c in ("score", "base_score", "lattice_score"))
+    out = [r for r in got.values() if r["held_out"]]
+    base = sum(r["base_score"] for r in out)
+    assert out and sum(r["score"] for r in out) > 1.1 * base and sum(r["lattice_score"] for r in out) < 1.2 * base
+    again = by_id(QUERIES["op9_lattice_lm"](spark, f"file://{tmp_path}"))
+    assert again == got
+
+
+def test_lattice_lm_learns_nothing(spark):
+    """Without training documents, words are spelled by the given weights."""
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:3]
+    got = by_id(lattice_lm(frame(spark, [(i, "some new words") for i in held]), P.path("piece_bpe_32k.model"), rounds=2))
+    assert len(got) == 3 and all(math.isclose(r["model_score"], r["score"], rel_tol=1e-9) for r in got.values())
+
+
 def test_lattice_lm_many_words(spark):
     """Owners make room as distinct words come, of training documents and of others."""
     path = P.path("piece_bpe_32k.model")
