@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loreweave.functions.text import chunk_text, content_hash, segment, tokens
+from loreweave.shared import cut
 
 Embedder = Callable[[list[str]], list[list[float]]]
 
@@ -102,9 +103,16 @@ def postings(index: DataFrame, text: str = "content") -> DataFrame:
 
 
 def stored_postings(index: DataFrame) -> DataFrame:
-    """Postings of the stored tokens, in order of term: a query reads the row groups that its terms are in. Ids differ."""
-    posts = _posted(index, ["source_table", "id"], F.filter(F.split("fts_content", " "), lambda t: t != ""))
-    return by_term(posts.select("source_table", "id", F.col("dl").cast("long").alias("dl"), "term", "tf"))
+    """Postings of the stored tokens, in order of term: a query reads the row groups that its terms are in. Ids differ.
+
+    They are written once before they are put in order, which looks at its input twice, as every reader of the result would.
+    """
+    posts = _posted(index, ["source_table", "id"], _stored_tokens())
+    return by_term(cut(posts.select("source_table", "id", F.col("dl").cast("long").alias("dl"), "term", "tf")))
+
+
+def _stored_tokens() -> Column:
+    return F.array_remove(F.split("fts_content", " "), "")
 
 
 def by_term(posts: DataFrame) -> DataFrame:
@@ -118,15 +126,30 @@ def block_postings(posts: DataFrame, size: int = 1024) -> DataFrame:
     ``rows`` has them as offsets from block, frequencies and lengths, which compress well. Ranges are the same for all terms, so
     what a document can score is bounded by the sum over its block. A block is made in one task and has ``size`` postings at most.
     """
-    own = posts.withColumn("at", F.pmod("id", F.lit(size)).cast("int")).withColumn("block", F.col("id") - F.col("at"))
+    return _blocks(_placed(posts, size)).repartitionByRange("term", "block").sortWithinPartitions("term", "block")
+
+
+def stored_block_postings(index: DataFrame, size: int = 1024) -> DataFrame:
+    """block_postings of the stored tokens, each partition in order of term. Ids differ.
+
+    Entries are dealt to partitions by block, so an exchange has their texts and no row for each posting.
+    """
+    own = _placed(index.select("id", "fts_content"), size).select("block", "at", "fts_content").repartition("block")
+    return _blocks(_posted(own, ["block", "at"], _stored_tokens())).sortWithinPartitions("term", "block")
+
+
+def _placed(rows: DataFrame, size: int) -> DataFrame:
+    return rows.withColumn("at", F.pmod("id", F.lit(size)).cast("int")).withColumn("block", F.col("id") - F.col("at"))
+
+
+def _blocks(posts: DataFrame) -> DataFrame:
     one = F.struct("at", F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl"))
-    made = own.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").cast("int").alias("max_tf"), F.min("dl").cast("int").alias("min_dl"), F.sort_array(F.collect_list(one)).alias("rows"))
-    return made.repartitionByRange("term", "block").sortWithinPartitions("term", "block")
+    return posts.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").cast("int").alias("max_tf"), F.min("dl").cast("int").alias("min_dl"), F.sort_array(F.collect_list(one)).alias("rows"))
 
 
 def stats(index: DataFrame) -> DataFrame:
     """For each source table: documents, chunks with tokens, and their tokens."""
-    n = F.size(F.filter(F.split("fts_content", " "), lambda t: t != "")).cast("long")
+    n = F.size(_stored_tokens()).cast("long")
     return index.groupBy("source_table").agg(F.count_distinct("source_id").alias("documents"), F.count("fts_content").alias("chunks"), F.coalesce(F.sum(F.when(F.col("fts_content").isNotNull(), n)), F.lit(0).cast("long")).alias("tokens"))
 
 
@@ -144,7 +167,7 @@ def sketches(index: DataFrame) -> DataFrame:
     """For each source table, sketches that can be merged: of its documents, of its terms, and of its entries' numbers of
     tokens. They are made where the rows are; no exchange has a row for each word, as counting terms exactly would.
     """
-    own = index.select("source_table", "source_id", F.filter(F.split("fts_content", " "), lambda t: t != "").alias("t"))
+    own = index.select("source_table", "source_id", _stored_tokens().alias("t"))
     sizes = own.groupBy("source_table").agg(F.hll_sketch_agg("source_id").alias("documents"), F.kll_sketch_agg_bigint(F.size("t").cast("long")).alias("tokens"))
     terms = own.select("source_table", F.explode("t").alias("term")).groupBy(F.col("source_table").alias("__of")).agg(F.hll_sketch_agg("term").alias("terms"))
     return sizes.join(terms, F.col("source_table").eqNullSafe(F.col("__of")), "left").select("source_table", "documents", "terms", "tokens")

@@ -392,10 +392,15 @@ _sql("sql_star_except", "part", "SELECT * EXCEPT (p_retailprice), try_cast(p_nam
 _sql("sql_sample", "part", "SELECT count(*) AS n FROM part TABLESAMPLE (100 PERCENT)")
 
 
+def _stored(t: Tables) -> DataFrame:
+    """Documents as entries whose tokens are stored."""
+    return cut(t.documents.select(F.lit("documents").alias("source_table"), F.col("doc_id").alias("id"), F.col("doc_id").alias("source_id"), segment(F.col("text")).alias("fts_content")))
+
+
 @_query
 def fts_postings(t: Tables) -> DataFrame:
     """BM25 from stored postings and statistics, as the engine searches."""
-    rows = t.documents.select(F.lit("documents").alias("source_table"), F.col("doc_id").alias("id"), F.col("doc_id").alias("source_id"), segment(F.col("text")).alias("fts_content"))
+    rows = _stored(t)
     n, words = index.stats(rows).agg(F.sum("chunks"), F.sum("tokens")).first()
     return _best(search.bm25_postings(index.stored_postings(rows), TERMS, n or 0, words / n if words else 1.0), 20)
 
@@ -414,9 +419,9 @@ def interval_overlaps(t: Tables) -> DataFrame:
 @_query
 def fts_block_max(t: Tables) -> DataFrame:
     """The same from postings in blocks, of which only those are read that may have one of the best."""
-    rows = t.documents.select(F.lit("documents").alias("source_table"), F.col("doc_id").alias("id"), F.col("doc_id").alias("source_id"), segment(F.col("text")).alias("fts_content"))
+    rows = _stored(t)
     n, words = index.stats(rows).agg(F.sum("chunks"), F.sum("tokens")).first()
-    blocks = cut(index.block_postings(index.stored_postings(rows), 64))
+    blocks = cut(index.stored_block_postings(rows, 64))
     return search.bm25_blocks(blocks, TERMS, n or 0, words / n if words else 1.0, 20)
 
 
@@ -465,19 +470,21 @@ def stream_latest(t: Tables) -> DataFrame:
 @_query
 def index_sketches(t: Tables) -> DataFrame:
     """Of each language and of all, exact numbers beside whether those of merged sketches are within their bounds."""
-    rows = t.documents.select(F.col("lang").alias("source_table"), F.col("doc_id").alias("source_id"), segment(F.col("text")).alias("fts_content"))
+    rows = cut(t.documents.select(F.col("lang").alias("source_table"), F.col("doc_id").alias("source_id"), segment(F.col("text")).alias("fts_content")))
     slices = cut(index.sketches(rows))
     told = index.estimates(index.merged_sketches(slices, ["source_table"])).unionByName(index.estimates(index.merged_sketches(slices)).select(F.lit("all").alias("source_table"), "*"))
-    split = rows.withColumn("t", F.filter(F.split("fts_content", " "), lambda x: x != ""))
-    groups = split.select(F.explode(F.array("source_table", F.lit("all"))).alias("source_table"), "source_id", "t")
+    split = rows.withColumn("t", F.array_remove(F.split("fts_content", " "), ""))
+    both = F.explode(F.array("source_table", F.lit("all"))).alias("source_table")
+    groups = split.select(both, "source_id", F.size("t").alias("size"))
     exact = groups.groupBy("source_table").agg(F.count_distinct("source_id").alias("documents"))
-    terms = groups.select("source_table", F.explode("t").alias("term")).groupBy("source_table").agg(F.count_distinct("term").alias("terms"))
+    # a word counts once for its language before it counts for all
+    terms = split.select("source_table", F.explode("t").alias("term")).distinct().select(both, "term").groupBy("source_table").agg(F.count_distinct("term").alias("terms"))
     half = groups.join(F.broadcast(told.select("source_table", F.col("tokens")[0].alias("half"))), "source_table").groupBy("source_table")  # a row for each language
-    ranks = half.agg(F.avg((F.size("t") < F.col("half")).cast("double")).alias("below"), F.avg((F.size("t") <= F.col("half")).cast("double")).alias("upto"))
+    ranks = half.agg(F.avg((F.col("size") < F.col("half")).cast("double")).alias("below"), F.avg((F.col("size") <= F.col("half")).cast("double")).alias("upto"))
     near = lambda c: F.abs(F.col(f"told.{c}") - F.col(f"exact.{c}")) <= 0.05 * F.col(f"exact.{c}")
     exact = exact.join(terms, "source_table").join(ranks, "source_table").alias("exact")
-    both = exact.join(told.alias("told"), F.col("exact.source_table").eqNullSafe(F.col("told.source_table")))
-    return both.select("exact.source_table", "exact.documents", "exact.terms", near("documents").alias("documents_near"), near("terms").alias("terms_near"), ((F.col("below") <= 0.52) & (F.col("upto") >= 0.48)).alias("half_near"))
+    found = exact.join(told.alias("told"), F.col("exact.source_table").eqNullSafe(F.col("told.source_table")))
+    return found.select("exact.source_table", "exact.documents", "exact.terms", near("documents").alias("documents_near"), near("terms").alias("terms_near"), ((F.col("below") <= 0.52) & (F.col("upto") >= 0.48)).alias("half_near"))
 
 
 @_query

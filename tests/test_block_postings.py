@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from loreweave.operators import index, search
 
@@ -51,3 +52,26 @@ def test_blocks(spark):
     got = {(r["term"], r["block"]): (r["n"], r["max_tf"], r["min_dl"], [tuple(x) for x in r["rows"]]) for r in index.block_postings(posts, 10).collect()}
     assert got == {("x", 0): (2, 4, 7, [(3, 4, 7), (5, 2, 9)]), ("x", 10): (1, 1, 3, [(2, 1, 3)]), ("y", 0): (1, 1, 7, [(3, 1, 7)])}
     assert index.block_postings(posts.limit(0)).count() == 0 and search.bm25_blocks(index.block_postings(posts.limit(0)), ["x"], 0, 1.0, 3).count() == 0
+
+
+def test_stored_blocks_are_blocks_of_postings(spark):
+    """Blocks from stored tokens, made without a row for each posting in an exchange, are those of their postings."""
+    rng = random.Random(4)
+    rows = [(i, None if i % 17 == 3 else " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 30)))) for i in range(-20, 200)]
+    df = spark.createDataFrame(rows, "id long, fts_content string").withColumn("source_table", F.lit("t"))
+    told = lambda blocks: sorted((r["term"], r["block"], r["n"], r["max_tf"], r["min_dl"], [tuple(x) for x in r["rows"]]) for r in blocks.collect())
+    blocks = index.stored_block_postings(df, 16)
+    assert told(blocks) == told(index.block_postings(index.stored_postings(df), 16)) and told(index.stored_block_postings(df.limit(0), 16)) == []
+    assert "hashpartitioning(block" in plan_of(blocks) and "hashpartitioning(term" not in plan_of(blocks)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_are_made_once(spark, tmp_path):
+    """Searching them, which looks at its input several times, makes no tokens anew."""
+    df = spark.createDataFrame([(i, f"w{i % 7} x") for i in range(50)], "id long, fts_content string").withColumn("source_table", F.lit("t"))
+    posts = index.stored_postings(df)
+    assert "Generate" not in plan_of(posts)
+    assert search.bm25_postings(posts, ["w3"], 50, 2.0).count() == 7
