@@ -84,3 +84,11 @@ def test_sketches_merge(spark):
     by = {r["source_table"]: r for r in index.estimates(index.sketches(df)).collect()}
     assert set(by) == {"a", "b", "c", "d", "e", None} and by["d"]["terms"] == by["e"]["terms"] == 0 and by[None]["terms"] == 3
     assert index.sketches(df.limit(0)).count() == 0
+
+
+def test_index_sketches_make_tokens_once(spark):
+    """What is merged and what is exact are read from stored tokens."""
+    from loreweave.plans.driver_queries import QUERIES
+
+    plan = QUERIES["index_sketches"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
