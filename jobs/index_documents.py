@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from jobs.common import command, log, settings
 from loreweave.functions.text import segment
-from loreweave.operators.index import entries
+from loreweave.operators.index import entries, word_counts
 from loreweave.operators.merge import last_wins
 from loreweave.shared import cut
 from loreweave.sources.files import Files
@@ -105,20 +105,18 @@ class Index:
 
 
 def _terms(chunks: DataFrame, sign: int) -> DataFrame:
-    """What some chunks add to terms, or take off: a row for each chunk and term at most."""
-    words = chunks.select(F.explode(F.filter(F.split("fts_content", " "), lambda t: t != "")).alias("term"), "doc_id", "chunk_seq")
-    each = words.groupBy("doc_id", "chunk_seq", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return each.groupBy("term").agg((F.count(F.lit(1)) * sign).alias("df"), (F.sum("tf") * sign).alias("tf"))
+    """What some chunks add to terms, or take off; a chunk's words are counted where it is."""
+    return word_counts(chunks).groupBy("term").agg((F.count(F.lit(1)) * sign).alias("df"), (F.sum("tf") * sign).alias("tf"))
 
 
 def add_batch(index: Index, batch: DataFrame, number: int, s: Settings) -> None:
     """Indexes one batch of rows with id, text and carried columns."""
     docs = batch.select(F.col(s.id).cast("long").alias("doc_id"), F.col(s.text).cast("string").alias("__text"), *s.carry)
     docs = _latest(docs, "doc_id", ["__text", *s.carry])
-    rows = entries(docs, "documents", ["__text"], size=s.chunk_size, overlap=s.chunk_overlap, id_col="doc_id").withColumnRenamed("source_id", "doc_id")
+    rows = entries(docs, "documents", ["__text"], size=s.chunk_size, overlap=s.chunk_overlap, id_col="doc_id", carry=s.carry).withColumnRenamed("source_id", "doc_id")
     rows = rows.withColumn("fts_content", segment(F.col("content"))).withColumn("n_tokens", F.size(F.filter(F.split("fts_content", " "), lambda t: t != "")).cast("long"))
     carried = docs.select("doc_id", *s.carry)
-    chunks = index.write("chunks", rows.join(carried, "doc_id"), number)
+    chunks = index.write("chunks", rows, number)
     sums = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n_tokens").alias("n_tokens"))
     zero = F.lit(0).cast("long")
     told = index.write("documents", carried.join(sums, "doc_id", "left").withColumn("n_chunks", F.coalesce("n_chunks", zero)).withColumn("n_tokens", F.coalesce("n_tokens", zero)), number)

@@ -15,15 +15,17 @@ from loreweave.shared import cut
 Embedder = Callable[[list[str]], list[list[float]]]
 
 
-def entries(nodes: DataFrame, table: str, fields: Sequence[str], *, size: int = 800, overlap: int = 100, id_col: str = "__id") -> DataFrame:
-    """A row for each chunk of each non-empty text field; fields that aren't text have none."""
+def entries(nodes: DataFrame, table: str, fields: Sequence[str], *, size: int = 800, overlap: int = 100, id_col: str = "__id", carry: Sequence[str] = ()) -> DataFrame:
+    """A row for each chunk of each non-empty text field; fields that aren't text have none. ``carry``: columns that go with them."""
     texts = [f for f in fields if dict(nodes.dtypes).get(f) == "string"]
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("source_field"), F.col(f).alias("text")) for f in texts])) if texts else None
     if pairs is None:
-        return nodes.sparkSession.createDataFrame([], "source_table string, source_id long, source_field string, chunk_seq int, content string, content_hash string")
-    long = nodes.select(F.col(id_col).cast("long").alias("source_id"), pairs.alias("p")).select("source_id", "p.*").filter("text is not null and text <> ''")
-    chunks = long.select(F.lit(table).alias("source_table"), "source_id", "source_field", F.posexplode(chunk_text(F.col("text"), size, overlap)).alias("chunk_seq", "content"))
-    return chunks.withColumn("content_hash", content_hash(F.col("content")))
+        empty = nodes.sparkSession.createDataFrame([], "source_table string, source_id long, source_field string, chunk_seq int, content string, content_hash string")
+        return empty.select("*", *[F.lit(None).cast(nodes.schema[c].dataType).alias(c) for c in carry])
+    with_ = F.struct(*[F.col(c) for c in carry]).alias("__carry") if carry else F.lit(None).alias("__carry")
+    long = nodes.select(F.col(id_col).cast("long").alias("source_id"), with_, pairs.alias("p")).select("source_id", "__carry", "p.*").filter("text is not null and text <> ''")
+    chunks = long.select(F.lit(table).alias("source_table"), "source_id", "source_field", "__carry", F.posexplode(chunk_text(F.col("text"), size, overlap)).alias("chunk_seq", "content"))
+    return chunks.withColumn("content_hash", content_hash(F.col("content"))).select("source_table", "source_id", "source_field", "chunk_seq", "content", "content_hash", *[F.col("__carry").getField(c).alias(c) for c in carry])
 
 
 def with_cache(rows: DataFrame, cache: DataFrame, *, compute_tokens: bool = True, words: Sequence[str] = ()) -> DataFrame:
@@ -97,6 +99,11 @@ def _posted(rows: DataFrame, keys: Sequence[str], words: Column) -> DataFrame:
     return rows.select(*keys, "dl", "t", F.explode(F.array(ends)).alias("ends")).select(*keys, "dl", F.inline(runs))
 
 
+def word_counts(index: DataFrame) -> DataFrame:
+    """term, tf and dl of each distinct word of each entry's stored tokens, without an exchange."""
+    return _posted(index, [], _stored_tokens()).select("term", "tf", "dl")
+
+
 def postings(index: DataFrame, text: str = "content") -> DataFrame:
     """id, term, tf and dl; written once per snapshot, it serves any query. Ids differ."""
     return _posted(index, ["id"], tokens(F.col(text))).select("id", "dl", "term", "tf")

@@ -162,3 +162,17 @@ def test_command_line(spark, tmp_path, monkeypatch):
     assert build_graph.main(["--source", SF, "--output", f"{tmp_path}/graph"]) == 0 and (tmp_path / "graph/nodes").is_dir()
     with pytest.raises(SystemExit):
         common.command("x", build_graph.build_graph, build_graph.read_settings, ("source",), build_graph.CONFIG, [])
+
+
+def test_chunks_carry_columns_without_a_join(spark):
+    """Chunks get a document's columns, and terms their counts, where the rows are: no exchange has texts or a row for each word."""
+    from pyspark.sql import functions as F
+
+    from loreweave.operators.index import entries, word_counts
+
+    docs = spark.createDataFrame([(1, "b a b", "en"), (2, None, "fr"), (3, "c", None)], "doc_id long, text string, lang string")
+    chunks = entries(docs, "d", ["text"], id_col="doc_id", carry=["lang"])
+    assert rows(chunks.select("source_id", "content", "lang")) == [(1, "b a b", "en"), (3, "c", None)]
+    counts = word_counts(chunks.withColumn("fts_content", F.col("content")))
+    assert rows(counts.select("term", "tf")) == [("a", 1), ("b", 2), ("c", 1)]
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
