@@ -1,12 +1,12 @@
 """Property-graph operators.
 
-Edges are one table of edge_type, edge_id, from_type, from_id, to_type, to_id, or a Graph, which has it in two orders. A
-node is a type and an id; ids of different types may be equal.
+Edges are one table of edge_type, edge_id, from_type, from_id, to_type, to_id, or a Graph, which has it in two orders, or
+Kinds, which have a table for each type. A node is a type and an id; ids of different types may be equal.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -32,10 +32,27 @@ class Graph:
     by_target: DataFrame
 
 
-Edges = DataFrame | Graph
+@dataclass(frozen=True)
+class Kind:
+    """Edges of a type that lead from nodes of one type to nodes of one type: rows of edge_id, from_id, to_id, which may repeat."""
+
+    edge_type: str
+    from_type: str
+    to_type: str
+    rows: DataFrame
+    repeats: bool = False
+
+    def edges(self, distinct: bool = True) -> DataFrame:
+        rows = self.rows.distinct() if distinct and self.repeats else self.rows
+        return rows.select(F.lit(self.edge_type).alias("edge_type"), "edge_id", F.lit(self.from_type).alias("from_type"), "from_id", F.lit(self.to_type).alias("to_type"), "to_id")
+
+
+Edges = DataFrame | Graph | Sequence[Kind]
 
 
 def _graph(edges: Edges) -> Graph:
+    if isinstance(edges, Sequence):
+        edges = reduce(DataFrame.unionByName, [k.edges() for k in edges])
     return edges if isinstance(edges, Graph) else Graph(edges, edges)
 
 
@@ -109,6 +126,8 @@ def neighbors(edges: Edges, seeds: DataFrame, *, direction: str = "both", edge_t
     """Steps from seeds (type, id), at most ``limit`` for each seed and edge type: out before in, then by edge; all if it is None."""
     if limit is not None and limit < 0:
         raise ValueError("limit must not be negative")
+    if isinstance(edges, Sequence):
+        return _kind_neighbors(edges, seeds, direction, edge_types, limit)
     s = seeds.select(F.col("type").alias("src_type"), F.col("id").alias("src_id")).distinct()
     steps = _near(arrows(edges, direction, edge_types), seeds).join(s, ["src_type", "src_id"])
     if limit is None:
@@ -117,6 +136,47 @@ def neighbors(edges: Edges, seeds: DataFrame, *, direction: str = "both", edge_t
     return steps.withColumn("__rn", F.row_number().over(order)).filter(F.col("__rn") <= limit).drop("__rn")
 
 
+def _first(rows: DataFrame, limit: int | None, by: list[str], order: list[Column], repeats: bool) -> DataFrame:
+    """The first ``limit`` rows of each group, or all. Repeats, which are equal in the order, count once and are given once;
+    ranks find them in the rows as sorted, so what a task limits before the exchange needs no distinct rows."""
+    if limit is None:
+        return rows.distinct() if repeats else rows
+    w = Window.partitionBy(*by).orderBy(*order)
+    rows = rows.withColumn("__rn", (F.dense_rank() if repeats else F.row_number()).over(w)).filter(F.col("__rn") <= limit)
+    if repeats:
+        rows = rows.withColumn("__last", F.lag("__rn", 1, 0).over(w)).filter("__rn <> __last").drop("__last")
+    return rows.drop("__rn")
+
+
+def _kind_neighbors(kinds: Sequence[Kind], seeds: DataFrame, direction: str, edge_types: list[str] | None, limit: int | None) -> DataFrame:
+    """neighbors() of each kind and way on its own: only kinds that the seeds' types are on are read, and what is sorted for
+    the limit are three ids. What several kinds or ways give a node by one edge type is limited once more."""
+    if direction not in DIRECTIONS:
+        raise InvalidDirectionError(direction)
+    ways = [w for w in (("out", "from", "to"), ("in", "to", "from")) if direction in (w[0], "both")]
+    wanted = [(k, *w, getattr(k, f"{w[1]}_type"), getattr(k, f"{w[2]}_type")) for k in kinds for w in ways if not edge_types or k.edge_type in edge_types]
+    seeds = seeds.select("type", "id").filter(F.col("type").isin(sorted({x[4] for x in wanted})))
+    few = seeds.limit(FEW + 1).collect()
+    types = {r[0] for r in (few if len(few) <= FEW else seeds.select("type").distinct().collect())}
+    found: dict[tuple[str, str], list[DataFrame]] = {}
+    for k, way, a, b, src_type, dst_type in wanted:
+        if src_type not in types:
+            continue
+        rows = k.rows.select(F.col(f"{a}_id").alias("src_id"), "edge_id", F.col(f"{b}_id").alias("dst_id"))
+        if len(few) <= FEW:
+            rows = rows.filter(F.col("src_id").isin(sorted({r[1] for r in few if r[0] == src_type and r[1] is not None})))
+        else:
+            rows = rows.join(seeds.filter(F.col("type") == src_type).select(F.col("id").alias("src_id")), "src_id", "left_semi")
+        rows = _first(rows, limit, ["src_id"], [F.col("edge_id"), F.col("dst_id")], k.repeats)
+        rows = rows.select(F.lit(src_type).alias("src_type"), "src_id", F.lit(k.edge_type).alias("edge_type"), "edge_id", F.lit(way).alias("direction"), F.lit(dst_type).alias("dst_type"), "dst_id")
+        found.setdefault((src_type, k.edge_type), []).append(rows)
+    if not found:
+        return values(seeds.sparkSession, [], "src_type string, src_id long, edge_type string, edge_id long, direction string, dst_type string, dst_id long")
+    order = [F.col("direction").desc(), F.col("edge_id"), F.col("dst_type"), F.col("dst_id")]
+    union = [reduce(DataFrame.unionByName, parts) if len(parts) == 1 else _first(reduce(DataFrame.unionByName, parts), limit, ["src_type", "src_id", "edge_type"], order, False) for parts in found.values()]
+    return reduce(DataFrame.unionByName, union)
+
+
 def merged_neighbors(steps: DataFrame) -> DataFrame:
     """One row for each seed and neighbor, with all edges between them in order."""
     hit = F.struct((F.col("direction") != "out").alias("after"), "edge_type", "edge_id", "direction")
@@ -278,7 +338,8 @@ def context(edges: Edges, seeds: DataFrame, *, direction: str = "both", edge_typ
     seeds, in which a block's seeds share a row, and the bits that a node had before are taken off.
     """
     _depth(max_depth)
-    arrows(edges, direction)
+    if direction not in DIRECTIONS:
+        raise InvalidDirectionError(direction)
     own = cut(seeds.select("type", "id").distinct().repartitionByRange("type", "id").withColumn("__part", F.spark_partition_id()))
     at = F.row_number().over(Window.partitionBy("__part").orderBy("type", "id")) - 1
     own = own.withColumn("__at", at).select("type", "id", (F.shiftleft(F.col("__part").cast("long"), 32) + F.shiftright("__at", 6)).alias("block"), F.pmod("__at", F.lit(64)).alias("bit"))

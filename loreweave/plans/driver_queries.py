@@ -50,22 +50,24 @@ class Tables:
     def vectors(self) -> DataFrame:
         return self.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 
-    def edges(self, distinct: bool = True) -> DataFrame:
-        """The tables as a graph of typed nodes; where repeats of an edge don't matter, they needn't be taken out."""
-        once = DataFrame.distinct if distinct else lambda df: df
-
-        def edge(name: str, rows: DataFrame, ident: str, a: str, a_id: str, b: str, b_id: str) -> DataFrame:
-            return rows.select(F.lit(name).alias("edge_type"), F.expr(ident).cast("long").alias("edge_id"), F.lit(a).alias("from_type"), F.col(a_id).cast("long").alias("from_id"), F.lit(b).alias("to_type"), F.col(b_id).cast("long").alias("to_id"))
-
-        parts = [
-            edge("placed", self.orders, "o_orderkey", "Customer", "o_custkey", "Order", "o_orderkey"),
-            edge("contains", once(self.lineitem.select("l_orderkey", "l_partkey")), "l_orderkey * 4294967296 + l_partkey", "Order", "l_orderkey", "Part", "l_partkey"),
-            edge("supplied_by", once(self.lineitem.select("l_partkey", "l_suppkey")), "l_partkey * 4294967296 + l_suppkey", "Part", "l_partkey", "Supplier", "l_suppkey"),
-            edge("located_in", self.customer, "c_custkey", "Customer", "c_custkey", "Nation", "c_nationkey"),
-            edge("based_in", self.supplier, "s_suppkey", "Supplier", "s_suppkey", "Nation", "s_nationkey"),
-            edge("in_region", self.nation, "n_nationkey", "Nation", "n_nationkey", "Region", "n_regionkey"),
+    def kinds(self) -> list[graph.Kind]:
+        """The tables as a graph of typed nodes."""
+
+        def kind(name: str, rows: DataFrame, ident: str, a: str, a_id: str, b: str, b_id: str, repeats: bool = False) -> graph.Kind:
+            return graph.Kind(name, a, b, rows.select(F.expr(ident).cast("long").alias("edge_id"), F.col(a_id).cast("long").alias("from_id"), F.col(b_id).cast("long").alias("to_id")), repeats)
+
+        return [
+            kind("placed", self.orders, "o_orderkey", "Customer", "o_custkey", "Order", "o_orderkey"),
+            kind("contains", self.lineitem, "l_orderkey * 4294967296 + l_partkey", "Order", "l_orderkey", "Part", "l_partkey", True),
+            kind("supplied_by", self.lineitem, "l_partkey * 4294967296 + l_suppkey", "Part", "l_partkey", "Supplier", "l_suppkey", True),
+            kind("located_in", self.customer, "c_custkey", "Customer", "c_custkey", "Nation", "c_nationkey"),
+            kind("based_in", self.supplier, "s_suppkey", "Supplier", "s_suppkey", "Nation", "s_nationkey"),
+            kind("in_region", self.nation, "n_nationkey", "Nation", "n_nationkey", "Region", "n_regionkey"),
         ]
-        return reduce(DataFrame.unionByName, parts)
+
+    def edges(self, distinct: bool = True) -> DataFrame:
+        """The kinds as one table of edges; where repeats of an edge don't matter, they needn't be taken out."""
+        return reduce(DataFrame.unionByName, [k.edges(distinct) for k in self.kinds()])
 
     def node(self, kind: str, ident: int) -> DataFrame:
         return values(self.spark, [(kind, ident)], "type string, id long")
@@ -280,7 +282,7 @@ def cache_expiry(t: Tables) -> DataFrame:
 
 def _steps(t: Tables, kind: str, rows: DataFrame, key: str, **options) -> DataFrame:
     seeds = rows.select(F.lit(kind).alias("type"), F.col(key).cast("long").alias("id"))
-    return graph.neighbors(t.edges(), seeds, **options)
+    return graph.neighbors(t.kinds(), seeds, **options)
 
 
 @_query

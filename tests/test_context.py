@@ -69,6 +69,33 @@ def test_blocks_share_rows(spark, monkeypatch):
     assert max(sizes) <= 115  # not 3200
 
 
+def test_kinds_as_one_table(spark):
+    """Kinds with repeats give what one table of distinct edges gives, also if an edge type leads both ways or to two types."""
+    rng, kinds, rows = random.Random(7), [], set()
+    for name, a, b in (("x", "N", "N"), ("x", "N", "M"), ("y", "M", "N"), ("z", "K", "K")):
+        own = [(i, rng.choice([0, 0, *range(30)]), rng.randrange(300)) for i in range(400)]
+        kinds.append(graph.Kind(name, a, b, spark.createDataFrame(own + own[:150], "edge_id long, from_id long, to_id long"), True))
+        rows |= {(name, i, a, f, b, t) for i, f, t in own}
+    edges = spark.createDataFrame(sorted(rows), EDGES)
+    told = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    for n in (3, graph.FEW + 50):
+        seeds = spark.createDataFrame([(k, i) for k in "NM" for i in range(n)] + [("none", 1)], "type string, id long")
+        for options in ({"limit": 4}, {"limit": 0}, {"limit": None}, {"direction": "in", "limit": 2, "edge_types": ["x"]}, {"direction": "out", "edge_types": ["none"]}):
+            assert told(graph.neighbors(kinds, seeds, **options)) == told(graph.neighbors(edges, seeds, **options))
+        assert told(graph.context(kinds, seeds, max_depth=2, limit=3)) == told(graph.context(edges, seeds, max_depth=2, limit=3))
+    with pytest.raises(ValueError, match="sideways"):
+        graph.neighbors(kinds, seeds, direction="sideways")
+
+
+@pytest.mark.parametrize("name", ["neighbors_in", "neighbors_both"])
+def test_repeats_need_no_exchange(spark, name):
+    """Edges are limited where they are read: lineitem is sent once, and only what the limit leaves of it."""
+    from loreweave.plans.driver_queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert "WindowGroupLimit" in plan and "keys=[l_" not in plan
+
+
 def test_empty_and_wrong(spark):
     edges, seeds = spark.createDataFrame(made(5, 9, 1), EDGES), spark.createDataFrame([], "type string, id long")
     assert graph.context(edges, seeds, max_depth=2).count() == 0
