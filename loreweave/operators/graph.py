@@ -94,6 +94,15 @@ def held_or_cut(rows: DataFrame) -> tuple[DataFrame, int]:
     return rows, rows.count()
 
 
+def _reached(rows: DataFrame, before: int) -> tuple[DataFrame, int]:
+    """held_or_cut() of rows that ``before`` nodes lead to. To look whether rows are few takes most of the work of making
+    them, so where more than FEW nodes lead to them, they are made once and written."""
+    if before <= FEW:
+        return held_or_cut(rows)
+    rows = cut(rows)
+    return rows, rows.count()
+
+
 @dataclass(frozen=True)
 class Level:
     """Distinct nodes (type, id), their number, and if they are few, themselves."""
@@ -199,11 +208,11 @@ def traverse_nodes(edges: Edges, start: DataFrame, *, direction: str = "out", ed
     steps = arrows(edges, direction, edge_types)
     frontier = start.select("type", "id", F.lit(1).cast("long").alias("paths_count"))
     seen = start.select("type", "id", F.lit(0).alias("min_depth"), F.lit(1).cast("long").alias("paths_count"))
-    found = 0
+    found = n = 0
     for depth in range(1, max_depth + 1):
         on = (F.col("type") == F.col("src_type")) & (F.col("id") == F.col("src_id"))
         reached = frontier.join(_near(steps, frontier), on).groupBy(F.col("dst_type").alias("type"), F.col("dst_id").alias("id")).agg(F.sum("paths_count").alias("paths_count"))
-        frontier, n = held_or_cut(reached.join(seen, ["type", "id"], "left_anti"))
+        frontier, n = _reached(reached.join(seen, ["type", "id"], "left_anti"), n)
         if not n:
             break
         seen = seen.unionByName(frontier.select("type", "id", F.lit(depth).alias("min_depth"), "paths_count"))
@@ -344,7 +353,7 @@ def context(edges: Edges, seeds: DataFrame, *, direction: str = "both", edge_typ
     at = F.row_number().over(Window.partitionBy("__part").orderBy("type", "id")) - 1
     own = own.withColumn("__at", at).select("type", "id", (F.shiftleft(F.col("__part").cast("long"), 32) + F.shiftright("__at", 6)).alias("block"), F.pmod("__at", F.lit(64)).alias("bit"))
     frontier = own.groupBy("block", "type", "id").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("mask"))
-    seen, found = frontier, []
+    seen, found, n = frontier, [], own.count()
     first = F.min(F.struct((F.col("direction") != "out").alias("after"), "edge_type", "edge_id", "direction")).alias("step")
     for depth in range(1, max_depth + 1):
         steps = neighbors(edges, frontier, direction=direction, edge_types=edge_types, limit=limit)
@@ -352,13 +361,13 @@ def context(edges: Edges, seeds: DataFrame, *, direction: str = "both", edge_typ
         moved = frontier.join(ways, (F.col("type") == F.col("src_type")) & (F.col("id") == F.col("src_id"))).drop("type", "id")
         before = seen.select("block", F.col("type").alias("dst_type"), F.col("id").alias("dst_id"), F.col("mask").alias("had"))
         fresh = F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long"))))
-        here, n = held_or_cut(moved.join(before, ["block", "dst_type", "dst_id"], "left").withColumn("mask", fresh).filter("mask <> 0").drop("had"))
+        here, n = _reached(moved.join(before, ["block", "dst_type", "dst_id"], "left").withColumn("mask", fresh).filter("mask <> 0").drop("had"), n)
         if not n:
             break
         found.append(here.withColumn("depth", F.lit(depth)))
         if depth < max_depth:
-            frontier, _ = held_or_cut(here.groupBy("block", F.col("dst_type").alias("type"), F.col("dst_id").alias("id")).agg(F.bit_or("mask").alias("mask")))
-            seen, _ = held_or_cut(seen.unionByName(frontier).groupBy("block", "type", "id").agg(F.bit_or("mask").alias("mask")))
+            frontier, n = _reached(here.groupBy("block", F.col("dst_type").alias("type"), F.col("dst_id").alias("id")).agg(F.bit_or("mask").alias("mask")), n)
+            seen, _ = _reached(seen.unionByName(frontier).groupBy("block", "type", "id").agg(F.bit_or("mask").alias("mask")), n)
     if not found:
         return _told(own.limit(0).selectExpr("type AS seed_type", "id AS seed_id", "0 AS depth", "type", "id", "'' AS edge_type", "0L AS edge_id", "'' AS direction", "type AS from_type", "id AS from_id", "0L AS n_edges"))
     rows = reduce(DataFrame.unionByName, found)

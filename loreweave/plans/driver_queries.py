@@ -352,7 +352,7 @@ def graph_search_context(t: Tables) -> DataFrame:
 def graph_context(t: Tables) -> DataFrame:
     """Around every supplier and every nation, the nodes within two steps, five at most of each edge type and node."""
     seeds = t.supplier.select(F.lit("Supplier").alias("type"), F.col("s_suppkey").alias("id")).unionByName(t.nation.select(F.lit("Nation").alias("type"), F.col("n_nationkey").cast("long").alias("id")))
-    found = graph.context(t.edges(), seeds, max_depth=2, limit=5)
+    found = graph.context(t.kinds(), seeds, max_depth=2, limit=5)
     return found.select("seed_type", "seed_id", F.col("depth").cast("long").alias("depth"), "type", "id", "edge_type", "edge_id", "direction", "from_type", "from_id")
 
 

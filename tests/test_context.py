@@ -87,6 +87,14 @@ def test_kinds_as_one_table(spark):
         graph.neighbors(kinds, seeds, direction="sideways")
 
 
+def test_many_seeds_make_a_hop_once(spark, monkeypatch):
+    """Of many seeds, what a hop gives is written without a look before, which would make it twice."""
+    seeds = spark.createDataFrame([("N", i) for i in range(graph.FEW + 1)], "type string, id long")
+    monkeypatch.setattr(graph, "held_or_cut", lambda rows: pytest.fail("made twice"))
+    edges = spark.createDataFrame([("e", i, "N", i, "M", i % 7) for i in range(graph.FEW + 1)], EDGES)
+    assert graph.context(edges, seeds, direction="out").count() == graph.FEW + 1
+
+
 @pytest.mark.parametrize("name", ["neighbors_in", "neighbors_both"])
 def test_repeats_need_no_exchange(spark, name):
     """Edges are limited where they are read: lineitem is sent once, and only what the limit leaves of it."""
