@@ -13,7 +13,8 @@ A run replaces what the one before has written; the same tables give the same ro
 from __future__ import annotations
 
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 from pathlib import Path
 from typing import Any
@@ -37,6 +38,16 @@ def read_settings(path: str | Path) -> dict[str, Any]:
     return s
 
 
+@contextmanager
+def _changed(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def _nodes(spark: SparkSession, source: str, n: dict[str, str]) -> DataFrame:
     """id and name of a node type: of rows that repeat an id, the least name; without id there is no node."""
     rows = spark.read.parquet(f"{source}/{n['table']}.parquet")
@@ -48,7 +59,7 @@ def _edges(spark: SparkSession, source: str, e: dict[str, Any], nodes: dict[str,
     """Distinct edges of a type with their status. A missing id dangles like one that no node has."""
     rows = spark.read.parquet(f"{source}/{e['table']}.parquet")
     rows = rows.select(*[F.col(e[end][1]).cast("long").alias(f"{end}_id") for end in ("from", "to")]).groupBy("from_id", "to_id").agg(F.count(F.lit(1)).alias("n_rows"))
-    for end in ("from", "to"):
+    for end in ("to", "from"):  # a last join that deals edges out by from_id leaves them in the order of the files
         there = nodes[e[end][0]].select(F.col("id").alias(f"{end}_id"), F.lit(True).alias(f"has_{end}"))
         rows = rows.join(there, f"{end}_id", "left")
     return rows.withColumn("status", F.when(F.col("has_from") & F.col("has_to"), F.lit("valid")).otherwise(F.lit("dangling"))).select("from_id", "to_id", "n_rows", "status")
@@ -65,9 +76,13 @@ def build_graph(spark: SparkSession, source: str, output: str, s: dict[str, Any]
     nodes = {k: _nodes(spark, source, n) for k, n in s["nodes"].items()}
 
     def write(rows: DataFrame, name: str, schema: str, *by: str) -> DataFrame:
-        """Sorted ids within a file let a search for one skip row groups."""
+        """Sorted ids within a file let a search for one skip row groups.
+
+        Rows are written where their last join left them, by a sort of ids alone: a task has one type, so its open files are few.
+        """
         first = next(c for c in rows.columns if c not in by)
-        rows.repartitionByRange(*by, first).sortWithinPartitions(*by, first).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*by).parquet(f"{output}/{name}")
+        with _changed(spark, "spark.sql.maxConcurrentOutputFileWriters", "8"):
+            rows.sortWithinPartitions(first).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*by).parquet(f"{output}/{name}")
         out = spark.read.schema(schema).parquet(f"{output}/{name}")
         for r in out.groupBy(*by).count().orderBy(*by).collect():  # a row for each type
             log.info("%s %s: %d rows written", name, "/".join(r[:-1]), r["count"])

@@ -141,6 +141,31 @@ def test_graph_replaces_what_was_there(spark, tmp_path):
     assert rows(build_graph.build_graph(spark, f"file://{tmp_path}/t", f"file://{tmp_path}/out")) == before
 
 
+def test_graph_is_written_where_its_joins_left_it(spark, tmp_path, monkeypatch):
+    """No exchange by ranges, which makes the last joins twice, and no sort by names of types; files are in order of ids still."""
+    import pyarrow.parquet as pq
+    from pyspark.sql import DataFrameWriter
+
+    plans, write = [], DataFrameWriter.parquet
+
+    def parquet(self, path, *args, **more):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return write(self, path, *args, **more)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key, None)
+    build_graph.build_graph(spark, SF, f"file://{tmp_path}/out")
+    assert len(plans) == 2 and not any("rangepartitioning" in p for p in plans) and spark.conf.get(key, None) == before
+    assert not any(re.search(r"Sort \[(status|edge_type|node_type)", p) for p in plans)
+    for part, first, kinds in (("edges", "from_id", {"dangling/placed", "valid/placed"}), ("nodes", "id", {"Customer", "Order"})):
+        files = list((tmp_path / "out" / part).rglob("*.parquet"))
+        assert kinds <= {"/".join(x.split("=")[1] for x in f.relative_to(tmp_path / "out" / part).parts[:-1]) for f in files}
+        for f in files:
+            ids = pq.ParquetFile(f).read([first])[first].to_pylist()
+            assert ids == sorted(ids)
+
+
 def test_settings(tmp_path):
     assert Settings.read(index_documents.CONFIG) == Settings() and set(build_graph.read_settings(build_graph.CONFIG)["nodes"]) >= {"Customer", "Order"}
     bad = tmp_path / "bad.yaml"
